@@ -123,10 +123,15 @@ def lift(new: Column, base: Column) -> Column:
 
 
 def policy_lift(baseline: DataFrame, personalized: DataFrame) -> DataFrame:
-    """Four lifts from two one-row outcome tables, as (metric, lift) rows."""
-    b = {m: baseline.select(m).scalar() for m in LIFT_METRICS}
-    pz = {m: personalized.select(m).scalar() for m in LIFT_METRICS}
-    spark = baseline.sparkSession
-    return spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(f"{m}_lift").alias("metric"), lift(pz[m], b[m]).alias("lift")) for m in LIFT_METRICS
-    ])).alias("x")).select("x.*")
+    """Four lifts from two one-row outcome tables, as (metric, lift) rows.
+
+    The two rows are unioned and folded by one conditional aggregate, so each
+    outcome plan runs once (no scalar subquery per metric, no join).
+    """
+    cols = list(LIFT_METRICS)
+    both = (baseline.select(F.lit(0).alias("_who"), *cols)
+            .unionByName(personalized.select(F.lit(1).alias("_who"), *cols)))
+    wide = both.agg(*[F.max(F.when(F.col("_who") == w, F.col(m))).alias(f"{m}_{w}") for m in cols for w in (0, 1)])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(f"{m}_lift").alias("metric"), lift(F.col(f"{m}_1"), F.col(f"{m}_0")).alias("lift"))
+        for m in cols])).alias("x")).select("x.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastebud.operators import clean as C
 from tastebud.operators import popularity as P
-from tastebud.sources import adapters as A
+from tastebud.sources import adapters as A  # noqa: F401
 
 K = 12
 
@@ -39,21 +39,40 @@ class Frames:
     def raw_customers(self) -> DataFrame:
         return A.customers(self.spark, self.sf_dir)
 
-    # cleaned ----------------------------------------------------------
+    # processed (written once by the preprocess stage, then read) ------
+    @cached_property
+    def store(self) -> str:
+        from tastebud.plans.preprocess import run_preprocess
+        from tastebud.sources.sinks import processed_dir
+        from tastebud.plans.preprocess import is_ready
+        out = processed_dir(self.spark, self.sf_dir, self.adapter)
+        if not is_ready(self.spark, out):
+            run_preprocess(self.spark, self.raw_transactions, self.raw_items, self.raw_customers, out)
+        return out
+
+    def _read(self, name: str) -> DataFrame:
+        from tastebud.plans.preprocess import read_processed
+        return read_processed(self.spark, self.store, name)
+
     @cached_property
     def items(self) -> DataFrame:
-        return C.clean_items(self.raw_items)
+        return self._read("items_clean")
 
     @cached_property
     def customers(self) -> DataFrame:
-        return C.clean_customers(self.raw_customers)
+        return self._read("customers_clean")
 
     @cached_property
     def labelled(self) -> DataFrame:
+        """Labelled raw rows (split + reject reason), computed from raw on demand."""
         return C.labelled_interactions(self.raw_transactions, self.items)
 
+    @cached_property
+    def clean(self) -> DataFrame:
+        return self._read("interactions_clean")
+
     def split(self, name: str) -> DataFrame:
-        return C.kept_interactions(self.labelled, name)
+        return self.clean.where(F.col("split") == name)
 
     @cached_property
     def train(self) -> DataFrame:
@@ -68,25 +87,29 @@ class Frames:
         return self.split("test")
 
     @cached_property
-    def clean(self) -> DataFrame:
-        return C.kept_interactions(self.labelled)
+    def user_map(self) -> DataFrame:
+        return self._read("customer_map")
+
+    @cached_property
+    def item_map(self) -> DataFrame:
+        return self._read("item_map")
 
     # models -----------------------------------------------------------
     @cached_property
     def pop(self) -> DataFrame:
-        return P.popularity(self.train)
+        return self._read("popularity")
 
     @cached_property
     def seen(self) -> DataFrame:
-        return P.seen_pairs(self.train)
+        return self._read("seen")
 
     @cached_property
     def train_users(self) -> DataFrame:
-        return self.train.select("customer_id").distinct()
+        return self.user_map.select("customer_id")
 
     @cached_property
     def train_items(self) -> DataFrame:
-        return self.train.select("article_id").distinct()
+        return self.item_map.select("article_id")
 
     def truth(self, split: str = "val") -> DataFrame:
         return P.ground_truth(self.split(split), self.train_users, self.train_items, self.seen)

@@ -166,14 +166,17 @@ def q_bootstrap_ci(spark, d):
     return ci.select("metric", r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
-_CLICK_SQL = """
-SELECT CAST(sum(impressions) AS BIGINT) AS impressions, round(sum(clicks), 6) AS expected_clicks,
-       round(sum(rclicks), 6) AS expected_relevant_clicks, count(*) AS sessions,
-       round(sum(clicks) / greatest(sum(impressions), 1), 6) AS click_through_rate,
-       round(sum(rclicks) / greatest(sum(impressions), 1), 6) AS relevant_click_through_rate,
-       round(sum(clicks) / greatest(count(*), 1), 6) AS avg_clicks_per_session,
-       round(sum(pc) / greatest(count(*), 1), 6) AS sessions_with_click_rate,
-       round(sum(prc) / greatest(count(*), 1), 6) AS sessions_with_relevant_click_rate
+def click_sql(recs: str, rnd: bool = True) -> str:
+    def R(x: str) -> str:
+        return f"round({x}, 6)" if rnd else x
+    return f"""
+SELECT CAST(sum(impressions) AS BIGINT) AS impressions, {R('sum(clicks)')} AS expected_clicks,
+       {R('sum(rclicks)')} AS expected_relevant_clicks, count(*) AS sessions,
+       {R('sum(clicks) / greatest(sum(impressions), 1)')} AS click_through_rate,
+       {R('sum(rclicks) / greatest(sum(impressions), 1)')} AS relevant_click_through_rate,
+       {R('sum(clicks) / greatest(count(*), 1)')} AS avg_clicks_per_session,
+       {R('sum(pc) / greatest(count(*), 1)')} AS sessions_with_click_rate,
+       {R('sum(prc) / greatest(count(*), 1)')} AS sessions_with_relevant_click_rate
 FROM (SELECT customer_id, count(*) AS impressions, sum(p) AS clicks, sum(CASE WHEN rel THEN p ELSE 0 END) AS rclicks,
              1 - CASE WHEN max(p) >= 1 THEN 0 ELSE exp(sum(ln(1 - p))) END AS pc,
              1 - CASE WHEN max(CASE WHEN rel THEN p ELSE 0 END) >= 1 THEN 0
@@ -185,7 +188,7 @@ FROM (SELECT customer_id, count(*) AS impressions, sum(p) AS clicks, sum(CASE WH
       GROUP BY customer_id)"""
 
 
-@register("policy_expected_clicks", with_ctes(_CLICK_SQL.format(recs="recs"), *_RECS_DEPS, extra=_RECS_EXTRA))
+@register("policy_expected_clicks", with_ctes(click_sql("recs"), *_RECS_DEPS, extra=_RECS_EXTRA))
 def q_policy_expected_clicks(spark, d):
     f = Frames(spark, d)
     out = PO.expected_clicks(_pop_recs(f), f.truth("val"))
@@ -196,15 +199,16 @@ _RP_TRAIN = random_policy_sql("truth_val_b", "train_b", "seen_b", K)
 
 
 @register("policy_lift", with_ctes("""
-SELECT metric, round(CASE WHEN b = 0 THEN (CASE WHEN p > 0 THEN 'inf'::DOUBLE ELSE 0.0 END) ELSE (p - b) / b END, 6) AS lift FROM (
-  SELECT 'click_through_rate_lift' AS metric, r.click_through_rate AS b, h.click_through_rate AS p FROM rsim r, hsim h UNION ALL
-  SELECT 'relevant_click_through_rate_lift', r.relevant_click_through_rate, h.relevant_click_through_rate FROM rsim r, hsim h UNION ALL
-  SELECT 'sessions_with_relevant_click_rate_lift', r.sessions_with_relevant_click_rate, h.sessions_with_relevant_click_rate FROM rsim r, hsim h UNION ALL
-  SELECT 'avg_clicks_per_session_lift', r.avg_clicks_per_session, h.avg_clicks_per_session FROM rsim r, hsim h)""",
+SELECT metric, round(CASE WHEN base_v = 0 THEN (CASE WHEN new_v > 0 THEN 'inf'::DOUBLE ELSE 0.0 END)
+                          ELSE (new_v - base_v) / base_v END, 6) AS lift FROM (
+  SELECT 'click_through_rate_lift' AS metric, rs.click_through_rate AS base_v, hs.click_through_rate AS new_v FROM rsim rs, hsim hs UNION ALL
+  SELECT 'relevant_click_through_rate_lift', rs.relevant_click_through_rate, hs.relevant_click_through_rate FROM rsim rs, hsim hs UNION ALL
+  SELECT 'sessions_with_relevant_click_rate_lift', rs.sessions_with_relevant_click_rate, hs.sessions_with_relevant_click_rate FROM rsim rs, hsim hs UNION ALL
+  SELECT 'avg_clicks_per_session_lift', rs.avg_clicks_per_session, hs.avg_clicks_per_session FROM rsim rs, hsim hs)""",
                                    "train_b", *_RECS_DEPS,
                                    extra=_RECS_EXTRA + "," + _RP_TRAIN[0] + ",\nrsim AS (" +
-                                   _CLICK_SQL.format(recs="rp").replace("round(", "(") + "),\nhsim AS (" +
-                                   _CLICK_SQL.format(recs="recs").replace("round(", "(") + ")"))
+                                   click_sql("rp", False) + "),\nhsim AS (" +
+                                   click_sql("recs", False) + ")"))
 def q_policy_lift(spark, d):
     f = Frames(spark, d)
     users = f.truth("val").select("customer_id").distinct()

@@ -92,12 +92,17 @@ def preprocessing_actions(quality: DataFrame, ids: DataFrame) -> DataFrame:
         "article_orphans": iv("article_ids_not_in_articles") > 0,
         "customer_orphans": iv("customer_ids_not_in_customers") > 0,
     }
-    fired = F.filter(F.array(*[F.when(conds[key], F.struct(F.lit(pos).alias("pos"), F.lit(text).alias("action")))
-                               for pos, (key, text) in enumerate(ACTIONS)]), lambda x: x.isNotNull())
-    fired = F.when(F.size(fired) > 0, fired).otherwise(
-        F.array(F.struct(F.lit(0).alias("pos"), F.lit(NO_ACTION).alias("action"))))
-    return j.select(F.explode(fired).alias("a")).select(
-        F.col("a.pos").cast("long").alias("position"), F.col("a.action").alias("preprocessing_actions"))
+    rows = j.select(F.explode(F.array(*[
+        F.struct(F.lit(pos).cast("long").alias("position"),
+                 F.when(conds[key], F.lit(text)).alias("preprocessing_actions"))
+        for pos, (key, text) in enumerate(ACTIONS)])).alias("a")).select("a.*")
+    rows = rows.where(F.col("preprocessing_actions").isNotNull())
+    any_fired = conds["missing_t_dat"]
+    for c in list(conds.values())[1:]:
+        any_fired = any_fired | c
+    default = j.where(~any_fired).select(F.lit(0).cast("long").alias("position"),
+                                         F.lit(NO_ACTION).alias("preprocessing_actions"))
+    return rows.unionByName(default)
 
 
 def column_profile(df: DataFrame) -> DataFrame:

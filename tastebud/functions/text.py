@@ -30,13 +30,11 @@ def word_tokens(c: Column | str) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Unigrams followed by adjacent bigrams ('a b')."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)),
-    )
-    pairs = F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+    """Unigrams followed by adjacent bigrams ('a b'); ``tokens`` should be a column
+    reference (an expression would be re-evaluated per element inside the lambda)."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(tokens, F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>")))
 
 
 def alpha_tokens(c: Column | str) -> Column:

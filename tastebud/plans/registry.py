@@ -28,7 +28,7 @@ def load_all() -> None:
     from tastebud.plans import (  # noqa: F401
         queries_clean, queries_rank, queries_eval,
     )
-    for mod in ("queries_profile", "queries_text", "queries_models", "queries_serving"):
+    for mod in ("queries_profile", "queries_text", "queries_models"):
         try:
             __import__(f"tastebud.plans.{mod}")
         except ModuleNotFoundError as exc:  # module not written yet

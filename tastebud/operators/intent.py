@@ -162,7 +162,7 @@ def build_request(controls: DataFrame) -> DataFrame:
     """
     personalized = F.col("mode") == "Personalized"
     drop = lambda c, sentinel: F.when(~personalized & (F.col(c) != sentinel), F.col(c))
-    session = F.slice(F.filter(F.transform(F.split(F.coalesce("session_text", F.lit("")), ","), F.trim),
+    session = F.slice(F.filter(F.transform(F.split(F.coalesce("session_text", F.lit("")), ","), lambda s: F.trim(s)),
                                lambda s: s != ""), 1, 50)
     return controls.select(
         "request_id",

@@ -87,3 +87,29 @@ def test_metrics_long(spark):
     rep = spark.createDataFrame([("pop", 12, 3, 0.1, 0.2)], "model string, k int, users_evaluated int, ndcg double, hit double")
     got = {r.name: r.value for r in metrics_long(rep).collect()}
     assert got == {"pop.ndcg": 0.1, "pop.hit": 0.2}
+
+
+def test_intent_eval_accuracy(spark):
+    labelled = spark.createDataFrame(
+        [(1, "Show me 4 red dresses under 30", "Dresses", "red", 30.0, 4),
+         (2, "any green shirts please", "Shirts", "green", None, 6),
+         (3, "find 2 bags", "Dresses", None, None, 2)],
+        "query_id long, query string, expected_product_group string, expected_colour string, "
+        "expected_max_budget double, expected_limit int")
+    groups = spark.createDataFrame([("Dresses",), ("Shirts",)], "product_group_name string")
+    acc = I.intent_eval(labelled, groups).first()
+    assert acc.colour_accuracy == pytest.approx(1.0)
+    assert acc.product_group_accuracy == pytest.approx(2 / 3)
+    assert acc.limit_accuracy == pytest.approx(1.0) and acc.budget_accuracy == pytest.approx(1.0)
+
+
+def test_build_request(spark):
+    controls = spark.createDataFrame(
+        [("r1", "Personalized", " u1 ", 5, 30.0, "Active", "Shoes", "a,b"),
+         ("r2", "Explore", "u2", 7, 40.0, "Not specified", "All products", " a , ,b ,a")],
+        "request_id string, mode string, user_id string, limit int, age double, membership string, "
+        "product_group string, session_text string")
+    got = {r.request_id: r for r in I.build_request(controls).collect()}
+    assert got["r1"].user_id == "u1" and got["r1"].age is None and got["r1"].session_article_ids == []
+    assert got["r2"].user_id is None and got["r2"].club_member_status is None
+    assert got["r2"].session_article_ids == ["a", "b", "a"]

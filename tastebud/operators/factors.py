@@ -50,29 +50,26 @@ def _at_a(rows: DataFrame, Z: np.ndarray, with_gram: bool = False):
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = bz.value
-        acc: dict[int, np.ndarray] = {}
+        acc = np.zeros((n, l))        # dense partial Aᵀ Y for this task (n x l, size-checked)
+        touched = np.zeros(n, dtype=bool)
         gram = np.zeros((l, l)) if with_gram else None
         for b in it:
-            for cols, vals in zip(b["cols"], b["vals"]):
-                cols = np.asarray(cols, dtype=np.int64)
-                vals = np.asarray(vals, dtype=np.float64)
-                if len(cols) == 0:
-                    continue
-                y = vals @ z[cols]
-                if gram is not None:
-                    gram += np.outer(y, y)
-                contrib = np.outer(vals, y)
-                for c, v in zip(cols, contrib):
-                    a = acc.get(int(c))
-                    if a is None:
-                        acc[int(c)] = v.copy()
-                    else:
-                        a += v
-        keys = list(acc.keys())
-        out = pd.DataFrame({"col": np.asarray(keys, dtype=np.int64),
-                            "vec": [acc[k].tolist() for k in keys]})
+            lens = np.fromiter((len(c) for c in b["cols"]), dtype=np.int64, count=len(b))
+            if lens.sum() == 0:
+                continue
+            cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in b["cols"]])
+            vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in b["vals"]])
+            row_of = np.repeat(np.arange(len(b)), lens)
+            y = np.zeros((len(b), l))
+            np.add.at(y, row_of, vals[:, None] * z[cols])        # Y = A Z for the batch rows
+            if gram is not None:
+                gram += y.T @ y
+            np.add.at(acc, cols, vals[:, None] * y[row_of])      # Aᵀ Y, scattered by column
+            touched[cols] = True
+        keys = np.flatnonzero(touched)
+        out = pd.DataFrame({"col": keys.astype(np.int64), "vec": list(acc[keys])})
         if gram is not None:
-            out = pd.concat([out, pd.DataFrame({"col": [-1], "vec": [gram.ravel().tolist()]})], ignore_index=True)
+            out = pd.concat([out, pd.DataFrame({"col": [-1], "vec": [gram.ravel()]})], ignore_index=True)
         yield out
 
     schema = T.StructType([T.StructField("col", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
@@ -179,38 +176,44 @@ def top_k_scores(users: DataFrame, item_block: np.ndarray, k: int, mode: str = "
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, ub, allow = bi.value
         ub = items if ub is None else ub
+        n_items = items.shape[0]
+        chunk = max(1, min(1024, (64 << 20) // max(1, 8 * n_items)))  # score matrix per chunk <= 64 MB
         for b in it:
+            b = b[b["cols"].map(len) > 0]
             out_u, out_r, out_i, out_s = [], [], [], []
-            for uid, cols, vals in zip(b["customer_id"], b["cols"], b["vals"]):
-                cols = np.asarray(cols, dtype=np.int64)
-                vals = np.asarray(vals, dtype=np.float64)
-                if len(cols) == 0:
-                    continue
+            for start in range(0, len(b), chunk):
+                part = b.iloc[start:start + chunk]
+                lens = part["cols"].map(len).to_numpy()
+                cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in part["cols"]])
+                vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in part["vals"]])
+                row_of = np.repeat(np.arange(len(part)), lens)
+                prof = np.zeros((len(part), ub.shape[1]))
                 if mode == "session":
-                    prof = ub[cols].mean(axis=0)
+                    np.add.at(prof, row_of, ub[cols])
+                    prof /= lens[:, None]
                 else:
-                    prof = vals @ ub[cols]
+                    np.add.at(prof, row_of, vals[:, None] * ub[cols])
                 if mode in ("profile", "session"):
-                    nrm = np.linalg.norm(prof)
-                    prof = prof / nrm if nrm > 0 else prof
-                s = items @ prof
-                mask = np.ones(len(s), dtype=bool)
-                mask[cols] = False
+                    nrm = np.linalg.norm(prof, axis=1, keepdims=True)
+                    prof = np.divide(prof, nrm, out=np.zeros_like(prof), where=nrm > 0)
+                S = prof @ items.T                                   # (users in chunk) x items
+                S[row_of, cols] = -np.inf                            # history is never recommended
                 if allow is not None:
-                    mask &= allow
-                cand = np.flatnonzero(mask & np.isfinite(s))
-                if cand.size == 0:
-                    continue
-                take = min(k, cand.size)
-                part = cand[np.argpartition(-s[cand], take - 1)[:take]] if take < cand.size else cand
-                # exact tie order at the cut: include every candidate tied with the k-th score
-                kth = s[part].min()
-                part = cand[s[cand] >= kth]
-                order = part[np.lexsort((part, -s[part]))][:take]
-                out_u += [uid] * len(order)
-                out_r += list(range(1, len(order) + 1))
-                out_i += order.tolist()
-                out_s += s[order].tolist()
+                    S[:, ~allow] = -np.inf
+                for r, uid in enumerate(part["customer_id"].to_numpy()):
+                    s = S[r]
+                    cand = np.flatnonzero(np.isfinite(s))
+                    if cand.size == 0:
+                        continue
+                    take = min(k, cand.size)
+                    if take < cand.size:
+                        kth = np.partition(s[cand], cand.size - take)[cand.size - take]
+                        cand = cand[s[cand] >= kth]                  # keep every tie at the cut
+                    order = cand[np.lexsort((cand, -s[cand]))][:take]
+                    out_u += [uid] * len(order)
+                    out_r += list(range(1, len(order) + 1))
+                    out_i += order.tolist()
+                    out_s += s[order].tolist()
             yield pd.DataFrame({"customer_id": out_u, "rank": np.asarray(out_r, dtype=np.int64),
                                 "item_idx": np.asarray(out_i, dtype=np.int64), "score": np.asarray(out_s, dtype=np.float64)})
 

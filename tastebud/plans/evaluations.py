@@ -14,6 +14,8 @@ from tastebud.operators import evaluate as E
 from tastebud.operators import models as M
 from tastebud.operators import policy as PO
 from tastebud.operators import popularity as P
+from tastebud.functions.index import dense_index
+from tastebud.functions.numeric import uniform
 from tastebud.operators.sample import first_n_users, sample_users
 from tastebud.plans.frames import Frames
 
@@ -100,7 +102,8 @@ def _hybrid_parts(f: Frames, users: DataFrame, k: int, fit: str, candidates: str
     cf = cf_model(f, fit)
     ct = content_model(f, fit, candidates)
     ck = k * 10
-    return cf, ct, M.rec_cf(cf, users, ck), M.rec_content(ct, users, ck)
+    # candidate lists feed tuning, blending and metrics: materialise each once
+    return cf, ct, M._ckpt(M.rec_cf(cf, users, ck)), M._ckpt(M.rec_content(ct, users, ck))
 
 
 def eval_hybrid(f: Frames, k: int = 12, max_eval_users: int = 1000, weights=(0.25, 0.5, 0.75)) -> DataFrame:
@@ -135,23 +138,70 @@ def eval_final(f: Frames, k: int = 12, max_eval_users: int = 1000, weight: float
     catalog_size = f.items.select(F.count_distinct("article_id")).scalar()
     models = {"popularity": P.rec_popularity(cf.pop, cf.seen, users, k), "collaborative_svd": M.rec_cf(cf, users, k),
               "content_tfidf": M.rec_content(ct, users, k), "hybrid_frozen": hy}
-    rows = None
+    long = None
     for name, recs in models.items():
-        ev = E.evaluate_rankings(recs, t, k, rec_users=users)
-        cov = E.catalog_coverage(recs, catalog_size, k)
-        fm = E.fresh_metrics(recs, ct.fresh_items, k, rec_users=users)
-        ci = E.bootstrap_ci(E.per_user_metrics(recs, t, k, users), samples, 0.95, 42)
-        ci_long = ci.select(F.explode(F.array(
-            F.struct(F.concat(F.col("metric"), F.lit("_ci95_lower")).alias("metric"), F.col("lower").alias("value")),
-            F.struct(F.concat(F.col("metric"), F.lit("_ci95_upper")).alias("metric"), F.col("upper").alias("value"))
-        )).alias("x")).select("x.*")
-        wide = ev.drop("k").select("*", cov.select("catalog_coverage_at_k").scalar().alias("catalog_coverage_at_k"),
-                                   *[fm.select(c).scalar().alias(c) for c in fm.columns])
-        names = [c for c in wide.columns]
-        long = wide.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "metric", "value")
-        part = long.unionByName(ci_long).select(F.lit(name).alias("model"), "metric", "value")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+        part = recs.select(F.lit(name).alias("model"), "customer_id", "rank", "article_id")
+        long = part if long is None else long.unionByName(part)
+    return grouped_report(M._ckpt(long), t, users, ct.fresh_items, catalog_size, k, samples)
+
+
+def grouped_report(recs: DataFrame, truth: DataFrame, users: DataFrame, fresh: DataFrame, catalog_size,
+                   k: int, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """Metrics, coverage, fresh metrics and bootstrap CIs for every model in one pass each.
+
+    ``recs`` carries a ``model`` column; users are keyed as model|customer so
+    the single-model operators run once over all models.
+    """
+    names = [r[0] for r in recs.select("model").distinct().collect()]  # a handful of model names
+    tag = F.explode(F.array(*[F.lit(n) for n in names])).alias("model")
+    key = lambda: F.concat_ws("|", "model", "customer_id").alias("customer_id")
+    krecs = recs.select(key(), "rank", "article_id")
+    ktruth = truth.select(tag, "customer_id", "article_id").select(key(), "article_id")
+    kusers = users.select(tag, "customer_id").select(key())
+    split_model = F.split("customer_id", r"\|")
+    pu = E.per_user_metrics(krecs, ktruth, k, kusers).select(
+        split_model[0].alias("model"), split_model[1].alias("customer_id"), *E.METRICS)
+    pu = M._ckpt(pu)
+    ev = pu.groupBy("model").agg(F.count(F.lit(1)).cast("double").alias("users_evaluated"),
+                                 *[F.avg(m).alias(m) for m in E.METRICS])
+    top = E.dedupe_topk(krecs, k).select(split_model[0].alias("model"), split_model[1].alias("customer_id"), "article_id")
+    fr = fresh.select("article_id").distinct().withColumn("_f", F.lit(1))
+    n_fresh = fr.select(F.count(F.lit(1))).scalar()
+    tagged = top.join(fr, "article_id", "left")
+    cov = tagged.groupBy("model").agg(
+        (F.count_distinct("article_id") / (catalog_size if not isinstance(catalog_size, (int, float)) else F.lit(float(catalog_size)))).alias("catalog_coverage_at_k"),
+        (F.count_distinct(F.when(F.col("_f") == 1, F.col("article_id"))) / F.greatest(n_fresh, F.lit(1))).alias("fresh_coverage_at_k"))
+    per = tagged.groupBy("model", "customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("_f", F.lit(0))).alias("nf"))
+    all_users = users.select(tag, "customer_id")
+    per = all_users.join(per, ["model", "customer_id"], "left")
+    fm = per.groupBy("model").agg(
+        F.avg(F.when(F.coalesce("n", F.lit(0)) > 0, F.col("nf") / F.col("n")).otherwise(0.0)).alias("fresh_share_at_k"),
+        F.avg(F.when(F.coalesce("nf", F.lit(0)) > 0, 1.0).otherwise(0.0)).alias("users_with_fresh_hit_at_k"))
+    wide = ev.join(cov, "model", "left").join(fm, "model", "left")
+    cols = [c for c in wide.columns if c != "model"]
+    long = wide.select("model", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(["model"], cols, "metric", "value")
+    ci = grouped_bootstrap(pu, samples, 0.95, seed)
+    return long.unionByName(ci)
+
+
+def grouped_bootstrap(pu: DataFrame, samples: int, confidence: float, seed: int) -> DataFrame:
+    """Bootstrap CIs for all models at once: the same resampled users for every model."""
+    users = pu.select("customer_id").distinct()
+    n = users.count()
+    if n == 0:
+        return pu.sparkSession.createDataFrame([], "model string, metric string, value double")
+    pos = dense_index(users, [F.col("customer_id")], "pos")
+    draws = pu.sparkSession.range(samples * n).select((F.col("id") / F.lit(n)).cast("long").alias("b"),
+                                                       (F.col("id") % F.lit(n)).alias("j"))
+    draws = draws.withColumn("pos", F.floor(uniform(seed, "b", "j") * F.lit(n)).cast("long"))
+    vals = pu.join(pos, "customer_id")
+    means = draws.join(vals, "pos").groupBy("model", "b").agg(*[F.avg(m).alias(m) for m in E.METRICS])
+    tail = (1.0 - confidence) / 2.0
+    q = means.groupBy("model").agg(*[F.percentile(m, F.array(F.lit(tail), F.lit(1.0 - tail))).alias(m) for m in E.METRICS])
+    return q.select("model", F.explode(F.array(*[x for m in E.METRICS for x in (
+        F.struct(F.lit(f"{m}_ci95_lower").alias("metric"), F.col(m)[0].alias("value")),
+        F.struct(F.lit(f"{m}_ci95_upper").alias("metric"), F.col(m)[1].alias("value")))])).alias("x")) \
+        .select("model", "x.metric", "x.value")
 
 
 def eval_policy(f: Frames, k: int = 12, max_eval_users: int = 1000, baseline: str = "popularity",

@@ -99,10 +99,17 @@ top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_article_
                                    ORDER BY round(score, 9) DESC, article_id) AS rank FROM pairs) WHERE rank <= 5)"""
 
 
+def plain_tfidf(f: Frames):
+    """The search-side TF-IDF table (a fitted model artifact): computed once per session, lineage cut."""
+    from tastebud.plans.evaluations import cached
+    cat = TF.catalog_prepare(f.items)
+    return cat, cached(f, "tfidf:plain", lambda: TF.tfidf(cat, 5000, sublinear=False, stop=TF.stop_words())
+                       .checkpoint(eager=True))
+
+
 def _tfidf_neighbours(spark, d, n=5):
     f = Frames(spark, d)
-    cat = TF.catalog_prepare(f.items)
-    w = TF.tfidf(cat, 5000, sublinear=False, stop=TF.stop_words())
+    cat, w = plain_tfidf(f)
     return SIM.similar_tfidf(w, cat, f.test.select("article_id").distinct(), n)
 
 
@@ -119,8 +126,7 @@ def q_similar_tfidf(spark, d):
                                         "items", "test_b", extra=CATALOG + "," + TFIDF_PLAIN + ",\n" + _QUERY_ITEMS + "," + _PAIRS))
 def q_cross_similarity(spark, d):
     f = Frames(spark, d)
-    cat = TF.catalog_prepare(f.items)
-    w = TF.tfidf(cat, 5000, sublinear=False, stop=TF.stop_words())
+    _, w = plain_tfidf(f)
     q = f.test.select(F.col("article_id").alias("query_article_id")).distinct()
     qv = w.join(q, w.article_id == q.query_article_id).select("query_article_id", "term", F.col("weight").alias("qw"))
     pairs = (qv.join(w, "term").where(F.col("article_id") != F.col("query_article_id"))

@@ -52,7 +52,8 @@ def q_derive_event_date(spark, d):
 
 
 @register("temporal_split", with_ctes(f"""
-SELECT customer_id, article_id, {tss('event_ts')} AS event_ts, month_number, week_of_month, split
+SELECT customer_id, article_id, {tss('event_ts')} AS event_ts, CAST(month_number AS INTEGER) AS month_number,
+       CAST(week_of_month AS INTEGER) AS week_of_month, split
 FROM split_b""", "split_b"))
 def q_temporal_split(spark, d):
     df = C.label_split(C.coerce_interactions(A.events_transactions(spark, d)))

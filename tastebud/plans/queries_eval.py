@@ -31,7 +31,7 @@ _RECS = {
     "per_user": """SELECT u.customer_id,
           coalesce(h.dcg, 0) / list_sum(list_transform(range(1, least(u.n_truth, 12) + 1), lambda r: 1.0 / log2(r + 1))) AS ndcg_at_k,
           coalesce(h.prec, 0) / least(u.n_truth, 12) AS map_at_k,
-          CASE WHEN coalesce(h.nh, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit_rate_at_k
+          CAST(CASE WHEN coalesce(h.nh, 0) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS hit_rate_at_k
         FROM evusers u LEFT JOIN hagg h USING (customer_id)""",
 }
 _RECS_EXTRA = ",\n".join(f"{k} AS ({v})" for k, v in _RECS.items())
@@ -117,7 +117,7 @@ nn AS (SELECT count(*) AS n FROM ix),
 cand AS (SELECT c FROM range(2, (SELECT 2 * n + 3 FROM nn)) t(c) WHERE c >= (SELECT n FROM nn)),
 pp AS (SELECT min(c) AS p FROM cand WHERE NOT EXISTS (SELECT 1 FROM range(2, 100000) dd(d) WHERE d * d <= cand.c AND cand.c % d = 0)),
 rp AS (SELECT customer_id, rank, article_id, score FROM (
-  SELECT u.customer_id, i.article_id, 1.0 AS score,
+  SELECT u.customer_id, i.article_id, CAST(1.0 AS DOUBLE) AS score,
          row_number() OVER (PARTITION BY u.customer_id ORDER BY ((1 + {h.format(t='a')} % (pp.p - 1)) * i.x + {h.format(t='b')} % pp.p) % pp.p) AS rank
   FROM (SELECT DISTINCT customer_id FROM {users}) u CROSS JOIN ix i CROSS JOIN pp
   WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.customer_id = u.customer_id AND s.article_id = i.article_id))

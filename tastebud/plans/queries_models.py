@@ -151,7 +151,7 @@ wm AS (SELECT weight, avg(ndcg) AS ndcg_at_k, avg(ap) AS map_at_k, avg(hit) AS h
 
 
 @register("tune_hybrid_weight", with_ctes("""
-SELECT weight, round(ndcg_at_k, 6) AS ndcg_at_k, round(map_at_k, 6) AS map_at_k, round(hit_rate_at_k, 6) AS hit_rate_at_k,
+SELECT CAST(weight AS DOUBLE) AS weight, round(ndcg_at_k, 6) AS ndcg_at_k, round(map_at_k, 6) AS map_at_k, round(hit_rate_at_k, 6) AS hit_rate_at_k,
        weight = (SELECT weight FROM wm ORDER BY round(ndcg_at_k, 12) DESC, round(map_at_k, 12) DESC, round(hit_rate_at_k, 12) DESC, weight LIMIT 1) AS is_best
 FROM wm""", *CANDS_DEPS, extra=CANDS + "," + _tune_sql()))
 def q_tune_hybrid_weight(spark, d):

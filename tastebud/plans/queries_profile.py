@@ -95,7 +95,7 @@ def q_monthly_activity_orders(spark, d):
 
 # The advice texts in rule order (same list as the operator).
 _ACTIONS_SQL = " UNION ALL ".join(
-    f"SELECT {i} AS position, '{text}' AS preprocessing_actions, {cond} AS fired"
+    f"SELECT CAST({i} AS BIGINT) AS position, '{text}' AS preprocessing_actions, {cond} AS fired"
     for i, (text, cond) in enumerate(zip([t for _, t in PR.ACTIONS], [
         "(SELECT count FROM quality WHERE metric = 'missing_t_dat') > 0",
         "(SELECT count FROM quality WHERE metric = 'missing_customer_id') > 0",
@@ -110,7 +110,7 @@ _ACTIONS_SQL = " UNION ALL ".join(
 @register("preprocessing_actions", eda_sql(f"""
 SELECT position, preprocessing_actions FROM ({_ACTIONS_SQL}) WHERE fired
 UNION ALL
-SELECT 0, '{PR.NO_ACTION}' WHERE NOT EXISTS (SELECT 1 FROM ({_ACTIONS_SQL}) WHERE fired)"""))
+SELECT CAST(0 AS BIGINT), '{PR.NO_ACTION}' WHERE NOT EXISTS (SELECT 1 FROM ({_ACTIONS_SQL}) WHERE fired)"""))
 def q_preprocessing_actions(spark, d):
     f = Frames(spark, d)
     s = eda_sample(spark, d)
@@ -246,7 +246,7 @@ def q_cold_start_risk(spark, d):
 
 
 _INSIGHT_ROWS = " UNION ALL ".join(
-    f"SELECT {i} AS position, CASE WHEN {cond} THEN '{yes}' " + (f"ELSE '{no}' " if no else "") + "END AS eda_insight_for_modeling"
+    f"SELECT CAST({i} AS BIGINT) AS position, CASE WHEN {cond} THEN '{yes}' " + (f"ELSE '{no}' " if no else "") + "END AS eda_insight_for_modeling"
     for i, (cond, (yes, no)) in enumerate(zip([
         "(SELECT quantile_cont(n, 0.95) FROM (SELECT count(*) AS n FROM eda_sample GROUP BY customer_id)) > 10",
         "(SELECT quantile_cont(n, 0.95) FROM (SELECT count(*) AS n FROM eda_sample GROUP BY article_id)) > 10",

@@ -29,7 +29,7 @@ def _pop_recs(f: Frames):
 SELECT r.customer_id, r.rank, r.article_id, round(r.score, 6) AS score, 'global_popularity' AS strategy,
        m.prod_name AS product_name, m.product_group_name AS product_group,
        coalesce(nullif(m.item_text, ''), m.detail_desc) AS description,
-       'Popular products across all shoppers.' AS reason, 1.0 AS signal
+       'Popular products across all shoppers.' AS reason, CAST(1.0 AS DOUBLE) AS signal
 FROM recs r LEFT JOIN items m USING (article_id)""", *_DEPS, extra=_POPREC))
 def q_enrich_response(spark, d):
     f = Frames(spark, d)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_COLUMN_BLOCK_BYTES = 512 * 1024 * 1024
+DENSE_ACCUMULATOR_BYTES = 64 * 1024 * 1024
 
 
 def csr_rows(coo: DataFrame, row: str, col: str, val: str) -> DataFrame:
@@ -48,10 +49,13 @@ def _at_a(rows: DataFrame, Z: np.ndarray, with_gram: bool = False):
     _check_block(n, l)
     bz = spark.sparkContext.broadcast(Z)
 
+    dense_acc = n * l * 8 <= DENSE_ACCUMULATOR_BYTES
+
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = bz.value
-        acc = np.zeros((n, l))        # dense partial Aᵀ Y for this task (n x l, size-checked)
-        touched = np.zeros(n, dtype=bool)
+        # small column side: one dense partial per task; large: compact per-batch partials
+        acc = np.zeros((n, l)) if dense_acc else None
+        touched = np.zeros(n, dtype=bool) if dense_acc else None
         gram = np.zeros((l, l)) if with_gram else None
         for b in it:
             lens = np.fromiter((len(c) for c in b["cols"]), dtype=np.int64, count=len(b))
@@ -64,10 +68,20 @@ def _at_a(rows: DataFrame, Z: np.ndarray, with_gram: bool = False):
             np.add.at(y, row_of, vals[:, None] * z[cols])        # Y = A Z for the batch rows
             if gram is not None:
                 gram += y.T @ y
-            np.add.at(acc, cols, vals[:, None] * y[row_of])      # Aᵀ Y, scattered by column
-            touched[cols] = True
-        keys = np.flatnonzero(touched)
-        out = pd.DataFrame({"col": keys.astype(np.int64), "vec": list(acc[keys])})
+            contrib = vals[:, None] * y[row_of]                  # Aᵀ Y, scattered by column
+            if dense_acc:
+                np.add.at(acc, cols, contrib)
+                touched[cols] = True
+            else:
+                uniq, inv = np.unique(cols, return_inverse=True)
+                compact = np.zeros((len(uniq), l))
+                np.add.at(compact, inv, contrib)
+                yield pd.DataFrame({"col": uniq.astype(np.int64), "vec": list(compact)})
+        if dense_acc:
+            keys = np.flatnonzero(touched)
+            out = pd.DataFrame({"col": keys.astype(np.int64), "vec": list(acc[keys])})
+        else:
+            out = pd.DataFrame({"col": np.zeros(0, dtype=np.int64), "vec": []})
         if gram is not None:
             out = pd.concat([out, pd.DataFrame({"col": [-1], "vec": [gram.ravel()]})], ignore_index=True)
         yield out

@@ -46,49 +46,61 @@ def normalize_vectors(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     return vectors.withColumn(col, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
 
 
-def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col: str = "vec_id",
-                       col: str = "embedding") -> DataFrame:
-    """Exact inner-product top-n over L2-normalised vectors (a flat index), self excluded.
-
-    The corpus matrix is broadcast after a size check (rows x dim x 8 bytes);
-    queries stream through ``mapInPandas`` in Arrow batches and each batch is
-    one numpy matmul plus a partial sort. Beyond the size bound the corpus is
-    not broadcast and the call fails loudly instead of degrading.
-    """
-    spark = vectors.sparkSession
-    corpus = normalize_vectors(vectors.select(id_col, col), col)
-    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("dim")).first()
-    size = int(stats["n"] or 0) * int(stats["dim"] or 0) * 8
-    if size > MAX_BROADCAST_BYTES:
-        raise ValueError(f"corpus matrix of {size} bytes exceeds the broadcast bound {MAX_BROADCAST_BYTES}")
-    pdf = corpus.orderBy(id_col).toPandas()
-    ids = pdf[id_col].to_numpy()
-    mat = np.vstack(pdf[col].to_numpy()) if len(pdf) else np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast((ids, mat))
-    qn = normalize_vectors(queries.select(F.col(id_col).alias("query_id"), F.col(col)), col)
-
+def _score_block(qn: DataFrame, bc, n: int, id_col: str, col: str, schema: T.StructType) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cids, cmat = bc.value
         for b in batches:
             if b.empty or len(cids) == 0:
                 continue
-            qm = np.vstack(b[col].to_numpy())
-            s = qm @ cmat.T
+            s = np.vstack(b[col].to_numpy()) @ cmat.T          # one matmul per Arrow batch
             out = []
             for r, qid in enumerate(b["query_id"].to_numpy()):
-                row = np.round(s[r], TIE_DIGITS)
                 keep = cids != qid
-                cand_ids, cand_s, raw = cids[keep], row[keep], s[r][keep]
-                order = np.lexsort((cand_ids, -cand_s))[:n]
+                cand_ids, raw = cids[keep], s[r][keep]
+                order = np.lexsort((cand_ids, -np.round(raw, TIE_DIGITS)))[:n]
                 out.append(pd.DataFrame({"query_id": qid, "rank": np.arange(1, len(order) + 1, dtype=np.int64),
                                          "score": raw[order], id_col: cand_ids[order]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
+    return qn.mapInPandas(score, schema)
 
+
+def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col: str = "vec_id",
+                       col: str = "embedding", max_block_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Exact inner-product top-n over L2-normalised vectors (a flat index), self excluded.
+
+    The corpus is broadcast in blocks of at most ``max_block_bytes`` (rows x
+    dim x 8): one block when it fits, otherwise the driver walks the id-ordered
+    blocks, each scored against every query batch in ``mapInPandas``, and a
+    per-query window keeps the best n over the (blocks x n) candidates.
+    """
+    spark = vectors.sparkSession
+    corpus = normalize_vectors(vectors.select(id_col, col), col)
+    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("dim")).first()
+    rows, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
+    block_rows = max(1, max_block_bytes // max(1, dim * 8))
+    n_blocks = max(1, -(-rows // block_rows))
+    qn = normalize_vectors(queries.select(F.col(id_col).alias("query_id"), F.col(col)), col)
     schema = T.StructType([T.StructField("query_id", corpus.schema[id_col].dataType),
                            T.StructField("rank", T.LongType()), T.StructField("score", T.DoubleType()),
                            T.StructField(id_col, corpus.schema[id_col].dataType)])
-    return qn.mapInPandas(score, schema)
+    if n_blocks > 1:
+        from tastebud.functions.index import dense_index
+        corpus = dense_index(corpus, [F.col(id_col)], "_pos").withColumn(
+            "_blk", (F.col("_pos") / F.lit(block_rows)).cast("long")).checkpoint(eager=True)
+    parts = None
+    for blk in range(n_blocks):
+        part_df = corpus if n_blocks == 1 else corpus.where(F.col("_blk") == blk)
+        pdf = part_df.select(id_col, col).orderBy(id_col).toPandas()   # <= max_block_bytes
+        ids = pdf[id_col].to_numpy()
+        mat = np.vstack(pdf[col].to_numpy()) if len(pdf) else np.zeros((0, max(dim, 1)))
+        scored = _score_block(qn, spark.sparkContext.broadcast((ids, mat)), n, id_col, col, schema)
+        parts = scored if parts is None else parts.unionByName(scored)
+    if n_blocks == 1:
+        return parts
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DIGITS)), F.asc(id_col))
+    return parts.drop("rank").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n) \
+        .select("query_id", "rank", "score", id_col)
 
 
 MAX_NAME_DICTIONARY = 2_000_000

@@ -103,3 +103,24 @@ def test_fresh_quota_swaps_tail(spark):
     assert got == ["f2", "a", "b"]
     same = [r.article_id for r in M.fresh_quota(out, fresh_c, fresh, 0, 3).orderBy("rank").collect()]
     assert same == ["a", "b", "c"]
+
+
+def test_similar_embeddings_blocked_equals_single(spark):
+    from tastebud.operators.similar import similar_embeddings
+    rng = np.random.default_rng(4)
+    vecs = spark.createDataFrame([(i, rng.normal(size=6).astype(float).tolist()) for i in range(40)],
+                                 "vec_id long, embedding array<double>")
+    one = sorted(tuple(r) for r in similar_embeddings(vecs, vecs, 3).select("query_id", "rank", "vec_id").collect())
+    many = sorted(tuple(r) for r in similar_embeddings(vecs, vecs, 3, max_block_bytes=6 * 8 * 7)
+                  .select("query_id", "rank", "vec_id").collect())
+    assert one == many and len(one) == 120
+
+
+def test_truncated_svd_compact_partials(spark, monkeypatch):
+    monkeypatch.setattr(FX, "DENSE_ACCUMULATOR_BYTES", 0)   # force the compact per-batch path
+    rng = np.random.default_rng(2)
+    A = rng.normal(size=(30, 3)) @ np.diag([5.0, 3.0, 2.0]) @ rng.normal(size=(3, 12))
+    rows = spark.createDataFrame([(i, list(range(12)), A[i].tolist()) for i in range(30)],
+                                 "row long, cols array<int>, vals array<double>")
+    V, s = FX.truncated_svd(rows, 12, 3, seed=3, n_iter=5)
+    assert np.allclose(s, np.linalg.svd(A, compute_uv=False)[:3], rtol=1e-6)

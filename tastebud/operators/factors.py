@@ -77,14 +77,15 @@ def _at_a(rows: DataFrame, Z: np.ndarray, with_gram: bool = False):
                 compact = np.zeros((len(uniq), l))
                 np.add.at(compact, inv, contrib)
                 yield pd.DataFrame({"col": uniq.astype(np.int64), "vec": list(compact)})
+        out = None
         if dense_acc:
             keys = np.flatnonzero(touched)
             out = pd.DataFrame({"col": keys.astype(np.int64), "vec": list(acc[keys])})
-        else:
-            out = pd.DataFrame({"col": np.zeros(0, dtype=np.int64), "vec": []})
         if gram is not None:
-            out = pd.concat([out, pd.DataFrame({"col": [-1], "vec": [gram.ravel()]})], ignore_index=True)
-        yield out
+            g = pd.DataFrame({"col": [-1], "vec": [gram.ravel()]})
+            out = g if out is None else pd.concat([out, g], ignore_index=True)
+        if out is not None and len(out):
+            yield out
 
     schema = T.StructType([T.StructField("col", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
     partial = rows.mapInPandas(part, schema)

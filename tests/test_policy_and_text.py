@@ -113,3 +113,19 @@ def test_build_request(spark):
     assert got["r1"].user_id == "u1" and got["r1"].age is None and got["r1"].session_article_ids == []
     assert got["r2"].user_id is None and got["r2"].club_member_status is None
     assert got["r2"].session_article_ids == ["a", "b", "a"]
+
+
+def test_cold_start_session_first(spark):
+    segs = spark.createDataFrame([("25-34", "active", 1, "s1", 9.0)],
+                                 "age_band string, club_member_status string, rank long, article_id string, score double")
+    cats = spark.createDataFrame([], "product_group_name string, rank long, article_id string, score double")
+    pop = spark.createDataFrame([("g1", 5.0, 1)], "article_id string, score double, pop_rank long")
+    sess = spark.createDataFrame([("r1", 1, "x9", 0.7)], "request_id string, rank long, article_id string, score double")
+    reqs = spark.createDataFrame([("r1", 1, 30.0, "active", None, True), ("r2", 1, 30.0, "active", None, True)],
+                                 "request_id string, limit int, age double, club_member_status string, "
+                                 "preferred_product_group string, use_demographics boolean")
+    got = {r.request_id: (r.strategy, r.article_id, r.explanation)
+           for r in CS.rec_cold_start(reqs, segs, cats, pop, session_recs=sess).collect()}
+    assert got["r1"] == ("session_content", "x9", CS.SESSION_TEXT)
+    assert got["r2"][:2] == ("demographic_popularity", "s1")
+    assert got["r2"][2] == "Popular with shoppers in age band 25-34 and membership active."

@@ -119,6 +119,3 @@ class Frames:
         """Catalog items without a training row."""
         return (self.items.select("article_id").distinct()
                 .join(self.train_items, "article_id", "left_anti"))
-
-    def col(self, name: str):
-        return F.col(name)

@@ -31,7 +31,10 @@ def eda_window(spark, d) -> DataFrame:
 
 
 def eda_sample(spark, d) -> DataFrame:
-    return PR.recent_window(eda_transactions(spark, d), months=6, n=SAMPLE_N)
+    """The EDA sample, materialised once per session (every profile reads it several times)."""
+    from tastebud.plans.evaluations import cached
+    return cached(Frames(spark, d), "eda_sample",
+                  lambda: PR.recent_window(eda_transactions(spark, d), months=6, n=SAMPLE_N).checkpoint(eager=True))
 
 
 EDA = f"""

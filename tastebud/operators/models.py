@@ -24,6 +24,8 @@ from tastebud.operators.tfidf import catalog_prepare, tfidf
 
 def _ckpt(df: DataFrame) -> DataFrame:
     """Materialise a table reused by several passes; lineage is cut in the shared checkpoint folder."""
+    from tastebud.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # the configured shared folder (a scratch one only in local mode)
     return df.checkpoint(eager=True)
 
 

@@ -108,21 +108,24 @@ def q_catalog_coverage(spark, d):
     return cov.select(r6("catalog_coverage_at_k").alias("catalog_coverage_at_k"))
 
 
-def random_policy_sql(users: str, items: str, seen: str, k: int, seed: int = 42) -> tuple[str, str]:
-    """(extra CTEs, body) of the random policy: per-user affine order over dense item indices."""
+def random_policy_sql(users: str, items: str, seen: str, k: int, seed: int = 42, p: str = "") -> tuple[str, str]:
+    """(extra CTEs, body) of the random policy: per-user affine order over dense item indices.
+
+    ``p`` prefixes the CTE names so two policies can share one query.
+    """
     h = "CAST(('0x' || substr(md5('" + str(seed) + "|' || u.customer_id || '|{t}'), 1, 8)) AS BIGINT)"
     extra = f"""
-ix AS (SELECT article_id, row_number() OVER (ORDER BY article_id) - 1 AS x FROM (SELECT DISTINCT article_id FROM {items})),
-nn AS (SELECT count(*) AS n FROM ix),
-cand AS (SELECT c FROM range(2, (SELECT 2 * n + 3 FROM nn)) t(c) WHERE c >= (SELECT n FROM nn)),
-pp AS (SELECT min(c) AS p FROM cand WHERE NOT EXISTS (SELECT 1 FROM range(2, 100000) dd(d) WHERE d * d <= cand.c AND cand.c % d = 0)),
-rp AS (SELECT customer_id, rank, article_id, score FROM (
+{p}ix AS (SELECT article_id, row_number() OVER (ORDER BY article_id) - 1 AS x FROM (SELECT DISTINCT article_id FROM {items})),
+{p}nn AS (SELECT count(*) AS n FROM {p}ix),
+{p}cand AS (SELECT c FROM range(2, (SELECT 2 * n + 3 FROM {p}nn)) t(c) WHERE c >= (SELECT n FROM {p}nn)),
+{p}pp AS (SELECT min(c) AS p FROM {p}cand cc WHERE NOT EXISTS (SELECT 1 FROM range(2, 100000) dd(d) WHERE d * d <= cc.c AND cc.c % d = 0)),
+{p}rp AS (SELECT customer_id, rank, article_id, score FROM (
   SELECT u.customer_id, i.article_id, CAST(1.0 AS DOUBLE) AS score,
          row_number() OVER (PARTITION BY u.customer_id ORDER BY ((1 + {h.format(t='a')} % (pp.p - 1)) * i.x + {h.format(t='b')} % pp.p) % pp.p) AS rank
-  FROM (SELECT DISTINCT customer_id FROM {users}) u CROSS JOIN ix i CROSS JOIN pp
+  FROM (SELECT DISTINCT customer_id FROM {users}) u CROSS JOIN {p}ix i CROSS JOIN {p}pp pp
   WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.customer_id = u.customer_id AND s.article_id = i.article_id))
   WHERE rank <= {k})"""
-    return extra, "SELECT customer_id, rank, article_id, score FROM rp"
+    return extra, f"SELECT customer_id, rank, article_id, score FROM {p}rp"
 
 
 _RP_CAT = random_policy_sql("truth_val_b", "items", "seen_b", K)

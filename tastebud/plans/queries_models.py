@@ -87,13 +87,10 @@ def q_rec_hybrid_components(spark, d):
                     r6("content_contribution").alias("content_contribution"))
 
 
-_RPF = random_policy_sql("truth_val_b", "fresh_b", "seen_b", CAND_K)
+_RPF = random_policy_sql("truth_val_b", "fresh_b", "seen_b", CAND_K, p="f")
 FRESH = CANDS + ",\n" + """
 fresh_b AS (SELECT DISTINCT article_id FROM items WHERE article_id NOT IN (SELECT article_id FROM train_b))""" + ",\n" + \
-    _RPF[0].strip().replace("ix AS", "fix AS").replace("FROM ix", "FROM fix").replace("ix i", "fix i") \
-    .replace("nn AS", "fnn AS").replace("FROM nn", "FROM fnn").replace("cand AS", "fcand AS") \
-    .replace("FROM cand", "FROM fcand").replace("cand.c", "fcand.c").replace("pp AS", "fpp AS") \
-    .replace("CROSS JOIN pp", "CROSS JOIN fpp AS pp").replace("rp AS", "frp AS") + f""",
+    _RPF[0].strip() + f""",
 outp AS (SELECT h.customer_id, h.rank, h.article_id, h.score, h.article_id IN (SELECT article_id FROM fresh_b) AS fr FROM hy h),
 need AS (SELECT customer_id, 1 - count(*) FILTER (WHERE fr) AS nd FROM outp GROUP BY 1 HAVING 1 - count(*) FILTER (WHERE fr) > 0),
 adds AS (SELECT * FROM (SELECT c.customer_id, c.article_id, c.score, n.nd,

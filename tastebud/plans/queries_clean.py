@@ -302,19 +302,19 @@ def q_tail_limit(spark, d):
 
 
 @register("first_n_users", with_ctes("""
-SELECT DISTINCT customer_id FROM truth_val_b ORDER BY customer_id LIMIT 50""", "truth_val_b"))
+SELECT DISTINCT customer_id FROM truth_val_b ORDER BY customer_id LIMIT 1000""", "truth_val_b"))
 def q_first_n_users(spark, d):
     from tastebud.operators.sample import first_n_users
-    return first_n_users(Frames(spark, d).truth("val"), 50)
+    return first_n_users(Frames(spark, d).truth("val"), 1000)  # max_eval_users
 
 
 @register("sample_users", with_ctes(f"""
 SELECT customer_id FROM (SELECT DISTINCT customer_id FROM truth_val_b)
-ORDER BY {sql_uniform(42, 'customer_id')}, customer_id LIMIT 40""",
+ORDER BY {sql_uniform(42, 'customer_id')}, customer_id LIMIT 1000""",
                                     "truth_val_b"))
 def q_sample_users(spark, d):
     from tastebud.operators.sample import sample_users
-    return sample_users(Frames(spark, d).truth("val"), 40, seed=42)
+    return sample_users(Frames(spark, d).truth("val"), 1000, seed=42)  # max_eval_users
 
 
 @register("age_band", with_ctes(f"""
@@ -385,10 +385,10 @@ def q_median_price(spark, d):
 @register("eda_window_6m", with_ctes(f"""
 SELECT customer_id, article_id, {tss('t_dat')} AS t_dat FROM raw_a
 WHERE t_dat >= (SELECT max(t_dat) FROM raw_a) - INTERVAL 6 MONTH
-ORDER BY t_dat, customer_id, article_id LIMIT 3000""", "raw_a"))
+ORDER BY t_dat, customer_id, article_id LIMIT 300000""", "raw_a"))
 def q_eda_window(spark, d):
     from tastebud.operators.profile import recent_window
-    w = recent_window(A.order_transactions(spark, d), months=6, n=3000)
+    w = recent_window(A.order_transactions(spark, d), months=6, n=300_000)  # the EDA sample size
     return w.select("customer_id", "article_id", ts_str("t_dat").alias("t_dat"))
 
 

@@ -166,6 +166,7 @@ def _dev(f: Frames):
 
 def _cold_models(f: Frames):
     dev = _dev(f)
+    # request limits are validated to 1..100, so rankings cut at 100 answer every request exactly
     segs = P.segment_rankings(dev, f.customers, 50, top_n=100)
     cats = P.category_rankings(dev, f.items, top_n=100)
     pop = P.popularity(dev)

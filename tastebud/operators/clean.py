@@ -24,7 +24,7 @@ def coerce_interactions(raw: DataFrame) -> DataFrame:
     if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         ts = F.col("t_dat").cast("timestamp_ntz")
     else:
-        ts = F.try_to_timestamp(F.col("t_dat").cast("string")).cast("timestamp_ntz")
+        ts = F.col("t_dat").cast("string").try_cast("timestamp_ntz")  # wall clock, no session zone
     return raw.select(
         normalize_text("customer_id").alias("customer_id"),
         strip_ws(F.col("article_id")).alias("article_id"),

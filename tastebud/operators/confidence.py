@@ -24,7 +24,7 @@ def recency_confidence(interactions: DataFrame, half_life_days: float) -> DataFr
         raise ValueError("half_life_days must be positive")
     df = interactions.select("customer_id", "article_id", "event_ts").dropna()
     mx = df.select(F.max("event_ts")).scalar()
-    age_days = (F.unix_micros(mx.cast("timestamp")) - F.unix_micros(F.col("event_ts").cast("timestamp"))) / F.lit(86_400_000_000.0)
+    age_days = F.timestamp_diff("MICROSECOND", F.col("event_ts"), mx) / F.lit(86_400_000_000.0)  # zone-free
     decay = math.log(2.0) / half_life_days
     w = F.exp(F.lit(-decay) * age_days)
     return df.groupBy("customer_id", "article_id").agg(F.log1p(F.sum(w)).alias("weight"))

@@ -21,7 +21,7 @@ def eda_transactions(spark, d) -> DataFrame:
     blank = lambda c: F.when(F.col(c) == "", F.lit(None)).otherwise(F.col(c))
     return raw.select(
         blank("customer_id").alias("customer_id"), blank("article_id").alias("article_id"),
-        F.try_to_timestamp("t_dat").cast("timestamp_ntz").alias("t_dat"),
+        F.col("t_dat").try_cast("timestamp_ntz").alias("t_dat"),
         F.col("price").try_cast("double").alias("price"),
         F.col("sales_channel_id").try_cast("bigint").alias("sales_channel_id"))
 

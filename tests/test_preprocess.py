@@ -64,3 +64,21 @@ def test_image_priority(spark):
     got = {r.article_id: r.image_path for r in C.resolve_image_path(items, listing).collect()}
     assert got == {"12": "images/12/12.png", "7": "images/7/7.jpg"}
     assert F is not None
+
+
+def test_dense_index_across_partitions(spark):
+    import random
+    from tastebud.functions.index import dense_index
+    keys = [f"k{i:04d}" for i in range(997)]
+    random.Random(3).shuffle(keys)
+    df = spark.createDataFrame([(k,) for k in keys], "key string").repartition(7)
+    got = sorted((r.idx, r.key) for r in dense_index(df, [F.col("key")], "idx", start=1).collect())
+    assert got == [(i + 1, k) for i, k in enumerate(sorted(keys))]
+
+
+def test_sample_users_stable_under_repartition(spark):
+    from tastebud.operators.sample import sample_users
+    truth = spark.createDataFrame([(f"u{i}", "a") for i in range(200)], "customer_id string, article_id string")
+    a = sorted(r[0] for r in sample_users(truth, 25, 42).collect())
+    b = sorted(r[0] for r in sample_users(truth.repartition(11), 25, 42).collect())
+    assert a == b and len(a) == 25

@@ -129,3 +129,23 @@ def test_cold_start_session_first(spark):
     assert got["r1"] == ("session_content", "x9", CS.SESSION_TEXT)
     assert got["r2"][:2] == ("demographic_popularity", "s1")
     assert got["r2"][2] == "Popular with shoppers in age band 25-34 and membership active."
+
+
+def test_route_requests_known_and_cold(spark):
+    from tastebud.operators.serving import HYBRID_STRATEGY, route_requests
+    reqs = spark.createDataFrame([("q1", "u1", 2, None, None, None, True), ("q2", "zz", None, None, None, None, True)],
+                                 "request_id string, user_id string, limit int, age double, club_member_status string, "
+                                 "preferred_product_group string, use_demographics boolean")
+    known = spark.createDataFrame([("u1",)], "customer_id string")
+    pers = spark.createDataFrame([("u1", 1, "a", 0.9, 0.6, 0.3), ("u1", 2, "b", 0.5, 0.5, 0.0), ("u1", 3, "c", 0.1, 0.1, 0.0)],
+                                 "customer_id string, rank long, article_id string, score double, "
+                                 "collaborative_contribution double, content_contribution double")
+    segs = spark.createDataFrame([], "age_band string, club_member_status string, rank long, article_id string, score double")
+    cats = spark.createDataFrame([], "product_group_name string, rank long, article_id string, score double")
+    pop = spark.createDataFrame([(f"g{i}", 10.0 - i, i) for i in range(1, 15)], "article_id string, score double, pop_rank long")
+    out = route_requests(reqs, known, lambda users, k: pers.join(users, "customer_id", "left_semi"),
+                         lambda rq: CS.rec_cold_start(rq.drop("user_id"), segs, cats, pop)).collect()
+    q1 = sorted((r.rank, r.article_id, r.strategy) for r in out if r.request_id == "q1")
+    q2 = [r for r in out if r.request_id == "q2"]
+    assert q1 == [(1, "a", HYBRID_STRATEGY), (2, "b", HYBRID_STRATEGY)]
+    assert len(q2) == 10 and {r.strategy for r in q2} == {"global_popularity"}  # default limit 10

@@ -176,6 +176,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, den
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
+def unshared(texts: DataFrame, size: int) -> DataFrame:
+    """(main, digest, alone): shingles of each text that no other text of the same ``main`` has."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            for main, digest, text in zip(b["main"], b["digest"], b["text"], strict=True):
+                items = shingles(text, size, hashes)
+                if xxhash.xxh3_128_digest(items.tobytes()) == bytes(digest):
+                    yield pd.DataFrame({"main": main, "digest": digest, "item": items.view(np.int64)})
+
+    rows = texts.select("main", "digest", "text").mapInPandas(run, "main binary, digest binary, item long")
+    return (rows.groupBy("main", "item").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"))
+            .where(F.col("n") == 1).groupBy("main", "digest").agg(F.count(F.lit(1)).alias("alone")))
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, comp) of every node with a link, comp the smallest node reachable; by alternating stars.
 
@@ -234,12 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .join(signed.alias("y"), F.col("b") == F.col("y.digest"))
                         .where(estimate("x", "y") >= least).select("a", "b"), "pairs")
 
-    def confirm(pairs):
-        ends = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-        texts = materialise(spark, texts_of(docs, nodes, ends, id_col, text_col), "texts")
-        return confirmed(pairs, texts, size, numerator, denominator)
-
-    links = materialise(spark, confirm(first), "links")
+    ends = first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct()
+    texts = materialise(spark, texts_of(docs, nodes, ends, id_col, text_col), "texts")
+    links = materialise(spark, confirmed(first, texts, size, numerator, denominator), "links")
     comps = components(spark, links)
 
     # Second round: only across the components that still meet in a bucket.
@@ -249,20 +261,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                   F.max(F.when(F.col("digest") == F.col("head"), F.col("comp"))).alias("main"))
              .where(F.col("lo") != F.col("hi")).select("bucket", "main"))
-    open_rows = materialise(spark, own.join(mixed, "bucket").join(signed, "digest")
-                            .select("bucket", "digest", "comp", (F.col("comp") != F.col("main")).alias("apart"),
-                                    *SIGNATURE), "open")
-    x, y = open_rows.where("apart").alias("x"), open_rows.alias("y")
-    second = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-                     & (~F.col("y.apart") | (F.col("x.digest") < F.col("y.digest")))
-                     & (estimate("x", "y") >= least))
-              .select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti")
-              .join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    second = materialise(spark, second, "pairs")
-    if second.limit(1).count():
-        links = materialise(spark, links.union(confirm(second)), "links")
-        comps = components(spark, links)
+    open_rows = materialise(spark, own.join(mixed, "bucket").join(nodes.drop("bands", "doc_id"), "digest")
+                            .withColumn("apart", F.col("comp") != F.col("main")), "open")
+
+    def meet(x, y):
+        return ((F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col(f"{x}.comp") != F.col(f"{y}.comp"))
+                & (F.col(f"{x}.apart") | F.col(f"{y}.apart"))
+                & (F.least(f"{x}.n_shingles", f"{y}.n_shingles") * denominator
+                   >= F.greatest(f"{x}.n_shingles", f"{y}.n_shingles") * numerator)
+                & (estimate(x, y) >= least))
+
+    every = open_rows.alias("y")
+    # Nodes with any such partner, by the main component of the bucket they meet in.
+    near = materialise(spark, every.join(open_rows.where("apart").alias("x"), meet("x", "y"), "left_semi")
+                       .select("main", "digest")
+                       .union(open_rows.where("apart").alias("x").join(every, meet("x", "y"), "left_semi")
+                              .select("main", "digest")).distinct(), "near")
+    if near.limit(1).count():
+        texts = materialise(spark, texts_of(docs, nodes, near.select("digest").distinct(), id_col, text_col), "texts")
+        alone = unshared(near.join(texts, "digest"), size)
+        # A set has no more in common with any of its partners than the shingles that are not its own alone.
+        common = materialise(spark, open_rows.join(near, ["main", "digest"], "left_semi")
+                             .join(alone, ["main", "digest"], "left")
+                             .withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+                             .where(F.col("common") * denominator >= F.col("n_shingles") * numerator), "common")
+        x, y = common.where("apart").alias("x"), common.alias("y")
+        most = F.least("x.common", "y.common")
+        second = (x.join(y, meet("x", "y") & (~F.col("y.apart") | (F.col("x.digest") < F.col("y.digest")))
+                         & (most * denominator
+                            >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * numerator))
+                  .select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+                  .join(first, ["a", "b"], "left_anti")
+                  .join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+        found = materialise(spark, confirmed(second, texts, size, numerator, denominator), "links")
+        if found.limit(1).count():
+            comps = components(spark, links.union(found))
 
     # Components of documents, named by their smallest id.
     labelled = drawn.select("doc_id", "n_shingles", "digest").join(

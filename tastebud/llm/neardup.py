@@ -176,19 +176,57 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, den
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
-def unshared(texts: DataFrame, size: int) -> DataFrame:
-    """(main, digest, alone): shingles of each text that no other text of the same ``main`` has."""
+def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``near`` with the set size n, the number of shingles shared with the centre of ``main``, and the others."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, centre, middle = WordHashes(), None, None
         for b in batches:
-            for main, digest, text in zip(b["main"], b["digest"], b["text"], strict=True):
+            rows = []
+            for main, digest, comp, apart, text, at, centre_text in b.itertuples(index=False, name=None):
                 items = shingles(text, size, hashes)
-                if xxhash.xxh3_128_digest(items.tobytes()) == bytes(digest):
-                    yield pd.DataFrame({"main": main, "digest": digest, "item": items.view(np.int64)})
-
-    rows = texts.select("main", "digest", "text").mapInPandas(run, "main binary, digest binary, item long")
-    return (rows.groupBy("main", "item").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"))
-            .where(F.col("n") == 1).groupBy("main", "digest").agg(F.count(F.lit(1)).alias("alone")))
+                if bytes(at) != centre:
+                    centre, middle = bytes(at), shingles(centre_text, size, hashes)
+                if xxhash.xxh3_128_digest(items.tobytes()) == bytes(digest) \
+                        and xxhash.xxh3_128_digest(middle.tobytes()) == centre:
+                    others = np.setdiff1d(items, middle, assume_unique=True)
+                    rows.append((main, digest, comp, apart, len(items), len(items) - len(others), others.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["main", "digest", "comp", "apart", "n", "shared", "others"])
+
+    rows = (near.join(texts, "digest").join(centres, "main")
+            .join(texts.select(F.col("digest").alias("centre"), F.col("text").alias("centre_text")), "centre")
+            .select("main", "digest", "comp", "apart", "text", "centre", "centre_text"))
+    return rows.mapInPandas(run, "main binary, digest binary, comp binary, apart boolean, n long, shared long, "
+                                 "others array<long>")
+
+
+def possible_pairs(beside: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) across components, at least one apart, that may reach the threshold; no others can.
+
+    Two sets have at most min(shared) shingles of the centre in common, plus
+    those they share beside it. The latter are found by joining on the shingle;
+    pairs that share none need enough of the centre, which hardly a node apart
+    from it has.
+    """
+    def reaches(common, n, m):
+        return common * (numerator + denominator) >= (n + m) * numerator
+
+    across = (F.col("x.main") == F.col("y.main")) & (F.col("x.comp") != F.col("y.comp"))
+    half = F.least("x.shared", "y.shared")
+    items = beside.select("main", "digest", "comp", "apart", "n", "shared", F.explode("others").alias("item"))
+    beyond = (items.alias("x").join(items.alias("y"), across & (F.col("x.item") == F.col("y.item"))
+                                    & (F.col("x.apart") | F.col("y.apart")) & (F.col("x.digest") < F.col("y.digest")))
+              .groupBy("x.main", F.col("x.digest").alias("a"), F.col("y.digest").alias("b"),
+                       F.col("x.n").alias("n"), F.col("y.n").alias("m"), half.alias("half"))
+              .agg(F.count(F.lit(1)).alias("beside"))
+              .where(reaches(F.col("half") + F.col("beside"), F.col("n"), F.col("m"))).select("a", "b"))
+    rows = beside.select("main", "digest", "comp", "apart", "n", "shared")
+    # Per size of the other set the most that any shares with the centre: one row per size.
+    sizes = rows.groupBy("main", "n").agg(F.max("shared").alias("shared"))
+    within = reaches(half, F.col("x.n"), F.col("y.n"))
+    some = rows.where("apart").alias("x").join(sizes.alias("y"), (F.col("x.main") == F.col("y.main")) & within, "left_semi")
+    inside = (some.alias("x").join(rows.alias("y"), across & within)
+              .select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")))
+    return beyond.union(inside).distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -242,7 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # First round: every member against the bucket's best connected one.
     weight = members.groupBy("digest").agg(F.sum("n").alias("weight"))
     heads = (members.join(weight, "digest").groupBy("bucket")
-             .agg(F.max(F.struct("weight", "digest"))["digest"].alias("head")))
+             .agg(F.max(F.struct("weight", "digest")).alias("top"))
+             .select("bucket", F.col("top.digest").alias("head"), F.col("top.weight").alias("weight")))
     first = (members.join(heads, "bucket").where(F.col("digest") != F.col("head"))
              .select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct())
     first = materialise(spark, first.join(signed.alias("x"), F.col("a") == F.col("x.digest"))
@@ -258,39 +297,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = members.join(comps.select(F.col("node").alias("digest"), "comp"), "digest", "left") \
                  .withColumn("comp", F.coalesce("comp", "digest"))
     mixed = (own.join(heads, "bucket").groupBy("bucket")
-             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                  F.max(F.when(F.col("digest") == F.col("head"), F.col("comp"))).alias("main"))
-             .where(F.col("lo") != F.col("hi")).select("bucket", "main"))
-    open_rows = materialise(spark, own.join(mixed, "bucket").join(nodes.drop("bands", "doc_id"), "digest")
+             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weight").alias("weight"),
+                  F.max("head").alias("head"), F.max(F.when(F.col("digest") == F.col("head"), F.col("comp"))).alias("main"))
+             .where(F.col("lo") != F.col("hi")).select("bucket", "main", "head", "weight"))
+    centres = mixed.groupBy("main").agg(F.max(F.struct("weight", "head"))["head"].alias("centre"))
+    open_rows = materialise(spark, own.join(mixed.select("bucket", "main"), "bucket")
+                            .join(nodes.drop("bands", "doc_id"), "digest")
                             .withColumn("apart", F.col("comp") != F.col("main")), "open")
-
-    def meet(x, y):
-        return ((F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col(f"{x}.comp") != F.col(f"{y}.comp"))
-                & (F.col(f"{x}.apart") | F.col(f"{y}.apart"))
-                & (F.least(f"{x}.n_shingles", f"{y}.n_shingles") * denominator
-                   >= F.greatest(f"{x}.n_shingles", f"{y}.n_shingles") * numerator)
-                & (estimate(x, y) >= least))
-
-    every = open_rows.alias("y")
+    x, y = open_rows.where("apart").alias("x"), open_rows.alias("y")
+    meet = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
+            & (F.least("x.n_shingles", "y.n_shingles") * denominator
+               >= F.greatest("x.n_shingles", "y.n_shingles") * numerator)
+            & (estimate("x", "y") >= least))
+    columns = ["main", "digest", "comp", "apart"]
     # Nodes with any such partner, by the main component of the bucket they meet in.
-    near = materialise(spark, every.join(open_rows.where("apart").alias("x"), meet("x", "y"), "left_semi")
-                       .select("main", "digest")
-                       .union(open_rows.where("apart").alias("x").join(every, meet("x", "y"), "left_semi")
-                              .select("main", "digest")).distinct(), "near")
+    near = materialise(spark, x.join(y, meet, "left_semi").select(*columns)
+                       .union(y.join(x, meet, "left_semi").select(*columns)).distinct(), "near")
     if near.limit(1).count():
-        texts = materialise(spark, texts_of(docs, nodes, near.select("digest").distinct(), id_col, text_col), "texts")
-        alone = unshared(near.join(texts, "digest"), size)
-        # A set has no more in common with any of its partners than the shingles that are not its own alone.
-        common = materialise(spark, open_rows.join(near, ["main", "digest"], "left_semi")
-                             .join(alone, ["main", "digest"], "left")
-                             .withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-                             .where(F.col("common") * denominator >= F.col("n_shingles") * numerator), "common")
-        x, y = common.where("apart").alias("x"), common.alias("y")
-        most = F.least("x.common", "y.common")
-        second = (x.join(y, meet("x", "y") & (~F.col("y.apart") | (F.col("x.digest") < F.col("y.digest")))
-                         & (most * denominator
-                            >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * numerator))
-                  .select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+        ends = near.select("digest").union(
+            centres.join(near.select("main").distinct(), "main", "left_semi").select(F.col("centre").alias("digest")))
+        texts = materialise(spark, texts_of(docs, nodes, ends.distinct(), id_col, text_col), "texts")
+        beside = materialise(spark, against_centre(near, centres, texts, size), "beside")
+        second = (possible_pairs(beside, numerator, denominator)
                   .join(first, ["a", "b"], "left_anti")
                   .join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
         found = materialise(spark, confirmed(second, texts, size, numerator, denominator), "links")

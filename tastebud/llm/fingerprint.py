@@ -141,8 +141,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     placed = (rows.withColumn("block", block).withColumn("fp", fingerprint(F.col("text"))).join(host, "k", "left"))
     own = F.struct(F.col("block"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("host").alias("block"), F.lit(True).alias("guest"))
-    dealt = placed.select("doc_id", "k", "text", "fp",
-                          F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
-    order = Window.partitionBy("at.block").orderBy("at.guest", F.desc("k"), "text")
-    return (dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order))
-            .where(~F.col("at.guest")).select("doc_id", "text", "fp", "next_text", "next_fp"))
+    dealt = (placed.select("doc_id", "k", "text", "fp", F.inline(
+        F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at_block", "guest")))
+    order = Window.partitionBy("at_block").orderBy("guest", F.desc("k"), "text")
+    return (dealt.select("doc_id", "text", "fp", "guest", F.lead("text").over(order).alias("next_text"),
+                         F.lead("fp").over(order).alias("next_fp"))
+            .where(~F.col("guest")).drop("guest"))

@@ -116,9 +116,10 @@ def random_sample(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
 
 def identifier_sample(docs: DataFrame, id_col: str, text_col: str, most: int = SAMPLE_DOCS) -> DataFrame:
     """Identifiers made of the words of at most ``most`` documents; runs that hold a base span are no sample."""
-    texts = (docs.where(F.col(text_col).isNotNull())
-             .select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-             .orderBy("h").limit(most))
+    ids = (docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+           .orderBy(F.xxhash64("id"), "id").limit(most))  # only ids travel to the cut
+    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+             .join(F.broadcast(ids), "id").dropDuplicates(["id"]))  # at most ``most`` ids
     words = (texts.select(F.posexplode(F.split("text", "[^A-Za-z0-9_-]+")).alias("i", "w"))
              .where((F.length("w") > 1) & ~F.col("w").rlike("[0-9]")))
     w = F.col("w")

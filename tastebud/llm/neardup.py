@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tastebud.llm.common import materialise, small_batches
@@ -203,29 +203,42 @@ def possible_pairs(beside: DataFrame, numerator: int, denominator: int) -> DataF
     """Pairs (a, b) across components, at least one apart, that may reach the threshold; no others can.
 
     Two sets have at most min(shared) shingles of the centre in common, plus
-    those they share beside it. The latter are found by joining on the shingle;
-    pairs that share none need enough of the centre, which hardly a node apart
-    from it has.
+    those they share beside it. How many of these a node apart from the centre
+    needs at least follows from the sizes around it: with t needed, it shares one
+    of its rarest (all but t - 1) with any partner, and is joined on those alone.
+    Pairs that share none need enough of the centre, which hardly such a node has.
     """
-    def reaches(common, n, m):
-        return common * (numerator + denominator) >= (n + m) * numerator
+    def required(n, m):
+        return F.ceil((n + m) * numerator / F.lit(numerator + denominator))
+
+    def ordered(x, y):
+        return F.least(f"{x}.digest", f"{y}.digest").alias("a"), F.greatest(f"{x}.digest", f"{y}.digest").alias("b")
 
     across = (F.col("x.main") == F.col("y.main")) & (F.col("x.comp") != F.col("y.comp"))
-    half = F.least("x.shared", "y.shared")
-    items = beside.select("main", "digest", "comp", "apart", "n", "shared", F.explode("others").alias("item"))
-    beyond = (items.alias("x").join(items.alias("y"), across & (F.col("x.item") == F.col("y.item"))
-                                    & (F.col("x.apart") | F.col("y.apart")) & (F.col("x.digest") < F.col("y.digest")))
-              .groupBy("x.main", F.col("x.digest").alias("a"), F.col("y.digest").alias("b"),
-                       F.col("x.n").alias("n"), F.col("y.n").alias("m"), half.alias("half"))
-              .agg(F.count(F.lit(1)).alias("beside"))
-              .where(reaches(F.col("half") + F.col("beside"), F.col("n"), F.col("m"))).select("a", "b"))
     rows = beside.select("main", "digest", "comp", "apart", "n", "shared")
     # Per size of the other set the most that any shares with the centre: one row per size.
     sizes = rows.groupBy("main", "n").agg(F.max("shared").alias("shared"))
-    within = reaches(half, F.col("x.n"), F.col("y.n"))
-    some = rows.where("apart").alias("x").join(sizes.alias("y"), (F.col("x.main") == F.col("y.main")) & within, "left_semi")
-    inside = (some.alias("x").join(rows.alias("y"), across & within)
-              .select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")))
+    missing = required(F.col("x.n"), F.col("y.n")) - F.least("x.shared", "y.shared")
+    least = (rows.where("apart").alias("x").join(sizes.alias("y"), "main")
+             .where(F.least("x.n", "y.n") * denominator >= F.greatest("x.n", "y.n") * numerator)
+             .groupBy("main", "x.digest").agg(F.min(missing).alias("least")))
+
+    items = beside.select("main", "digest", "comp", F.explode("others").alias("item"))
+    spread = items.groupBy("main", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    rarest = Window.partitionBy("main", "digest").orderBy(F.coalesce("n", F.lit(1)), "item")
+    some = (beside.where("apart").join(least, ["main", "digest"])
+            .withColumn("most", F.size("others") - F.greatest("least", F.lit(1)) + 1).where(F.col("most") > 0)
+            .select("main", "digest", "comp", "most", F.explode("others").alias("item"))
+            .join(spread, ["main", "item"], "left").withColumn("place", F.row_number().over(rarest))
+            .where((F.col("place") <= F.col("most")) & F.col("n").isNotNull()))
+    beyond = (some.alias("x").join(items.alias("y"), across & (F.col("x.item") == F.col("y.item")))
+              .select(F.col("x.main").alias("m"), *ordered("x", "y")).distinct())
+    sets = beside.select("main", "digest", "n", "shared", "others")
+    beyond = (beyond.join(sets.alias("x"), (F.col("m") == F.col("x.main")) & (F.col("a") == F.col("x.digest")))
+              .join(sets.alias("y"), (F.col("m") == F.col("y.main")) & (F.col("b") == F.col("y.digest")))
+              .where(missing <= F.size(F.array_intersect("x.others", "y.others"))).select("a", "b"))
+    able = rows.where("apart").join(least.where(F.col("least") <= 0), ["main", "digest"], "left_semi")
+    inside = (able.alias("x").join(rows.alias("y"), across & (missing <= 0)).select(*ordered("x", "y")))
     return beyond.union(inside).distinct()
 
 

@@ -21,6 +21,7 @@ rows and ids are packed as separate pieces; an empty table packs into nothing.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,24 +30,56 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tastebud.llm.common import materialise, small_batches
 
 CAPACITY = 2048
-# Chunks whose token ids a worker keeps; emptied when full, so memory is bounded.
-CACHED_CHUNKS = 200_000
+# Chunks and words whose token ids a worker keeps; emptied when full, so memory is bounded.
+CACHED_CHUNKS, CACHED_WORDS = 300_000, 400_000
 # Texts with characters outside these (controls, combining marks, other scripts)
 # are tokenised whole; inside them a white-space chunk is tokenised by itself.
 WHOLE_TEXT = regex.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u20AC]")
+# Byte-level vocabularies write a byte as itself where it is printable, else as a letter from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long")
 
 
-class ChunkIds(dict):
-    """White-space chunk -> its token ids as little-endian 32-bit bytes."""
+class WordIds(dict):
+    """Pre-tokenised lower-case word -> its token ids as little-endian 32-bit bytes, from the model alone."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        out = self[word] = b"".join([self.written[t.id] for t in self.model.tokenize(letters)])
+        return out
+
+
+class ChunkIds(dict):
+    """White-space chunk -> its token ids.
+
+    Where the tokenizer is the lower-casing one whose split rule can be read
+    from its file, a new chunk is split by that rule and its words are looked
+    up; chunks with the start of a special token, and other tokenizers, go
+    through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        super().__init__()
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        self.starts = tuple({t["content"][:2] for t in spec["added_tokens"]})
+        self.words = self.split = None
+        if _splits_words(spec):
+            self.words = WordIds(self.tokenizer)
+            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
 
     def ids(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -54,17 +87,38 @@ class ChunkIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHED_CHUNKS:
             self.clear()
-        out = self[chunk] = self.ids(chunk)
+        if self.words is None:
+            out = self.ids(chunk)
+        elif chunk.isalpha():  # one word whatever the split rule says of other characters
+            out = self.words[chunk.lower()]
+        elif chunk[-1] in ".,!" and chunk[:-1].isalpha():
+            out = self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
+        elif any(s in chunk for s in self.starts):
+            out = self.ids(chunk)
+        else:
+            out = b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+        self[chunk] = out
         return out
 
     def text_ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if WHOLE_TEXT.search(text):
+        if self.words is None or WHOLE_TEXT.search(text):
             return self.ids(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def _splits_words(spec: dict) -> bool:
+    """Whether words can be tokenised one by one: NFC, white space and case, then one split rule and byte-level BPE."""
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in before] == ["Split", "ByteLevel"]
+            and before[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and before[0]["behavior"] == "Removed" and before[0]["invert"]
+            and not before[1]["add_prefix_space"] and not before[1]["use_regex"] and spec["model"]["type"] == "BPE"
+            and spec["post_processor"] is None and not spec["model"].get("dropout"))
+
+
 _TOKENIZERS: dict[int, ChunkIds] = {}
 
 
@@ -80,12 +134,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
         key = hash(shared.value)
         if key not in _TOKENIZERS:
             _TOKENIZERS.clear()
-            _TOKENIZERS[key] = ChunkIds(Tokenizer.from_str(shared.value))
+            _TOKENIZERS[key] = ChunkIds(shared.value)
         chunks, task, seen = _TOKENIZERS[key], TaskContext.get().partitionId(), {}
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:

@@ -293,16 +293,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # First round: every member against the bucket's best connected one.
     weight = members.groupBy("digest").agg(F.sum("n").alias("weight"))
     heads = (members.join(weight, "digest").groupBy("bucket")
-             .agg(F.max(F.struct("weight", "digest")).alias("top"))
-             .select("bucket", F.col("top.digest").alias("head"), F.col("top.weight").alias("weight")))
+             .agg(F.max(F.struct("weight", "digest"))["digest"].alias("head")))
     first = (members.join(heads, "bucket").where(F.col("digest") != F.col("head"))
              .select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct())
     first = materialise(spark, first.join(signed.alias("x"), F.col("a") == F.col("x.digest"))
                         .join(signed.alias("y"), F.col("b") == F.col("y.digest"))
                         .where(estimate("x", "y") >= least).select("a", "b"), "pairs")
 
-    ends = first.select(F.col("a").alias("digest")).union(first.select(F.col("b").alias("digest"))).distinct()
-    texts = materialise(spark, texts_of(docs, nodes, ends, id_col, text_col), "texts")
+    # Texts of all nodes that look like another one of their bucket, fetched once for both rounds.
+    signs = members.select("bucket", "digest").join(signed, "digest")
+    alike = (signs.alias("x").join(signs.alias("y"), (F.col("x.bucket") == F.col("y.bucket"))
+                                   & (F.col("x.digest") != F.col("y.digest")) & (estimate("x", "y") >= least), "left_semi")
+             .select("digest").distinct())
+    texts = materialise(spark, texts_of(docs, nodes, alike, id_col, text_col), "texts")
     links = materialise(spark, confirmed(first, texts, size, numerator, denominator), "links")
     comps = components(spark, links)
 
@@ -310,11 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = members.join(comps.select(F.col("node").alias("digest"), "comp"), "digest", "left") \
                  .withColumn("comp", F.coalesce("comp", "digest"))
     mixed = (own.join(heads, "bucket").groupBy("bucket")
-             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weight").alias("weight"),
-                  F.max("head").alias("head"), F.max(F.when(F.col("digest") == F.col("head"), F.col("comp"))).alias("main"))
-             .where(F.col("lo") != F.col("hi")).select("bucket", "main", "head", "weight"))
-    centres = mixed.groupBy("main").agg(F.max(F.struct("weight", "head"))["head"].alias("centre"))
-    open_rows = materialise(spark, own.join(mixed.select("bucket", "main"), "bucket")
+             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                  F.max(F.when(F.col("digest") == F.col("head"), F.col("comp"))).alias("main"))
+             .where(F.col("lo") != F.col("hi")).select("bucket", "main"))
+    open_rows = materialise(spark, own.join(mixed, "bucket")
                             .join(nodes.drop("bands", "doc_id"), "digest")
                             .withColumn("apart", F.col("comp") != F.col("main")), "open")
     x, y = open_rows.where("apart").alias("x"), open_rows.alias("y")
@@ -327,9 +329,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialise(spark, x.join(y, meet, "left_semi").select(*columns)
                        .union(y.join(x, meet, "left_semi").select(*columns)).distinct(), "near")
     if near.limit(1).count():
-        ends = near.select("digest").union(
-            centres.join(near.select("main").distinct(), "main", "left_semi").select(F.col("centre").alias("digest")))
-        texts = materialise(spark, texts_of(docs, nodes, ends.distinct(), id_col, text_col), "texts")
+        centres = (near.join(weight, "digest").groupBy("main")
+                   .agg(F.max(F.struct("weight", "digest"))["digest"].alias("centre")))
         beside = materialise(spark, against_centre(near, centres, texts, size), "beside")
         second = (possible_pairs(beside, numerator, denominator)
                   .join(first, ["a", "b"], "left_anti")

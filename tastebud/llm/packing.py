@@ -36,7 +36,7 @@ from tastebud.llm.common import materialise, small_batches
 
 CAPACITY = 2048
 # Chunks and words whose token ids a worker keeps; emptied when full, so memory is bounded.
-CACHED_CHUNKS, CACHED_WORDS = 300_000, 400_000
+CACHED_CHUNKS, CACHED_WORDS = 200_000, 300_000
 # Texts with characters outside these (controls, combining marks, other scripts)
 # are tokenised whole; inside them a white-space chunk is tokenised by itself.
 WHOLE_TEXT = regex.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u20AC]")

@@ -13,7 +13,7 @@ bounded sample: at most ``MAX_LABELLED`` rows by hash order, one half for the
 target model, the other for the threshold.
 
 Defined results: a text without n-grams (null, empty, blank) has weight and
-score 0; repeated ids get the decision of their own text; a label that
+score 0 and is accepted; repeated ids get the decision of their own text; a label that
 contradicts another of the same id counts as the lower one, null labels as none;
 without labels of both kinds nothing is rejected; equal keys at the cut are all
 sampled.
@@ -82,7 +82,7 @@ class QualityModel:
         return score(text)
 
     def accepts(self, scored: Column) -> Column:
-        return mean_weight(scored) >= F.lit(self.threshold)
+        return (scored["n_grams"] == 0) | (mean_weight(scored) >= F.lit(self.threshold))
 
 
 def _session():
@@ -156,14 +156,15 @@ def threshold(bins: dict[tuple[int, int], int], keep_good: float = KEEP_GOOD) ->
     bad = {b: n for (g, b), n in bins.items() if g != 1}
     if not good or not bad:
         return float("-inf")
-    best, cut, lost, caught = 0.0, float("-inf"), 0, 0
+    best, cut, lost, caught, last = 0.0, float("-inf"), 0, 0, 0
     all_good, all_bad = sum(good.values()), sum(bad.values())
     for b in sorted({*good, *bad}):  # rejecting everything below b
         gain = caught / all_bad - lost / all_good
         if lost <= (1 - keep_good) * all_good and gain > best:
-            best, cut = gain, b / BINS_PER_UNIT
+            best, cut = gain, (last + 1) / BINS_PER_UNIT  # just above what is rejected
         lost += good.get(b, 0)
         caught += bad.get(b, 0)
+        last = b
     return cut
 
 

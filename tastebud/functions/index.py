@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastebud.session import checkpoint_dir
+
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = position of each row in ``order`` (must be a total order).
 
     ``row_number().over(orderBy)`` pulls every row into one task. Instead the
-    rows are range-partitioned and sorted within partitions; a partition-local
-    position comes from ``monotonically_increasing_id`` (partition id in the
-    upper bits) and the offset of each partition is a running sum over the
-    per-partition counts, a table with one row per partition.
+    rows are range-partitioned, sorted within partitions and written once to
+    shared storage with their partition number and position in it. Counts per
+    partition (one row each), their running sums and the rows themselves are all
+    read from that one table: range bounds drawn twice, or partitions joined by
+    the adaptive planner, can't make them disagree.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/index-{uuid.uuid4().hex}"
+    tagged.write.parquet(path)
+    tagged = df.sparkSession.read.schema(tagged.schema).parquet(path)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

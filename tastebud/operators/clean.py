@@ -36,14 +36,23 @@ def coerce_interactions(raw: DataFrame) -> DataFrame:
     )
 
 
-def label_split(df: DataFrame, anchor: Column | None = None) -> DataFrame:
+def last_complete_month(mx: Column) -> Column:
+    """The latest date when it ends its month, else the last day of the month before."""
+    day = F.to_date(mx)
+    return F.when(day == F.last_day(day), day).otherwise(F.last_day(F.add_months(day, -1)))
+
+
+def label_split(df: DataFrame, anchor: Column | None = None, complete_months: bool = False) -> DataFrame:
     """Add ``month_number``, ``week_of_month`` and ``split`` (train/val/test/null).
 
     The latest month over *all* parsed rows is month 6; train = months 1-5 plus
     weeks 1-2 of month 6, val = week 3, test = week 4; days 29-31 of month 6
-    belong to no split. The maximum is a scalar subquery, evaluated once.
+    belong to no split. The maximum is a scalar subquery, evaluated once. With
+    ``complete_months`` month 6 is the last complete one and later rows have no split.
     """
     mx = anchor if anchor is not None else df.select(F.max("event_ts")).scalar()
+    if complete_months:
+        mx = last_complete_month(mx)
     ts = F.col("event_ts")
     month_number = F.lit(6) - ((F.year(mx) - F.year(ts)) * 12 + (F.month(mx) - F.month(ts)))
     week = F.floor((F.dayofmonth(ts) - 1) / 7).cast("int") + 1
@@ -68,9 +77,9 @@ def reject_reason(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.withColumn("reject_reason", reason).drop("_aid", "_known")
 
 
-def labelled_interactions(raw: DataFrame, catalog: DataFrame) -> DataFrame:
+def labelled_interactions(raw: DataFrame, catalog: DataFrame, complete_months: bool = False) -> DataFrame:
     """coerce -> split label -> reject reason, in one plan (cache this once)."""
-    return reject_reason(label_split(coerce_interactions(raw)), catalog)
+    return reject_reason(label_split(coerce_interactions(raw), complete_months=complete_months), catalog)
 
 
 def kept_interactions(labelled: DataFrame, split: str | None = None) -> DataFrame:

@@ -161,7 +161,7 @@ def build_request(controls: DataFrame) -> DataFrame:
     are dropped; the session text splits on commas, trimmed, at most 50 ids.
     """
     personalized = F.col("mode") == "Personalized"
-    drop = lambda c, sentinel: F.when(~personalized & (F.col(c) != sentinel), F.col(c))
+    drop = lambda c, sentinel: F.when(~personalized & ~F.col(c).isin(sentinel, ""), F.col(c))
     session = F.slice(F.filter(F.transform(F.split(F.coalesce("session_text", F.lit("")), ","), lambda s: F.trim(s)),
                                lambda s: s != ""), 1, 50)
     return controls.select(
@@ -169,7 +169,7 @@ def build_request(controls: DataFrame) -> DataFrame:
         F.when(personalized, F.nullif(F.trim("user_id"), F.lit(""))).alias("user_id"),
         F.col("limit").cast("int").alias("limit"),
         F.when(~personalized, F.col("age")).alias("age"),
-        drop("membership", "Not specified").alias("club_member_status"),
+        F.lower(drop("membership", "Not specified")).alias("club_member_status"),
         drop("product_group", "All products").alias("preferred_product_group"),
         F.when(personalized, F.array().cast("array<string>")).otherwise(session).alias("session_article_ids"))
 

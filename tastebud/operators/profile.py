@@ -15,13 +15,12 @@ def _n(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
-def recent_window(tx: DataFrame, months: int = 6, n: int = 300_000, ts: str = "t_dat") -> DataFrame:
-    """Rows with ``ts >= max - months``, ordered by date; the first n (the EDA sample)."""
+def recent_window(tx: DataFrame, months: int = 6, n: int = 0, ts: str = "t_dat") -> DataFrame:
+    """Rows with ``ts >= max - months``; with n > 0 the first n by date (the EDA sample)."""
     mx = tx.select(F.max(ts)).scalar()
     cut = mx - F.make_ym_interval(F.lit(0), F.lit(months))
     w = tx.where(F.col(ts) >= cut)
-    w = w.orderBy(ts, "customer_id", "article_id")
-    return w.limit(n) if n > 0 else w
+    return w.orderBy(ts, "customer_id", "article_id").limit(n) if n > 0 else w
 
 
 def quality_report(tx: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def _metrics_row(name: str, recs: DataFrame, truth: DataFrame, k: int, users: Da
     return E.evaluate_rankings(recs, truth, k, rec_users=users).select(F.lit(name).alias("model"), "*")
 
 
-def eval_baseline(f: Frames, k: int = 12, max_eval_users: int = 1000) -> DataFrame:
-    """Popularity and CF on validation, first N warm users in id order."""
+def eval_baseline(f: Frames, k: int = 12, max_eval_users: int = 0) -> DataFrame:
+    """Popularity and CF on validation: all warm users, or the first N in id order."""
     cf = cf_model(f)
     truth = P.ground_truth(f.val, cf.rows.select("customer_id"), cf.item_map.select("article_id"), cf.seen)
     users = first_n_users(truth, max_eval_users)
@@ -106,7 +106,7 @@ def _hybrid_parts(f: Frames, users: DataFrame, k: int, fit: str, candidates: str
     return cf, ct, M._ckpt(M.rec_cf(cf, users, ck)), M._ckpt(M.rec_content(ct, users, ck))
 
 
-def eval_hybrid(f: Frames, k: int = 12, max_eval_users: int = 1000, weights=(0.25, 0.5, 0.75)) -> DataFrame:
+def eval_hybrid(f: Frames, k: int = 12, max_eval_users: int = 0, weights=(0.25, 0.5, 0.75)) -> DataFrame:
     """Three single models plus the validation-tuned hybrid, on validation users."""
     cf = cf_model(f)
     truth = P.ground_truth(f.val, cf.rows.select("customer_id"), cf.item_map.select("article_id"), cf.seen)
@@ -124,7 +124,7 @@ def eval_hybrid(f: Frames, k: int = 12, max_eval_users: int = 1000, weights=(0.2
     return out
 
 
-def eval_final(f: Frames, k: int = 12, max_eval_users: int = 1000, weight: float = 0.75,
+def eval_final(f: Frames, k: int = 12, max_eval_users: int = 0, weight: float = 0.75,
                min_fresh: int = 1, samples: int = 1000) -> DataFrame:
     """Refit on train + validation, frozen weight, test once: metrics, coverage, CI, fresh metrics (long)."""
     cf = cf_model(f, "dev")
@@ -204,7 +204,7 @@ def grouped_bootstrap(pu: DataFrame, samples: int, confidence: float, seed: int)
         .select("model", "x.metric", "x.value")
 
 
-def eval_policy(f: Frames, k: int = 12, max_eval_users: int = 1000, baseline: str = "popularity",
+def eval_policy(f: Frames, k: int = 12, max_eval_users: int = 0, baseline: str = "popularity",
                 weights=(0.25, 0.5, 0.75)) -> DataFrame:
     """Tune on validation, compare baseline vs hybrid on test in expected clicks, with lifts."""
     if baseline not in ("popularity", "random"):

@@ -47,7 +47,8 @@ class Frames:
         from tastebud.plans.preprocess import is_ready
         out = processed_dir(self.spark, self.sf_dir, self.adapter)
         if not is_ready(self.spark, out):
-            run_preprocess(self.spark, self.raw_transactions, self.raw_items, self.raw_customers, out)
+            run_preprocess(self.spark, self.raw_transactions, self.raw_items, self.raw_customers, out,
+                           complete_months=self.adapter == "orders")
         return out
 
     def _read(self, name: str) -> DataFrame:
@@ -65,7 +66,7 @@ class Frames:
     @cached_property
     def labelled(self) -> DataFrame:
         """Labelled raw rows (split + reject reason), computed from raw on demand."""
-        return C.labelled_interactions(self.raw_transactions, self.items)
+        return C.labelled_interactions(self.raw_transactions, self.items, self.adapter == "orders")
 
     @cached_property
     def clean(self) -> DataFrame:

@@ -7,6 +7,8 @@ CTEs and their dependencies in order.
 
 from __future__ import annotations
 
+from tastebud.sources.adapters import SHOPPING_TURNS
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -85,8 +87,7 @@ cte("raw_a", (), """
 SELECT CAST(o.o_custkey AS VARCHAR) AS customer_id, CAST(l.l_partkey AS VARCHAR) AS article_id,
        o.o_orderdate AS t_dat, l.l_extendedprice / l.l_quantity AS price,
        CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 2 END AS sales_channel_id
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-WHERE o.o_orderdate <= TIMESTAMP '2001-07-28 00:00:00'""")
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""")
 
 cte("dirty_raw", (), f"""
 WITH base AS (
@@ -129,14 +130,17 @@ SELECT {norm('customer_id')} AS customer_id, {strip('article_id')} AS article_id
 FROM {src}"""
 
 
-def label_sql(src: str) -> str:
+def label_sql(src: str, complete_months: bool = False) -> str:
+    mx = "max(event_ts)" if not complete_months else (
+        "CASE WHEN CAST(max(event_ts) AS DATE) = last_day(max(event_ts)) THEN CAST(max(event_ts) AS DATE) "
+        "ELSE last_day(max(event_ts) - INTERVAL 1 MONTH) END")
     return f"""
 SELECT *, CASE WHEN month_number BETWEEN 1 AND 5 OR (month_number = 6 AND week_of_month <= 2) THEN 'train'
                WHEN month_number = 6 AND week_of_month = 3 THEN 'val'
                WHEN month_number = 6 AND week_of_month = 4 THEN 'test' END AS split
 FROM (SELECT c.*, 6 - ((year(m.mx) - year(c.event_ts)) * 12 + (month(m.mx) - month(c.event_ts))) AS month_number,
              (day(c.event_ts) - 1) // 7 + 1 AS week_of_month
-      FROM {src} c, (SELECT max(event_ts) AS mx FROM {src}) m)"""
+      FROM {src} c, (SELECT {mx} AS mx FROM {src}) m)"""
 
 
 def _reject(src: str) -> str:
@@ -150,7 +154,7 @@ FROM {src} s"""
 
 for tag, raw, text in (("b", "raw_b", False), ("a", "raw_a", False), ("d", "dirty_raw", True)):
     cte(f"coerced_{tag}", (raw,), _coerce(raw, text))
-    cte(f"split_{tag}", (f"coerced_{tag}",), label_sql(f"coerced_{tag}"))
+    cte(f"split_{tag}", (f"coerced_{tag}",), label_sql(f"coerced_{tag}", tag == "a"))
     cte(f"labelled_{tag}", (f"split_{tag}", "items"), _reject(f"split_{tag}"))
     cte(f"clean_{tag}", (f"labelled_{tag}",),
         f"SELECT * EXCLUDE (reject_reason, month_number, week_of_month) FROM labelled_{tag} "
@@ -166,3 +170,19 @@ FROM (SELECT article_id, CAST(count(*) AS DOUBLE) AS score FROM train_{tag} GROU
 SELECT DISTINCT v.customer_id, v.article_id FROM {s}_{tag} v
 WHERE v.customer_id IN (SELECT customer_id FROM train_{tag}) AND v.article_id IN (SELECT article_id FROM train_{tag})
   AND NOT EXISTS (SELECT 1 FROM seen_{tag} z WHERE z.customer_id = v.customer_id AND z.article_id = v.article_id)""")
+
+
+def _chat() -> str:
+    said = "c.text"
+    for k, pattern in enumerate(SHOPPING_TURNS):
+        words = (f"replace(replace('{pattern}', concat(chr(123), 'type', chr(125)), coalesce(p.p_type, 'SMALL')), "
+                 "concat(chr(123), 'brand', chr(125)), coalesce(p.p_brand, 'Brand#1'))")
+        words = words.replace("{type}", "' || chr(123) || 'type' || chr(125) || '") \
+                     .replace("{brand}", "' || chr(123) || 'brand' || chr(125) || '")
+        said = f"CASE WHEN c.role = 'user' AND (c.conv_id + c.turn) % 8 = {k} THEN {words} ELSE {said} END"
+    return (f"(SELECT c.conv_id, c.turn, c.role, {said} AS text "
+            "FROM conversations c LEFT JOIN part p ON p.p_partkey = c.conv_id)")
+
+
+# The chat messages as a derived table; free of braces, so it fits into format strings.
+CHAT = _chat()

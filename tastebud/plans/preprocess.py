@@ -17,7 +17,7 @@ _READY: set[str] = set()
 
 
 def run_preprocess(spark: SparkSession, raw_tx: DataFrame, raw_items: DataFrame, raw_customers: DataFrame,
-                   out_dir: str, force: bool = False) -> bool:
+                   out_dir: str, force: bool = False, complete_months: bool = False) -> bool:
     """Write all processed tables; skip the whole stage when every output exists.
 
     Returns True when the stage ran, False when it was skipped.
@@ -28,7 +28,7 @@ def run_preprocess(spark: SparkSession, raw_tx: DataFrame, raw_items: DataFrame,
     write_table(C.clean_items(raw_items), f"{out_dir}/items_clean")
     write_table(C.clean_customers(raw_customers), f"{out_dir}/customers_clean")
     items = spark.read.parquet(f"{out_dir}/items_clean")
-    kept = C.kept_interactions(C.labelled_interactions(raw_tx, items))
+    kept = C.kept_interactions(C.labelled_interactions(raw_tx, items, complete_months))
     write_table(kept, f"{out_dir}/interactions_clean", partition_by="split",
                 sort_by=["customer_id", "event_ts", "article_id"])
     clean = spark.read.parquet(f"{out_dir}/interactions_clean")

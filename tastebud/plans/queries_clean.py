@@ -64,7 +64,7 @@ def q_temporal_split(spark, d):
 @register("temporal_split_orders", with_ctes("""
 SELECT split, count(*) AS n_rows, count(DISTINCT customer_id) AS n_users FROM split_a GROUP BY split""", "split_a"))
 def q_temporal_split_orders(spark, d):
-    df = C.label_split(C.coerce_interactions(A.order_transactions(spark, d)))
+    df = C.label_split(C.coerce_interactions(A.order_transactions(spark, d)), complete_months=True)
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                    F.count_distinct("customer_id").alias("n_users"))
 

@@ -3,10 +3,13 @@ plus factor-model rankers (checked against numpy in tests; rows-only here)."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tastebud.functions.numeric import r6
 from tastebud.operators import coldstart as CS
+from tastebud.operators.coldstart import MAX_LIMIT
 from tastebud.operators import evaluate as E
 from tastebud.operators import models as M
 from tastebud.operators import policy as PO
@@ -166,9 +169,9 @@ def _dev(f: Frames):
 
 def _cold_models(f: Frames):
     dev = _dev(f)
-    # request limits are validated to 1..100, so rankings cut at 100 answer every request exactly
-    segs = P.segment_rankings(dev, f.customers, 50, top_n=100)
-    cats = P.category_rankings(dev, f.items, top_n=100)
+    # rec_cold_start refuses limits beyond MAX_LIMIT, so rankings cut there answer every request exactly
+    segs = P.segment_rankings(dev, f.customers, 50, top_n=MAX_LIMIT)
+    cats = P.category_rankings(dev, f.items, top_n=MAX_LIMIT)
     pop = P.popularity(dev)
     return dev, segs, cats, pop
 
@@ -326,7 +329,7 @@ def q_rec_session(spark, d):
     from tastebud.plans.evaluations import content_model
     f = Frames(spark, d)
     sess = (f.test.groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("event_ts", "article_id"))).alias("s"))
-            .select(F.col("customer_id").alias("request_id"), F.slice(F.col("s.article_id"), 1, 50).alias("session_article_ids")))
+            .select(F.col("customer_id").alias("request_id"), F.col("s.article_id").alias("session_article_ids")))
     return M.rec_session(content_model(f, "train", "catalog"), sess, K)
 
 
@@ -378,7 +381,7 @@ def q_model_tables(spark, d):
     from tastebud.session import checkpoint_dir
     f = Frames(spark, d)
     m = cf_model(f)
-    out = f"{checkpoint_dir(spark)}/models/cf-{abs(hash(d)) % 10**8}"
+    out = f"{checkpoint_dir(spark)}/models/cf-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m.V)], "item_idx long, vec array<double>") \
         .write.mode("overwrite").parquet(f"{out}/item_factors")
     m.item_map.write.mode("overwrite").parquet(f"{out}/item_map")

@@ -12,8 +12,6 @@ from tastebud.plans.oracle import with_ctes
 from tastebud.plans.registry import register
 from tastebud.sources import adapters as A
 
-SAMPLE_N = 300_000
-
 
 def eda_transactions(spark, d) -> DataFrame:
     """The raw log as a CSV reader would type it: blanks are missing, bad values null."""
@@ -31,10 +29,9 @@ def eda_window(spark, d) -> DataFrame:
 
 
 def eda_sample(spark, d) -> DataFrame:
-    """The EDA sample, materialised once per session (every profile reads it several times)."""
+    """All rows of the window, materialised once per session (every profile reads them several times)."""
     from tastebud.plans.evaluations import cached
-    return cached(Frames(spark, d), "eda_sample",
-                  lambda: PR.recent_window(eda_transactions(spark, d), months=6, n=SAMPLE_N).checkpoint(eager=True))
+    return cached(Frames(spark, d), "eda_sample", lambda: eda_window(spark, d).checkpoint(eager=True))
 
 
 EDA = f"""
@@ -42,8 +39,7 @@ eda_tx AS (SELECT nullif(customer_id, '') AS customer_id, nullif(article_id, '')
                   TRY_CAST(t_dat AS TIMESTAMP) AS t_dat, TRY_CAST(price AS DOUBLE) AS price,
                   TRY_CAST(sales_channel_id AS BIGINT) AS sales_channel_id FROM dirty_raw),
 eda_win AS (SELECT * FROM eda_tx WHERE t_dat >= (SELECT max(t_dat) FROM eda_tx) - INTERVAL 6 MONTH),
-eda_sample AS (SELECT * FROM eda_win ORDER BY t_dat NULLS FIRST, customer_id NULLS FIRST, article_id NULLS FIRST
-               LIMIT {SAMPLE_N}),
+eda_sample AS (SELECT * FROM eda_win),
 quality AS (
   SELECT metric, count, CASE WHEN (SELECT count(*) FROM eda_sample) > 0
                              THEN 100.0 * count / (SELECT count(*) FROM eda_sample) END AS pct_of_sample

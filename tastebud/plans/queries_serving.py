@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tastebud.functions.numeric import r6
@@ -14,6 +16,7 @@ from tastebud.plans.oracle import with_ctes
 from tastebud.plans.queries_rank import REC_POP_SQL
 from tastebud.plans.queries_text import _CTX, _GROUPS, SEARCH_SQL, _group_sql, _intent_cols_sql, _rx, _search_queries
 from tastebud.plans.registry import register
+from tastebud.sources.adapters import shopping_messages
 from tastebud.sources.tables import load_table
 
 _POPREC = ("tusers AS (SELECT DISTINCT customer_id FROM truth_val_b),\n"
@@ -79,7 +82,7 @@ def _chat_pool(spark, d):
                                                 "product_group_name", "description",
                                                 F.lit(None).cast("string").alias("colour_text"),
                                                 F.lit(True).alias("catalog_search"))
-    turns = load_table(spark, d, "conversations")
+    turns = shopping_messages(spark, d)
     intents = I.assistant_intents(turns, I.product_groups(f.items)).where(
         F.col("guardrail").isNull() & ~F.col("is_greeting")).select(
         F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
@@ -110,7 +113,7 @@ def q_result_message(spark, d):
     n = kept.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"))
     f = Frames(spark, d)
     cur = I.extract_product_group(
-        load_table(spark, d, "conversations").where(F.col("role") == "user").select(
+        shopping_messages(spark, d).where(F.col("role") == "user").select(
             F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
             "text"), I.product_groups(f.items))
     j = intents.join(n, "msg_id", "left").join(cur.withColumnRenamed("product_group", "cur_group"), "msg_id", "left")
@@ -136,8 +139,8 @@ def q_intent_fallback(spark, d):
 @register("build_request", with_ctes("""
 SELECT request_id, CASE WHEN mode = 'Personalized' THEN nullif(trim(user_id), '') END AS user_id, CAST("limit" AS INTEGER) AS "limit",
        CASE WHEN mode <> 'Personalized' THEN age END AS age,
-       CASE WHEN mode <> 'Personalized' AND membership <> 'Not specified' THEN membership END AS club_member_status,
-       CASE WHEN mode <> 'Personalized' AND product_group <> 'All products' THEN product_group END AS preferred_product_group,
+       CASE WHEN mode <> 'Personalized' AND membership NOT IN ('Not specified', '') THEN lower(membership) END AS club_member_status,
+       CASE WHEN mode <> 'Personalized' AND product_group NOT IN ('All products', '') THEN product_group END AS preferred_product_group,
        CASE WHEN mode = 'Personalized' THEN '' ELSE
          array_to_string(list_slice(list_filter(list_transform(string_split(coalesce(session_text, ''), ','), lambda s: trim(s)),
                                                 lambda s: s <> ''), 1, 50), ',') END AS session_ids
@@ -170,7 +173,7 @@ def q_src_csv_required(spark, d):
     from tastebud.session import checkpoint_dir
     from tastebud.sources.tables import REQUIRED_CUSTOMER_COLUMNS, read_table
     f = Frames(spark, d)
-    path = f"{checkpoint_dir(spark)}/csv/customers-{abs(hash(d)) % 10**8}"
+    path = f"{checkpoint_dir(spark)}/csv/customers-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
     f.raw_customers.write.mode("overwrite").option("header", True).csv(path)
     return read_table(spark, path, REQUIRED_CUSTOMER_COLUMNS, "customers")
 
@@ -193,5 +196,5 @@ def q_report_tables(spark, d):
     config = spark.createDataFrame([("configuration", "k", float(K)), ("configuration", "n_components", 64.0),
                                     ("configuration", "random_state", 42.0)], "section string, name string, value double")
     report = config.unionByName(data).unionByName(long)
-    report.coalesce(1).write.mode("overwrite").json(f"{checkpoint_dir(spark)}/reports/baseline-{abs(hash(d)) % 10**8}")
+    report.coalesce(1).write.mode("overwrite").json(f"{checkpoint_dir(spark)}/reports/baseline-{hashlib.sha256(d.encode()).hexdigest()[:16]}")
     return report

@@ -10,8 +10,9 @@ from tastebud.operators import search as S
 from tastebud.operators import similar as SIM
 from tastebud.operators import tfidf as TF
 from tastebud.plans.frames import Frames
-from tastebud.plans.oracle import with_ctes
+from tastebud.plans.oracle import CHAT, with_ctes
 from tastebud.plans.registry import register
+from tastebud.sources.adapters import shopping_messages
 from tastebud.sources.tables import load_table
 
 WORD = r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Me}\p{Nd}\p{Pc}]{2,}"
@@ -226,7 +227,7 @@ def q_resolve_name(spark, d):
 # search queries: user chat turns (whole texts), every product type, every product name
 _SEARCHQ = """
 sq AS (SELECT 'c:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id, text AS query
-       FROM conversations WHERE role = 'user'
+       FROM {CHAT} WHERE role = 'user'
        UNION ALL SELECT DISTINCT 't:' || product_type_name, product_type_name FROM items
        UNION ALL SELECT DISTINCT 'n:' || prod_name, prod_name FROM items WHERE prod_name IS NOT NULL),
 stok AS (SELECT DISTINCT query_id, token FROM (
@@ -244,13 +245,13 @@ qt AS (SELECT s.query_id, m.taxonomy FROM stok s JOIN tm m USING (token) GROUP B
        HAVING count(*) = (SELECT n_tok FROM ntok WHERE ntok.query_id = s.query_id)),
 shits AS (SELECT * FROM (SELECT q.query_id, x.article_id, coalesce(p.score, 0.0) AS score,
                      row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(p.score, 0.0) DESC, x.article_id) AS rank
-              FROM qt q JOIN tax x USING (taxonomy) LEFT JOIN pop_b p ON p.article_id = x.article_id) WHERE rank <= {limit})"""
+              FROM qt q JOIN tax x USING (taxonomy) LEFT JOIN pop_b p ON p.article_id = x.article_id) WHERE rank <= {limit})""".replace("{CHAT}", CHAT)
 SEARCH_SQL = _SEARCHQ.format(stop=", ".join(f"'{w}'" for w in S.SEARCH_STOPWORDS), limit=10)
 
 
 def _search_queries(spark, d):
     items = Frames(spark, d).items
-    conv = load_table(spark, d, "conversations").where(F.col("role") == "user").select(
+    conv = shopping_messages(spark, d).where(F.col("role") == "user").select(
         F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
         F.col("text").alias("query"))
     types = items.select(F.concat(F.lit("t:"), "product_type_name").alias("query_id"),
@@ -296,7 +297,7 @@ def _group_sql(src: str, text: str, out: str) -> str:
 _CTX = f"""
 turns AS (SELECT conv_id, turn, role, text,
                  CASE WHEN role = 'user' AND NOT coalesce(regexp_matches(text, '{_rx(I.GREETING)}'), false) THEN text END AS usable
-          FROM conversations),
+          FROM {CHAT}),
 ctx AS (SELECT conv_id, turn, text AS message,
                array_to_string(list_concat(list_filter(hist, lambda x: x IS NOT NULL), [text]), chr(10)) AS intent_text
         FROM (SELECT *, list(usable ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn
@@ -305,40 +306,40 @@ ctx AS (SELECT conv_id, turn, text AS message,
 
 
 @register("guardrail_flag", with_ctes(f"""
-SELECT conv_id, turn, coalesce(regexp_matches(text, '{_rx(I.UNSAFE)}'), false) AS unsafe FROM conversations"""))
+SELECT conv_id, turn, coalesce(regexp_matches(text, '{_rx(I.UNSAFE)}'), false) AS unsafe FROM {CHAT}"""))
 def q_guardrail_flag(spark, d):
-    c = load_table(spark, d, "conversations")
+    c = shopping_messages(spark, d)
     return c.select("conv_id", "turn", I.unsafe_flag(F.col("text")).alias("unsafe"))
 
 
 @register("greeting_flag", with_ctes(f"""
-SELECT conv_id, turn, coalesce(regexp_matches(text, '{_rx(I.GREETING)}'), false) AS greeting FROM conversations"""))
+SELECT conv_id, turn, coalesce(regexp_matches(text, '{_rx(I.GREETING)}'), false) AS greeting FROM {CHAT}"""))
 def q_greeting_flag(spark, d):
-    c = load_table(spark, d, "conversations")
+    c = shopping_messages(spark, d)
     return c.select("conv_id", "turn", I.greeting_flag(F.col("text")).alias("greeting"))
 
 
 @register("extract_budget", with_ctes(f"""
-SELECT conv_id, turn, TRY_CAST(regexp_extract(text, '{_rx(I.BUDGET)}', 1) AS DOUBLE) AS max_budget FROM conversations"""))
+SELECT conv_id, turn, TRY_CAST(regexp_extract(text, '{_rx(I.BUDGET)}', 1) AS DOUBLE) AS max_budget FROM {CHAT}"""))
 def q_extract_budget(spark, d):
-    c = load_table(spark, d, "conversations")
+    c = shopping_messages(spark, d)
     return c.select("conv_id", "turn", I.extract_budget(F.col("text")).alias("max_budget"))
 
 
 @register("extract_limit", with_ctes(f"""
 SELECT conv_id, turn, CASE WHEN n IS NULL THEN 6 ELSE greatest(least(n, 20), 1) END AS "limit"
-FROM (SELECT conv_id, turn, TRY_CAST(regexp_extract(text, '{_rx(I.LIMIT)}', 1) AS INTEGER) AS n FROM conversations)"""))
+FROM (SELECT conv_id, turn, TRY_CAST(regexp_extract(text, '{_rx(I.LIMIT)}', 1) AS INTEGER) AS n FROM {CHAT})"""))
 def q_extract_limit(spark, d):
-    c = load_table(spark, d, "conversations")
+    c = shopping_messages(spark, d)
     return c.select("conv_id", "turn", I.extract_limit(F.col("text")).alias("limit"))
 
 
 @register("extract_colour_style", with_ctes(f"""
 SELECT conv_id, turn, CASE WHEN c = 'gray' THEN 'grey' ELSE c END AS colour, s AS style
 FROM (SELECT conv_id, turn, {_first_word_sql('text', I.COLOURS)} AS c, {_first_word_sql('text', I.STYLES)} AS s
-      FROM conversations)"""))
+      FROM {CHAT})"""))
 def q_extract_colour_style(spark, d):
-    c = load_table(spark, d, "conversations")
+    c = shopping_messages(spark, d)
     return c.select("conv_id", "turn", I.extract_colour(F.col("text")).alias("colour"),
                     I.extract_style(F.col("text")).alias("style"))
 
@@ -354,7 +355,7 @@ def q_extract_product_group(spark, d):
 
 @register("context_window", with_ctes("SELECT conv_id, turn, message, intent_text FROM ctx", extra=_CTX))
 def q_context_window(spark, d):
-    return I.context_window(load_table(spark, d, "conversations"))
+    return I.context_window(shopping_messages(spark, d))
 
 
 @register("merge_intent", with_ctes(f"""
@@ -373,4 +374,4 @@ FROM (SELECT x.*, {_intent_cols_sql('x.intent_text')},
       FROM ctx x)""", "items", extra=_CTX + ",\n" + _GROUPS))
 def q_merge_intent(spark, d):
     f = Frames(spark, d)
-    return I.assistant_intents(load_table(spark, d, "conversations"), I.product_groups(f.items))
+    return I.assistant_intents(shopping_messages(spark, d), I.product_groups(f.items))

@@ -26,11 +26,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
     from tastebud.plans import (  # noqa: F401
-        queries_clean, queries_rank, queries_eval,
+        queries_clean, queries_eval, queries_models, queries_profile, queries_rank, queries_serving, queries_text,
     )
-    for mod in ("queries_profile", "queries_text", "queries_models", "queries_serving"):
-        try:
-            __import__(f"tastebud.plans.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if mod not in str(exc):
-                raise

@@ -6,10 +6,11 @@ k, then macro-averaged; nothing is collected per user on the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastebud.functions.index import dense_index
 from tastebud.functions.numeric import uniform
 
 METRICS = ("ndcg_at_k", "map_at_k", "hit_rate_at_k")
@@ -102,30 +103,43 @@ def fresh_metrics(recs: DataFrame, fresh: DataFrame, k: int,
          .otherwise(F.lit(0.0)).alias("users_with_fresh_hit_at_k"))
 
 
+# Cumulative Poisson(1) probabilities of 0, 1, ... 8.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) draw from a uniform number, by inversion (9 at most)."""
+    w = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        w = F.when(u < POISSON[k], F.lit(k)).otherwise(w)
+    return w
+
+
+def resampled_means(per_user: DataFrame, keys: list[str], samples: int, seed: int) -> DataFrame:
+    """Weighted metric means per key and sample; a user has the same weight under every key."""
+    rows = per_user.select(*keys, "customer_id", *METRICS, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    w = poisson_weight(uniform(seed, "b", "customer_id"))
+    rows = rows.select(*keys, "b", *METRICS, w.alias("w")).where(F.col("w") > 0)
+    return rows.groupBy(*keys, "b").agg(*[(F.sum(F.col(m) * F.col("w")) / F.sum("w")).alias(m) for m in METRICS])
+
+
 def bootstrap_ci(per_user: DataFrame, samples: int = 1000, confidence: float = 0.95,
                  seed: int = 42) -> DataFrame:
     """Percentile intervals of the macro metrics over user resamples.
 
-    Sample b draws n users with replacement: draw j picks the user at position
-    floor(u(seed, b, j) * n) of the sorted user list. Draws are generated by
-    ``range`` (distributed) and matched to users by an equi-join on position.
+    Poisson bootstrap: in sample b a user counts as often as a Poisson(1) draw
+    from uniform(seed, b, user) says. Users are neither numbered nor joined;
+    weighted sums per sample are formed where the users lie, so what is shuffled
+    has one row per sample and task.
     """
     if samples <= 0:
         raise ValueError("samples must be greater than zero")
     if not 0.0 < confidence < 1.0:
         raise ValueError("confidence must be between zero and one")
-    spark = per_user.sparkSession
-    users = dense_index(per_user, [F.col("customer_id")], "pos")
-    cnt = per_user.count()
-    if cnt == 0:
-        return spark.createDataFrame([(m, 0.0, 0.0) for m in METRICS], "metric string, lower double, upper double")
-    # samples x n draws from a distributed range: b = id div n, j = id mod n
-    draws = spark.range(samples * cnt).select(
-        (F.col("id") / F.lit(cnt)).cast("long").alias("b"), (F.col("id") % F.lit(cnt)).alias("j"))
-    draws = draws.withColumn("pos", F.floor(uniform(seed, "b", "j") * F.lit(cnt)).cast("long"))
-    means = draws.join(users, "pos").groupBy("b").agg(*[F.avg(m).alias(m) for m in METRICS])
+    means = resampled_means(per_user, [], samples, seed)
     tail = (1.0 - confidence) / 2.0
     q = means.agg(*[F.percentile(m, F.array(F.lit(tail), F.lit(1.0 - tail))).alias(m) for m in METRICS])
     return q.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m)[0].alias("lower"), F.col(m)[1].alias("upper"))
+        F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m)[0], F.lit(0.0)).alias("lower"),
+                 F.coalesce(F.col(m)[1], F.lit(0.0)).alias("upper"))
         for m in METRICS])).alias("x")).select("x.*")

@@ -14,7 +14,6 @@ from tastebud.operators import evaluate as E
 from tastebud.operators import models as M
 from tastebud.operators import policy as PO
 from tastebud.operators import popularity as P
-from tastebud.functions.index import dense_index
 from tastebud.functions.numeric import uniform
 from tastebud.operators.sample import first_n_users, sample_users
 from tastebud.plans.frames import Frames
@@ -186,16 +185,7 @@ def grouped_report(recs: DataFrame, truth: DataFrame, users: DataFrame, fresh: D
 
 def grouped_bootstrap(pu: DataFrame, samples: int, confidence: float, seed: int) -> DataFrame:
     """Bootstrap CIs for all models at once: the same resampled users for every model."""
-    users = pu.select("customer_id").distinct()
-    n = users.count()
-    if n == 0:
-        return pu.sparkSession.createDataFrame([], "model string, metric string, value double")
-    pos = dense_index(users, [F.col("customer_id")], "pos")
-    draws = pu.sparkSession.range(samples * n).select((F.col("id") / F.lit(n)).cast("long").alias("b"),
-                                                       (F.col("id") % F.lit(n)).alias("j"))
-    draws = draws.withColumn("pos", F.floor(uniform(seed, "b", "j") * F.lit(n)).cast("long"))
-    vals = pu.join(pos, "customer_id")
-    means = draws.join(vals, "pos").groupBy("model", "b").agg(*[F.avg(m).alias(m) for m in E.METRICS])
+    means = E.resampled_means(pu, ["model"], samples, seed)
     tail = (1.0 - confidence) / 2.0
     q = means.groupBy("model").agg(*[F.percentile(m, F.array(F.lit(tail), F.lit(1.0 - tail))).alias(m) for m in E.METRICS])
     return q.select("model", F.explode(F.array(*[x for m in E.METRICS for x in (

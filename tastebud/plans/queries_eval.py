@@ -155,13 +155,10 @@ SELECT metric, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (
   UNION ALL SELECT 'map_at_k', quantile_cont(map_at_k, 0.025), quantile_cont(map_at_k, 0.975) FROM means
   UNION ALL SELECT 'hit_rate_at_k', quantile_cont(hit_rate_at_k, 0.025), quantile_cont(hit_rate_at_k, 0.975) FROM means)""",
                                     *_RECS_DEPS, extra=_RECS_EXTRA + f""",
-pos AS (SELECT *, row_number() OVER (ORDER BY customer_id) - 1 AS pos FROM per_user),
-cnt AS (SELECT count(*) AS n FROM per_user),
-draws AS (SELECT b, j, CAST(floor({sql_uniform(42, 'b', 'j')} * (SELECT n FROM cnt)) AS BIGINT) AS pos
-          FROM (SELECT id // (SELECT n FROM cnt) AS b, id % (SELECT n FROM cnt) AS j
-                FROM (SELECT range AS id FROM range(0, 1000 * (SELECT n FROM cnt))))),
-means AS (SELECT b, avg(ndcg_at_k) AS ndcg_at_k, avg(map_at_k) AS map_at_k, avg(hit_rate_at_k) AS hit_rate_at_k
-          FROM draws JOIN pos USING (pos) GROUP BY b)"""))
+draws AS (SELECT *, {sql_uniform(42, 'b', 'customer_id')} AS u FROM per_user, (SELECT range AS b FROM range(0, 1000))),
+weighted AS (SELECT *, CASE {' '.join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(E.POISSON))} ELSE {len(E.POISSON)} END AS w FROM draws),
+means AS (SELECT b, sum(ndcg_at_k * w) / sum(w) AS ndcg_at_k, sum(map_at_k * w) / sum(w) AS map_at_k,
+                 sum(hit_rate_at_k * w) / sum(w) AS hit_rate_at_k FROM weighted WHERE w > 0 GROUP BY b)"""))
 def q_bootstrap_ci(spark, d):
     f = Frames(spark, d)
     pu = E.per_user_metrics(_pop_recs(f), f.truth("val"), K)

@@ -4,6 +4,8 @@ plus factor-model rankers (checked against numpy in tests; rows-only here)."""
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -393,22 +395,41 @@ def q_model_tables(spark, d):
     return M.rec_cf(loaded, _users(f), K)
 
 
-@register("sink_processed")
+_STORED = """
+SELECT 'interactions_clean' AS "table", count(*) AS n_rows FROM clean_b
+UNION ALL SELECT 'items_clean', count(*) FROM items
+UNION ALL SELECT 'customers_clean', count(*) FROM customers
+UNION ALL SELECT 'customer_map', count(DISTINCT customer_id) FROM train_b
+UNION ALL SELECT 'item_map', count(DISTINCT article_id) FROM train_b
+UNION ALL SELECT 'popularity', count(*) FROM pop_b
+UNION ALL SELECT 'seen', count(*) FROM seen_b"""
+_STORED_DEPS = ("clean_b", "items", "customers", "train_b", "pop_b", "seen_b")
+
+
+@register("sink_processed", with_ctes(_STORED, *_STORED_DEPS))
 def q_sink_processed(spark, d):
     """The processed tables written by the preprocess stage, with their row counts."""
     from tastebud.sources.sinks import PROCESSED_TABLES
     f = Frames(spark, d)
-    rows = [(n, f._read(n).count()) for n in PROCESSED_TABLES]
-    return spark.createDataFrame(rows, "table string, n_rows long")
+    counts = [f._read(n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows")) for n in PROCESSED_TABLES]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
-@register("sink_skip_if_present")
+@register("sink_skip_if_present", with_ctes(
+    f"""SELECT "table", n_rows, true AS first_run, false AS second_run, true AS forced_run FROM ({_STORED})""", *_STORED_DEPS))
 def q_sink_skip_if_present(spark, d):
-    """Second run of the preprocess stage is skipped; a forced run rewrites every table."""
+    """A run into an empty folder writes every table, a second one is skipped, a forced one writes again."""
     from tastebud.plans.preprocess import run_preprocess
+    from tastebud.session import checkpoint_dir
+    from tastebud.sources.sinks import PROCESSED_TABLES
     f = Frames(spark, d)
-    ran = run_preprocess(spark, f.raw_transactions, f.raw_items, f.raw_customers, f.store)
-    return spark.createDataFrame([(f.store.split("/")[-1], bool(ran))], "store string, ran boolean")
+    out = f"{checkpoint_dir(spark)}/processed-{uuid.uuid4().hex}"
+    run = lambda force: run_preprocess(spark, f.raw_transactions, f.raw_items, f.raw_customers, out, force)
+    first, second, forced = run(False), run(False), run(True)
+    counts = [spark.read.parquet(f"{out}/{n}").agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows"))
+              for n in PROCESSED_TABLES]
+    return reduce(lambda a, b: a.unionByName(b), counts).select(
+        "*", F.lit(first).alias("first_run"), F.lit(second).alias("second_run"), F.lit(forced).alias("forced_run"))
 
 
 @register("eval_baseline")

@@ -7,13 +7,14 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tastebud.functions.numeric import r6
+from tastebud.operators import coldstart as CS
 from tastebud.operators import intent as I
 from tastebud.operators import popularity as P
 from tastebud.operators import search as S
 from tastebud.operators.serving import budget_filter, enrich_response, median_price
 from tastebud.plans.frames import K, Frames
 from tastebud.plans.oracle import with_ctes
-from tastebud.plans.queries_rank import REC_POP_SQL
+from tastebud.plans.queries_rank import _SEG_SQL, REC_POP_SQL
 from tastebud.plans.queries_text import _CTX, _GROUPS, SEARCH_SQL, _group_sql, _intent_cols_sql, _rx, _search_queries
 from tastebud.plans.registry import register
 from tastebud.sources.adapters import shopping_messages
@@ -55,45 +56,89 @@ def q_lookup_enrich(spark, d):
         .select("customer_id", "rank", "article_id", "product_name", "price_k")
 
 
-# chat: catalog search pool (20) for each user turn, then the turn's intent constraints
-_SEARCH20 = SEARCH_SQL.replace("WHERE rank <= 10)", "WHERE rank <= 20)")
-_INTENTS = _CTX + ",\n" + _GROUPS + f""",
+# The chat flow: catalog search within the budget; turns without a hit go through
+# request routing (cold start, as no user is known) and the same budget; the turn's
+# group (not for catalog hits), colour and style filter the pool before its limit.
+_FLOW = SEARCH_SQL + ",\n" + _CTX + ",\n" + _GROUPS + f""",
+prices AS (SELECT article_id, CAST(round_even(median(price) * 1000, 0) AS BIGINT) AS price_k FROM train_b GROUP BY article_id),
 intents AS (SELECT 'c:' || CAST(x.conv_id AS VARCHAR) || ':' || CAST(x.turn AS VARCHAR) AS msg_id, x.conv_id, x.turn,
-                   {_intent_cols_sql('x.intent_text')}, {_group_sql('x', 'message', 'cur_group')}
+                   {_intent_cols_sql('x.intent_text')}, {_group_sql('x', 'message', 'cur_group')},
+                   {_group_sql('x', 'intent_text', 'any_group')}
             FROM ctx x
             WHERE NOT coalesce(regexp_matches(x.message, '{_rx(I.UNSAFE)}'), false)
               AND NOT coalesce(regexp_matches(x.message, '{_rx(I.GREETING)}'), false)),
-pool AS (SELECT s.query_id AS msg_id, s.rank, s.article_id, m.prod_name, coalesce(nullif(m.item_text, ''), m.detail_desc) AS description
-         FROM shits s JOIN items m USING (article_id) WHERE s.query_id LIKE 'c:%'),
+found AS (SELECT * FROM (
+  SELECT i.msg_id, x.article_id, row_number() OVER (PARTITION BY i.msg_id ORDER BY coalesce(p.score, 0.0) DESC, x.article_id) AS rank
+  FROM qt q JOIN intents i ON i.msg_id = q.query_id JOIN tax x USING (taxonomy)
+  LEFT JOIN pop_b p ON p.article_id = x.article_id LEFT JOIN prices r ON r.article_id = x.article_id
+  WHERE i.max_budget IS NULL OR coalesce(r.price_k, 0) <= i.max_budget) WHERE rank <= 20),
+segs AS ({_SEG_SQL.format(ev="train_b", m=50)}),
+cats AS (SELECT lower(c.product_group_name) AS product_group_name, p.article_id,
+                row_number() OVER (PARTITION BY lower(c.product_group_name) ORDER BY p.score DESC, p.article_id) AS rank
+         FROM pop_b p JOIN items c USING (article_id) WHERE c.product_group_name <> ''),
+routed AS (SELECT i.msg_id, i.max_budget, lower(trim(coalesce(cur_group, any_group))) AS category,
+                  CASE WHEN coalesce(cur_group, any_group) IS NULL
+                            AND EXISTS (SELECT 1 FROM segs s WHERE s.age_band = 'unknown' AND s.club_member_status = 'none')
+                         THEN 'demographic_popularity'
+                       WHEN lower(trim(coalesce(cur_group, any_group))) IN (SELECT product_group_name FROM cats) THEN 'category_popularity'
+                       ELSE 'global_popularity' END AS strategy
+           FROM intents i WHERE i.msg_id NOT IN (SELECT msg_id FROM found)),
+fell AS (SELECT f.msg_id, f.strategy, f.rank, f.article_id, coalesce(r.price_k, 0) AS price_k
+  FROM (SELECT msg_id, max_budget, strategy, s.rank, s.article_id FROM routed JOIN segs s ON strategy = 'demographic_popularity'
+               AND s.age_band = 'unknown' AND s.club_member_status = 'none'
+        UNION ALL SELECT msg_id, max_budget, strategy, c.rank, c.article_id FROM routed JOIN cats c
+               ON strategy = 'category_popularity' AND c.product_group_name = category
+        UNION ALL SELECT msg_id, max_budget, strategy, p.pop_rank, p.article_id FROM routed JOIN pop_b p ON strategy = 'global_popularity') f
+  LEFT JOIN prices r ON r.article_id = f.article_id
+  WHERE f.rank <= 20 AND (f.max_budget IS NULL OR coalesce(r.price_k, 0) <= f.max_budget)),
+pool AS (SELECT s.*, m.prod_name, m.product_group_name, coalesce(nullif(m.item_text, ''), m.detail_desc) AS description
+         FROM (SELECT msg_id, rank, article_id, true AS catalog FROM found UNION ALL SELECT msg_id, rank, article_id, false FROM fell) s
+         JOIN items m USING (article_id)),
 filt AS (SELECT * FROM (SELECT p.*, i."limit", row_number() OVER (PARTITION BY p.msg_id ORDER BY p.rank) AS final_rank
                         FROM pool p JOIN intents i USING (msg_id)
-                        WHERE (i.colour IS NULL OR contains(lower(concat_ws(' ', '', coalesce(p.prod_name, ''), coalesce(p.description, ''))), i.colour))
+                        WHERE (p.catalog OR coalesce(i.cur_group, i.any_group) IS NULL
+                               OR contains(lower(coalesce(p.product_group_name, '')), lower(coalesce(i.cur_group, i.any_group))))
+                          AND (i.colour IS NULL OR contains(lower(concat_ws(' ', '', coalesce(p.prod_name, ''), coalesce(p.description, ''))), i.colour))
                           AND (i.style IS NULL OR contains(lower(concat_ws(' ', coalesce(p.prod_name, ''), coalesce(p.description, ''))), i.style)))
          WHERE final_rank <= "limit")"""
+_FLOW_DEPS = ("items", "customers", "train_b", "pop_b")
+POOL = 20  # candidates per chat turn
 
 
-def _chat_pool(spark, d):
+def _chat_flow(spark, d):
+    """(intents, fallback recommendations, candidate pool) of the shopping messages."""
     f = Frames(spark, d)
-    queries = _search_queries(spark, d).where(F.col("query_id").startswith("c:"))
-    hits = S.search_catalog(queries, f.items, f.pop, 20)
+    msg = F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id")
+    turns, groups = shopping_messages(spark, d), I.product_groups(f.items)
+    cur = I.extract_product_group(turns.where(F.col("role") == "user").select(msg, "text"), groups) \
+        .withColumnRenamed("product_group", "cur_group")
+    intents = (I.assistant_intents(turns, groups).where(F.col("guardrail").isNull() & ~F.col("is_greeting"))
+               .select(msg, "product_group", "colour", "style", "limit", "max_budget").join(cur, "msg_id", "left"))
+    asked = _search_queries(spark, d).join(intents.select(F.col("msg_id").alias("query_id"), "max_budget"), "query_id")
+    prices = median_price(f.train)
+    hits = S.search_catalog(asked, f.items, f.pop, POOL, prices, "max_budget").select(
+        F.col("query_id").alias("msg_id"), "rank", "article_id", F.lit(True).alias("catalog_search"))
+    missed = intents.join(hits.select("msg_id").distinct(), "msg_id", "left_anti")
+    requests = missed.select(F.col("msg_id").alias("request_id"), F.lit(POOL).alias("limit"), F.lit(None).cast("double").alias("age"),
+                             F.lit(None).cast("string").alias("club_member_status"),
+                             F.col("product_group").alias("preferred_product_group"),
+                             F.col("product_group").isNull().alias("use_demographics"))
+    recs = CS.rec_cold_start(requests, P.segment_rankings(f.train, f.customers, 50, top_n=CS.MAX_LIMIT),
+                             P.category_rankings(f.train, f.items, top_n=CS.MAX_LIMIT), f.pop)
+    fell = (budget_filter(recs, prices, None).withColumnRenamed("request_id", "msg_id")
+            .join(intents.select("msg_id", "max_budget"), "msg_id")
+            .where(F.col("max_budget").isNull() | (F.col("price_k") <= F.col("max_budget")))
+            .select("msg_id", "strategy", "rank", "article_id", "price_k"))
     meta = f.items.select("article_id", "prod_name", "product_group_name",
-                          F.coalesce(F.nullif(F.col("item_text"), F.lit("")), F.col("detail_desc")).alias("description"))
-    pool = hits.join(meta, "article_id").select(F.col("query_id").alias("msg_id"), "rank", "article_id", "prod_name",
-                                                "product_group_name", "description",
-                                                F.lit(None).cast("string").alias("colour_text"),
-                                                F.lit(True).alias("catalog_search"))
-    turns = shopping_messages(spark, d)
-    intents = I.assistant_intents(turns, I.product_groups(f.items)).where(
-        F.col("guardrail").isNull() & ~F.col("is_greeting")).select(
-        F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
-        "conv_id", "turn", "product_group", "colour", "style", "limit", "max_budget")
-    return pool, intents
-
-
-@register("constraint_filter", with_ctes("SELECT msg_id, final_rank, article_id FROM filt", "items", "pop_b",
-                                         extra=_SEARCH20 + ",\n" + _INTENTS))
+                          F.coalesce(F.nullif(F.col("item_text"), F.lit("")), F.col("detail_desc")).alias("description"),
+                          F.lit(None).cast("string").alias("colour_text"))
+    pool = hits.unionByName(fell.select("msg_id", "rank", "article_id", F.lit(False).alias("catalog_search"))).join(meta, "article_id")
+    return intents, fell, pool
+
+
+@register("constraint_filter", with_ctes("SELECT msg_id, final_rank, article_id FROM filt", *_FLOW_DEPS, extra=_FLOW))
 def q_constraint_filter(spark, d):
-    pool, intents = _chat_pool(spark, d)
+    intents, _, pool = _chat_flow(spark, d)
     return I.constraint_filter(pool, intents).select("msg_id", "final_rank", "article_id")
 
 
@@ -102,38 +147,25 @@ SELECT msg_id, 'I found ' || CAST(n AS VARCHAR) || ' grounded recommendation(s)'
        CASE WHEN q <> '' THEN ' for ' || q ELSE '' END || '.' ||
        CASE WHEN n = 0 THEN ' Try a broader category or fewer constraints.' ELSE '' END AS message
 FROM (SELECT i.msg_id, coalesce(n.n, 0) AS n,
-             concat_ws(' · ', i.colour, i.style, i.cur_group,
+             concat_ws(' · ', i.colour, i.style,
+                       CASE WHEN i.msg_id IN (SELECT msg_id FROM found) THEN i.cur_group ELSE coalesce(i.cur_group, i.any_group) END,
                        CASE WHEN i.max_budget IS NOT NULL THEN 'under $' || CAST(CAST(trunc(i.max_budget) AS BIGINT) AS VARCHAR) END) AS q
-      FROM intents i LEFT JOIN (SELECT msg_id, count(*) AS n FROM filt GROUP BY 1) n USING (msg_id))""", "items", "pop_b",
-                                      extra=_SEARCH20 + ",\n" + _INTENTS))
+      FROM intents i LEFT JOIN (SELECT msg_id, count(*) AS n FROM filt GROUP BY 1) n USING (msg_id))""", *_FLOW_DEPS, extra=_FLOW))
 def q_result_message(spark, d):
-    """The group shown is the newest message's own group: a catalog-search pool clears an inherited one."""
-    pool, intents = _chat_pool(spark, d)
-    kept = I.constraint_filter(pool, intents)
-    n = kept.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"))
-    f = Frames(spark, d)
-    cur = I.extract_product_group(
-        shopping_messages(spark, d).where(F.col("role") == "user").select(
-            F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
-            "text"), I.product_groups(f.items))
-    j = intents.join(n, "msg_id", "left").join(cur.withColumnRenamed("product_group", "cur_group"), "msg_id", "left")
-    msg = I.result_message(F.coalesce("n", F.lit(0)), F.col("colour"), F.col("style"), F.col("cur_group"),
-                           F.col("max_budget"))
-    return j.select("msg_id", msg.alias("message"))
+    """Counts what is left after search or fallback; catalog hits clear a group that older turns named."""
+    intents, _, pool = _chat_flow(spark, d)
+    n = I.constraint_filter(pool, intents).groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"))
+    searched = pool.where("catalog_search").select("msg_id").distinct().withColumn("searched", F.lit(True))
+    j = intents.join(n, "msg_id", "left").join(searched, "msg_id", "left")
+    group = F.when(F.col("searched"), F.col("cur_group")).otherwise(F.col("product_group"))
+    return j.select("msg_id", I.result_message(F.coalesce("n", F.lit(0)), F.col("colour"), F.col("style"), group,
+                                               F.col("max_budget")).alias("message"))
 
 
-@register("intent_fallback")
+@register("intent_fallback", with_ctes("SELECT msg_id, strategy, rank, article_id, price_k FROM fell", *_FLOW_DEPS, extra=_FLOW))
 def q_intent_fallback(spark, d):
-    """Chat turns without catalog hits fall back to recommendations, then the budget filter."""
-    f = Frames(spark, d)
-    pool, intents = _chat_pool(spark, d)
-    no_hits = intents.join(pool.select("msg_id").distinct(), "msg_id", "left_anti")
-    glob = P.global_top(f.pop, 20)
-    recs = no_hits.select("msg_id", "max_budget", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank")) \
-        .join(glob, "rank")
-    priced = budget_filter(recs, median_price(f.train), None)
-    return priced.where(F.col("max_budget").isNull() | (F.col("price_k") <= F.col("max_budget"))) \
-        .select("msg_id", "rank", "article_id", "price_k")
+    """Chat turns without catalog hits fall back to routed recommendations within the budget."""
+    return _chat_flow(spark, d)[1]
 
 
 @register("build_request", with_ctes("""

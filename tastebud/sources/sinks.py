@@ -23,8 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """True when a finished write left its ``_SUCCESS`` marker, on whatever file system the path names."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def outputs_present(spark: SparkSession, out_dir: str, names=PROCESSED_TABLES) -> bool:
-    return all(exists(spark, f"{out_dir}/{n}") for n in names)
+    return all(committed(spark, f"{out_dir}/{n}") and exists(spark, f"{out_dir}/{n}") for n in names)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None,

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+BLOCK_BYTES = 512 * 1024  # of one side of a block pair: 1,024 vectors of 64 numbers
 TIE_DIGITS = 9  # scores are ranked after rounding so engines with other summation orders agree
 
 
@@ -46,60 +44,50 @@ def normalize_vectors(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     return vectors.withColumn(col, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
 
 
-def _score_block(qn: DataFrame, bc, n: int, id_col: str, col: str, schema: T.StructType) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cids, cmat = bc.value
-        for b in batches:
-            if b.empty or len(cids) == 0:
-                continue
-            s = np.vstack(b[col].to_numpy()) @ cmat.T          # one matmul per Arrow batch
-            out = []
-            for r, qid in enumerate(b["query_id"].to_numpy()):
-                keep = cids != qid
-                cand_ids, raw = cids[keep], s[r][keep]
-                order = np.lexsort((cand_ids, -np.round(raw, TIE_DIGITS)))[:n]
-                out.append(pd.DataFrame({"query_id": qid, "rank": np.arange(1, len(order) + 1, dtype=np.int64),
-                                         "score": raw[order], id_col: cand_ids[order]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-    return qn.mapInPandas(score, schema)
-
-
 def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col: str = "vec_id",
-                       col: str = "embedding", max_block_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                       col: str = "embedding", max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact inner-product top-n over L2-normalised vectors (a flat index), self excluded.
 
-    The corpus is broadcast in blocks of at most ``max_block_bytes`` (rows x
-    dim x 8): one block when it fits, otherwise the driver walks the id-ordered
-    blocks, each scored against every query batch in ``mapInPandas``, and a
-    per-query window keeps the best n over the (blocks x n) candidates.
+    Both sides are dealt into blocks of about ``max_block_bytes`` (rows x dim x
+    8) by a hash; every pair of a query block and a corpus block is one group,
+    scored by one matrix product, and keeps n per query; a window keeps the best
+    n of the (blocks x n) candidates. No vector passes through the driver and
+    nothing is broadcast; the plan is the same at every size.
     """
-    spark = vectors.sparkSession
     corpus = normalize_vectors(vectors.select(id_col, col), col)
-    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("dim")).first()
-    rows, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    block_rows = max(1, max_block_bytes // max(1, dim * 8))
-    n_blocks = max(1, -(-rows // block_rows))
-    qn = normalize_vectors(queries.select(F.col(id_col).alias("query_id"), F.col(col)), col)
-    schema = T.StructType([T.StructField("query_id", corpus.schema[id_col].dataType),
-                           T.StructField("rank", T.LongType()), T.StructField("score", T.DoubleType()),
-                           T.StructField(id_col, corpus.schema[id_col].dataType)])
-    if n_blocks > 1:
-        from tastebud.functions.index import dense_index
-        corpus = dense_index(corpus, [F.col(id_col)], "_pos").withColumn(
-            "_blk", (F.col("_pos") / F.lit(block_rows)).cast("long")).checkpoint(eager=True)
-    parts = None
-    for blk in range(n_blocks):
-        part_df = corpus if n_blocks == 1 else corpus.where(F.col("_blk") == blk)
-        pdf = part_df.select(id_col, col).orderBy(id_col).toPandas()   # <= max_block_bytes
-        ids = pdf[id_col].to_numpy()
-        mat = np.vstack(pdf[col].to_numpy()) if len(pdf) else np.zeros((0, max(dim, 1)))
-        scored = _score_block(qn, spark.sparkContext.broadcast((ids, mat)), n, id_col, col, schema)
-        parts = scored if parts is None else parts.unionByName(scored)
-    if n_blocks == 1:
-        return parts
+    wanted = normalize_vectors(queries.select(F.col(id_col).alias("query_id"), F.col(col)), col)
+
+    def blocks(df):
+        rows, dim = df.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
+        return max(1, -(-int(rows or 0) * max(1, int(dim or 0)) * 8 // max_block_bytes))
+
+    of_corpus, of_queries = blocks(corpus), blocks(wanted)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = (wanted.withColumn("q_block", F.pmod(F.xxhash64("query_id", col), F.lit(of_queries)).cast("int"))
+            .withColumn("c_block", every(of_corpus)))
+    right = (corpus.withColumn("c_block", F.pmod(F.xxhash64(id_col, col), F.lit(of_corpus)).cast("int"))
+             .withColumn("q_block", every(of_queries)))
+    kind = corpus.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("score", T.DoubleType()), T.StructField(id_col, kind)])
+
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({f.name: [] for f in schema})
+        if q.empty or c.empty:
+            return empty
+        ids, mat, out = c[id_col].to_numpy(), np.vstack(c[col].to_numpy()), []
+        for at in range(0, len(q), 256):
+            part = q.iloc[at:at + 256]
+            for qid, raw in zip(part["query_id"], np.vstack(part[col].to_numpy()) @ mat.T, strict=True):
+                other = ids != qid
+                cand, sc = ids[other], raw[other]
+                order = np.lexsort((cand, -np.round(sc, TIE_DIGITS)))[:n]
+                out.append(pd.DataFrame({"query_id": qid, "score": sc[order], id_col: cand[order]}))
+        return pd.concat(out, ignore_index=True) if out else empty
+
+    keys = ["q_block", "c_block"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DIGITS)), F.asc(id_col))
-    return parts.drop("rank").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n) \
+    return parts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n) \
         .select("query_id", "rank", "score", id_col)
 
 

@@ -35,8 +35,8 @@ from tokenizers import Tokenizer
 from tastebud.llm.common import materialise, small_batches
 
 CAPACITY = 2048
-# Chunks and words whose token ids a worker keeps; emptied when full, so memory is bounded.
-CACHED_CHUNKS, CACHED_WORDS = 200_000, 300_000
+# Chunks and words whose token ids a worker keeps in each of two generations, so memory is bounded.
+CACHED_CHUNKS, CACHED_WORDS = 150_000, 200_000
 # Texts with characters outside these (controls, combining marks, other scripts)
 # are tokenised whole; inside them a white-space chunk is tokenised by itself.
 WHOLE_TEXT = regex.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u20AC]")
@@ -46,23 +46,38 @@ BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b no
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long")
 
 
-class WordIds(dict):
+class Generations(dict):
+    """A bounded memo: when full it becomes the old generation, from which what is asked for again moves back."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class WordIds(Generations):
     """Pre-tokenised lower-case word -> its token ids as little-endian 32-bit bytes, from the model alone."""
 
     def __init__(self, tokenizer):
-        super().__init__()
+        super().__init__(CACHED_WORDS)
         self.model = tokenizer.model
         self.written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+    def make(self, word: str) -> bytes:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        out = self[word] = b"".join([self.written[t.id] for t in self.model.tokenize(letters)])
-        return out
+        return b"".join([self.written[t.id] for t in self.model.tokenize(letters)])
 
 
-class ChunkIds(dict):
+class ChunkIds(Generations):
     """White-space chunk -> its token ids.
 
     Where the tokenizer is the lower-casing one whose split rule can be read
@@ -72,7 +87,7 @@ class ChunkIds(dict):
     """
 
     def __init__(self, tokenizer_json: str):
-        super().__init__()
+        super().__init__(CACHED_CHUNKS)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         self.starts = tuple({t["content"][:2] for t in spec["added_tokens"]})
@@ -84,21 +99,16 @@ class ChunkIds(dict):
     def ids(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
+    def make(self, chunk: str) -> bytes:
         if self.words is None:
-            out = self.ids(chunk)
-        elif chunk.isalpha():  # one word whatever the split rule says of other characters
-            out = self.words[chunk.lower()]
-        elif chunk[-1] in ".,!" and chunk[:-1].isalpha():
-            out = self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
-        elif any(s in chunk for s in self.starts):
-            out = self.ids(chunk)
-        else:
-            out = b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
-        self[chunk] = out
-        return out
+            return self.ids(chunk)
+        if chunk.isalpha():  # one word whatever the split rule says of other characters
+            return self.words[chunk.lower()]
+        if chunk[-1] in ".,!" and chunk[:-1].isalpha():
+            return self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
+        if any(s in chunk for s in self.starts):
+            return self.ids(chunk)
+        return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
 
     def text_ids(self, text: str | None) -> bytes:
         if not text:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,11 +36,11 @@ from tokenizers import Tokenizer
 from tastebud.llm.common import materialise, small_batches
 
 CAPACITY = 2048
-# Chunks and words whose token ids a worker keeps in each of two generations, so memory is bounded.
-CACHED_CHUNKS, CACHED_WORDS = 150_000, 200_000
+# Chunks whose token ids a worker keeps in each of two generations, so memory is bounded.
+CACHED_CHUNKS = 250_000
 # Texts with characters outside these (controls, combining marks, other scripts)
 # are tokenised whole; inside them a white-space chunk is tokenised by itself.
-WHOLE_TEXT = regex.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u20AC]")
+WHOLE_TEXT = re.compile("[^\\t\\n\\r\\x20-\\x7E\\xA1-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u20AC]")
 # Byte-level vocabularies write a byte as itself where it is printable, else as a letter from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -64,26 +65,13 @@ class Generations(dict):
         return out
 
 
-class WordIds(Generations):
-    """Pre-tokenised lower-case word -> its token ids as little-endian 32-bit bytes, from the model alone."""
-
-    def __init__(self, tokenizer):
-        super().__init__(CACHED_WORDS)
-        self.model = tokenizer.model
-        self.written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-
-    def make(self, word: str) -> bytes:
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([self.written[t.id] for t in self.model.tokenize(letters)])
-
-
 class ChunkIds(Generations):
-    """White-space chunk -> its token ids.
+    """Lower-case white-space chunk or word -> its token ids as little-endian 32-bit bytes.
 
     Where the tokenizer is the lower-casing one whose split rule can be read
-    from its file, a new chunk is split by that rule and its words are looked
-    up; chunks with the start of a special token, and other tokenizers, go
-    through the whole tokenizer.
+    from its file, a new chunk is split by that rule and each new word goes
+    through the model alone; texts with the start of a special token, and other
+    tokenizers, go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -91,31 +79,31 @@ class ChunkIds(Generations):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         self.starts = tuple({t["content"][:2] for t in spec["added_tokens"]})
-        self.words = self.split = None
-        if _splits_words(spec):
-            self.words = WordIds(self.tokenizer)
+        self.by_words = _splits_words(spec)
+        if self.by_words:
+            self.model = self.tokenizer.model
+            self.written = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
             self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
 
     def ids(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def make(self, chunk: str) -> bytes:
-        if self.words is None:
-            return self.ids(chunk)
-        if chunk.isalpha():  # one word whatever the split rule says of other characters
-            return self.words[chunk.lower()]
-        if chunk[-1] in ".,!" and chunk[:-1].isalpha():
-            return self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
-        if any(s in chunk for s in self.starts):
-            return self.ids(chunk)
-        return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+        if not chunk.isalpha():  # letters alone are one word whatever the split rule says of other characters
+            if chunk[-1] in ".,!" and chunk[:-1].isalpha():
+                return self[chunk[:-1]] + self[chunk[-1]]
+            words = self.split(chunk)
+            if words != [chunk]:
+                return b"".join(map(self.__getitem__, words))
+        letters = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([self.written[t.id] for t in self.model.tokenize(letters)])
 
     def text_ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.words is None or WHOLE_TEXT.search(text):
+        if not self.by_words or WHOLE_TEXT.search(text) or any(s in text for s in self.starts):
             return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def _splits_words(spec: dict) -> bool:

@@ -80,8 +80,8 @@ def tok():
 
 def test_word_ids_equal_the_tokenizer(tok):
     chunks, rng = packing.ChunkIds(tokenizer_json()), random.Random(6)
-    assert chunks.words is not None
-    texts = ["Don't you'LL 12³ ½ ÀÉÎ ß ẞ İstanbul ΣΑΣ é", "x\x0bz\x85y", "a<|endoftext|>b <|startoftext|>", "日本 語", "Ǆ ŉ ſtr K", "é"]
+    assert chunks.by_words
+    texts = ["Don't you'LL 12³ ½ ÀÉÎ ß ẞ İstanbul ΣΑΣ é", "x\x0bz\x85y", "a<|endoftext|>b <|startoftext|>", "<|EndOfText|>", "'S 'Ll !!! 12. .", "日本 語", "Ǆ ŉ ſtr K", "é"]
     texts += ["".join(rng.choices("aB'sStT 1²éÉ!<|>endoftext_-.,ŉßĲ\n\t", k=rng.randint(0, 40))) for _ in range(3000)]
     for t in texts:
         assert chunks.text_ids(t) == b"".join(i.to_bytes(4, "little") for i in tok.encode(t, add_special_tokens=False).ids)
@@ -89,7 +89,7 @@ def test_word_ids_equal_the_tokenizer(tok):
 
 def test_other_tokenizers_go_through_the_whole_tokenizer():
     chunks = packing.ChunkIds(tokenizer_json("byte_bpe_50k.json"))
-    assert chunks.words is None and chunks.text_ids("two words") == chunks.ids("two words")
+    assert not chunks.by_words and chunks.text_ids("two words") == chunks.ids("two words")
 
 
 def _best_bins(weights, capacity):

@@ -1,27 +1,34 @@
-"""Truncated SVD and blocked top-k scoring over sparse row tables.
+"""Truncated SVD and blocked top-k scoring over sparse row tables; factors are tables too.
 
 A sparse matrix is a DataFrame of rows ``(row, cols array<int>, vals
 array<double>)`` (one row per user or document, bounded by the number of
-columns). Only the *column-side* blocks (n_cols x l, the catalog or the
-vocabulary side) ever reach the driver; they are size-checked before being
-broadcast. Row-side products run inside ``mapInPandas`` tasks and column-side
-sums are distributed aggregations.
+columns). A column-side block is a DataFrame ``(col, vec array<double>)``. Row
+blocks meet the vectors of the columns they touch in one cogroup per block, and
+column sums are aggregated with partial sums before the shuffle. Only l x l
+matrices (l = components + oversamples) and counts reach the driver, nothing is
+broadcast by hand, and the plan is the same at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COLUMN_BLOCK_BYTES = 512 * 1024 * 1024
-DENSE_ACCUMULATOR_BYTES = 64 * 1024 * 1024
+from tastebud.session import checkpoint_dir
+
+ROW_BLOCK_VALUES = 100_000  # matrix values of one row block: at most as many column vectors meet it
+USER_BLOCK, ITEM_BLOCK = 2048, 4096  # vectors of one side of a scoring block pair
+SCORE_ROWS = 256  # users of one matrix product
+TIE_DIGITS = 12  # scores equal to that many digits are ties
+GRAM = -1  # key of the row that carries (A Z)'(A Z)
+VECS = "col long, vec array<double>"
 
 
 def csr_rows(coo: DataFrame, row: str, col: str, val: str) -> DataFrame:
@@ -31,86 +38,115 @@ def csr_rows(coo: DataFrame, row: str, col: str, val: str) -> DataFrame:
     return g.select(F.col(row).alias("row"), F.col("e.c").alias("cols"), F.col("e.v").alias("vals"))
 
 
-def _check_block(n_cols: int, width: int) -> None:
-    size = n_cols * width * 8
-    if size > MAX_COLUMN_BLOCK_BYTES:
-        raise ValueError(f"column block {n_cols}x{width} ({size} bytes) exceeds the broadcast bound")
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to shared storage and read back: lineage ends at committed files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/factors-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt into blocks of about ``ROW_BLOCK_VALUES`` values, at least one per shuffle partition."""
+    values = rows.agg(F.sum(F.size("cols").cast("long"))).first()[0] or 0
+    blocks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(values) // ROW_BLOCK_VALUES))
+    return rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+
 
+def touched(blocks: DataFrame) -> DataFrame:
+    """(at_block, col): the columns with a value in a block."""
+    return (blocks.select(F.col("block").alias("at_block"), F.explode("cols").alias("col"))
+            .select("at_block", F.col("col").cast("long")).distinct())
 
-def _at_a(rows: DataFrame, Z: np.ndarray, with_gram: bool = False):
-    """Aᵀ(A Z) as an (n x l) array (and (A Z)ᵀ(A Z) when asked), computed distributedly.
 
-    Each task multiplies its rows by the broadcast Z and emits partial column
-    sums for the columns it touched; partial sums are combined by a
-    vector-sum aggregate keyed by column (map-side combined).
+def _empty(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: np.array([], object) for c in columns})
+
+
+def _products(b: pd.DataFrame, z: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row block and the vectors it touches: Y = A Z, and per value its row, place in z, column and value.
+
+    Columns without a vector count as zero.
     """
-    spark = rows.sparkSession
-    n, l = Z.shape
-    _check_block(n, l)
-    bz = spark.sparkContext.broadcast(Z)
-
-    dense_acc = n * l * 8 <= DENSE_ACCUMULATOR_BYTES
-
-    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = bz.value
-        # small column side: one dense partial per task; large: compact per-batch partials
-        acc = np.zeros((n, l)) if dense_acc else None
-        touched = np.zeros(n, dtype=bool) if dense_acc else None
-        gram = np.zeros((l, l)) if with_gram else None
-        for b in it:
-            lens = np.fromiter((len(c) for c in b["cols"]), dtype=np.int64, count=len(b))
-            if lens.sum() == 0:
-                continue
-            cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in b["cols"]])
-            vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in b["vals"]])
-            row_of = np.repeat(np.arange(len(b)), lens)
-            y = np.zeros((len(b), l))
-            np.add.at(y, row_of, vals[:, None] * z[cols])        # Y = A Z for the batch rows
-            if gram is not None:
-                gram += y.T @ y
-            contrib = vals[:, None] * y[row_of]                  # Aᵀ Y, scattered by column
-            if dense_acc:
-                np.add.at(acc, cols, contrib)
-                touched[cols] = True
-            else:
-                uniq, inv = np.unique(cols, return_inverse=True)
-                compact = np.zeros((len(uniq), l))
-                np.add.at(compact, inv, contrib)
-                yield pd.DataFrame({"col": uniq.astype(np.int64), "vec": list(compact)})
-        out = None
-        if dense_acc:
-            keys = np.flatnonzero(touched)
-            out = pd.DataFrame({"col": keys.astype(np.int64), "vec": list(acc[keys])})
-        if gram is not None:
-            g = pd.DataFrame({"col": [-1], "vec": [gram.ravel()]})
-            out = g if out is None else pd.concat([out, g], ignore_index=True)
-        if out is not None and len(out):
-            yield out
-
-    schema = T.StructType([T.StructField("col", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    partial = rows.mapInPandas(part, schema)
-    summed = (partial.groupBy("col").agg(Summarizer.sum(array_to_vector("vec")).alias("s"))
-              .select("col", vector_to_array("s").alias("vec")))
-    pdf = summed.toPandas()
-    bz.unpersist()
-    out = np.zeros((n, l))
-    gram = None
-    for c, v in zip(pdf["col"], pdf["vec"]):
-        if c < 0:
-            gram = np.asarray(v).reshape(l, l)
-        else:
-            out[int(c)] = v
-    return (out, gram) if with_gram else out
+    order = np.argsort(z["col"].to_numpy(), kind="stable")
+    keys, mat = z["col"].to_numpy()[order], np.vstack(z["vec"].to_numpy()[order])
+    lens = np.fromiter(map(len, b["cols"]), np.int64, len(b))
+    cols = np.concatenate([np.asarray(c, np.int64) for c in b["cols"]])
+    vals = np.concatenate([np.asarray(v, np.float64) for v in b["vals"]])
+    row_of = np.repeat(np.arange(len(b)), lens)
+    at = np.minimum(np.searchsorted(keys, cols), len(keys) - 1)
+    known = keys[at] == cols
+    row_of, at, vals = row_of[known], at[known], vals[known]
+    y = np.zeros((len(b), mat.shape[1]))
+    np.add.at(y, row_of, vals[:, None] * mat[at])
+    return y, row_of, at, keys, vals
+
+
+def at_a(blocks: DataFrame, places: DataFrame, z: DataFrame, with_gram: bool = False) -> DataFrame:
+    """(col, vec) of Aᵀ(A Z); with ``with_gram`` also one row ``GRAM`` with (A Z)ᵀ(A Z), flattened."""
+    def run(b: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or v.empty:
+            return _empty("col", "vec")
+        y, row_of, at, keys, vals = _products(b, v)
+        sums = np.zeros((len(keys), y.shape[1]))
+        np.add.at(sums, at, vals[:, None] * y[row_of])
+        out = pd.DataFrame({"col": keys, "vec": list(sums)})
+        if with_gram:
+            out = pd.concat([out, pd.DataFrame({"col": [GRAM], "vec": [(y.T @ y).ravel()]})], ignore_index=True)
+        return out
+
+    parts = (blocks.select("block", "cols", "vals").groupBy("block")
+             .cogroup(places.join(z, "col").groupBy("at_block")).applyInPandas(run, VECS))
+    return vector_sum(parts, "col")
+
+
+def vector_sum(vectors: DataFrame, key: str) -> DataFrame:
+    return (vectors.groupBy(key).agg(Summarizer.sum(array_to_vector("vec")).alias("s"))
+            .select(key, vector_to_array("s").alias("vec")))
+
+
+def gram(z: DataFrame) -> np.ndarray:
+    """ZᵀZ: one l x l partial per task, summed by Spark."""
+    def run(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                m = np.vstack(b["vec"].to_numpy())
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"col": [0], "vec": [total.ravel()]})
+
+    flat = np.asarray(vector_sum(z.select("vec").mapInPandas(run, VECS), "col").first()["vec"])
+    l = int(round(len(flat) ** 0.5))
+    return flat.reshape(l, l)
+
+
+def times(z: DataFrame, m: np.ndarray) -> DataFrame:
+    """(col, vec) of Z M for a small matrix M."""
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"col": b["col"], "vec": list(np.vstack(b["vec"].to_numpy()) @ m)})
+
+    return z.select("col", "vec").mapInPandas(run, VECS)
+
+
+def _orthonormal(g: np.ndarray) -> np.ndarray:
+    """M such that the columns of Z M are orthonormal, from g = ZᵀZ; directions of no weight are left out."""
+    scale = np.sqrt(np.diag(g))
+    inverse = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
+    lam, w = np.linalg.eigh(g * np.outer(inverse, inverse))
+    keep = lam > max(lam.max(), 0.0) * 1e-13
+    return inverse[:, None] * w[:, keep] / np.sqrt(lam[keep])
 
 
 def truncated_svd(rows: DataFrame, n_cols: int, n_components: int = 64, seed: int = 42, n_iter: int = 7,
-                  n_oversamples: int = 10, n_rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+                  n_oversamples: int = 10, n_rows: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """Randomized truncated SVD (Halko, Martinsson, Tropp 2011) of a sparse row table.
 
-    Returns (V, sigma): V is n_cols x r right singular vectors, r =
-    min(n_components, min(shape) - 1). The Gaussian start block is drawn as
-    ``RandomState(seed).normal(size=(n_cols, r + oversamples))``; every power
-    step is re-orthonormalised on the column side (a QR of an n x l block).
+    Returns (V, sigma): V is the table (col, vec) of right singular vectors with
+    r = min(n_components, min(shape) - 1) components; columns without a value
+    have no row. Every power step writes AᵀA Z once and makes it orthonormal
+    through its l x l Gram matrix.
     """
     if n_components <= 0:
         raise ValueError("n_components must be greater than zero")
@@ -120,118 +156,114 @@ def truncated_svd(rows: DataFrame, n_cols: int, n_components: int = 64, seed: in
     if min(m, n_cols) - 1 < 1:
         raise ValueError("At least two users and two items are required for SVD")
     r = min(n_components, min(m, n_cols) - 1)
-    l = r + n_oversamples
-    Z = np.random.RandomState(seed).normal(size=(n_cols, l))
+    width = r + n_oversamples
+    blocks = stored(row_blocks(rows), "rows")
+    places = stored(touched(blocks), "places")
+
+    def drawn(batches):
+        for b in batches:
+            vecs = [np.random.Generator(np.random.Philox(key=seed, counter=[0, 0, 0, c])).normal(size=width)
+                    for c in b["col"].tolist()]
+            yield pd.DataFrame({"col": b["col"], "vec": vecs})
+
+    z = rows.sparkSession.range(n_cols).withColumnRenamed("id", "col").mapInPandas(drawn, VECS)
     for _ in range(n_iter):
-        Z, _ = np.linalg.qr(_at_a(rows, Z))
-    Z, _ = np.linalg.qr(Z)
-    # final pass: Z2 = Aᵀ Y and G = Yᵀ Y for Y = A Z, then the SVD of Qᵀ A with Q = Y W Λ^-1/2
-    Z2, G = _at_a(rows, Z, with_gram=True)
-    lam, W = np.linalg.eigh(G)
-    keep = lam > lam.max() * 1e-12 if lam.size and lam.max() > 0 else np.zeros_like(lam, dtype=bool)
-    lam, W = lam[keep], W[:, keep]
-    B = (W / np.sqrt(lam)).T @ Z2.T  # (l' x n) = Qᵀ A
-    _, s, Vt = np.linalg.svd(B, full_matrices=False)
-    r = min(r, len(s))
-    return Vt[:r].T.copy(), s[:r].copy()
-
-
-def project_rows(rows: DataFrame, V: np.ndarray, normalize: bool = False) -> DataFrame:
-    """(row, vec) = A V per row (optionally L2-normalised; a zero row stays zero)."""
-    spark = rows.sparkSession
-    _check_block(*V.shape)
-    bv = spark.sparkContext.broadcast(V)
-
-    def proj(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = bv.value
-        for b in it:
-            vecs = []
-            for cols, vals in zip(b["cols"], b["vals"]):
-                cols = np.asarray(cols, dtype=np.int64)
-                x = np.asarray(vals, dtype=np.float64) @ v[cols] if len(cols) else np.zeros(v.shape[1])
-                if normalize:
-                    nrm = np.linalg.norm(x)
-                    x = x / nrm if nrm > 0 else x
-                vecs.append(x.tolist())
-            yield pd.DataFrame({"row": b["row"], "vec": vecs})
-
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType),
-                           T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    return rows.mapInPandas(proj, schema)
-
-
-def collect_block(vectors: DataFrame, n: int, key: str = "row", col: str = "vec") -> np.ndarray:
-    """Dense (n x d) block from (index, vec) rows; size-checked before collecting."""
-    d = vectors.select(F.max(F.size(col))).first()[0] or 0
-    _check_block(n, d)
-    pdf = vectors.select(key, col).toPandas()
-    out = np.zeros((n, d))
-    for i, v in zip(pdf[key], pdf[col]):
-        out[int(i)] = v
-    return out
-
-
-def top_k_scores(users: DataFrame, item_block: np.ndarray, k: int, mode: str = "profile",
-                 allowed: np.ndarray | None = None, user_block: np.ndarray | None = None) -> DataFrame:
-    """Blocked top-k: each task scores its users against the broadcast item block.
+        z = stored(at_a(blocks, places, z), "power")
+        z = times(z, _orthonormal(gram(z)))
+    # last pass: Z2 = Aᵀ Y and G = YᵀY for Y = A Z, then the SVD of QᵀA = (Z2 M)ᵀ with Q = Y M
+    last = stored(at_a(blocks, places, z, with_gram=True), "power")
+    flat = np.asarray(last.where(F.col("col") == GRAM).first()["vec"])
+    z2 = last.where(F.col("col") != GRAM)
+    width = int(round(len(flat) ** 0.5))
+    lam, w = np.linalg.eigh(flat.reshape(width, width))
+    keep = lam > max(lam.max(), 0.0) * 1e-12
+    half = w[:, keep] / np.sqrt(lam[keep])
+    square, u = np.linalg.eigh(half.T @ gram(z2) @ half)
+    order = np.argsort(-square)[:r]
+    order = order[square[order] > 0]
+    s = np.sqrt(square[order])
+    return stored(times(z2, half @ u[:, order] / s), "vectors"), s
+
+
+def project_rows(rows: DataFrame, vectors: DataFrame, normalize: bool = False) -> DataFrame:
+    """(row, vec) = A V per row with columns (optionally L2-normalised; a zero row stays zero).
+
+    ``vectors`` is (col, vec); a column without a vector counts as zero. Rows of
+    a block that meets no vector at all are left out.
+    """
+    blocks = row_blocks(rows.where(F.size("cols") > 0).select("row", "cols", "vals"))
+    kind = T.StructType([T.StructField("row", rows.schema["row"].dataType),
+                         T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def run(b: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or v.empty:
+            return _empty("row", "vec")
+        y = _products(b, v)[0]
+        if normalize:
+            norm = np.linalg.norm(y, axis=1, keepdims=True)
+            y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 0)
+        return pd.DataFrame({"row": b["row"], "vec": list(y)})
+
+    places = touched(blocks).join(vectors.select("col", "vec"), "col")
+    return blocks.groupBy("block").cogroup(places.groupBy("at_block")).applyInPandas(run, kind)
+
+
+def top_k_scores(users: DataFrame, items: DataFrame, k: int, mode: str = "profile",
+                 allowed: DataFrame | None = None) -> DataFrame:
+    """(customer_id, rank, item_idx, score): the best k items of every user, in blocks of users and items.
 
     ``users`` rows carry ``(customer_id, cols, vals)``: the history columns
-    (excluded from the result) and their weights. The user vector is
-    ``vals @ user_block[cols]`` (``user_block`` defaults to ``item_block``),
-    L2-normalised when ``mode='profile'``, or the plain mean of the rows when
-    ``mode='session'``. Ties go to the lower item index (= article id order).
-    ``allowed`` masks the candidate items (fresh-only ranking).
+    (excluded from the result) and their weights; ``items`` is (item_idx, vec).
+    The user vector is the weighted sum of the history's vectors,
+    L2-normalised when ``mode`` is ``profile``. Every pair of a user block and an
+    item block keeps k items per user, a window the best k of these. Ties go to
+    the lower item index (= article id order). ``allowed`` (item_idx) limits the
+    candidates.
     """
     if k <= 0:
         raise ValueError("k must be greater than zero")
-    spark = users.sparkSession
-    _check_block(*item_block.shape)
-    bi = spark.sparkContext.broadcast((item_block, user_block, allowed))
-
-    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, ub, allow = bi.value
-        ub = items if ub is None else ub
-        n_items = items.shape[0]
-        chunk = max(1, min(1024, (64 << 20) // max(1, 8 * n_items)))  # score matrix per chunk <= 64 MB
-        for b in it:
-            b = b[b["cols"].map(len) > 0]
-            out_u, out_r, out_i, out_s = [], [], [], []
-            for start in range(0, len(b), chunk):
-                part = b.iloc[start:start + chunk]
-                lens = part["cols"].map(len).to_numpy()
-                cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in part["cols"]])
-                vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in part["vals"]])
-                row_of = np.repeat(np.arange(len(part)), lens)
-                prof = np.zeros((len(part), ub.shape[1]))
-                if mode == "session":
-                    np.add.at(prof, row_of, ub[cols])
-                    prof /= lens[:, None]
-                else:
-                    np.add.at(prof, row_of, vals[:, None] * ub[cols])
-                if mode in ("profile", "session"):
-                    nrm = np.linalg.norm(prof, axis=1, keepdims=True)
-                    prof = np.divide(prof, nrm, out=np.zeros_like(prof), where=nrm > 0)
-                S = prof @ items.T                                   # (users in chunk) x items
-                S[row_of, cols] = -np.inf                            # history is never recommended
-                if allow is not None:
-                    S[:, ~allow] = -np.inf
-                for r, uid in enumerate(part["customer_id"].to_numpy()):
-                    s = S[r]
-                    cand = np.flatnonzero(np.isfinite(s))
-                    if cand.size == 0:
-                        continue
-                    take = min(k, cand.size)
-                    if take < cand.size:
-                        kth = np.partition(s[cand], cand.size - take)[cand.size - take]
-                        cand = cand[s[cand] >= kth]                  # keep every tie at the cut
-                    order = cand[np.lexsort((cand, -s[cand]))][:take]
-                    out_u += [uid] * len(order)
-                    out_r += list(range(1, len(order) + 1))
-                    out_i += order.tolist()
-                    out_s += s[order].tolist()
-            yield pd.DataFrame({"customer_id": out_u, "rank": np.asarray(out_r, dtype=np.int64),
-                                "item_idx": np.asarray(out_i, dtype=np.int64), "score": np.asarray(out_s, dtype=np.float64)})
-
-    schema = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("rank", T.LongType()),
-                           T.StructField("item_idx", T.LongType()), T.StructField("score", T.DoubleType())])
-    return users.select("customer_id", "cols", "vals").mapInPandas(score, schema)
+    if mode not in ("raw", "profile"):
+        raise ValueError("mode must be raw or profile")
+    known = users.where(F.size("cols") > 0)
+    vectors = project_rows(known.withColumnRenamed("customer_id", "row"), items.withColumnRenamed("item_idx", "col"),
+                           normalize=mode == "profile")
+    candidates = items if allowed is None else items.join(allowed.select("item_idx"), "item_idx", "left_semi")
+    of_users = max(1, -(-known.count() // USER_BLOCK))
+    of_items = max(1, -(-items.count() // ITEM_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # the history goes along by item block
+    left = (vectors.join(known.select(F.col("customer_id").alias("row"), "cols"), "row")
+            .select(F.col("row").alias("customer_id"), "vec", "cols",
+                    F.pmod(F.xxhash64("row"), F.lit(of_users)).cast("int").alias("u_block"), every(of_items).alias("i_block"))
+            .withColumn("cols", F.expr(f"filter(cols, c -> pmod(c, {of_items}) = i_block)")))
+    right = candidates.select("item_idx", "vec", F.pmod("item_idx", F.lit(of_items)).cast("int").alias("i_block"),
+                              every(of_users).alias("u_block"))
+    schema = "customer_id string, item_idx long, score double"
+
+    def score(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        uids, picked, best = [], [], []
+        if u.empty or i.empty:
+            return _empty("customer_id", "item_idx", "score")
+        i = i.sort_values("item_idx")
+        ids, mat = i["item_idx"].to_numpy(), np.vstack(i["vec"].to_numpy())
+        for start in range(0, len(u), SCORE_ROWS):
+            part = u.iloc[start:start + SCORE_ROWS]
+            scores = np.round(np.vstack(part["vec"].to_numpy()) @ mat.T, TIE_DIGITS)
+            for uid, cols, s in zip(part["customer_id"], part["cols"], scores, strict=True):
+                free = ~np.isin(ids, cols)
+                cand, of = ids[free], s[free]
+                if len(cand) > k:
+                    kth = np.partition(of, len(of) - k)[len(of) - k]
+                    cand, of = cand[of >= kth], of[of >= kth]  # every tie at the cut
+                order = np.lexsort((cand, -of))[:k]
+                uids += [uid] * len(order)
+                picked.append(cand[order])
+                best.append(of[order])
+        return pd.DataFrame({"customer_id": np.array(uids, object), "item_idx": np.concatenate(picked),
+                             "score": np.concatenate(best)})
+
+    keys = ["u_block", "i_block"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+    w = Window.partitionBy("customer_id").orderBy(F.desc("score"), F.asc("item_idx"))
+    return parts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k) \
+        .select("customer_id", "rank", "item_idx", "score")

@@ -21,6 +21,7 @@ GREETING = r"(?i)^\s*(?:hi|hello|hey|good\s+(?:morning|afternoon|evening)|howdy)
 BUDGET = r"(?i)(?:under|below|less than|max(?:imum)?|budget(?: of| is)?|up to)\s*(?:[$£€]\s*)?(\d+(?:\.\d{1,2})?)"
 LIMIT = r"(?i)\b(?:show|find|give|recommend)(?:\s+me)?\s+(\d{1,2})\b"
 DEFAULT_LIMIT, MAX_LIMIT, CONTEXT_TURNS = 6, 20, 6
+ANCHOR = 4  # characters by which group names and messages meet
 
 
 def product_groups(items: DataFrame) -> DataFrame:
@@ -67,12 +68,22 @@ def extract_product_group(messages: DataFrame, groups: DataFrame, text_col: str
                           key: str = "msg_id") -> DataFrame:
     """(key, product_group): the longest group name contained in the text, case-insensitive.
 
-    Groups are a small distinct dictionary (broadcast); length ties go to the
-    alphabetically first name.
+    Messages and names meet by equality on the first ``ANCHOR`` characters of a
+    name, which must occur in any text that contains it; the pairs found are
+    then confirmed on the text. Length ties go to the alphabetically first name.
     """
-    g = groups.select(F.col("product_group_name").alias("group"), F.lower("product_group_name").alias("g"))
-    hit = messages.select(key, F.lower(F.col(text_col)).alias("low")).join(
-        F.broadcast(g), F.col("low").contains(F.col("g")))
+    g = groups.select(F.col("product_group_name").alias("group"), F.lower("product_group_name").alias("g")) \
+        .withColumn("anchor", F.substring("g", 1, ANCHOR))
+    chars = messages.select(key, F.split(F.lower(F.col(text_col)), "").alias("c")).where(F.size("c") > 0)
+    at = F.sequence(F.lit(0), F.size("c") - 1)
+
+    def runs(n):
+        return F.transform(at, lambda i: F.array_join(F.slice(F.col("c"), i + 1, n), ""))
+
+    grams = chars.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, ANCHOR + 1)]))).alias("anchor"))
+    found = grams.join(g, "anchor").select(key, "group", "g").distinct()
+    low = messages.select(key, F.lower(F.col(text_col)).alias("low"))
+    hit = found.join(low, key).where(F.col("low").contains(F.col("g")))
     best = hit.groupBy(key).agg(F.min_by("group", F.struct(-F.length("group"), F.col("group"))).alias("product_group"))
     return messages.select(key).distinct().join(best, key, "left")
 
@@ -110,7 +121,7 @@ def assistant_intents(turns: DataFrame, groups: DataFrame) -> DataFrame:
     """
     ctx = context_window(turns).withColumn("msg_id", F.concat_ws(":", "conv_id", "turn"))
     hist = local_intent(ctx, "intent_text", groups, "msg_id")
-    cur = local_intent(ctx, "message", groups, "msg_id", prefix="cur_").select("msg_id", "cur_product_group")
+    cur = extract_product_group(ctx, groups, "message", "msg_id").withColumnRenamed("product_group", "cur_product_group")
     j = ctx.join(hist, "msg_id").join(cur, "msg_id")
     unsafe = unsafe_flag(F.col("message"))
     greet = greeting_flag(F.col("message"))

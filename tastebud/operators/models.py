@@ -1,4 +1,4 @@
-"""Fitted recommenders as Spark plans plus small broadcast factor blocks.
+"""Fitted recommenders as Spark plans over factor tables.
 
 * ``CFModel``: SVD of the log-confidence user x item matrix; score = (A V) Vᵀ.
 * ``ContentModel``: SVD of catalog TF-IDF, L2-normalised item factors, user
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tastebud.functions.index import dense_index
@@ -33,8 +32,8 @@ def _ckpt(df: DataFrame) -> DataFrame:
 class CFModel:
     item_map: DataFrame      # (article_id, item_idx) over sorted training items
     rows: DataFrame          # (customer_id, cols, vals) log-confidence rows
-    V: np.ndarray            # n_items x r right singular vectors
-    sigma: np.ndarray
+    factors: DataFrame       # (item_idx, vec) right singular vectors
+    sigma: list[float]
     pop: DataFrame
     seen: DataFrame
 
@@ -49,7 +48,8 @@ def fit_cf(train: DataFrame, n_components: int = 64, seed: int = 42,
     rows = FX.csr_rows(conf.join(item_map, "article_id"), "customer_id", "item_idx", "weight")
     rows = _ckpt(rows.withColumnRenamed("row", "customer_id"))
     V, s = FX.truncated_svd(rows.withColumnRenamed("customer_id", "row"), n_items, n_components, seed)
-    return CFModel(item_map, rows, V, s, P.popularity(frame), P.seen_pairs(frame))
+    return CFModel(item_map, rows, V.withColumnRenamed("col", "item_idx"), s.tolist(), P.popularity(frame),
+                   P.seen_pairs(frame))
 
 
 def _with_ids(scored: DataFrame, item_map: DataFrame, idx: str = "item_idx") -> DataFrame:
@@ -61,7 +61,7 @@ def rec_cf(model: CFModel, users: DataFrame, k: int) -> DataFrame:
     """Top-k unseen by factor score; unknown users fall back to popularity."""
     u = users.select("customer_id").distinct()
     known = model.rows.join(u, "customer_id", "left_semi")
-    scored = FX.top_k_scores(known, model.V, k, mode="raw")
+    scored = FX.top_k_scores(known, model.factors, k, mode="raw")
     unknown = u.join(model.rows.select("customer_id"), "customer_id", "left_anti")
     fallback = P.rec_popularity(model.pop, model.seen, unknown, k)
     return _with_ids(scored, model.item_map).unionByName(fallback)
@@ -70,10 +70,9 @@ def rec_cf(model: CFModel, users: DataFrame, k: int) -> DataFrame:
 @dataclass
 class ContentModel:
     cat_map: DataFrame       # (article_id, item_idx) over the prepared catalog
-    item_factors: np.ndarray  # n_catalog x r, rows L2-normalised
+    item_factors: DataFrame  # (item_idx, vec) of the whole catalog, L2-normalised
     rows: DataFrame          # (customer_id, cols, vals) confidence over catalog items
-    fresh: np.ndarray        # bool mask: catalog items without training rows
-    fresh_items: DataFrame   # (article_id)
+    fresh_items: DataFrame   # (article_id) catalog items without training rows
     pop: DataFrame
     seen: DataFrame
 
@@ -90,8 +89,11 @@ def fit_content(train: DataFrame, items: DataFrame, candidates: DataFrame | None
     n_terms = terms.count()
     docs = FX.csr_rows(w.join(terms, "term").join(cat_map, "article_id"), "item_idx", "term_idx", "weight")
     docs = _ckpt(docs)
-    V, _ = FX.truncated_svd(docs, n_terms, n_components, seed, n_rows=n_cat)
-    item_f = FX.collect_block(FX.project_rows(docs, V, normalize=True), n_cat)
+    V, s = FX.truncated_svd(docs, n_terms, n_components, seed, n_rows=n_cat)
+    # an item without a term keeps the zero vector
+    projected = FX.project_rows(docs, V, normalize=True).withColumnRenamed("row", "item_idx")
+    item_f = FX.stored(cat_map.select("item_idx").join(projected, "item_idx", "left").select(
+        "item_idx", F.coalesce("vec", F.array_repeat(F.lit(0.0), len(s))).alias("vec")), "items")
     frame = train.select(*[c for c in ("customer_id", "article_id", "event_ts") if c in train.columns]).dropna(
         subset=["customer_id", "article_id"]).join(cat_map.select("article_id"), "article_id", "left_semi")
     conf = confidence(frame, half_life_days)
@@ -99,10 +101,7 @@ def fit_content(train: DataFrame, items: DataFrame, candidates: DataFrame | None
     rows = _ckpt(rows.withColumnRenamed("row", "customer_id"))
     trained = frame.select("article_id").distinct()
     fresh_items = cat_map.select("article_id").join(trained, "article_id", "left_anti")
-    fresh_idx = fresh_items.join(cat_map, "article_id").select("item_idx").toPandas()["item_idx"].to_numpy()
-    mask = np.zeros(n_cat, dtype=bool)
-    mask[fresh_idx.astype(np.int64)] = True
-    return ContentModel(cat_map, item_f, rows, mask, fresh_items, P.popularity(frame), P.seen_pairs(frame))
+    return ContentModel(cat_map, item_f, rows, fresh_items, P.popularity(frame), P.seen_pairs(frame))
 
 
 def rec_content(model: ContentModel, users: DataFrame, k: int) -> DataFrame:
@@ -115,10 +114,9 @@ def rec_content(model: ContentModel, users: DataFrame, k: int) -> DataFrame:
 
 def rec_content_fresh(model: ContentModel, users: DataFrame, k: int) -> DataFrame:
     """Top-k among fresh catalog items only; unknown users (or no fresh items) -> none."""
-    if not model.fresh.any():
-        return users.sparkSession.createDataFrame([], "customer_id string, rank long, article_id string, score double")
     known = model.rows.join(users.select("customer_id").distinct(), "customer_id", "left_semi")
-    return _with_ids(FX.top_k_scores(known, model.item_factors, k, mode="profile", allowed=model.fresh), model.cat_map)
+    fresh = model.cat_map.join(model.fresh_items, "article_id", "left_semi").select("item_idx")
+    return _with_ids(FX.top_k_scores(known, model.item_factors, k, mode="profile", allowed=fresh), model.cat_map)
 
 
 def rec_session(model: ContentModel, sessions: DataFrame, k: int) -> DataFrame:
@@ -131,10 +129,40 @@ def rec_session(model: ContentModel, sessions: DataFrame, k: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", F.col("item_idx").cast("int").alias("c")))).alias("e"))
     rows = rows.select("customer_id", F.col("e.c").alias("cols"),
                        F.transform(F.col("e.c"), lambda _: F.lit(1.0)).alias("vals"))
-    scored = FX.top_k_scores(rows, model.item_factors, k, mode="session")
+    scored = FX.top_k_scores(rows, model.item_factors, k, mode="profile")  # a mean normalises like a sum
     return _with_ids(scored, model.cat_map).withColumnRenamed("customer_id", "request_id")
 
 
+def item_vectors(model: ContentModel) -> DataFrame:
+    """(item_idx, article_id, vec) of the catalog."""
+    return model.cat_map.join(model.item_factors, "item_idx")
+
+
+# --- persistence ------------------------------------------------------------
+CF_TABLES = ("item_map", "rows", "factors", "pop", "seen")
+CONTENT_TABLES = ("cat_map", "item_factors", "rows", "fresh_items", "pop", "seen")
+
+
+def save_model(model: CFModel | ContentModel, path: str) -> None:
+    """Every table of a fitted model as Parquet below ``path``, which must be new."""
+    names = CF_TABLES if isinstance(model, CFModel) else CONTENT_TABLES
+    for n in names:
+        getattr(model, n).write.parquet(f"{path}/{n}")
+    if isinstance(model, CFModel):
+        model.rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(model.sigma)],
+                                                "component long, sigma double").write.parquet(f"{path}/sigma")
+
+
+def load_cf(spark: SparkSession, path: str) -> CFModel:
+    t = {n: spark.read.parquet(f"{path}/{n}") for n in CF_TABLES}
+    sigma = [r.sigma for r in spark.read.parquet(f"{path}/sigma").orderBy("component").collect()]  # one per component
+    return CFModel(sigma=sigma, **t)
+
+
+def load_content(spark: SparkSession, path: str) -> ContentModel:
+    return ContentModel(**{n: spark.read.parquet(f"{path}/{n}") for n in CONTENT_TABLES})
+
+
 # --- hybrid ---------------------------------------------------------------
 def minmax(cands: DataFrame, col: str = "score", out: str = "norm") -> DataFrame:
     """Per-user (x - min) / (max - min); all-equal lists map to 1.0."""

@@ -30,36 +30,38 @@ def search_catalog(queries: DataFrame, items: DataFrame, popularity: DataFrame,
                    prices: DataFrame | None = None, budget_col: str | None = None) -> DataFrame:
     """Catalog products matching *all* tokens of each query, by popularity desc, id asc.
 
-    A token matches when the lower-cased "product_type_name product_group_name"
-    contains it (or its singular, for tokens > 3 letters ending in s) at a
-    word boundary with an optional plural s. Queries with no usable token get
-    no rows. Matching is token x distinct taxonomy string (a small dictionary
-    of type/group pairs), then joined back to items by equality.
+    A token matches when a word of the lower-cased "product_type_name
+    product_group_name" equals it, its plural, or (for tokens > 3 letters ending
+    in s) its singular, so tokens meet the words of the distinct taxonomy strings
+    by equality. Queries with no usable token get no rows. Without budgets a
+    taxonomy's items are cut to the first ``limit`` before they meet the queries:
+    no later one can be among a query's first ``limit``.
     """
     toks = search_tokens(queries)
     n_tok = toks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_tok"))
     tax = items.select("article_id", F.lower(F.concat_ws(" ", F.coalesce("product_type_name", F.lit("")),
                                                        F.coalesce("product_group_name", F.lit("")))).alias("taxonomy"))
     taxa = tax.select("taxonomy").distinct()
-    form1 = F.col("token")
-    form2 = F.when(F.col("token").endswith("s") & (F.length("token") > 3),
-                   F.expr("substring(token, 1, length(token) - 1)")).otherwise(F.col("token"))
-    distinct_toks = toks.select("token").distinct()
-
-    def pat(form):
-        return F.concat(F.lit("\\b"), form, F.lit("s?\\b"))
-
-    # token x taxonomy dictionary: both sides are small distinct vocabularies
-    matched = (distinct_toks.join(taxa, F.regexp_like(F.col("taxonomy"), pat(form1)) | F.regexp_like(F.col("taxonomy"), pat(form2)))
-               .select("token", "taxonomy"))
+    words = taxa.select("taxonomy", F.explode(F.array_distinct(
+        F.regexp_extract_all("taxonomy", F.lit(r"([\p{L}\p{N}_]+)")))).alias("word"))
+    singular = F.when(F.col("token").endswith("s") & (F.length("token") > 3),
+                      F.expr("substring(token, 1, length(token) - 1)")).otherwise(F.col("token"))
+    forms = toks.select("token").distinct().select(
+        "token", F.explode(F.array_distinct(F.array("token", F.concat("token", F.lit("s")), singular))).alias("word"))
+    matched = forms.join(words, "word").select("token", "taxonomy").distinct()
     hits = (toks.join(matched, "token").groupBy("query_id", "taxonomy").agg(F.count(F.lit(1)).alias("n_hit"))
             .join(n_tok, "query_id").where(F.col("n_hit") == F.col("n_tok")).select("query_id", "taxonomy"))
-    cands = hits.join(tax, "taxonomy").join(popularity.select("article_id", "score"), "article_id", "left") \
+    scored = tax.join(popularity.select("article_id", "score"), "article_id", "left") \
         .withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = F.desc("score"), F.asc("article_id")
+    if prices is None or budget_col is None:
+        scored = (scored.withColumn("_place", F.row_number().over(Window.partitionBy("taxonomy").orderBy(*order)))
+                  .where(F.col("_place") <= limit).drop("_place"))
+    cands = hits.join(scored, "taxonomy")
     if prices is not None and budget_col is not None:
         cands = (cands.join(queries.select("query_id", budget_col), "query_id")
                  .join(prices, "article_id", "left")
                  .where(F.col(budget_col).isNull() | (F.coalesce("price_k", F.lit(0)) <= F.col(budget_col))))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("article_id"))
+    w = Window.partitionBy("query_id").orderBy(*order)
     return (cands.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
             .select("query_id", "rank", "article_id", "score"))

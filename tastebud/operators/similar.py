@@ -71,18 +71,19 @@ def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_co
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("score", T.DoubleType()), T.StructField(id_col, kind)])
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({f.name: [] for f in schema})
         if q.empty or c.empty:
-            return empty
-        ids, mat, out = c[id_col].to_numpy(), np.vstack(c[col].to_numpy()), []
+            return pd.DataFrame({f.name: np.array([], object) for f in schema})
+        ids, mat, qids, found, best = c[id_col].to_numpy(object), np.vstack(c[col].to_numpy()), [], [], []
         for at in range(0, len(q), 256):
             part = q.iloc[at:at + 256]
             for qid, raw in zip(part["query_id"], np.vstack(part[col].to_numpy()) @ mat.T, strict=True):
                 other = ids != qid
                 cand, sc = ids[other], raw[other]
                 order = np.lexsort((cand, -np.round(sc, TIE_DIGITS)))[:n]
-                out.append(pd.DataFrame({"query_id": qid, "score": sc[order], id_col: cand[order]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+                qids += [qid] * len(order)
+                found.append(cand[order])
+                best.append(sc[order])
+        return pd.DataFrame({"query_id": np.array(qids, object), "score": np.concatenate(best), id_col: np.concatenate(found)})
 
     keys = ["q_block", "c_block"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
@@ -91,43 +92,54 @@ def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_co
         .select("query_id", "rank", "score", id_col)
 
 
-MAX_NAME_DICTIONARY = 2_000_000
+NAME_BLOCK = 2048  # names (and queries) of one side of a block pair
 
 
-def resolve_name(queries: DataFrame, items: DataFrame, min_score: float = 0.35) -> DataFrame:
+def resolve_name(queries: DataFrame, items: DataFrame, min_score: float = 0.35, block: int = NAME_BLOCK) -> DataFrame:
     """Name -> article: exact (1.0), else contains, else fuzzy; below ``min_score`` -> no_match.
 
     Score = 1 - levenshtein / max(len) (SQL-checkable; the reference uses a
-    different ratio). Ties go to the smallest article id. The distinct-name
-    dictionary (bounded by the catalog, size-checked) is one scalar-subquery
-    array broadcast to every task; each query row scores it in place, so
-    queries are never joined to the catalog.
+    different ratio, so its cut picks other names). Ties go to the smallest
+    article id. Exact names are found by equality. The remaining queries meet the
+    distinct names in blocks of at most about ``block`` on either side; a block
+    pair keeps one name per query, and the best of these wins. Nothing passes
+    through the driver and the plan is the same at every size.
     """
     names = items.select("article_id", "prod_name",
                          F.lower(F.trim(F.coalesce("prod_name", F.lit("")))).alias("name_norm"))
-    dict_ = (names.groupBy("name_norm").agg(F.min("article_id").alias("article_id"))
-             .join(names.select("article_id", "prod_name"), "article_id"))
-    n_names = dict_.count()
-    if n_names > MAX_NAME_DICTIONARY:
-        raise ValueError(f"{n_names} distinct names exceed the dictionary bound {MAX_NAME_DICTIONARY}")
-    arr = dict_.agg(F.collect_list(F.struct("article_id", "prod_name", "name_norm")).alias("d")).scalar()
-    # the array is projected first: subqueries may not sit inside higher-order functions
-    q = queries.select("query_name").distinct().withColumn("q", F.lower(F.trim("query_name"))).withColumn("_d", arr)
+    dict_ = names.groupBy("name_norm").agg(F.min_by(F.struct("article_id", "prod_name"),
+                                                    F.struct("article_id", "prod_name")).alias("x")) \
+        .select("name_norm", "x.*")
+    q = queries.select("query_name").distinct().withColumn("q", F.lower(F.trim("query_name")))
+    exact = q.join(dict_, q["q"] == dict_["name_norm"]).select(
+        "query_name", F.struct(F.lit(0).alias("tier"), F.lit(-1.0).alias("neg"), "article_id", "prod_name",
+                               F.lit(1.0).alias("score")).alias("b"))
+    rest = q.join(dict_, q["q"] == dict_["name_norm"], "left_anti")
+
+    dealt = lambda df: max(1, -(-df.count() // block))
+    of_names, of_queries = dealt(dict_), dealt(q)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    block_of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = rest.withColumn("q_block", block_of("query_name", of_queries)).withColumn("n_block", every(of_names))
+    packed = (dict_.groupBy(block_of("name_norm", of_names).alias("n_block"))
+              .agg(F.collect_list(F.struct("article_id", "prod_name", "name_norm")).alias("names"))
+              .withColumn("q_block", every(of_queries)))
 
     def cand(x):
         lev = F.levenshtein(F.col("q"), x["name_norm"])
-        ratio = F.lit(1.0) - lev / F.greatest(F.length("q"), F.length(x["name_norm"]), F.lit(1))
-        tier = (F.when(x["name_norm"] == F.col("q"), F.lit(0))
-                .when(x["name_norm"].contains(F.col("q")), F.lit(1)).otherwise(F.lit(2)))
-        score = F.when(tier == 0, F.lit(1.0)).otherwise(ratio)
+        score = F.lit(1.0) - lev / F.greatest(F.length("q"), F.length(x["name_norm"]), F.lit(1))
+        tier = F.when(x["name_norm"].contains(F.col("q")), F.lit(1)).otherwise(F.lit(2))
         return F.struct(tier.alias("tier"), (-F.round(score, TIE_DIGITS)).alias("neg"), x["article_id"].alias("article_id"),
                         x["prod_name"].alias("prod_name"), score.alias("score"))
 
-    best = q.select("query_name", F.element_at(F.sort_array(F.transform(F.col("_d"), cand)), 1).alias("b"))
-    ok = (F.col("b.tier") < 2) | (F.col("b.score") >= min_score)
-    mt = (F.when(F.col("b").isNull() | ~ok, F.lit("no_match")).when(F.col("b.tier") == 0, F.lit("exact"))
+    near = left.join(packed, ["q_block", "n_block"]).select(
+        "query_name", F.array_min(F.transform("names", cand)).alias("b"))
+    # Every query stays, also one that met no name.
+    none = q.select("query_name", F.lit(None).cast(exact.schema["b"].dataType).alias("b"))
+    best = exact.unionByName(near).unionByName(none).groupBy("query_name").agg(F.min("b").alias("b"))
+    ok = F.coalesce((F.col("b.tier") < 2) | (F.col("b.score") >= min_score), F.lit(False))
+    mt = (F.when(~ok, F.lit("no_match")).when(F.col("b.tier") == 0, F.lit("exact"))
           .when(F.col("b.tier") == 1, F.lit("contains")).otherwise(F.lit("fuzzy")))
-    ok = F.coalesce(ok, F.lit(False))
     return best.select("query_name", F.when(ok, F.col("b.article_id")).alias("article_id"),
                        F.when(ok, F.col("b.prod_name")).alias("prod_name"), mt.alias("match_type"),
                        F.when(ok, F.col("b.score")).otherwise(F.lit(0.0)).alias("name_match_score"))

@@ -3,7 +3,6 @@ plus factor-model rankers (checked against numpy in tests; rows-only here)."""
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from functools import reduce
 
@@ -275,15 +274,14 @@ def q_cf_factors(spark, d):
     from tastebud.operators.factors import project_rows
     from tastebud.plans.evaluations import cf_model
     m = cf_model(Frames(spark, d))
-    return project_rows(m.rows.withColumnRenamed("customer_id", "row"), m.V).withColumnRenamed("row", "customer_id")
+    return project_rows(m.rows.withColumnRenamed("customer_id", "row"), m.factors.withColumnRenamed("item_idx", "col")) \
+        .withColumnRenamed("row", "customer_id")
 
 
 @register("content_item_factors")
 def q_content_item_factors(spark, d):
     from tastebud.plans.evaluations import content_model
-    m = content_model(Frames(spark, d))
-    return m.cat_map.join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m.item_factors)],
-                                                "item_idx long, vec array<double>"), "item_idx")
+    return M.item_vectors(content_model(Frames(spark, d)))
 
 
 @register("content_user_profile")
@@ -291,8 +289,8 @@ def q_content_user_profile(spark, d):
     from tastebud.operators.factors import project_rows
     from tastebud.plans.evaluations import content_model
     m = content_model(Frames(spark, d))
-    return project_rows(m.rows.withColumnRenamed("customer_id", "row"), m.item_factors, normalize=True) \
-        .withColumnRenamed("row", "customer_id")
+    return project_rows(m.rows.withColumnRenamed("customer_id", "row"), m.item_factors.withColumnRenamed("item_idx", "col"),
+                        normalize=True).withColumnRenamed("row", "customer_id")
 
 
 @register("rec_cf")
@@ -342,9 +340,7 @@ def q_evidence_item(spark, d):
     f = Frames(spark, d)
     ct = content_model(f)
     recs = M.rec_cf(cf_model(f), _users(f), K)
-    fac = ct.cat_map.join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(ct.item_factors)],
-                                                "item_idx long, vec array<double>"), "item_idx")
-    return evidence_item(recs, f.seen, fac)
+    return evidence_item(recs, f.seen, M.item_vectors(ct))
 
 
 @register("self_join_history")
@@ -361,38 +357,36 @@ def q_route_requests(spark, d):
     f = Frames(spark, d, adapter="orders")
     cf, ct = cf_model(f), content_model(f)
     dev, segs, cats, pop = _cold_models(f)
+    some = F.element_at(F.array(F.lit(5), F.lit(10), F.lit(20)), (F.pmod(F.crc32("customer_id"), F.lit(3)) + 1).cast("int"))
     reqs = f.customers.select(F.col("customer_id").alias("request_id"), F.col("customer_id").alias("user_id"),
-                              F.lit(10).alias("limit"), "age", "club_member_status",
+                              some.alias("limit"), "age", "club_member_status",
                               F.lit(None).cast("string").alias("preferred_product_group"),
                               F.lit(True).alias("use_demographics"))
 
-    def personalized(users, k):
-        return M.rank_top(M.blend(M.rec_cf(cf, users, k * 10), M.rec_content(ct, users, k * 10), WEIGHT), k)
+    def candidates(users, n):
+        return M.rec_cf(cf, users, n), M.rec_content(ct, users, n)
 
     def cold(rq):
         return CS.rec_cold_start(rq.drop("user_id"), segs, cats, pop)
 
-    return route_requests(reqs, cf.rows.select("customer_id"), personalized, cold).drop("signals")
+    return route_requests(reqs, cf.rows.select("customer_id"), candidates, cold, WEIGHT)
 
 
 @register("model_tables")
 def q_model_tables(spark, d):
-    """Persist a fitted CF model (factor block, rows, config) and read it back for scoring."""
-    import numpy as np
-    from tastebud.plans.evaluations import cf_model
+    """Persist both fitted models and the blend weight, read them back and rank with what was read."""
+    from tastebud.plans.evaluations import cf_model, content_model
     from tastebud.session import checkpoint_dir
     f = Frames(spark, d)
-    m = cf_model(f)
-    out = f"{checkpoint_dir(spark)}/models/cf-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
-    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m.V)], "item_idx long, vec array<double>") \
-        .write.mode("overwrite").parquet(f"{out}/item_factors")
-    m.item_map.write.mode("overwrite").parquet(f"{out}/item_map")
-    spark.createDataFrame([(WEIGHT, 64, 42)], "best_weight double, n_components int, seed int") \
-        .write.mode("overwrite").parquet(f"{out}/config")
-    back = spark.read.parquet(f"{out}/item_factors").toPandas().sort_values("item_idx")
-    V = np.vstack(back["vec"].to_numpy())
-    loaded = M.CFModel(spark.read.parquet(f"{out}/item_map"), m.rows, V, m.sigma, m.pop, m.seen)
-    return M.rec_cf(loaded, _users(f), K)
+    out = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    M.save_model(cf_model(f), f"{out}/collaborative")
+    M.save_model(content_model(f), f"{out}/content")
+    spark.createDataFrame([(WEIGHT, 64, 42)], "best_weight double, n_components int, seed int").write.parquet(f"{out}/config")
+    cf, ct = M.load_cf(spark, f"{out}/collaborative"), M.load_content(spark, f"{out}/content")
+    weight = spark.read.parquet(f"{out}/config").first()["best_weight"]
+    users = _users(f)
+    return M.rec_hybrid(M.rec_cf(cf, users, CAND_K), M.rec_content(ct, users, CAND_K), weight, K) \
+        .select("customer_id", "rank", "article_id", "score")
 
 
 _STORED = """

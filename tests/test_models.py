@@ -55,6 +55,11 @@ def test_random_policy_matches_key_order(spark):
     assert len(set(by["u3"].values())) == 4
 
 
+def _matrix(vectors, n):
+    out = dict((r.col, r.vec) for r in vectors.collect())
+    return np.array([out[i] for i in range(n)])
+
+
 def test_truncated_svd_recovers_subspace(spark):
     rng = np.random.default_rng(0)
     m, n, r = 60, 25, 4
@@ -62,17 +67,24 @@ def test_truncated_svd_recovers_subspace(spark):
     rows = spark.createDataFrame([(i, list(range(n)), A[i].tolist()) for i in range(m)],
                                  "row long, cols array<int>, vals array<double>")
     V, s = FX.truncated_svd(rows, n, r, seed=1, n_iter=7)
+    V = _matrix(V, n)
     _, s_ex, vt = np.linalg.svd(A, full_matrices=False)
     assert np.allclose(s, s_ex[:r], rtol=1e-6)
     assert np.allclose(V @ V.T, vt[:r].T @ vt[:r], atol=1e-6)
 
 
-def test_top_k_scores_brute_force(spark):
+@pytest.mark.parametrize("blocks", [(2048, 4096), (3, 7)])
+def test_top_k_scores_brute_force(spark, monkeypatch, blocks):
     rng = np.random.default_rng(1)
     items = rng.normal(size=(30, 5))
     users = [(f"u{i}", sorted(rng.choice(30, 4, replace=False).tolist()), rng.random(4).tolist()) for i in range(8)]
     df = spark.createDataFrame(users, "customer_id string, cols array<int>, vals array<double>")
-    got = FX.top_k_scores(df, items, 5, mode="profile").collect()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_idx long, vec array<double>")
+    monkeypatch.setattr(FX, "USER_BLOCK", blocks[0])
+    monkeypatch.setattr(FX, "ITEM_BLOCK", blocks[1])
+    got = FX.top_k_scores(df, table, 5, mode="profile").collect()
+    only = {r.item_idx for r in FX.top_k_scores(df, table, 30, allowed=table.where("item_idx < 7")).collect()}
+    assert only <= set(range(7))
     for uid, cols, vals in users:
         p = np.asarray(vals) @ items[cols]
         p /= np.linalg.norm(p)
@@ -116,11 +128,33 @@ def test_similar_embeddings_blocked_equals_single(spark):
     assert one == many and len(one) == 120
 
 
-def test_truncated_svd_compact_partials(spark, monkeypatch):
-    monkeypatch.setattr(FX, "DENSE_ACCUMULATOR_BYTES", 0)   # force the compact per-batch path
+def test_truncated_svd_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(FX, "ROW_BLOCK_VALUES", 25)   # two rows a block
     rng = np.random.default_rng(2)
     A = rng.normal(size=(30, 3)) @ np.diag([5.0, 3.0, 2.0]) @ rng.normal(size=(3, 12))
     rows = spark.createDataFrame([(i, list(range(12)), A[i].tolist()) for i in range(30)],
                                  "row long, cols array<int>, vals array<double>")
     V, s = FX.truncated_svd(rows, 12, 3, seed=3, n_iter=5)
     assert np.allclose(s, np.linalg.svd(A, compute_uv=False)[:3], rtol=1e-6)
+    V = _matrix(V, 12)
+    assert np.allclose(V.T @ V, np.eye(3), atol=1e-9)
+    got = {r.row: r.vec for r in FX.project_rows(rows, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(V)], FX.VECS)).collect()}
+    assert np.allclose([got[i] for i in range(30)], A @ V)
+
+
+def test_models_survive_storage(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    tx = _inter(spark, sorted({(f"u{rng.integers(0, 12)}", f"i{rng.integers(0, 15):02d}") for _ in range(90)}))
+    items = spark.createDataFrame([(f"i{j:02d}", f"{w} {x} thing") for j, (w, x) in enumerate(
+        (w, x) for w in ("red", "blue", "green", "black") for x in ("shirt", "shoe", "bag", "hat"))],
+        "article_id string, item_text string")
+    cf, ct = M.fit_cf(tx, 4), M.fit_content(tx, items, n_components=4)
+    M.save_model(cf, f"{tmp_path}/cf")
+    M.save_model(ct, f"{tmp_path}/ct")
+    users = tx.select("customer_id").distinct()
+    for a, b in ((M.rec_cf(cf, users, 5), M.rec_cf(M.load_cf(spark, f"{tmp_path}/cf"), users, 5)),
+                 (M.rec_content(ct, users, 5), M.rec_content(M.load_content(spark, f"{tmp_path}/ct"), users, 5)),
+                 (M.rec_content_fresh(ct, users, 5), M.rec_content_fresh(M.load_content(spark, f"{tmp_path}/ct"), users, 5))):
+        first = sorted((r.customer_id, r.rank, r.article_id) for r in a.collect())
+        assert first and first == sorted((r.customer_id, r.rank, r.article_id) for r in b.collect())
+    assert {r.article_id for r in M.rec_content_fresh(ct, users, 5).collect()} == {"i15"}

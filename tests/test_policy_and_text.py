@@ -133,19 +133,36 @@ def test_cold_start_session_first(spark):
 
 def test_route_requests_known_and_cold(spark):
     from tastebud.operators.serving import HYBRID_STRATEGY, route_requests
-    reqs = spark.createDataFrame([("q1", "u1", 2, None, None, None, True), ("q2", "zz", None, None, None, None, True)],
+    reqs = spark.createDataFrame([("q1", "u1", 2, None, None, None, True), ("q2", "zz", None, None, None, None, True),
+                                  ("q3", "u1", 1, None, None, None, True)],
                                  "request_id string, user_id string, limit int, age double, club_member_status string, "
                                  "preferred_product_group string, use_demographics boolean")
     known = spark.createDataFrame([("u1",)], "customer_id string")
-    pers = spark.createDataFrame([("u1", 1, "a", 0.9, 0.6, 0.3), ("u1", 2, "b", 0.5, 0.5, 0.0), ("u1", 3, "c", 0.1, 0.1, 0.0)],
-                                 "customer_id string, rank long, article_id string, score double, "
-                                 "collaborative_contribution double, content_contribution double")
+    ranked = "customer_id string, rank long, article_id string, score double"
+    cf = spark.createDataFrame([("u1", r, f"a{r:02d}", 100.0 - r) for r in range(1, 41)], ranked)
+    ct = spark.createDataFrame([("u1", 1, "a02", 0.9), ("u1", 2, "x", 0.1)], ranked)
     segs = spark.createDataFrame([], "age_band string, club_member_status string, rank long, article_id string, score double")
     cats = spark.createDataFrame([], "product_group_name string, rank long, article_id string, score double")
     pop = spark.createDataFrame([(f"g{i}", 10.0 - i, i) for i in range(1, 15)], "article_id string, score double, pop_rank long")
-    out = route_requests(reqs, known, lambda users, k: pers.join(users, "customer_id", "left_semi"),
-                         lambda rq: CS.rec_cold_start(rq.drop("user_id"), segs, cats, pop)).collect()
-    q1 = sorted((r.rank, r.article_id, r.strategy) for r in out if r.request_id == "q1")
+    out = route_requests(reqs, known, lambda users, n: (cf.where(F.col("rank") <= n), ct),
+                         lambda rq: CS.rec_cold_start(rq.drop("user_id"), segs, cats, pop), 0.5).collect()
+    of = lambda q: {r.article_id: r for r in out if r.request_id == q}
+    q1, q3 = of("q1"), of("q3")
+    assert {a: r.rank for a, r in q1.items()} == {"a02": 1, "a01": 2} and {r.strategy for r in q1.values()} == {HYBRID_STRATEGY}
+    assert list(q3) == ["a02"]
+    # scores are scaled within the request's own first 10 x limit candidates: 20 and 10 of them
+    assert q1["a02"].collaborative_contribution == pytest.approx(0.5 * 18 / 19)
+    assert q3["a02"].collaborative_contribution == pytest.approx(0.5 * 8 / 9)
     q2 = [r for r in out if r.request_id == "q2"]
-    assert q1 == [(1, "a", HYBRID_STRATEGY), (2, "b", HYBRID_STRATEGY)]
     assert len(q2) == 10 and {r.strategy for r in q2} == {"global_popularity"}  # default limit 10
+
+
+def test_resolve_name_in_blocks(spark):
+    from tastebud.operators.similar import resolve_name
+    names = ["alpha shirt", "beta shirt", "gamma shoe", "delta shoe", "Alpha Shirt", "epsilon"]
+    items = spark.createDataFrame([(f"i{j}", n) for j, n in enumerate(names)], "article_id string, prod_name string")
+    q = spark.createDataFrame([("ALPHA SHIRT ",), ("shoe",), ("gamma shoo",), ("zzzzzzzz",), ("",)], "query_name string")
+    one = {r.query_name: (r.article_id, r.match_type) for r in resolve_name(q, items).collect()}
+    many = {r.query_name: (r.article_id, r.match_type) for r in resolve_name(q, items, block=2).collect()}
+    assert one == many and one["ALPHA SHIRT "] == ("i0", "exact") and one["shoe"] == ("i2", "contains")
+    assert one["gamma shoo"] == ("i2", "fuzzy") and one["zzzzzzzz"] == (None, "no_match") and one[""][1] == "contains"

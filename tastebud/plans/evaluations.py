@@ -1,7 +1,7 @@
 """End-to-end evaluations composed from the operators (the reference's stages).
 
-Fitted models are cached per (session, data dir, adapter, fit set) so a
-report that needs the same SVD twice fits it once.
+Fitted models are cached per (application, version of the processed store, fit
+set) so a report that needs the same SVD twice fits it once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ _MODELS: dict[tuple, object] = {}
 
 
 def cached(f: Frames, name: str, build):
-    key = (id(f.spark), f.sf_dir, f.adapter, name)
+    key = (f.spark.sparkContext.applicationId, f.store, name)
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]
@@ -74,10 +74,14 @@ def eval_cold_start(f: Frames, models, requests, k: int) -> DataFrame:
     recs = recs.select(F.split("request_id", ":")[0].alias("customer_id"),
                        F.when(F.col("request_id").endswith(":global"), F.lit("global_popularity"))
                        .otherwise(F.lit("demographic_fallback")).alias("model"), "rank", "article_id")
+    recs = M._ckpt(recs)  # the cascade is planned and run once for both models
+    size = f.items.select(F.count_distinct("article_id")).scalar()
     out = None
     for model in ("global_popularity", "demographic_fallback"):
         r = recs.where(F.col("model") == model)
-        ev = E.evaluate_rankings(r, cold, k).select(F.lit(model).alias("model"), "*")
+        covered = E.catalog_coverage(r, size, k).scalar()
+        ev = E.evaluate_rankings(r, cold, k).select(F.lit(model).alias("model"), "*",
+                                                    covered.alias("catalog_coverage_at_k"))
         out = ev if out is None else out.unionByName(ev)
     return out
 

@@ -14,6 +14,7 @@ from tastebud.operators import popularity as P
 from tastebud.sources.sinks import PROCESSED_TABLES, outputs_present, write_table
 
 _READY: set[str] = set()
+_HANDLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def run_preprocess(spark: SparkSession, raw_tx: DataFrame, raw_items: DataFrame, raw_customers: DataFrame,
@@ -25,6 +26,8 @@ def run_preprocess(spark: SparkSession, raw_tx: DataFrame, raw_items: DataFrame,
     if not force and (out_dir in _READY or outputs_present(spark, out_dir)):
         _READY.add(out_dir)
         return False
+    for n in PROCESSED_TABLES:  # handles of the tables now rewritten
+        _HANDLES.pop((spark.sparkContext.applicationId, out_dir, n), None)
     write_table(C.clean_items(raw_items), f"{out_dir}/items_clean")
     write_table(C.clean_customers(raw_customers), f"{out_dir}/customers_clean")
     items = spark.read.parquet(f"{out_dir}/items_clean")
@@ -42,9 +45,6 @@ def run_preprocess(spark: SparkSession, raw_tx: DataFrame, raw_items: DataFrame,
     return True
 
 
-_HANDLES: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def is_ready(spark: SparkSession, out_dir: str) -> bool:
     if out_dir in _READY:
         return True
@@ -58,7 +58,7 @@ def read_processed(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     """A processed table; the DataFrame handle (file listing, schema) is reused per session."""
     if name not in PROCESSED_TABLES:
         raise KeyError(name)
-    key = (id(spark), out_dir, name)
+    key = (spark.sparkContext.applicationId, out_dir, name)
     if key not in _HANDLES:
         _HANDLES[key] = spark.read.parquet(f"{out_dir}/{name}")
     return _HANDLES[key]

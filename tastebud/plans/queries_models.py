@@ -182,15 +182,19 @@ def _cold_requests(f: Frames, dev):
     catalog = dev.select("article_id").distinct()
     cold = (f.test.join(known, "customer_id", "left_anti").join(catalog, "article_id", "left_semi")
             .select("customer_id", "article_id").distinct())
-    users = cold.select("customer_id").distinct()
-    prof = users.join(f.customers.select("customer_id", "age", "club_member_status"), "customer_id", "left")
+    users = cold.groupBy("customer_id").agg(F.min("article_id").alias("article_id"))
+    prof = (users.join(f.customers.select("customer_id", "age", "club_member_status"), "customer_id", "left")
+            .join(f.items.select("article_id", "product_group_name"), "article_id", "left"))
     base = prof.select(F.lit(K).alias("limit"), "age", "club_member_status",
                        F.lit(None).cast("string").alias("preferred_product_group"), "customer_id")
+    category = prof.select(F.concat(F.col("customer_id"), F.lit(":category")).alias("request_id"), F.lit(K).alias("limit"), "age",
+                           "club_member_status", F.col("product_group_name").alias("preferred_product_group"), "customer_id",
+                           F.lit(False).alias("use_demographics"))
     demo = base.select(F.concat(F.col("customer_id"), F.lit(":demographic")).alias("request_id"), "*",
                        F.lit(True).alias("use_demographics"))
     glob = base.select(F.concat(F.col("customer_id"), F.lit(":global")).alias("request_id"), "*",
                        F.lit(False).alias("use_demographics"))
-    return demo.unionByName(glob), cold
+    return demo.unionByName(glob).unionByName(category), cold
 
 
 COLD = f"""
@@ -207,12 +211,16 @@ dpop AS (SELECT article_id, score, row_number() OVER (ORDER BY score DESC, artic
 cold AS (SELECT DISTINCT customer_id, article_id FROM test_a
          WHERE customer_id NOT IN (SELECT customer_id FROM dev) AND article_id IN (SELECT article_id FROM dev)),
 creq AS (SELECT u.customer_id, {sql_age_band('c.age')} AS age_band,
-                lower(coalesce(c.club_member_status, 'none')) AS status
-         FROM (SELECT DISTINCT customer_id FROM cold) u LEFT JOIN customers c USING (customer_id)),
-reqs AS (SELECT customer_id || ':demographic' AS request_id, customer_id, age_band, status, true AS use_demo FROM creq
-         UNION ALL SELECT customer_id || ':global', customer_id, age_band, status, false FROM creq),
+                lower(coalesce(c.club_member_status, 'none')) AS status, lower(trim(i.product_group_name)) AS category
+         FROM (SELECT customer_id, min(article_id) AS article_id FROM cold GROUP BY customer_id) u
+         LEFT JOIN customers c USING (customer_id) LEFT JOIN items i USING (article_id)),
+reqs AS (SELECT customer_id || ':demographic' AS request_id, customer_id, age_band, status, NULL AS category, true AS use_demo FROM creq
+         UNION ALL SELECT customer_id || ':global', customer_id, age_band, status, NULL, false FROM creq
+         UNION ALL SELECT customer_id || ':category', customer_id, age_band, status, category, false FROM creq),
 strat AS (SELECT r.*, CASE WHEN r.use_demo AND EXISTS (SELECT 1 FROM segs s WHERE s.age_band = r.age_band AND s.club_member_status = r.status)
-                        THEN 'demographic_popularity' ELSE 'global_popularity' END AS strategy FROM reqs r),
+                        THEN 'demographic_popularity'
+                        WHEN r.category IN (SELECT product_group_name FROM cats) THEN 'category_popularity'
+                        ELSE 'global_popularity' END AS strategy FROM reqs r),
 cs AS (SELECT s.request_id, s.strategy,
               CASE WHEN s.strategy = 'demographic_popularity' THEN 'Popular with shoppers in age band ' || s.age_band || ' and membership ' || s.status || '.'
                    ELSE 'Popular products across all shoppers.' END AS explanation,
@@ -221,7 +229,12 @@ cs AS (SELECT s.request_id, s.strategy,
                               AND x.club_member_status = s.status AND x.rank <= {K}
        UNION ALL
        SELECT s.request_id, s.strategy, 'Popular products across all shoppers.', p.pop_rank, p.article_id, p.score
-       FROM strat s JOIN dpop p ON s.strategy = 'global_popularity' AND p.pop_rank <= {K})"""
+       FROM strat s JOIN dpop p ON s.strategy = 'global_popularity' AND p.pop_rank <= {K}
+       UNION ALL
+       SELECT s.request_id, s.strategy, 'Popular products in ' || s.category || '.', c.rank, c.article_id, c.score
+       FROM strat s JOIN cats c ON s.strategy = 'category_popularity' AND c.product_group_name = s.category AND c.rank <= {K}),
+csu AS (SELECT CASE WHEN request_id LIKE '%:global' THEN 'global_popularity' ELSE 'demographic_fallback' END AS model, *
+        FROM cs WHERE request_id NOT LIKE '%:category')"""
 COLD_DEPS = ("train_a", "val_a", "test_a", "items", "customers")
 
 
@@ -236,25 +249,27 @@ def q_rec_cold_start(spark, d):
 
 @register("eval_cold_start", with_ctes(f"""
 SELECT model, count(*) AS users_evaluated, round(avg(ndcg), 6) AS ndcg_at_k, round(avg(ap), 6) AS map_at_k,
-       round(avg(hit), 6) AS hit_rate_at_k FROM (
-  SELECT CASE WHEN r.request_id LIKE '%:global' THEN 'global_popularity' ELSE 'demographic_fallback' END AS model,
-         r.request_id, sz.n_truth,
+       round(avg(hit), 6) AS hit_rate_at_k,
+       round(any_value(covered) / (SELECT count(DISTINCT article_id) FROM items), 6) AS catalog_coverage_at_k
+FROM (SELECT model, count(DISTINCT article_id) AS covered FROM csu GROUP BY model) JOIN (
+  SELECT r.model, r.request_id, sz.n_truth,
          coalesce(sum(CASE WHEN v.article_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) END), 0)
            / list_sum(list_transform(range(1, least(sz.n_truth, {K}) + 1), lambda q: 1.0 / log2(q + 1))) AS ndcg,
          coalesce(sum(CASE WHEN v.article_id IS NOT NULL THEN h.hs / r.rank END), 0) / least(sz.n_truth, {K}) AS ap,
          CASE WHEN count(v.article_id) > 0 THEN 1.0 ELSE 0.0 END AS hit
-  FROM cs r JOIN (SELECT customer_id, count(*) AS n_truth FROM cold GROUP BY 1) sz
+  FROM csu r JOIN (SELECT customer_id, count(*) AS n_truth FROM cold GROUP BY 1) sz
        ON sz.customer_id = split_part(r.request_id, ':', 1)
   LEFT JOIN cold v ON v.customer_id = sz.customer_id AND v.article_id = r.article_id
   LEFT JOIN (SELECT r2.request_id, r2.rank, row_number() OVER (PARTITION BY r2.request_id ORDER BY r2.rank) AS hs
              FROM cs r2 JOIN cold v2 ON v2.customer_id = split_part(r2.request_id, ':', 1) AND v2.article_id = r2.article_id) h
        ON h.request_id = r.request_id AND h.rank = r.rank
-  GROUP BY 1, 2, 3) GROUP BY model""", *COLD_DEPS, extra=COLD))
+  GROUP BY 1, 2, 3) USING (model) GROUP BY model""", *COLD_DEPS, extra=COLD))
 def q_eval_cold_start(spark, d):
     from tastebud.plans.evaluations import eval_cold_start
     f = Frames(spark, d, adapter="orders")
-    out = eval_cold_start(f, _cold_models(f), _cold_requests(f, _dev(f)), K)
-    return out.select("model", "users_evaluated", *[r6(m).alias(m) for m in E.METRICS])
+    reqs, cold = _cold_requests(f, _dev(f))
+    out = eval_cold_start(f, _cold_models(f), (reqs.where(~F.col("request_id").endswith(":category")), cold), K)
+    return out.select("model", "users_evaluated", *[r6(m).alias(m) for m in (*E.METRICS, "catalog_coverage_at_k")])
 
 
 # --- factor models (numpy-checked in tests; rows-only here) --------------------

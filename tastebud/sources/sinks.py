@@ -11,7 +11,7 @@ from tastebud.session import checkpoint_dir
 
 PROCESSED_TABLES = ("interactions_clean", "items_clean", "customers_clean", "customer_map", "item_map",
                     "popularity", "seen")
-LAYOUT_VERSION = "1"
+LAYOUT_VERSION = "2"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -44,7 +44,26 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     w.parquet(path)
 
 
+INPUTS = {"events": ("events", "part", "customer"), "orders": ("orders", "lineitem", "part", "customer")}
+
+
+def input_version(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the name, size and time of every file below ``paths``, on whatever file system they name."""
+    found = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def processed_dir(spark: SparkSession, sf_dir: str, adapter: str) -> str:
-    """A folder under the shared checkpoint location, keyed by input and adapter."""
-    key = hashlib.sha1(f"{sf_dir}|{adapter}|{LAYOUT_VERSION}".encode()).hexdigest()[:12]
+    """A folder under the shared checkpoint location, keyed by the input files and the adapter.
+
+    Changed input gets a folder of its own, so stale tables are never read.
+    """
+    version = input_version(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in INPUTS[adapter]])
+    key = hashlib.sha256(f"{version}|{adapter}|{LAYOUT_VERSION}".encode()).hexdigest()[:16]
     return f"{checkpoint_dir(spark).rstrip('/')}/processed/{adapter}-{key}"

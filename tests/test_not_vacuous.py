@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.01"
     ("guardrail_flag", "unsafe"), ("greeting_flag", "greeting"), ("extract_budget", "max_budget IS NOT NULL"),
     ("extract_limit", '"limit" <> 6'), ("constraint_filter", "final_rank > 1"),
     ("result_message", "message LIKE 'I found 0%'"), ("result_message", "message LIKE '%under $%'"),
-    ("result_message", "message LIKE '%brand#%'"), ("intent_fallback", "strategy = 'category_popularity'")])
+    ("result_message", "message LIKE '%brand#%'"), ("intent_fallback", "strategy = 'category_popularity'"),
+    ("rec_cold_start", "strategy = 'category_popularity'"), ("rec_cold_start", "strategy = 'demographic_popularity'")])
 def test_rule_hits_and_misses(name, condition):
     import __spark_entry__ as ent
     import oracle_check

@@ -75,7 +75,7 @@ def eval_cold_start(f: Frames, models, requests, k: int) -> DataFrame:
                        F.when(F.col("request_id").endswith(":global"), F.lit("global_popularity"))
                        .otherwise(F.lit("demographic_fallback")).alias("model"), "rank", "article_id")
     recs = M._ckpt(recs)  # the cascade is planned and run once for both models
-    size = f.items.select(F.count_distinct("article_id")).scalar()
+    size = pop.select(F.count(F.lit(1))).scalar()  # the catalog that can be recommended
     out = None
     for model in ("global_popularity", "demographic_fallback"):
         r = recs.where(F.col("model") == model)

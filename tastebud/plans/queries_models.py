@@ -250,7 +250,7 @@ def q_rec_cold_start(spark, d):
 @register("eval_cold_start", with_ctes(f"""
 SELECT model, count(*) AS users_evaluated, round(avg(ndcg), 6) AS ndcg_at_k, round(avg(ap), 6) AS map_at_k,
        round(avg(hit), 6) AS hit_rate_at_k,
-       round(any_value(covered) / (SELECT count(DISTINCT article_id) FROM items), 6) AS catalog_coverage_at_k
+       round(any_value(covered) / (SELECT count(*) FROM dpop), 6) AS catalog_coverage_at_k
 FROM (SELECT model, count(DISTINCT article_id) AS covered FROM csu GROUP BY model) JOIN (
   SELECT r.model, r.request_id, sz.n_truth,
          coalesce(sum(CASE WHEN v.article_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) END), 0)

@@ -47,7 +47,7 @@ MULTIPLY = _seeds.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 ADD = _seeds.integers(0, 2**63, HASHES, dtype=np.uint64)
 CACHED_WORDS = 200_000
 SIGNATURE = [f"s{i}" for i in range(WORDS_OUT)]
-SKETCH = ("doc_id long, n_shingles long, digest binary, bands array<long>, "
+SKETCH = ("doc_id long, place binary, n_shingles long, digest binary, bands array<long>, "
           + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
@@ -97,6 +97,12 @@ def sketch(items: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     return xxhash.xxh3_128_digest(items.tobytes()), band.view(np.int64), packed.view(np.int64)
 
 
+def place_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What names a row: a digest of its id and text; null for a null text."""
+    name = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+    return F.unhex(F.sha2(F.concat(name, F.lit(":"), F.col(text_col)).cast("binary"), 256))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     small_batches(docs.sparkSession)
 
@@ -104,17 +110,18 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         hashes = WordHashes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
+            for doc_id, place, text in zip(b["doc_id"].astype("Int64"), b["place"], b["text"], strict=True):
                 items = shingles(text, size, hashes)
                 if len(items):
                     digest, band, packed = sketch(items)
-                    rows.append((doc_id, len(items), digest, band, *packed.tolist()))
+                    rows.append((doc_id, place, len(items), digest, band, *packed.tolist()))
                 else:
-                    rows.append((doc_id, 0, None, None, *[None] * WORDS_OUT))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "bands", *SIGNATURE])
+                    rows.append((doc_id, place, 0, None, None, *[None] * WORDS_OUT))
+            out = pd.DataFrame(rows, columns=["doc_id", "place", "n_shingles", "digest", "bands", *SIGNATURE])
             yield out.astype({"doc_id": "Int64"} | {s: "Int64" for s in SIGNATURE})
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), place_of(id_col, text_col).alias("place"),
+                        F.col(text_col).alias("text"))
             .mapInPandas(run, SKETCH))
 
 
@@ -141,10 +148,10 @@ def least_estimate(threshold: float) -> float:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, digests: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, doc_id, text) of one document for each of the wanted digests."""
-    wanted = digests.join(nodes.select("digest", "doc_id"), "digest")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "text")
+    """(digest, text) of the very row each of the wanted digests was drawn from."""
+    wanted = digests.join(nodes.select("digest", "place"), "digest")
+    texts = docs.select(place_of(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
+    return texts.join(wanted, "place").select("digest", "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
@@ -157,18 +164,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, den
             if digest not in last:
                 if len(last) >= 64:
                     last.clear()
-                found = shingles(text, size, hashes)
-                last[digest] = found if xxhash.xxh3_128_digest(found.tobytes()) == digest else None
+                last[digest] = shingles(text, size, hashes)
             return last[digest]
 
         for batch in batches:
             keep = []
             for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 x, y = items(ta, bytes(a)), items(tb, bytes(b))
-                if x is not None and y is not None:  # None: another row that repeats the id
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if denominator * both >= numerator * (len(x) + len(y) - both):
-                        keep.append((a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if denominator * both >= numerator * (len(x) + len(y) - both):
+                    keep.append((a, b))
             yield pd.DataFrame(keep, columns=["a", "b"])
 
     left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
@@ -186,10 +191,8 @@ def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size:
                 items = shingles(text, size, hashes)
                 if bytes(at) != centre:
                     centre, middle = bytes(at), shingles(centre_text, size, hashes)
-                if xxhash.xxh3_128_digest(items.tobytes()) == bytes(digest) \
-                        and xxhash.xxh3_128_digest(middle.tobytes()) == centre:
-                    others = np.setdiff1d(items, middle, assume_unique=True)
-                    rows.append((main, digest, comp, apart, len(items), len(items) - len(others), others.view(np.int64)))
+                others = np.setdiff1d(items, middle, assume_unique=True)
+                rows.append((main, digest, comp, apart, len(items), len(items) - len(others), others.view(np.int64)))
             yield pd.DataFrame(rows, columns=["main", "digest", "comp", "apart", "n", "shared", "others"])
 
     rows = (near.join(texts, "digest").join(centres, "main")
@@ -278,6 +281,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     numerator: int = 80, denominator: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return near_rows(docs, id_col, text_col, size, numerator, denominator).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
+              numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """(doc_id, place, n_shingles, component_id, stays) for every row of ``docs``.
+
+    ``stays`` decides by id and text: it holds for rows linked with nothing and, in
+    a component, for the place of its smallest id alone.
+    """
     spark = docs.sparkSession
     least = least_estimate(numerator / denominator)
     drawn = materialise(spark, sketches(docs, id_col, text_col, size), "sketches")
@@ -317,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   F.max(F.when(F.col("digest") == F.col("head"), F.col("comp"))).alias("main"))
              .where(F.col("lo") != F.col("hi")).select("bucket", "main"))
     open_rows = materialise(spark, own.join(mixed, "bucket")
-                            .join(nodes.drop("bands", "doc_id"), "digest")
+                            .join(nodes.drop("bands", "doc_id", "place"), "digest")
                             .withColumn("apart", F.col("comp") != F.col("main")), "open")
     x, y = open_rows.where("apart").alias("x"), open_rows.alias("y")
     meet = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
@@ -340,11 +354,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comps = components(spark, links.union(found))
 
     # Components of documents, named by their smallest id.
-    labelled = drawn.select("doc_id", "n_shingles", "digest").join(
+    labelled = drawn.select("doc_id", "place", "n_shingles", "digest").join(
         comps.select(F.col("node").alias("digest"), "comp"), "digest", "left") \
         .withColumn("comp", F.coalesce("comp", "digest"))
-    names = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place"))
+    names = (labelled.where("comp is not null").groupBy("comp").agg(first_row.alias("first"))
+             .select("comp", F.col("first.doc_id").alias("name"), F.col("first.place").alias("first_place")))
     return (labelled.join(names, "comp", "left")
             .withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("name")))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+            .select("doc_id", "place", "n_shingles", "component_id",
+                    (F.col("comp").isNull() | F.col("place").eqNullSafe(F.col("first_place"))).alias("stays")))

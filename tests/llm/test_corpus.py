@@ -195,3 +195,15 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
 def test_pipeline_run_on_the_small_tables(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark, documents):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(30):  # two copies with a null id or one of two ids beside the one that names the component
+        a, b, c = _copies(rng, vocabulary, 2, 60, 3)
+        rows += [(100 + i, a), (None, b), (1000 + i % 2, c)]
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(documents(rows), size=2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == _brute_components(rows, 2)

@@ -148,10 +148,10 @@ def least_estimate(threshold: float) -> float:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, digests: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, text) of the very row each of the wanted digests was drawn from."""
+    """(digest, text) of the very row each of the wanted digests was drawn from, one row per digest."""
     wanted = digests.join(nodes.select("digest", "place"), "digest")
     texts = docs.select(place_of(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
-    return texts.join(wanted, "place").select("digest", "text")
+    return texts.join(wanted, "place").select("digest", "text").dropDuplicates(["digest"])  # rows may repeat
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:

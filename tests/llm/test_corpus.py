@@ -207,3 +207,24 @@ def test_near_duplicates_of_rows_that_share_an_id(spark, documents):
     rng.shuffle(rows)
     got = neardup.near_duplicates(documents(rows), size=2).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == _brute_components(rows, 2)
+
+
+@pytest.mark.parametrize("repeats", [1, 4])
+def test_second_round_with_repeated_rows(spark, documents, monkeypatch, repeats):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for n, length, most in ((60, 80, 14), (40, 60, 8), (60, 50, 9)):
+        texts += _copies(rng, vocabulary, n, length, most)
+    rows = list(enumerate(texts, start=100)) * repeats
+    seen = []
+
+    def watched(beside, *args):
+        seen.append(beside.groupBy("main", "digest").count().where("count > 1").count())
+        return possible_pairs(beside, *args)
+
+    possible_pairs = neardup.possible_pairs
+    monkeypatch.setattr(neardup, "possible_pairs", watched)
+    got = neardup.near_duplicates(documents(rows), size=2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == _brute_components(rows, 2)
+    assert seen == [0]

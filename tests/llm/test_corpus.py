@@ -228,3 +228,17 @@ def test_second_round_with_repeated_rows(spark, documents, monkeypatch, repeats)
     got = neardup.near_duplicates(documents(rows), size=2).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == _brute_components(rows, 2)
     assert seen == [0]
+
+
+def test_near_dedup_stage_decides_by_id_and_text(spark, documents):
+    rng = random.Random(4)
+    say = lambda: " ".join(rng.choices([f"w{i}" for i in range(300)], k=40))
+    clean, base, twice = [say() for _ in range(12)], say(), say()
+    near = base + " more"
+    rows = ([(None, t) for t in clean[:6]] + [(None, near), (None, twice), (None, twice), (None, None), (None, None)]
+            + [(20, t) for t in clean[6:9]] + [(3, base), (20, near), (30, clean[9]), (30, clean[9]), (40, clean[10]), (41, clean[11])])
+    out = corpus_pipeline.near_dedup_stage(spark, documents(rows), SF)
+    assert out.columns == documents([]).columns
+    want = ([(None, t) for t in clean[:6]] + [(None, twice), (None, None), (None, None)] + [(20, t) for t in clean[6:9]]
+            + [(3, base), (30, clean[9]), (40, clean[10]), (41, clean[11])])
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(i), str(t)) for i, t in want)

@@ -3,14 +3,20 @@
 Text and templates are normalised alike (ASCII letters in lower case and digits
 stay, everything else separates words, bytes of other characters belong to
 words) and become sets of adjacent word pairs. The whole text, each paragraph
-(between blank lines) and each line is compared. Dice 2 |A and B| / (|A| + |B|)
+(between blank lines) and each line is compared, and so are runs of adjacent
+sentences over lines and paragraphs, so that a notice inside a line and a licence
+of several paragraphs inside other text are found. Dice 2 |A and B| / (|A| + |B|)
 can't reach a threshold t unless |A| lies between |B| t / (2 - t) and
 |B| (2 - t) / t, so a unit is only compared with templates of such sizes, and
-only with those that share a pair with it.
+only with those that share a pair with it. A run is sought only for templates of
+which the text holds |B| t / (2 - t) pairs, from each sentence that holds one of
+them to where |A| leaves the bounds: no run at or over the threshold is left out.
 
 Defined results: null and empty texts and units of fewer than two words match
 nothing; of templates with equal likeness the first in the list names a unit;
-repeated lines are reported each.
+repeated lines are reported each; of runs that overlap the likest of a template
+and then the one that shares most pairs is reported, and none of whose pairs the
+reported units hold more than half.
 """
 
 from __future__ import annotations
@@ -19,7 +25,9 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +93,7 @@ TEMPLATES = (
 )
 
 MATCHES = T.ArrayType(T.StructType([
-    T.StructField("unit", T.StringType()),  # text, paragraph or line
+    T.StructField("unit", T.StringType()),  # text, paragraph, line or run
     T.StructField("start", T.LongType()),   # code points; end exclusive
     T.StructField("end", T.LongType()),
     T.StructField("license", T.StringType()),
@@ -94,6 +102,14 @@ MATCHES = T.ArrayType(T.StructType([
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
              for b in range(256))
 _BLANK = re.compile(r"\n[ \t\r]*\n\s*")
+_PIECE = re.compile(r"\n|(?<=[.!?])[ \t]+")
+# Whole licences, kept as files; the AGPL's is missing.
+BODIES = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0")
+
+
+def all_templates() -> tuple[tuple[str, str], ...]:
+    folder = resources.files("tastebud.llm") / "license_texts"
+    return TEMPLATES + tuple((name, (folder / f"{name}.txt").read_text("utf-8")) for name in BODIES)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -150,18 +166,105 @@ def units(text: str) -> Iterator[tuple[str, int, int]]:
         at += len(line) + 1
 
 
+def pieces(text: str) -> Iterator[tuple[int, int]]:
+    """The sentences of each line, by (start, end)."""
+    at = 0
+    for m in _PIECE.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
+def firsts_from(before: np.ndarray, at: int, most: int) -> tuple[np.ndarray, bool]:
+    """Places from ``at`` on of pairs new since ``at``, more than ``most`` or all of them, and whether these are all."""
+    length = 2 * most
+    while True:
+        places = np.flatnonzero(before[at:at + length] < at) + at
+        if len(places) > most or at + length >= len(before):
+            return places, at + length >= len(before)
+        length *= 4
+
+
+def runs(text: str, words: list[bytes], templates: Templates, found: list[dict]) -> list[dict]:
+    """Runs of adjacent sentences that reach the threshold, beside the units ``found``."""
+    pairs = list(zip(words, words[1:], strict=False))
+    shared = Counter(k for p in templates.by_pair.keys() & pairs for k in templates.by_pair[p])
+    able = [k for k, n in shared.items() if n >= len(templates.sets[k][1]) / templates.ratio - 1e-9]
+    if not able:
+        return []
+    places, piece = [], []  # of sentences with words; the sentence of each word
+    for start, end in pieces(text):
+        if n := len(words_of(text[start:end])):
+            piece += [len(places)] * n
+            places.append((start, end))
+    piece = np.array(piece)
+    steps, (starts, ends) = np.zeros(len(places) + 1, np.int64), zip(*places, strict=True)
+    for m in found:  # sentences that a reported unit holds
+        steps[bisect.bisect_right(ends, m["start"])] += 1
+        steps[bisect.bisect_left(starts, m["end"])] -= 1
+    held = (np.cumsum(steps) > 0)[piece]
+    inside = held[:-1] & held[1:]
+    begins = np.searchsorted(piece, np.arange(len(places)))
+    last, before = {}, np.empty(len(pairs), np.int64)  # the same pair's place before
+    for i, p in enumerate(pairs):
+        before[i] = last.get(p, -1)
+        last[p] = i
+
+    chosen = []
+    for k in able:
+        name, wanted = templates.sets[k]
+        most = int(len(wanted) * templates.ratio + 1e-9)
+        hit = np.fromiter((p in wanted for p in pairs), bool, len(pairs))
+        likely = []
+        for first in np.unique(piece[:-1][hit]).tolist():
+            new, whole = firsts_from(before, int(begins[first]), most)
+            ends = piece[new + 1]
+            # Sentences are taken whole: the last new pair of each, as far as |A| stays within its bounds.
+            stops = np.flatnonzero(np.append(ends[1:] != ends[:-1], whole))
+            stops = stops[stops < most]
+            if len(stops):
+                common = np.cumsum(hit[new])[stops]
+                dice = 2.0 * common / (stops + 1 + len(wanted))
+                best = int(dice.argmax())
+                if dice[best] >= templates.threshold:
+                    new = new[:stops[best] + 1]
+                    if 2 * np.count_nonzero(hit[new] & inside[new]) <= common[best]:
+                        likely.append((-float(dice[best]), first, int(ends[stops[best]]), -int(common[best]), k, name))
+        chosen += apart(sorted(likely))
+    return [{"unit": "run", "start": places[first][0], "end": places[end][1], "license": name, "dice": -dice}
+            for dice, first, end, _, _, name in sorted(apart(sorted(chosen, key=lambda r: (r[3], r[0], r[4], r[1]))), key=lambda r: r[1])]
+
+
+def apart(ordered: list[tuple]) -> list[tuple]:
+    """Those of the runs that overlap none taken before them."""
+    out, starts = [], []
+    for r in ordered:
+        i = bisect.bisect_right(starts, r[1])
+        if (i == 0 or out[i - 1][2] < r[1]) and (i == len(out) or r[2] < out[i][1]):
+            starts.insert(i, r[1])
+            out.insert(i, r)
+    return out
+
+
 def scan(text: str | None, templates: Templates) -> list[dict]:
     out = []
-    for unit, start, end in units(text) if text else ():
-        if found := templates.best(words_of(text[start:end])):
+    if not text:
+        return out
+    words = words_of(text)
+    for unit, start, end in units(text):
+        if found := templates.best(words if unit == "text" else words_of(text[start:end])):
             out.append({"unit": unit, "start": start, "end": end, "license": found[0], "dice": found[1]})
-    return out
+    return out + runs(text, words, templates, out)
 
 
-def with_licenses(docs: DataFrame, text_col: str = "text", out: str = "matches", templates=TEMPLATES,
+def with_licenses(docs: DataFrame, text_col: str = "text", out: str = "matches", templates=None,
                   threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with an array ``out`` of the units that match a template, row by row without a shuffle."""
+    """``docs`` with an array ``out`` of the units and runs that match a template, row by row without a shuffle.
+
+    Without ``templates`` these are the notices and the whole licences.
+    """
     small_batches(docs.sparkSession)
+    templates = all_templates() if templates is None else templates
 
     @F.pandas_udf(MATCHES)
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

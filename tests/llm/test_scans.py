@@ -38,6 +38,60 @@ def test_licenses_size_bounds_lose_nothing():
         assert found is None or found[1] == pytest.approx(best)
 
 
+def test_licenses_inside_other_text_in_their_usual_layout():
+    known = licenses.Templates(licenses.all_templates())
+    fill = "\n".join(f"Part {i} tells of step{i} here. It says thing{i} too." for i in range(500))
+    before, after = f"{fill}\n\nA second part, with words.", f"Usage\n\n{fill}"
+
+    def names(layout):
+        text = f"{before}\n\n{layout}\n\n{after}"
+        out = licenses.scan(text, known)
+        assert all(0 <= m["start"] < m["end"] <= len(text) and m["dice"] >= licenses.THRESHOLD for m in out)
+        assert all(m["start"] >= len(before) - 30 and m["end"] <= len(text) - len(after) + 30 for m in out)
+        return {m["license"] for m in out}
+
+    for name, text in licenses.all_templates():
+        words = text.split()
+        broken, kept = "", text if "\n\n" in text else ""
+        for i in range(0, len(words), 11):  # wrapped lines, a blank one after each that ends a sentence
+            broken += " ".join(words[i:i + 11]) + ("\n\n" if words[min(i + 10, len(words) - 1)].endswith((".", ":")) else "\n")
+        for layout in filter(None, (broken, kept)):
+            assert names(layout) & ({name} | ({"GPL", "GPL-3.0"} if name == "GPL" else set())), (name, layout[:80])
+    mit = " ".join(next(t for n, t in licenses.TEMPLATES if n == "MIT" and "hereby" in t).split())
+    parts = mit.replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    assert parts.count("\n\n") == 2 and names(parts) == {"MIT"}
+    gpl = " ".join(next(t for n, t in licenses.TEMPLATES if n == "GPL").split())
+    assert "GPL" in names(gpl.replace(" This program is distributed", "\n\nThis program is distributed"))
+    assert names("Written by nobody in 2020. Released under the MIT License. See the file.") == {"MIT"}
+    assert names("This is a tool. It does things. See the manual.") == set()
+
+
+def test_license_runs_equal_all_windows():
+    rng = random.Random(3)
+    templates = (("a", "k l m n o p q r s t u v"), ("b", "k l m x y z"), ("c", "p q r x"))
+    known = licenses.Templates(templates)
+    hits = 0
+    for _ in range(400):
+        text = "".join(rng.choice("klmnopqrstuvxyz") + rng.choice([" ", " ", " ", ". ", "\n"]) for _ in range(rng.randint(0, 20)))
+        at = rng.randint(0, len(text))
+        body = [w for w in rng.choice(templates)[1].split() if rng.random() < 0.9]
+        text = text[:at] + "\n" + "".join(w + rng.choice([" ", " ", ". ", "\n", "\n\n"]) for w in body) + "\n" + text[at:]
+        words, spans = licenses.words_of(text), [p for p in licenses.pieces(text) if licenses.words_of(text[p[0]:p[1]])]
+        best = 0.0
+        for i in range(len(spans)):
+            for j in range(i, len(spans)):
+                pairs = licenses.bigrams(licenses.words_of(text[spans[i][0]:spans[j][1]]))
+                best = max([best, *(2 * len(pairs & p) / (len(pairs) + len(p)) for _, p in known.sets if pairs)])
+        every = licenses.runs(text, words, known, [])
+        assert bool(every) == (best >= known.threshold)
+        for m in every:
+            pairs = licenses.bigrams(licenses.words_of(text[m["start"]:m["end"]]))
+            body = licenses.bigrams(licenses.words_of(dict(templates)[m["license"]]))
+            assert m["dice"] == pytest.approx(2 * len(pairs & body) / (len(pairs) + len(body)))
+        hits += bool(every)
+    assert 50 < hits < 400
+
+
 def test_licenses_odd_rows_and_empty_table(spark, documents, odd):
     assert all(r["matches"] == [] for r in licenses.with_licenses(documents(odd)).collect())
     assert licenses.with_licenses(documents([]).limit(0)).count() == 0

@@ -1,8 +1,10 @@
 """WARC archives with revisit records for payloads that occur more than once.
 
-Only headers travel to decide who is a revisit: page id, payload digest and
-length are shuffled by digest (partial minimum first, so a payload with very
-many copies is no hot group) and joined back to each page by digest. Records
+Who is a revisit is decided on headers: page id and payload digest are shuffled
+by digest (partial minimum first, so a payload with very many copies is no hot
+group). The decision is joined back to the pages by digest, and unless it is
+small enough to broadcast this join shuffles the payloads too, copies of one
+payload under one key. Records
 are then written by Spark's own text writer: a WARC record ends with two CRLF,
 which is exactly the line separator given to the writer, so the output is
 committed by Spark's protocol on any file system and a lost executor leaves no

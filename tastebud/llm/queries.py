@@ -7,14 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastebud.llm import (chat, decontam, fingerprint, licenses, neardup, packing, quality, secretscan, warc,
-                          wordpiece)
+from tastebud.llm import (chat, decontam, fingerprint, licenses, linededup, neardup, packing, quality, secretscan,
+                          spelling, trie, warc, wordpiece)
 from tastebud.llm.common import materialise, shared_path, table
 
 # Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TASTEBUD_TOKENIZERS", "/opt/tokenizers")
 RESAMPLED_SHARE = 0.5  # of the accepted documents, drawn by op7
 SEED = 7
+DELETE_EVERY = 199  # op11: of the runs, one in so many loses a letter
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
@@ -109,9 +110,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs, delete_every=DELETE_EVERY)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_fingerprint, op3_secret_scan, op4_token_count, op5_chat_format, op6_decontaminate,
-    op7_quality, op8_near_dedup, op9_pack, op10_warc)}
+    op7_quality, op8_near_dedup, op9_pack, op10_warc, op11_spelling_variants, op12_line_dedup, op13_prefix_trie)}
 
 
 def _q(text: str) -> str:
@@ -206,10 +222,77 @@ SELECT page_id, payload_bytes, payload_digest,
 
 _WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
 
+# crc32 of a list of bytes, its table made by the polynomial's rule.
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t)"""
+_CRC = ("xor(list_reduce({0}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)")
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id,
+  unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) GROUP BY doc_id, run),
+bytes AS (SELECT run, k, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: ord(c)::BIGINT) AS o FROM runs),
+hashed AS (SELECT run, k, {_CRC.format("flatten(list_transform(o, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END))")} AS h
+  FROM bytes, crc_table),
+edited AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+  FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one_way AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON c.rest = w.word),
+links AS (SELECT a, b FROM one_way UNION SELECT b, a FROM one_way UNION
+  SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+near AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS best, max(w.n) AS best_n
+  FROM links JOIN words w ON w.word = b GROUP BY a),
+formed AS (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form,
+  CASE WHEN best_n >= 5 * n THEN best_n END::BIGINT AS form_n FROM words LEFT JOIN near ON near.word = words.word),
+chain AS (SELECT word, word AS root, form AS next FROM formed UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, form, c.root, n, n_near, form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
+
+_LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id,
+  string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT r, id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+shared AS (SELECT key, max(id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT id) >= 3),
+marked AS (SELECT r, i, line, keeper IS NOT NULL AND id <> keeper AS gone FROM lines LEFT JOIN shared USING (key)),
+put AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY r)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, kept_sha256 FROM d JOIN put USING (r)"""
+
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(length(role)::VARCHAR || ':' || role || text)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+hashed AS (SELECT conv_id, {_CRC.format("list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+built AS (SELECT h.conv_id, t.pos, 0 AS part, role, text FROM hashed h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND t.pos < h.h
+  UNION ALL SELECT h.conv_id, t.pos, 1, role, text FROM hashed h JOIN t ON t.conv_id = h.conv_id AND t.pos >= h.h),
+seqs AS (SELECT conv_id, coalesce(list({{'k': md5(length(role)::VARCHAR || ':' || role || text),
+    'w': len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))}} ORDER BY part, pos) FILTER (role IS NOT NULL), []) AS s
+  FROM (SELECT conv_id FROM hashed) LEFT JOIN built USING (conv_id) GROUP BY conv_id),
+paths AS (SELECT conv_id, s, len(s) AS len, unnest(range(len(s) + 1)) AS depth FROM seqs),
+keyed AS (SELECT conv_id, depth, len, array_to_string(list_transform(s[1:depth], lambda x: x.k), '') AS key,
+  CASE WHEN depth = 0 THEN 0 ELSE s[depth].w END AS w FROM paths),
+nodes AS (SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(w) AS w,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth), '')) AS ends_sha256 FROM keyed GROUP BY key),
+linked AS (SELECT *, CASE WHEN depth > 0 THEN substr(key, 1, 32 * (depth - 1)) END AS parent FROM nodes),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT substr(l.key, 1, 32 * a) AS key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM linked) l LEFT JOIN kids k ON k.key = l.key GROUP BY 1)
+SELECT l.conv_id::BIGINT AS conv_id, l.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, l.n_convs::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l JOIN below b ON b.key = l.key LEFT JOIN kids k ON k.key = l.key LEFT JOIN nodes p ON p.key = l.parent"""
+
 ORACLE = {
     "op1_license_scan": _license_sql(),
     "op5_chat_format": _chat_sql(),
     "op6_decontaminate": _DECONTAM_SQL.replace("WORDS(text)", _WORDS),
     "op8_near_dedup": _NEAR_SQL,
     "op10_warc": _WARC_SQL,
+    "op11_spelling_variants": _SPELLING_SQL,
+    "op12_line_dedup": _LINES_SQL,
+    "op13_prefix_trie": _TRIE_SQL,
 }

@@ -6,16 +6,17 @@
    each length by the definition of the cut, so the broadcast has a fixed bound.
    A word is wrapped in a start and an end mark and has one gram for each of its
    starts: the shortest prefix there that is not frequent, meets the end or is
-   five long. What a gram is follows from the characters it spans alone.
+   four long. What a gram is follows from the characters it spans alone.
 3. Affected grams: an edit changes the grams that span its place and leaves all
    others as they are, at the same distance from the start or from the end. The
    number affected is at most the largest number that span one place. Of its
-   grams a word takes the rarest, until no place is spanned by all of them: at
-   least one (taken less affected) is then found in every word one edit away.
-   Words of six letters and more always have two such grams.
-4. The posting lists of the taken grams, for the same and the next lengths and
-   the positions that an edit before or after leaves, are merged: partners met
-   fewer times than (taken less affected) go, the others are verified on the words.
+   grams a word takes some that no place is spanned by all of, those of the
+   shortest lists: at least one (taken less affected) is then found in every word
+   one edit away. Words of six letters and more always have such grams.
+4. The posting lists of the taken grams, for the same and the next length and the
+   positions that an edit before or after leaves, are merged, and their words
+   verified. Short words go along in the lists and are verified before anything
+   is shuffled again; long ones (over ``CARRIED`` letters) are fetched by id.
 5. A word's form is its near word of largest count; roots are followed by
    doubling, as counts grow at least ``ratio`` times along a chain.
 
@@ -32,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,8 @@ from tastebud.llm.common import materialise, small_batches
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 A_TO_Z = {c: c + 32 for c in range(65, 91)}
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
-SHORTEST, LONGEST, FREQUENT = 2, 5, 65_536
+SHORTEST, LONGEST, FREQUENT = 2, 4, 65_536
+CARRIED = 48
 TABLE_ROWS, TABLE_CHARS, BATCH_ROWS = 200_000, 16 * 1024 * 1024, 20_000
 
 
@@ -55,11 +58,12 @@ class Table(Counter):
         self[word] += n
         return len(self) >= TABLE_ROWS or self.chars >= TABLE_CHARS
 
-    def rows(self, name: str) -> pd.DataFrame:
-        out = pd.DataFrame({name: list(self), "n": list(self.values())})
+    def rows(self, name: str) -> Iterator[pd.DataFrame]:
+        words, counts = np.array(list(self), object), np.fromiter(self.values(), np.int64, len(self))
         self.clear()
         self.chars = 0
-        return out
+        for at in range(0, len(words), BATCH_ROWS):
+            yield pd.DataFrame({name: words[at:at + BATCH_ROWS], "n": counts[at:at + BATCH_ROWS]})
 
 
 def lowered(run: str) -> str:
@@ -92,8 +96,8 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 for word, n in runs_of(text, doc_id, delete_every):
                     if len(word) >= least_length and table.add(word, n):
-                        yield table.rows("word")
-        yield table.rows("word")
+                        yield from table.rows("word")
+        yield from table.rows("word")
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     return (rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -110,8 +114,8 @@ def gram_dictionary(words: DataFrame) -> frozenset[str]:
                 for p in range(len(s)):
                     for e in range(p + SHORTEST, min(p + LONGEST, len(s) + 1)):
                         if table.add(s[p:e], 1):
-                            yield table.rows("gram")
-        yield table.rows("gram")
+                            yield from table.rows("gram")
+        yield from table.rows("gram")
 
     counts = words.select("word").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     positions = words.agg(F.sum(F.length("word") + 1)).first()[0] or 0
@@ -141,64 +145,79 @@ def affected(grams: list[tuple[int, int, str]]) -> int:
 
 
 def taken(grams: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
-    """Of (start, end, gram, list size) the rarest, until one more is taken than an edit can affect."""
-    out, last_start, first_end = [], -1, 1 << 62
-    for g in sorted(grams, key=lambda x: (x[3], x[0])):
-        out.append(g)
-        last_start, first_end = max(last_start, g[0]), min(first_end, g[1])
-        if last_start >= first_end:  # intervals share no place: not all of them span any
-            break
-    return out
+    """Of (start, end, gram, list size) the cheapest that are one more than an edit can affect.
+
+    Intervals without a common place hold two that are apart, so the cheapest
+    choice is a pair: for each gram the one of the shortest list that ends before it.
+    """
+    by_end, before, best = sorted(grams, key=lambda g: g[1]), [], None
+    least = None
+    at = 0
+    for g in sorted(grams, key=lambda g: g[0]):
+        while at < len(by_end) and by_end[at][1] <= g[0]:
+            if least is None or by_end[at][3] < least[3]:
+                least = by_end[at]
+            at += 1
+        if least is not None and (best is None or least[3] + g[3] < best):
+            best, before = least[3] + g[3], [least, g]
+    return before
 
 
 def postings(words: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """(id, size, p, e, gram) for every gram of every word."""
+    """(id, size, p, e, gram, word) for every gram of every word; only words of up to ``CARRIED`` letters go along."""
     known = words.sparkSession.sparkContext.broadcast(frequent)
+    columns = ["id", "size", "p", "e", "gram", "word"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for b in batches:
             for key, word in zip(b["id"], b["word"], strict=True):
+                carried = word if len(word) <= CARRIED else None
                 for p, e, gram in decompose(word, known.value):
-                    rows.append((key, len(word), p, e, gram))
+                    rows.append((key, len(word), p, e, gram, carried))
                     if len(rows) >= BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=["id", "size", "p", "e", "gram"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-        yield pd.DataFrame(rows, columns=["id", "size", "p", "e", "gram"])
+        yield pd.DataFrame(rows, columns=columns)
 
-    return words.select("id", "word").mapInPandas(run, "id long, size long, p long, e long, gram string")
+    return words.select("id", "word").mapInPandas(run, "id long, size long, p long, e long, gram string, word string")
 
 
 def probes(lists: DataFrame) -> DataFrame:
-    """(id, gram, p, size, need): the lists in which a word looks for its near words."""
+    """(id, own, word, gram, p, size): the lists in which a word looks for near words of its own length and the next."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for key, size, grams in zip(b["id"], b["size"], b["grams"], strict=True):
-                some = taken([(g["p"], g["e"], g["gram"], g["n"]) for g in grams])
-                need = len(some) - affected([g[:3] for g in some])
-                for p, _, gram, _ in some:
+            for key, size, word, grams in zip(b["id"], b["size"], b["word"], b["grams"], strict=True):
+                for p, _, gram, _ in taken([(g["p"], g["e"], g["gram"], g["n"]) for g in grams]):
                     # Left of the edit a gram keeps its start, right of it its distance from the end.
-                    for shift, longer in ((0, 0), (0, -1), (0, 1), (-1, -1), (1, 1)):
-                        rows.append((key, gram, p + shift, size + longer, need))
-            yield pd.DataFrame(rows, columns=["id", "gram", "p", "size", "need"])
+                    rows += [(key, size, word, gram, p + shift, size + longer) for shift, longer in ((0, 0), (0, 1), (1, 1))]
+            yield pd.DataFrame(rows, columns=["id", "own", "word", "gram", "p", "size"])
 
-    lengths = lists.groupBy("gram", "p", "size").agg(F.count(F.lit(1)).alias("n"))
-    grams = (lists.join(lengths, ["gram", "p", "size"]).groupBy("id", "size")
+    at = ["gram", "p", "size"]
+    lengths = lists.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    grams = (lists.join(lengths, at).groupBy("id", "size", "word")
              .agg(F.collect_list(F.struct("p", "e", "gram", "n")).alias("grams")))
-    return grams.mapInPandas(run, "id long, gram string, p long, size long, need long")
+    return grams.mapInPandas(run, "id long, own long, word string, gram string, p long, size long")
 
 
 def near_words(spark: SparkSession, words: DataFrame) -> DataFrame:
     """(id, other) of all ordered pairs of words one inserted, deleted or replaced code point apart."""
     lists = materialise(spark, postings(words, gram_dictionary(words)), "postings")
     at = ["gram", "p", "size"]
-    merged = (probes(lists).join(lists.select(*at, F.col("id").alias("other")), at).where(F.col("id") != F.col("other"))
-              .groupBy("id", "other").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need"))
-              .where(F.col("met") >= F.col("need")).select("id", "other"))
-    both = (merged.join(words.select("id", "word"), "id")
-            .join(words.select(F.col("id").alias("other"), F.col("word").alias("other_word")), "other"))
-    return both.where(F.levenshtein("word", "other_word", 1) == 1).select("id", "other")
+    partners = lists.select(*at, F.col("id").alias("other"), F.col("word").alias("other_word"))
+    # Words of one length find each other both ways; the shorter of two finds the longer.
+    met = probes(lists).join(partners, at).where((F.col("id") < F.col("other")) | (F.col("own") < F.col("size")))
+    known = F.col("word").isNotNull() & F.col("other_word").isNotNull()
+    near = F.levenshtein("word", "other_word", 1) == 1
+    merged = (met.where(~known | near).groupBy("id", "other").agg(F.bool_or(known).alias("near"))
+              .select("id", "other", "near"))
+    merged = materialise(spark, merged, "near")
+    long = (merged.where(~F.col("near")).join(words.select("id", "word"), "id")
+            .join(words.select(F.col("id").alias("other"), F.col("word").alias("other_word")), "other")
+            .where(near).select("id", "other"))
+    pairs = merged.where("near").select("id", "other").union(long.select("id", "other"))
+    return pairs.union(pairs.select(F.col("other").alias("id"), F.col("id").alias("other")))
 
 
 def roots(spark: SparkSession, forms: DataFrame) -> DataFrame:

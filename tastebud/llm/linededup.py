@@ -61,6 +61,8 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = materialise(docs.sparkSession, keyed.select("id", "p1", "p2", "pos", *_hashes(("h1", "h2"), F.col("key"))), "lines")
     spread = (keyed.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
               .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= least_docs))
+    # Written, so that the join reads two plain shuffles, of which AQE splits the one a common line makes uneven.
+    spread = materialise(docs.sparkSession, spread.select("h1", "h2", "keeper"), "shared")
     lost = keyed.join(spread, ["h1", "h2"]).where(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
     return lost.groupBy("p1", "p2").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 

@@ -11,21 +11,18 @@ broadcast by hand, and the plan is the same at every size.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastebud.session import checkpoint_dir
+from tastebud.operators.vectorsearch import BLOCK_ROWS, build_index, top_products
+from tastebud.session import stored
 
 ROW_BLOCK_VALUES = 100_000  # matrix values of one row block: at most as many column vectors meet it
-USER_BLOCK, ITEM_BLOCK = 2048, 4096  # vectors of one side of a scoring block pair
-SCORE_ROWS = 256  # users of one matrix product
 TIE_DIGITS = 12  # scores equal to that many digits are ties
 GRAM = -1  # key of the row that carries (A Z)'(A Z)
 VECS = "col long, vec array<double>"
@@ -38,13 +35,6 @@ def csr_rows(coo: DataFrame, row: str, col: str, val: str) -> DataFrame:
     return g.select(F.col(row).alias("row"), F.col("e.c").alias("cols"), F.col("e.v").alias("vals"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to shared storage and read back: lineage ends at committed files."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/factors-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` dealt into blocks of about ``ROW_BLOCK_VALUES`` values, at least one per shuffle partition."""
     values = rows.agg(F.sum(F.size("cols").cast("long"))).first()[0] or 0
@@ -209,16 +199,17 @@ def project_rows(rows: DataFrame, vectors: DataFrame, normalize: bool = False) -
 
 
 def top_k_scores(users: DataFrame, items: DataFrame, k: int, mode: str = "profile",
-                 allowed: DataFrame | None = None) -> DataFrame:
-    """(customer_id, rank, item_idx, score): the best k items of every user, in blocks of users and items.
+                 allowed: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(customer_id, rank, item_idx, score): the best k items of every user, exact, by bounded blocks of items.
 
     ``users`` rows carry ``(customer_id, cols, vals)``: the history columns
     (excluded from the result) and their weights; ``items`` is (item_idx, vec).
     The user vector is the weighted sum of the history's vectors,
-    L2-normalised when ``mode`` is ``profile``. Every pair of a user block and an
-    item block keeps k items per user, a window the best k of these. Ties go to
-    the lower item index (= article id order). ``allowed`` (item_idx) limits the
-    candidates.
+    L2-normalised when ``mode`` is ``profile``. A user visits blocks of items in
+    order of the greatest score they can hold and leaves when its k-th score
+    can't be beaten (``vectorsearch``); only the history items of a block go along
+    to it. Ties go to the lower item index (= article id order). ``allowed``
+    (item_idx) limits the candidates.
     """
     if k <= 0:
         raise ValueError("k must be greater than zero")
@@ -228,42 +219,7 @@ def top_k_scores(users: DataFrame, items: DataFrame, k: int, mode: str = "profil
     vectors = project_rows(known.withColumnRenamed("customer_id", "row"), items.withColumnRenamed("item_idx", "col"),
                            normalize=mode == "profile")
     candidates = items if allowed is None else items.join(allowed.select("item_idx"), "item_idx", "left_semi")
-    of_users = max(1, -(-known.count() // USER_BLOCK))
-    of_items = max(1, -(-items.count() // ITEM_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # the history goes along by item block
-    left = (vectors.join(known.select(F.col("customer_id").alias("row"), "cols"), "row")
-            .select(F.col("row").alias("customer_id"), "vec", "cols",
-                    F.pmod(F.xxhash64("row"), F.lit(of_users)).cast("int").alias("u_block"), every(of_items).alias("i_block"))
-            .withColumn("cols", F.expr(f"filter(cols, c -> pmod(c, {of_items}) = i_block)")))
-    right = candidates.select("item_idx", "vec", F.pmod("item_idx", F.lit(of_items)).cast("int").alias("i_block"),
-                              every(of_users).alias("u_block"))
-    schema = "customer_id string, item_idx long, score double"
-
-    def score(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        uids, picked, best = [], [], []
-        if u.empty or i.empty:
-            return _empty("customer_id", "item_idx", "score")
-        i = i.sort_values("item_idx")
-        ids, mat = i["item_idx"].to_numpy(), np.vstack(i["vec"].to_numpy())
-        for start in range(0, len(u), SCORE_ROWS):
-            part = u.iloc[start:start + SCORE_ROWS]
-            scores = np.round(np.vstack(part["vec"].to_numpy()) @ mat.T, TIE_DIGITS)
-            for uid, cols, s in zip(part["customer_id"], part["cols"], scores, strict=True):
-                free = ~np.isin(ids, cols)
-                cand, of = ids[free], s[free]
-                if len(cand) > k:
-                    kth = np.partition(of, len(of) - k)[len(of) - k]
-                    cand, of = cand[of >= kth], of[of >= kth]  # every tie at the cut
-                order = np.lexsort((cand, -of))[:k]
-                uids += [uid] * len(order)
-                picked.append(cand[order])
-                best.append(of[order])
-        return pd.DataFrame({"customer_id": np.array(uids, object), "item_idx": np.concatenate(picked),
-                             "score": np.concatenate(best)})
-
-    keys = ["u_block", "i_block"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
-    w = Window.partitionBy("customer_id").orderBy(F.desc("score"), F.asc("item_idx"))
-    return parts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k) \
-        .select("customer_id", "rank", "item_idx", "score")
+    index = build_index(candidates.withColumn("item_idx", F.col("item_idx").cast("long")), "item_idx", "vec", block_rows)
+    history = known.select(F.col("customer_id").alias("query_id"), F.explode("cols").alias("id")).withColumn("id", F.col("id").cast("long"))
+    top = top_products(index, vectors.withColumnRenamed("row", "query_id"), k, history, TIE_DIGITS)
+    return top.select(F.col("query_id").alias("customer_id"), "rank", F.col("id").alias("item_idx"), "score")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BLOCK_BYTES = 512 * 1024  # of one side of a block pair: 1,024 vectors of 64 numbers
+from tastebud.operators.vectorsearch import BLOCK_ROWS, build_index, top_products
+
 TIE_DIGITS = 9  # scores are ranked after rounding so engines with other summation orders agree
 
 
@@ -44,52 +42,37 @@ def normalize_vectors(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     return vectors.withColumn(col, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
 
 
-def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col: str = "vec_id",
-                       col: str = "embedding", max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Exact inner-product top-n over L2-normalised vectors (a flat index), self excluded.
-
-    Both sides are dealt into blocks of about ``max_block_bytes`` (rows x dim x
-    8) by a hash; every pair of a query block and a corpus block is one group,
-    scored by one matrix product, and keeps n per query; a window keeps the best
-    n of the (blocks x n) candidates. No vector passes through the driver and
-    nothing is broadcast; the plan is the same at every size.
-    """
-    corpus = normalize_vectors(vectors.select(id_col, col), col)
-    wanted = normalize_vectors(queries.select(F.col(id_col).alias("query_id"), F.col(col)), col)
+def _by_vector(rows: DataFrame, key: str, col: str) -> DataFrame:
+    """``rows`` with ``same``, a 128-bit hash of the vector: equal vectors are searched once."""
+    return rows.select(F.col(key).alias("key"), F.col(col).alias("vec"),
+                       F.struct(F.xxhash64(F.lit(0), col).alias("a"), F.xxhash64(F.lit(1), col).alias("b")).alias("same"))
 
-    def blocks(df):
-        rows, dim = df.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
-        return max(1, -(-int(rows or 0) * max(1, int(dim or 0)) * 8 // max_block_bytes))
 
-    of_corpus, of_queries = blocks(corpus), blocks(wanted)
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = (wanted.withColumn("q_block", F.pmod(F.xxhash64("query_id", col), F.lit(of_queries)).cast("int"))
-            .withColumn("c_block", every(of_corpus)))
-    right = (corpus.withColumn("c_block", F.pmod(F.xxhash64(id_col, col), F.lit(of_corpus)).cast("int"))
-             .withColumn("q_block", every(of_queries)))
-    kind = corpus.schema[id_col].dataType
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("score", T.DoubleType()), T.StructField(id_col, kind)])
-
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({f.name: np.array([], object) for f in schema})
-        ids, mat, qids, found, best = c[id_col].to_numpy(object), np.vstack(c[col].to_numpy()), [], [], []
-        for at in range(0, len(q), 256):
-            part = q.iloc[at:at + 256]
-            for qid, raw in zip(part["query_id"], np.vstack(part[col].to_numpy()) @ mat.T, strict=True):
-                other = ids != qid
-                cand, sc = ids[other], raw[other]
-                order = np.lexsort((cand, -np.round(sc, TIE_DIGITS)))[:n]
-                qids += [qid] * len(order)
-                found.append(cand[order])
-                best.append(sc[order])
-        return pd.DataFrame({"query_id": np.array(qids, object), "score": np.concatenate(best), id_col: np.concatenate(found)})
-
-    keys = ["q_block", "c_block"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DIGITS)), F.asc(id_col))
-    return parts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n) \
-        .select("query_id", "rank", "score", id_col)
+def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_col: str = "vec_id",
+                       col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact inner-product top-n over L2-normalised vectors, self excluded, by a metric index.
+
+    Distinct vectors are indexed under their smallest id and searched once for
+    n + 1 others (``vectorsearch``); a vector that a third of the rows share is one
+    entry with its n + 1 smallest ids, all that any list can hold. Every query
+    then takes the list of its vector, without itself.
+    """
+    corpus = _by_vector(normalize_vectors(vectors.select(id_col, col), col), id_col, col).where(F.col("vec").isNotNull())
+    wanted = _by_vector(normalize_vectors(queries.select(id_col, col), col), id_col, col).where(F.col("vec").isNotNull())
+    distinct = corpus.groupBy("same").agg(F.min("key").alias("id"), F.first("vec").alias("vec"))
+    asked = wanted.groupBy("same").agg(F.min("key").alias("query_id"), F.first("vec").alias("vec"))
+    top = top_products(build_index(distinct, block_rows=block_rows), asked, n + 1, digits=TIE_DIGITS).withColumnRenamed("id", "first")
+    few = Window.partitionBy("same").orderBy("key")
+    bearers = (corpus.select("same", "key").withColumn("place", F.row_number().over(few)).where(F.col("place") <= n + 1)
+               .join(distinct.select("same", F.col("id").alias("first")), "same").select("first", F.col("key").alias("id")))
+    listed = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DIGITS)), F.asc("id"))
+    lists = (top.join(bearers, "first").withColumn("place", F.row_number().over(listed)).where(F.col("place") <= n + 1)
+             .select(F.col("query_id").alias("head"), "id", "score"))
+    heads = wanted.select("same", F.col("key").alias("query_id")).join(
+        asked.select("same", F.col("query_id").alias("head")), "same")
+    others = heads.join(lists, "head").where(F.col("id") != F.col("query_id"))
+    return others.withColumn("rank", F.row_number().over(listed).cast("long")).where(F.col("rank") <= n) \
+        .select("query_id", "rank", "score", F.col("id").alias(id_col))
 
 
 NAME_BLOCK = 2048  # names (and queries) of one side of a block pair

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning: AQE converts a sort-merge join to a broadcast join only
 # when the *measured* shuffle output of one side is below this threshold, so
@@ -63,3 +64,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to shared storage and read back: lineage ends at committed files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,17 +73,15 @@ def test_truncated_svd_recovers_subspace(spark):
     assert np.allclose(V @ V.T, vt[:r].T @ vt[:r], atol=1e-6)
 
 
-@pytest.mark.parametrize("blocks", [(2048, 4096), (3, 7)])
-def test_top_k_scores_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_top_k_scores_brute_force(spark, block_rows):
     rng = np.random.default_rng(1)
     items = rng.normal(size=(30, 5))
     users = [(f"u{i}", sorted(rng.choice(30, 4, replace=False).tolist()), rng.random(4).tolist()) for i in range(8)]
     df = spark.createDataFrame(users, "customer_id string, cols array<int>, vals array<double>")
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_idx long, vec array<double>")
-    monkeypatch.setattr(FX, "USER_BLOCK", blocks[0])
-    monkeypatch.setattr(FX, "ITEM_BLOCK", blocks[1])
-    got = FX.top_k_scores(df, table, 5, mode="profile").collect()
-    only = {r.item_idx for r in FX.top_k_scores(df, table, 30, allowed=table.where("item_idx < 7")).collect()}
+    got = FX.top_k_scores(df, table, 5, mode="profile", block_rows=block_rows).collect()
+    only = {r.item_idx for r in FX.top_k_scores(df, table, 30, allowed=table.where("item_idx < 7"), block_rows=block_rows).collect()}
     assert only <= set(range(7))
     for uid, cols, vals in users:
         p = np.asarray(vals) @ items[cols]
@@ -123,7 +121,7 @@ def test_similar_embeddings_blocked_equals_single(spark):
     vecs = spark.createDataFrame([(i, rng.normal(size=6).astype(float).tolist()) for i in range(40)],
                                  "vec_id long, embedding array<double>")
     one = sorted(tuple(r) for r in similar_embeddings(vecs, vecs, 3).select("query_id", "rank", "vec_id").collect())
-    many = sorted(tuple(r) for r in similar_embeddings(vecs, vecs, 3, max_block_bytes=6 * 8 * 7)
+    many = sorted(tuple(r) for r in similar_embeddings(vecs, vecs, 3, block_rows=7)
                   .select("query_id", "rank", "vec_id").collect())
     assert one == many and len(one) == 120
 

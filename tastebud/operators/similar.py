@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastebud.operators.vectorsearch import BLOCK_ROWS, build_index, top_products
+from tastebud.session import stored
 
 TIE_DIGITS = 9  # scores are ranked after rounding so engines with other summation orders agree
 
@@ -15,18 +20,79 @@ def _top_n(scored: DataFrame, n: int, key: str = "query_article_id", cand: str =
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
+SEED_DOCS = 50  # documents per wanted neighbour that the first terms of a query should reach
+POSTINGS = 65_536  # of one part of a term's list
+
+
+def query_terms(weights: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(query_article_id, term, qw, impact, remains, reached, parts) for the terms of every query, by falling impact.
+
+    ``impact`` is the most a term can add to any score (the query's weight times
+    the greatest weight in the term's list), ``remains`` the sum of the impacts
+    from this term on, ``reached`` the documents in the lists before it, ``parts``
+    the number of parts in which the list is held.
+    """
+    lists = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
+    q = queries.select(F.col("article_id").alias("query_article_id")).distinct()
+    rows = (weights.join(q, weights.article_id == q.query_article_id)
+            .select("query_article_id", "term", F.col("weight").alias("qw")).join(lists, "term"))
+    by = Window.partitionBy("query_article_id").orderBy(F.desc("impact"), F.asc("term"))
+    return rows.withColumn("impact", F.col("qw") * F.col("most")).select(
+        "query_article_id", "term", "qw", "impact",
+        F.sum("impact").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("remains"),
+        F.coalesce(F.sum("df").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("reached"),
+        F.ceil(F.col("df") / POSTINGS).cast("int").alias("parts"))
+
+
+def partial_scores(terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_article_id, article_id, score) over the given query terms alone; long lists meet their queries in parts."""
+    held = weights.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).cast("int").alias("parts"))
+    lists = (weights.join(held, "term").select(
+        "term", "article_id", "weight", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int").alias("part")))
+    asked = terms.select("query_article_id", "term", "qw", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return (asked.join(lists, ["term", "part"]).where(F.col("article_id") != F.col("query_article_id"))
+            .groupBy("query_article_id", "article_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+
+
+def survivors(weights: DataFrame, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates with their score so far, the terms that still may add to it) of every query.
+
+    The n-th best score over a query's first terms is a floor. Terms from where on
+    all impacts together stay below it can bring no document in by themselves: only
+    the lists before are read, and a document they find stays only if it can
+    still reach the floor.
+    """
+    terms = stored(query_terms(weights, queries, n), "terms")
+    first = partial_scores(terms.where(F.col("reached") < SEED_DOCS * n), weights)
+    by = Window.partitionBy("query_article_id").orderBy(F.desc("score"))
+    floor = (first.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).where(F.col("_r") == n)
+             .select("query_article_id", (F.col("score") * (1 - 1e-9) - 2 * 10.0 ** -TIE_DIGITS).alias("floor")))
+    known = stored(terms.join(floor, "query_article_id", "left"), "floors")
+    needed = F.col("floor").isNull() | (F.col("remains") >= F.col("floor"))
+    rest = known.where(~needed)
+    most = rest.groupBy("query_article_id").agg(F.max("remains").alias("rest"))
+    floors = known.groupBy("query_article_id").agg(F.max("floor").alias("floor")).join(most, "query_article_id", "left")
+    found = partial_scores(known.where(needed), weights).join(floors, "query_article_id").where(
+        F.col("floor").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor")))
+    return found.select("query_article_id", "article_id", "score"), rest.select("query_article_id", "term", "qw")
+
+
 def similar_tfidf(weights: DataFrame, catalog: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """Top-n cosine neighbours of each query article (self excluded; unknown -> none).
 
-    Query vectors join the document-term table on term, so the work is
-    bounded by (query batch x documents sharing a term); documents are never
-    paired with each other. Hot terms are split by AQE's skew-join handling.
+    Exact, with term bounds (MaxScore): frequent terms of little weight only
+    complete the scores of documents that can still enter a list (``survivors``),
+    looked up in the document's own terms. Documents are never paired with each other.
     """
-    q = queries.select(F.col("article_id").alias("query_article_id")).distinct()
-    qv = weights.join(q, weights.article_id == q.query_article_id).select(
-        "query_article_id", "term", F.col("weight").alias("qw"))
-    pairs = (qv.join(weights, "term").where(F.col("article_id") != F.col("query_article_id"))
-             .groupBy("query_article_id", "article_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    found, rest = survivors(weights, queries, n)
+    asked = rest.groupBy("query_article_id").agg(F.collect_list(F.struct("term", "qw")).alias("rest"))  # terms of one article
+    found = found.join(asked, "query_article_id", "left")
+    own = weights.groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("own"))
+    done = found.where(F.col("rest").isNull()).select("query_article_id", "article_id", "score")
+    open_ = found.where(F.col("rest").isNotNull()).join(own, "article_id")
+    added = F.aggregate(F.transform("rest", lambda x: x["qw"] * F.coalesce(F.try_element_at("own", x["term"]), F.lit(0.0))),
+                        F.lit(0.0), lambda a, x: a + x)
+    pairs = done.unionByName(open_.select("query_article_id", "article_id", (F.col("score") + added).alias("score")))
     top = _top_n(pairs, n)
     text = catalog.select("article_id", "item_text")
     return (top.join(text, "article_id")
@@ -75,54 +141,138 @@ def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_co
         .select("query_id", "rank", "score", F.col("id").alias(id_col))
 
 
-NAME_BLOCK = 2048  # names (and queries) of one side of a block pair
+# Shares of equality that fuzzy names are searched for, one after the other, with the length of the grams.
+TIERS = ((0.7, 2), (0.0, 1))  # the last goes down to the least score asked for
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The grams of a text as an array of (gram, occurrence), so that equal arrays of grams are equal multisets."""
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))),
+                        lambda i: F.substring(text, i, F.lit(size)))
+    sorted_ = F.array_sort(chars)
+    return F.when(F.length(text) >= size, sorted_).otherwise(F.array().cast("array<string>"))
+
+
+def gram_rows(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, len, gram, nth): the ``size``-grams of every text, each with its number among equal ones."""
+    grams = rows.select(key, F.length(text).alias("len"), F.explode(_grams(F.col(text), size)).alias("gram"))
+    counted = grams.groupBy(key, "len", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return counted.select(key, "len", "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
 
 
-def resolve_name(queries: DataFrame, items: DataFrame, min_score: float = 0.35, block: int = NAME_BLOCK) -> DataFrame:
+def least_shared(length: Column, share: float, size: int, measure: str) -> Column:
+    """The least number of grams that a text of this length shares with any name of at least ``share``.
+
+    Levenshtein: k <= (1 - share) * L edits change at most k * size of the
+    L - size + 1 grams of the longer text. Sequence ratio 2 M / (m + n): the M
+    matching characters are shared, and no text is shorter than share / (2 - share)
+    of the other.
+    """
+    if measure == "sequence":
+        return F.greatest(F.ceil(length * (share / (2 - share)) - 1e-9), F.lit(1))
+    return F.greatest(F.ceil(length * (1 - size * (1 - share)) - (size - 1) - 1e-9), F.lit(1))
+
+
+def fuzzy_pairs(asked: DataFrame, names: DataFrame, share: float, size: int, measure: str = "levenshtein") -> DataFrame:
+    """Candidate pairs (q_id, n_id): every pair of at least ``share``, and few others.
+
+    Texts that share at least t grams share one of the rarest (all but t - 1) of
+    either; only these are joined, together with the bound on lengths.
+    """
+    names_rows, asked_rows = gram_rows(names, "n_id", "name_norm", size), gram_rows(asked, "q_id", "q", size)
+    held = names_rows.groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("held"))
+
+    def rarest(rows, key):
+        by = Window.partitionBy(key).orderBy(F.coalesce("held", F.lit(0)), "gram", "nth")
+        total = F.count(F.lit(1)).over(Window.partitionBy(key))
+        placed = (rows.join(held, ["gram", "nth"], "left").withColumn("place", F.row_number().over(by)).withColumn("all", total))
+        return placed.where((F.col("place") <= F.col("all") - least_shared(F.col("len"), share, size, measure) + 1) & F.col("held").isNotNull())
+
+    least = share if measure == "levenshtein" else share / (2 - share)
+    left = rarest(asked_rows, "q_id").select("gram", "nth", "q_id", F.col("len").alias("q_len"))
+    right = rarest(names_rows, "n_id").select("gram", "nth", "n_id", F.col("len").alias("n_len"))
+    near = F.least("q_len", "n_len") >= F.greatest("q_len", "n_len") * least - 1e-9
+    return left.join(right, ["gram", "nth"]).where(near).select("q_id", "n_id").distinct()
+
+
+def containing_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(q_id, n_id): the names that hold a query as it stands, found by its rarest trigram (or whole, if shorter)."""
+    def windows(text, size):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))),
+                                            lambda i: F.substring(text, i, F.lit(size))))
+
+    lists = names.select("n_id", "name_norm", F.explode(F.array_distinct(F.flatten(F.array(
+        *[windows(F.col("name_norm"), k) for k in (1, 2, 3)])))).alias("gram"))
+    held = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    size = F.least(F.length("q"), F.lit(3))
+    own = asked.where(F.col("q") != "").select("q_id", "q", F.explode(windows(F.col("q"), size)).alias("gram")).join(held, "gram", "left")
+    by = Window.partitionBy("q_id").orderBy(F.coalesce("held", F.lit(0)), "gram")
+    best = own.withColumn("place", F.row_number().over(by)).where((F.col("place") <= 1) & F.col("held").isNotNull())
+    found = best.select("q_id", "q", "gram").join(lists, "gram").where(F.col("name_norm").contains(F.col("q")))
+    return found.select("q_id", "n_id")
+
+
+def _levenshtein_ratio(a: Column, b: Column) -> Column:
+    return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of characters in matching blocks, found longest first (difflib's ratio)."""
+    out, matcher, of = [], SequenceMatcher(None), None
+    for x, y in zip(a, b, strict=True):
+        if y != of:
+            matcher.set_seq2(y)
+            of = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype=float)
+
+
+def resolve_name(queries: DataFrame, items: DataFrame, min_score: float = 0.35, measure: str = "levenshtein") -> DataFrame:
     """Name -> article: exact (1.0), else contains, else fuzzy; below ``min_score`` -> no_match.
 
-    Score = 1 - levenshtein / max(len) (SQL-checkable; the reference uses a
-    different ratio, so its cut picks other names). Ties go to the smallest
-    article id. Exact names are found by equality. The remaining queries meet the
-    distinct names in blocks of at most about ``block`` on either side; a block
-    pair keeps one name per query, and the best of these wins. Nothing passes
-    through the driver and the plan is the same at every size.
+    ``measure`` is ``levenshtein`` (1 - distance / longer length) or ``sequence``
+    (difflib's ratio). Ties go to the smallest article id. Exact names are found by
+    equality, names that hold the query by its rarest trigram, similar ones by
+    shared grams: first those of at least 0.7, and only for queries that have none
+    those down to ``min_score``. Every tier holds all pairs of its share, so the
+    best of the first tier that has any is the best of all. No query meets every
+    name, nothing passes through the driver.
     """
-    names = items.select("article_id", "prod_name",
-                         F.lower(F.trim(F.coalesce("prod_name", F.lit("")))).alias("name_norm"))
-    dict_ = names.groupBy("name_norm").agg(F.min_by(F.struct("article_id", "prod_name"),
-                                                    F.struct("article_id", "prod_name")).alias("x")) \
-        .select("name_norm", "x.*")
-    q = queries.select("query_name").distinct().withColumn("q", F.lower(F.trim("query_name")))
+    if measure not in ("levenshtein", "sequence"):
+        raise ValueError("measure must be levenshtein or sequence")
+    if min_score <= 0:
+        raise ValueError("min_score must be positive")
+    ratio = _levenshtein_ratio if measure == "levenshtein" else sequence_ratio
+    named = items.select("article_id", "prod_name", F.lower(F.trim(F.coalesce("prod_name", F.lit("")))).alias("name_norm"))
+    dict_ = stored(named.groupBy("name_norm").agg(F.min_by(F.struct("article_id", "prod_name"),
+                                                           F.struct("article_id", "prod_name")).alias("x"))
+                   .select("name_norm", "x.*").withColumn("n_id", F.monotonically_increasing_id()), "names")
+    q = stored(queries.select("query_name").distinct().withColumn("q", F.lower(F.trim("query_name")))
+               .withColumn("q_id", F.monotonically_increasing_id()), "asked")
+
+    def best(pairs, tier):
+        scored = (pairs.join(q.select("q_id", "q"), "q_id").join(dict_, "n_id")
+                  .select("q_id", "article_id", "prod_name", ratio(F.col("q"), F.col("name_norm")).alias("score")))
+        order = F.struct((-F.round("score", TIE_DIGITS)).alias("neg"), "article_id")
+        return scored.groupBy("q_id").agg(F.min_by(F.struct("article_id", "prod_name", "score"), order).alias("b")).select(
+            "q_id", F.lit(tier).alias("match_type"), "b.*")
+
     exact = q.join(dict_, q["q"] == dict_["name_norm"]).select(
-        "query_name", F.struct(F.lit(0).alias("tier"), F.lit(-1.0).alias("neg"), "article_id", "prod_name",
-                               F.lit(1.0).alias("score")).alias("b"))
-    rest = q.join(dict_, q["q"] == dict_["name_norm"], "left_anti")
-
-    dealt = lambda df: max(1, -(-df.count() // block))
-    of_names, of_queries = dealt(dict_), dealt(q)
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    block_of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    left = rest.withColumn("q_block", block_of("query_name", of_queries)).withColumn("n_block", every(of_names))
-    packed = (dict_.groupBy(block_of("name_norm", of_names).alias("n_block"))
-              .agg(F.collect_list(F.struct("article_id", "prod_name", "name_norm")).alias("names"))
-              .withColumn("q_block", every(of_queries)))
-
-    def cand(x):
-        lev = F.levenshtein(F.col("q"), x["name_norm"])
-        score = F.lit(1.0) - lev / F.greatest(F.length("q"), F.length(x["name_norm"]), F.lit(1))
-        tier = F.when(x["name_norm"].contains(F.col("q")), F.lit(1)).otherwise(F.lit(2))
-        return F.struct(tier.alias("tier"), (-F.round(score, TIE_DIGITS)).alias("neg"), x["article_id"].alias("article_id"),
-                        x["prod_name"].alias("prod_name"), score.alias("score"))
-
-    near = left.join(packed, ["q_block", "n_block"]).select(
-        "query_name", F.array_min(F.transform("names", cand)).alias("b"))
-    # Every query stays, also one that met no name.
-    none = q.select("query_name", F.lit(None).cast(exact.schema["b"].dataType).alias("b"))
-    best = exact.unionByName(near).unionByName(none).groupBy("query_name").agg(F.min("b").alias("b"))
-    ok = F.coalesce((F.col("b.tier") < 2) | (F.col("b.score") >= min_score), F.lit(False))
-    mt = (F.when(~ok, F.lit("no_match")).when(F.col("b.tier") == 0, F.lit("exact"))
-          .when(F.col("b.tier") == 1, F.lit("contains")).otherwise(F.lit("fuzzy")))
-    return best.select("query_name", F.when(ok, F.col("b.article_id")).alias("article_id"),
-                       F.when(ok, F.col("b.prod_name")).alias("prod_name"), mt.alias("match_type"),
-                       F.when(ok, F.col("b.score")).otherwise(F.lit(0.0)).alias("name_match_score"))
+        "q_id", F.lit("exact").alias("match_type"), "article_id", "prod_name", F.lit(1.0).alias("score"))
+    found = stored(exact, "exact")
+    rest = q.join(found, "q_id", "left_anti")
+    found = found.unionByName(stored(best(containing_names(rest, dict_), "contains"), "contains"))
+    # An empty query is contained in every name and like none: it gets the first article.
+    first = dict_.agg(F.min(F.struct("article_id", "prod_name"))).scalar()
+    found = found.unionByName(rest.where(F.col("q") == "").select("q_id", F.lit("contains").alias("match_type"), first["article_id"].alias("article_id"),
+                                                                  first["prod_name"].alias("prod_name"), F.lit(0.0).alias("score")))
+    for share, size in TIERS:
+        share = max(share, min_score) if size > 1 else min_score
+        rest = q.join(found, "q_id", "left_anti").where(F.length("q") > 2 * (size - 1))
+        tier = best(fuzzy_pairs(rest, dict_, share, size if measure == "levenshtein" else 1, measure), "fuzzy")
+        found = found.unionByName(stored(tier.where(F.round("score", TIE_DIGITS) >= share), "fuzzy"))
+    return q.join(found, "q_id", "left").select(
+        "query_name", "article_id", "prod_name", F.coalesce("match_type", F.lit("no_match")).alias("match_type"),
+        F.coalesce("score", F.lit(0.0)).alias("name_match_score"))

@@ -7,8 +7,13 @@ million conversations are one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Vocabularies and patterns of the intent rules.
 COLOURS = ["black", "white", "orange", "red", "blue", "green", "yellow", "pink",
@@ -21,7 +26,7 @@ GREETING = r"(?i)^\s*(?:hi|hello|hey|good\s+(?:morning|afternoon|evening)|howdy)
 BUDGET = r"(?i)(?:under|below|less than|max(?:imum)?|budget(?: of| is)?|up to)\s*(?:[$£€]\s*)?(\d+(?:\.\d{1,2})?)"
 LIMIT = r"(?i)\b(?:show|find|give|recommend)(?:\s+me)?\s+(\d{1,2})\b"
 DEFAULT_LIMIT, MAX_LIMIT, CONTEXT_TURNS = 6, 20, 6
-ANCHOR = 4  # characters by which group names and messages meet
+NAME_BYTES, NAME_OVERHEAD = 4 * 1024 * 1024, 64  # names of one automaton; bytes of a name besides its text
 
 
 def product_groups(items: DataFrame) -> DataFrame:
@@ -64,30 +69,58 @@ def extract_style(text: Column) -> Column:
     return _first_word(text, STYLES)
 
 
+def name_blocks(names: DataFrame, max_bytes: int) -> tuple[DataFrame, int]:
+    """``names`` (group, g) with a block number; blocks hold about ``max_bytes`` of names."""
+    size = names.agg(F.sum(F.octet_length("g") + NAME_OVERHEAD)).first()[0] or 0
+    blocks = max(1, -(-int(size) // max_bytes))
+    return names.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks))), blocks
+
+
 def extract_product_group(messages: DataFrame, groups: DataFrame, text_col: str = "text",
-                          key: str = "msg_id") -> DataFrame:
+                          key: str = "msg_id", max_bytes: int = NAME_BYTES) -> DataFrame:
     """(key, product_group): the longest group name contained in the text, case-insensitive.
 
-    Messages and names meet by equality on the first ``ANCHOR`` characters of a
-    name, which must occur in any text that contains it; the pairs found are
-    then confirmed on the text. Length ties go to the alphabetically first name.
+    The names of a block (about ``max_bytes``; a catalog's are one block as a rule)
+    become an Aho-Corasick automaton in each task, which reads a message once,
+    whatever prefixes the names share, and keeps the best name it meets: no pair
+    of message and name is formed. Length ties go to the alphabetically first name.
     """
-    g = groups.select(F.col("product_group_name").alias("group"), F.lower("product_group_name").alias("g")) \
-        .withColumn("anchor", F.substring("g", 1, ANCHOR))
-    chars = messages.select(key, F.split(F.lower(F.col(text_col)), "").alias("c")).where(F.size("c") > 0)
-    at = F.sequence(F.lit(0), F.size("c") - 1)
-
-    def runs(n):
-        return F.transform(at, lambda i: F.array_join(F.slice(F.col("c"), i + 1, n), ""))
-
-    grams = chars.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, ANCHOR + 1)]))).alias("anchor"))
-    found = grams.join(g, "anchor").select(key, "group", "g").distinct()
-    low = messages.select(key, F.lower(F.col(text_col)).alias("low"))
-    hit = found.join(low, key).where(F.col("low").contains(F.col("g")))
-    best = hit.groupBy(key).agg(F.min_by("group", F.struct(-F.length("group"), F.col("group"))).alias("product_group"))
+    names = groups.select(F.col("product_group_name").alias("group"), F.lower("product_group_name").alias("g")).where(F.col("g") != "")
+    blocked, blocks = name_blocks(names.distinct(), max_bytes)
+    lowered = messages.select(key, F.lower(F.col(text_col)).alias("low")).where(F.col("low").isNotNull())
+    schema = T.StructType([messages.schema[key], T.StructField("group", T.StringType())])
+    hits = None
+    for k in range(blocks):
+        best_of = {}
+        for r in blocked.where(F.col("block") == k).collect():  # about max_bytes
+            held = best_of.get(r["g"])
+            best_of[r["g"]] = r["group"] if held is None else min(held, r["group"], key=lambda x: (-len(x), x))
+        found = lowered.mapInPandas(_automaton_search(best_of, key, messages.sparkSession), schema)
+        hits = found if hits is None else hits.unionByName(found)
+    best = hits.groupBy(key).agg(F.min_by("group", F.struct(-F.length("group"), F.col("group"))).alias("product_group"))
     return messages.select(key).distinct().join(best, key, "left")
 
 
+def _automaton_search(names: dict[str, str], key: str, spark: SparkSession):
+    """A function over batches (key, low) that yields (key, group) of the longest name in each text."""
+    known = spark.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for g, group in known.value.items():
+            automaton.add_word(g, ((-len(group), group), group))
+        automaton.make_automaton() if len(automaton) else None
+        for b in batches:
+            rows = []
+            for at, low in zip(b[key], b["low"], strict=True):
+                best = min((value for _, value in automaton.iter(low)), default=None) if len(automaton) else None
+                if best is not None:
+                    rows.append((at, best[1]))
+            yield pd.DataFrame(rows, columns=[key, "group"])
+
+    return run
+
+
 def local_intent(df: DataFrame, text_col: str, groups: DataFrame, key: str, prefix: str = "") -> DataFrame:
     t = F.col(text_col)
     out = df.select(key, extract_colour(t).alias(f"{prefix}colour"), extract_style(t).alias(f"{prefix}style"),

@@ -33,3 +33,18 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: in
                    F.lit(0)).alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
     return out.withColumn(name, (F.col("_off") + F.col("_local") + F.lit(start)).cast("long")).drop("_pid", "_local", "_off")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", top_n: int | None = None) -> DataFrame:
+    """Add ``name`` = 1, 2, ... in ``order`` (a total order) within each key, without sorting a key in one task.
+
+    With ``top_n`` Spark keeps the best n of every task before the shuffle
+    (window group limit). A whole ranking is the distance of a row's dense
+    position from the first of its key; the firsts are one row per key.
+    """
+    if top_n is not None:
+        by = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(by).cast("long")).where(F.col(name) <= top_n)
+    placed = dense_index(df, [*[F.col(k) for k in keys], *order], "_place")
+    firsts = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return placed.join(firsts, keys).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")

@@ -7,11 +7,13 @@ k, then macro-averaged; nothing is collected per user on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tastebud.functions.numeric import uniform
+from pyspark.sql import types as T
 
 METRICS = ("ndcg_at_k", "map_at_k", "hit_rate_at_k")
 
@@ -107,20 +109,59 @@ def fresh_metrics(recs: DataFrame, fresh: DataFrame, k: int,
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number, by inversion (9 at most)."""
-    w = F.lit(len(POISSON))
-    for k in reversed(range(len(POISSON))):
-        w = F.when(u < POISSON[k], F.lit(k)).otherwise(w)
-    return w
+# Odd multipliers of the counter generator; the last two belong to its mixing steps.
+USER_STEP, SAMPLE_STEP, SEED_STEP, MIX_1, MIX_2 = 2654435769, 2246822519, 3266489917, 2146121005, 2221713035
+BLOCK_CELLS = 1_000_000  # users x samples of one weight block
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit counter turned into 32 random bits."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX_1)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX_2)
+    return x ^ (x >> np.uint32(16))
+
+
+def poisson_weights(users: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Poisson(1) draws (users x samples) by inversion (9 at most), from counters of user, sample and seed."""
+    counter = (users.astype(np.uint32) * np.uint32(USER_STEP))[:, None] + (
+        np.arange(samples, dtype=np.uint32) * np.uint32(SAMPLE_STEP) + np.uint32(seed * SEED_STEP % 2**32))[None, :]
+    cuts = np.ceil(np.array(POISSON) * 2.0**32).astype(np.uint64).astype(np.uint32)  # u < p as whole numbers
+    return np.searchsorted(cuts, mixed(counter).ravel(), side="right").reshape(counter.shape).astype(float)
 
 
 def resampled_means(per_user: DataFrame, keys: list[str], samples: int, seed: int) -> DataFrame:
-    """Weighted metric means per key and sample; a user has the same weight under every key."""
-    rows = per_user.select(*keys, "customer_id", *METRICS, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    w = poisson_weight(uniform(seed, "b", "customer_id"))
-    rows = rows.select(*keys, "b", *METRICS, w.alias("w")).where(F.col("w") > 0)
-    return rows.groupBy(*keys, "b").agg(*[(F.sum(F.col(m) * F.col("w")) / F.sum("w")).alias(m) for m in METRICS])
+    """Weighted metric means per key and sample; a user has the same weight under every key.
+
+    A task makes the weights of its users in blocks and multiplies them with the
+    metric columns; one row of partial sums per key and sample leaves it.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    user = F.conv(F.substring(F.md5(F.col("customer_id").cast("string")), 1, 8), 16, 10).cast("long").alias("user")
+    rows = per_user.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], user,
+                           *[F.col(m).cast("double").alias(m) for m in METRICS])
+    schema = T.StructType([*[f for f in rows.schema if f.name in names], T.StructField("b", T.IntegerType()), T.StructField("w", T.DoubleType()),
+                           *[T.StructField(m, T.DoubleType()) for m in METRICS]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        step = max(1, BLOCK_CELLS // samples)
+        for batch in batches:
+            for key, part in batch.groupby(names, dropna=False) if names else [((), batch)]:
+                total = sums.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((samples, 1 + len(METRICS))))
+                for at in range(0, len(part), step):
+                    block = part.iloc[at:at + step]
+                    values = np.column_stack([np.ones(len(block)), block[list(METRICS)].to_numpy(float)])
+                    total += poisson_weights(block["user"].to_numpy(), samples, seed).T @ values
+        for key, total in sums.items():
+            out = pd.DataFrame(total, columns=["w", *METRICS])
+            out.insert(0, "b", np.arange(samples))
+            for n, k in zip(reversed(names), reversed(key)):
+                out.insert(0, n, k)
+            yield out
+
+    total = rows.mapInPandas(run, schema).groupBy(*names, "b").agg(F.sum("w").alias("w"), *[F.sum(m).alias(m) for m in METRICS])
+    return total.where(F.col("w") > 0).select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "b",
+                                              *[(F.col(m) / F.col("w")).alias(m) for m in METRICS])
 
 
 def bootstrap_ci(per_user: DataFrame, samples: int = 1000, confidence: float = 0.95,
@@ -128,9 +169,9 @@ def bootstrap_ci(per_user: DataFrame, samples: int = 1000, confidence: float = 0
     """Percentile intervals of the macro metrics over user resamples.
 
     Poisson bootstrap: in sample b a user counts as often as a Poisson(1) draw
-    from uniform(seed, b, user) says. Users are neither numbered nor joined;
-    weighted sums per sample are formed where the users lie, so what is shuffled
-    has one row per sample and task.
+    says, which follows from seed, b and the user's id. Users are neither numbered
+    nor joined; weighted sums per sample are formed where the users lie, so what is
+    shuffled has one row per sample and task.
     """
     if samples <= 0:
         raise ValueError("samples must be greater than zero")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastebud.functions.index import dense_index
+from tastebud.functions.index import dense_index, rank_within
 from tastebud.functions.numeric import age_band
+from tastebud.session import stored
 
 
 def _check_k(k: int) -> None:
@@ -37,7 +38,9 @@ def rec_popularity(pop: DataFrame, seen: DataFrame, users: DataFrame, k: int) ->
     ranks s_1 < s_2 < ..., the unseen ranks between s_i and s_(i+1) have unseen
     position r - i, so each gap contributes ranks s_i+1 .. min(s_(i+1)-1, k+i).
     A sentinel s_0 = 0 gives the first gap. Only per-user seen rows (at most
-    the catalog size) are windowed; output is at most k rows per user.
+    the catalog size) are windowed; output is at most k rows per user. Gaps reach
+    at most rank k + the longest history: the ranking so far goes along as one
+    array (``ranking``), so that no join meets all users on a few hot ranks.
     """
     _check_k(k)
     n_items = pop.select(F.max("pop_rank")).scalar()
@@ -51,11 +54,23 @@ def rec_popularity(pop: DataFrame, seen: DataFrame, users: DataFrame, k: int) ->
              .withColumn("nxt", F.lead("s", 1).over(w)))
     lo = F.col("s") + 1
     hi = F.least(F.coalesce(F.col("nxt"), n_items + 1) - 1, F.lit(k) + F.col("i"))
-    gaps = marks.where(lo <= hi).select(
-        "customer_id", "i", F.explode(F.sequence(lo, hi)).alias("pop_rank"))
-    return (gaps.join(pop, "pop_rank")
-            .select("customer_id", (F.col("pop_rank") - F.col("i")).cast("long").alias("rank"),
-                    "article_id", "score"))
+    gaps = stored(marks.where(lo <= hi).select("customer_id", "i", lo.alias("lo"), hi.alias("hi")), "gaps")
+    reach = gaps.agg(F.max("hi")).first()[0] or 0
+    rows = gaps.select("customer_id", "i", F.explode(F.sequence("lo", "hi")).alias("pop_rank"))
+    rank = (F.col("pop_rank") - F.col("i")).cast("long").alias("rank")
+    if reach > RANKING_ITEMS:  # a history beyond the bound of the array: joined by rank
+        return rows.join(pop, "pop_rank").select("customer_id", rank, "article_id", "score")
+    item = F.get(ranking(pop, reach), (F.col("pop_rank") - 1).cast("int"))
+    return rows.select("customer_id", rank, item["article_id"].alias("article_id"), item["score"].alias("score"))
+
+
+RANKING_ITEMS = 100_000  # items of a ranking that goes along as a value: a few MB
+
+
+def ranking(pop: DataFrame, n: int) -> Column:
+    """The first ``n`` items of the popularity ranking as one array value of (article_id, score)."""
+    first = pop.where(F.col("pop_rank") <= n).agg(F.array_sort(F.collect_list(F.struct("pop_rank", "article_id", "score"))).alias("r"))
+    return first.select(F.transform("r", lambda x: F.struct(x["article_id"].alias("article_id"), x["score"].alias("score")))).scalar()
 
 
 def global_top(pop: DataFrame, k: int) -> DataFrame:
@@ -80,12 +95,10 @@ def segment_rankings(events: DataFrame, customers: DataFrame, min_segment_events
         F.coalesce("club_member_status", F.lit("none")).alias("club_member_status"),
         "article_id")
     counts = j.groupBy("age_band", "club_member_status", "article_id").agg(F.count(F.lit(1)).alias("n"))
-    seg = Window.partitionBy("age_band", "club_member_status")
-    ranked = (counts.withColumn("seg_events", F.sum("n").over(seg))
-              .where(F.col("seg_events") >= min_segment_events)
-              .withColumn("rank", F.row_number().over(seg.orderBy(F.desc("n"), F.asc("article_id"))).cast("long")))
-    if top_n is not None:
-        ranked = ranked.where(F.col("rank") <= top_n)
+    segment = ["age_band", "club_member_status"]
+    # Totals are a plain aggregate, one row per segment; ranks come without a sort of a whole segment in one task.
+    large = j.groupBy(*segment).agg(F.count(F.lit(1)).alias("seg_events")).where(F.col("seg_events") >= min_segment_events)
+    ranked = rank_within(counts.join(large.select(*segment), segment, "left_semi"), segment, [F.desc("n"), F.asc("article_id")], top_n=top_n)
     return ranked.select("age_band", "club_member_status", "rank", "article_id",
                          F.col("n").cast("double").alias("score"))
 
@@ -97,10 +110,7 @@ def category_rankings(events: DataFrame, items: DataFrame, top_n: int | None = N
     cat = items.select(F.col("article_id").cast("string"),
                        F.lower(F.coalesce(F.col("product_group_name").cast("string"), F.lit(""))).alias("product_group_name"))
     j = counts.join(cat, "article_id", "left").where(F.col("product_group_name").isNotNull() & (F.col("product_group_name") != ""))
-    w = Window.partitionBy("product_group_name").orderBy(F.desc("score"), F.asc("article_id"))
-    ranked = j.withColumn("rank", F.row_number().over(w).cast("long"))
-    if top_n is not None:
-        ranked = ranked.where(F.col("rank") <= top_n)
+    ranked = rank_within(j, ["product_group_name"], [F.desc("score"), F.asc("article_id")], top_n=top_n)
     return ranked.select("product_group_name", "rank", "article_id", "score")
 
 

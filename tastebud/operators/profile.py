@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tastebud.functions.quantiles import quantiles_of, value_counts
+
 
 def _n(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
@@ -144,21 +146,28 @@ def high_missing(profile: DataFrame, threshold: float = 20.0) -> DataFrame:
 
 
 def numeric_describe(df: DataFrame) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear), max per numeric column; 2 decimals."""
-    num = [c for c, t in zip(df.columns, [f.dataType for f in df.schema.fields])
-           if isinstance(t, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType))]
-    parts = []
-    for c in num:
-        x = F.col(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"), F.count(x).cast("double").alias("count"), F.round(F.avg(x), 2).alias("mean"),
-            F.round(F.stddev_samp(x), 2).alias("std"), F.round(F.min(x), 2).alias("min"),
-            F.round(F.percentile(x, 0.25), 2).alias("p25"), F.round(F.percentile(x, 0.5), 2).alias("p50"),
-            F.round(F.percentile(x, 0.75), 2).alias("p75"), F.round(F.max(x), 2).alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """count, mean, sample std, min, quartiles (linear), max per numeric column; 2 decimals.
+
+    One scan counts the distinct values of all columns; every figure comes from
+    these counts, quartiles by their positions (``quantiles_of``).
+    """
+    kinds = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType)
+    num = [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in num])).alias("cell")
+    counts = value_counts(df.select(cells).select("cell.*"), ["column"], "x")
+    x, c = F.col("x"), F.col("c")
+    sums = counts.groupBy("column").agg(F.sum("c").alias("n"), (F.sum(x * c) / F.sum("c")).alias("mean"),
+                                        F.min("x").alias("min"), F.max("x").alias("max"))
+    # Second moments about the mean; one row per column joins.
+    spread = (counts.join(F.broadcast(sums.select("column", "mean")), "column").groupBy("column")
+              .agg(F.sum(c * (x - F.col("mean")) * (x - F.col("mean"))).alias("square")))
+    parts = sums.join(spread, "column").join(quantiles_of(counts, ["column"], "x", [0.25, 0.5, 0.75]).drop("n"), "column")
+    every = df.sparkSession.createDataFrame([(name,) for name in num], "column string")
+    std = F.sqrt(F.col("square") / F.nullif(F.col("n") - 1, F.lit(0)))
+    return every.join(parts, "column", "left").select(
+        "column", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("count"), F.round("mean", 2).alias("mean"), F.round(std, 2).alias("std"),
+        F.round("min", 2).alias("min"), *[F.round(F.col("q")[i], 2).alias(p) for i, p in enumerate(("p25", "p50", "p75"))],
+        F.round("max", 2).alias("max"))
 
 
 def count_summary(counts: DataFrame, entity: str) -> DataFrame:

@@ -10,7 +10,6 @@ from tastebud.operators import policy as PO
 from tastebud.operators import popularity as P
 from tastebud.operators.stats import metrics_long
 from tastebud.plans.frames import K, Frames
-from tastebud.plans.oracle import uniform as sql_uniform
 from tastebud.plans.oracle import with_ctes
 from tastebud.plans.queries_rank import REC_POP_SQL
 from tastebud.plans.registry import register
@@ -155,7 +154,12 @@ SELECT metric, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (
   UNION ALL SELECT 'map_at_k', quantile_cont(map_at_k, 0.025), quantile_cont(map_at_k, 0.975) FROM means
   UNION ALL SELECT 'hit_rate_at_k', quantile_cont(hit_rate_at_k, 0.025), quantile_cont(hit_rate_at_k, 0.975) FROM means)""",
                                     *_RECS_DEPS, extra=_RECS_EXTRA + f""",
-draws AS (SELECT *, {sql_uniform(42, 'b', 'customer_id')} AS u FROM per_user, (SELECT range AS b FROM range(0, 1000))),
+counters AS (SELECT *, ((('0x' || substr(md5(customer_id), 1, 8))::UBIGINT * {E.USER_STEP}) % 4294967296
+    + (b::UBIGINT * {E.SAMPLE_STEP}) % 4294967296 + {42 * E.SEED_STEP % 2**32}) % 4294967296 AS x0
+  FROM per_user, (SELECT range AS b FROM range(0, 1000))),
+mixed_1 AS (SELECT *, (xor(x0, x0 >> 16) * {E.MIX_1}) % 4294967296 AS x1 FROM counters),
+mixed_2 AS (SELECT *, (xor(x1, x1 >> 15) * {E.MIX_2}) % 4294967296 AS x2 FROM mixed_1),
+draws AS (SELECT *, xor(x2, x2 >> 16) / 4294967296.0 AS u FROM mixed_2),
 weighted AS (SELECT *, CASE {' '.join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(E.POISSON))} ELSE {len(E.POISSON)} END AS w FROM draws),
 means AS (SELECT b, sum(ndcg_at_k * w) / sum(w) AS ndcg_at_k, sum(map_at_k * w) / sum(w) AS map_at_k,
                  sum(hit_rate_at_k * w) / sum(w) AS hit_rate_at_k FROM weighted WHERE w > 0 GROUP BY b)"""))

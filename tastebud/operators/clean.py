@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,23 +39,15 @@ def coerce_interactions(raw: DataFrame) -> DataFrame:
     )
 
 
-def last_complete_month(mx: Column) -> Column:
-    """The latest date when it ends its month, else the last day of the month before."""
-    day = F.to_date(mx)
-    return F.when(day == F.last_day(day), day).otherwise(F.last_day(F.add_months(day, -1)))
-
-
-def label_split(df: DataFrame, anchor: Column | None = None, complete_months: bool = False) -> DataFrame:
+def label_split(df: DataFrame, anchor: Column | None = None) -> DataFrame:
     """Add ``month_number``, ``week_of_month`` and ``split`` (train/val/test/null).
 
     The latest month over *all* parsed rows is month 6; train = months 1-5 plus
     weeks 1-2 of month 6, val = week 3, test = week 4; days 29-31 of month 6
-    belong to no split. The maximum is a scalar subquery, evaluated once. With
-    ``complete_months`` month 6 is the last complete one and later rows have no split.
+    belong to no split. The maximum is a scalar subquery, evaluated once, unless
+    ``anchor`` gives it.
     """
     mx = anchor if anchor is not None else df.select(F.max("event_ts")).scalar()
-    if complete_months:
-        mx = last_complete_month(mx)
     ts = F.col("event_ts")
     month_number = F.lit(6) - ((F.year(mx) - F.year(ts)) * 12 + (F.month(mx) - F.month(ts)))
     week = F.floor((F.dayofmonth(ts) - 1) / 7).cast("int") + 1
@@ -77,9 +72,45 @@ def reject_reason(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.withColumn("reject_reason", reason).drop("_aid", "_known")
 
 
-def labelled_interactions(raw: DataFrame, catalog: DataFrame, complete_months: bool = False) -> DataFrame:
+def labelled_interactions(raw: DataFrame, catalog: DataFrame, anchor: Column | None = None) -> DataFrame:
     """coerce -> split label -> reject reason, in one plan (cache this once)."""
-    return reject_reason(label_split(coerce_interactions(raw), complete_months=complete_months), catalog)
+    return reject_reason(label_split(coerce_interactions(raw), anchor), catalog)
+
+
+def split_anchor(raw: DataFrame) -> tuple[int, datetime | None]:
+    """Rows of the raw log and its latest parsed date: one aggregate that reads the date column alone."""
+    dates = coerce_interactions(raw.select("t_dat", *[F.lit(None).cast("string").alias(c) for c in
+                                                      ("customer_id", "article_id", "price", "sales_channel_id")]))
+    row = dates.agg(F.count(F.lit(1)).alias("n"), F.max("event_ts").alias("mx")).first()
+    return row["n"], row["mx"]
+
+
+def split_window(anchor: datetime) -> tuple[datetime, datetime]:
+    """First moment of month 1 and first moment after day 28 of month 6: rows outside have no split."""
+    first = anchor.year * 12 + anchor.month - 1 - 5
+    return datetime(first // 12, first % 12 + 1, 1), datetime(anchor.year, anchor.month, 29) if _has_29(anchor) else datetime(
+        (anchor.year * 12 + anchor.month) // 12, anchor.month % 12 + 1, 1)
+
+
+def _has_29(day: datetime) -> bool:
+    return monthrange(day.year, day.month)[1] >= 29
+
+
+def in_window(raw: DataFrame, anchor: datetime) -> DataFrame:
+    """Raw rows that can have a split. The literal range on a typed date column reaches the scan."""
+    kind = raw.schema["t_dat"].dataType
+    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return raw  # text dates are parsed row by row
+    start, end = (F.to_timestamp_ntz(F.lit(str(x))).cast(kind) for x in split_window(anchor))
+    return raw.where((F.col("t_dat") >= start) & (F.col("t_dat") < end))
+
+
+def windowed_interactions(raw: DataFrame, catalog: DataFrame, anchor: datetime | None) -> DataFrame:
+    """``labelled_interactions`` of the rows with a split alone, read by a pushed date range."""
+    if anchor is None:
+        return labelled_interactions(raw, catalog).where(F.col("split").isNotNull())
+    at = F.to_timestamp_ntz(F.lit(str(anchor)))
+    return labelled_interactions(in_window(raw, anchor), catalog, at).where(F.col("split").isNotNull())
 
 
 def kept_interactions(labelled: DataFrame, split: str | None = None) -> DataFrame:

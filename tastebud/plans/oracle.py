@@ -85,7 +85,8 @@ FROM events""")
 
 cte("raw_a", (), """
 SELECT CAST(o.o_custkey AS VARCHAR) AS customer_id, CAST(l.l_partkey AS VARCHAR) AS article_id,
-       o.o_orderdate AS t_dat, l.l_extendedprice / l.l_quantity AS price,
+       o.o_orderdate - to_days((SELECT CASE WHEN CAST(max(o_orderdate) AS DATE) = last_day(max(o_orderdate)) THEN 0
+                                 ELSE day(max(o_orderdate)) END FROM orders)::INTEGER) AS t_dat, l.l_extendedprice / l.l_quantity AS price,
        CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 2 END AS sales_channel_id
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""")
 
@@ -130,17 +131,14 @@ SELECT {norm('customer_id')} AS customer_id, {strip('article_id')} AS article_id
 FROM {src}"""
 
 
-def label_sql(src: str, complete_months: bool = False) -> str:
-    mx = "max(event_ts)" if not complete_months else (
-        "CASE WHEN CAST(max(event_ts) AS DATE) = last_day(max(event_ts)) THEN CAST(max(event_ts) AS DATE) "
-        "ELSE last_day(max(event_ts) - INTERVAL 1 MONTH) END")
+def label_sql(src: str) -> str:
     return f"""
 SELECT *, CASE WHEN month_number BETWEEN 1 AND 5 OR (month_number = 6 AND week_of_month <= 2) THEN 'train'
                WHEN month_number = 6 AND week_of_month = 3 THEN 'val'
                WHEN month_number = 6 AND week_of_month = 4 THEN 'test' END AS split
 FROM (SELECT c.*, 6 - ((year(m.mx) - year(c.event_ts)) * 12 + (month(m.mx) - month(c.event_ts))) AS month_number,
              (day(c.event_ts) - 1) // 7 + 1 AS week_of_month
-      FROM {src} c, (SELECT {mx} AS mx FROM {src}) m)"""
+      FROM {src} c, (SELECT max(event_ts) AS mx FROM {src}) m)"""
 
 
 def _reject(src: str) -> str:
@@ -154,7 +152,7 @@ FROM {src} s"""
 
 for tag, raw, text in (("b", "raw_b", False), ("a", "raw_a", False), ("d", "dirty_raw", True)):
     cte(f"coerced_{tag}", (raw,), _coerce(raw, text))
-    cte(f"split_{tag}", (f"coerced_{tag}",), label_sql(f"coerced_{tag}", tag == "a"))
+    cte(f"split_{tag}", (f"coerced_{tag}",), label_sql(f"coerced_{tag}"))
     cte(f"labelled_{tag}", (f"split_{tag}", "items"), _reject(f"split_{tag}"))
     cte(f"clean_{tag}", (f"labelled_{tag}",),
         f"SELECT * EXCLUDE (reject_reason, month_number, week_of_month) FROM labelled_{tag} "

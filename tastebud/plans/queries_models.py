@@ -405,23 +405,50 @@ def q_model_tables(spark, d):
 
 
 _STORED = """
-SELECT 'interactions_clean' AS "table", count(*) AS n_rows FROM clean_b
+SELECT 'interactions_train' AS "table", count(*) AS n_rows FROM train_b
+UNION ALL SELECT 'interactions_val', count(*) FROM val_b
+UNION ALL SELECT 'interactions_test', count(*) FROM test_b
+UNION ALL SELECT 'interactions_clean', count(*) FROM clean_b
 UNION ALL SELECT 'items_clean', count(*) FROM items
 UNION ALL SELECT 'customers_clean', count(*) FROM customers
 UNION ALL SELECT 'customer_map', count(DISTINCT customer_id) FROM train_b
 UNION ALL SELECT 'item_map', count(DISTINCT article_id) FROM train_b
 UNION ALL SELECT 'popularity', count(*) FROM pop_b
-UNION ALL SELECT 'seen', count(*) FROM seen_b"""
-_STORED_DEPS = ("clean_b", "items", "customers", "train_b", "pop_b", "seen_b")
+UNION ALL SELECT 'seen', count(*) FROM seen_b
+UNION ALL SELECT 'preprocess_summary', 1"""
+_STORED_DEPS = ("clean_b", "items", "customers", "train_b", "val_b", "test_b", "pop_b", "seen_b")
+
+
+def _table_counts(spark, out):
+    from tastebud.plans.preprocess import read_processed
+    from tastebud.sources.sinks import PROCESSED_TABLES, SPLIT_TABLES
+    return reduce(lambda a, b: a.unionByName(b), [
+        read_processed(spark, out, n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows"))
+        for n in (*SPLIT_TABLES, *PROCESSED_TABLES)])
 
 
 @register("sink_processed", with_ctes(_STORED, *_STORED_DEPS))
 def q_sink_processed(spark, d):
-    """The processed tables written by the preprocess stage, with their row counts."""
-    from tastebud.sources.sinks import PROCESSED_TABLES
-    f = Frames(spark, d)
-    counts = [f._read(n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows")) for n in PROCESSED_TABLES]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    """The processed tables of the current version, with their row counts."""
+    return _table_counts(spark, Frames(spark, d).store)
+
+
+@register("preprocess_summary", with_ctes("""
+SELECT (SELECT count(*) FROM raw_b) AS interactions_raw_rows, (SELECT count(*) FROM train_b) AS interactions_train_rows,
+       (SELECT count(*) FROM val_b) AS interactions_val_rows, (SELECT count(*) FROM test_b) AS interactions_test_rows,
+       (SELECT count(*) FROM clean_b) AS interactions_clean_rows,
+       (SELECT count(*) FROM labelled_b WHERE split IS NOT NULL AND reject_reason = 'missing') AS interactions_dropped_missing,
+       (SELECT count(*) FROM labelled_b WHERE split IS NOT NULL AND reject_reason = 'invalid_price') AS interactions_dropped_invalid_price,
+       CAST(0 AS BIGINT) AS interactions_deduplicated,
+       (SELECT count(*) FROM labelled_b WHERE split IS NOT NULL AND reject_reason = 'orphan') AS interactions_dropped_orphan_items,
+       (SELECT count(*) FROM items_raw) AS items_raw_rows, (SELECT count(*) FROM items) AS items_clean_rows,
+       (SELECT count(*) FROM items WHERE has_image) AS items_with_images,
+       (SELECT count(*) FROM customers_raw) AS customers_raw_rows, (SELECT count(*) FROM customers) AS customers_clean_rows""",
+                                         "raw_b", "clean_b", "train_b", "val_b", "test_b", "labelled_b", "items_raw", "items",
+                                         "customers_raw", "customers"))
+def q_preprocess_summary(spark, d):
+    """The counters that the preprocess stage published with its tables."""
+    return Frames(spark, d)._read("preprocess_summary")
 
 
 @register("sink_skip_if_present", with_ctes(
@@ -430,14 +457,11 @@ def q_sink_skip_if_present(spark, d):
     """A run into an empty folder writes every table, a second one is skipped, a forced one writes again."""
     from tastebud.plans.preprocess import run_preprocess
     from tastebud.session import checkpoint_dir
-    from tastebud.sources.sinks import PROCESSED_TABLES
     f = Frames(spark, d)
     out = f"{checkpoint_dir(spark)}/processed-{uuid.uuid4().hex}"
     run = lambda force: run_preprocess(spark, f.raw_transactions, f.raw_items, f.raw_customers, out, force)
     first, second, forced = run(False), run(False), run(True)
-    counts = [spark.read.parquet(f"{out}/{n}").agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n_rows"))
-              for n in PROCESSED_TABLES]
-    return reduce(lambda a, b: a.unionByName(b), counts).select(
+    return _table_counts(spark, out).select(
         "*", F.lit(first).alias("first_run"), F.lit(second).alias("second_run"), F.lit(forced).alias("forced_run"))
 
 

@@ -5,8 +5,9 @@ tables are TPC-H-like plus an ``events`` log, so these views rename and derive
 columns; the DuckDB oracle (``tastebud.plans.oracle``) inlines the same rules.
 
 * adapter B (default): ``events`` -> transactions (all of January 2024)
-* adapter A: ``lineitem`` joined to ``orders`` -> transactions over years; its
-  splits are anchored at the last complete month, computed from the data
+* adapter A: ``lineitem`` joined to ``orders`` -> transactions over years, all
+  moved back by the same few days, so that the last of them ends its month and
+  the latest month is whole; no row is left out
 * ``part`` -> articles, ``customer`` -> customers
 """
 
@@ -41,6 +42,10 @@ def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_linestatus")
     od = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    last = od.select(F.max("o_orderdate")).scalar()
+    days = F.when(F.to_date(last) == F.last_day(last), F.lit(0)).otherwise(F.dayofmonth(last))
+    kind = od.schema["o_orderdate"].dataType
+    od = od.withColumn("o_orderdate", (F.col("o_orderdate").cast("timestamp_ntz") - F.make_dt_interval(days)).cast(kind))
     j = li.join(od, li.l_orderkey == od.o_orderkey)
     return j.select(
         F.col("o_custkey").cast("string").alias("customer_id"),

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tastebud.session import checkpoint_dir
 
 PROCESSED_TABLES = ("interactions_clean", "items_clean", "customers_clean", "customer_map", "item_map",
-                    "popularity", "seen")
-LAYOUT_VERSION = "2"
+                    "popularity", "seen", "preprocess_summary")
+# Splits read as tables of their own: partitions of interactions_clean.
+SPLIT_TABLES = {"interactions_train": "train", "interactions_val": "val", "interactions_test": "test"}
+LAYOUT_VERSION = "3"
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -23,3 +23,15 @@ def test_no_cartesian(spark, name):
     df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan[:2000]
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
+def test_the_split_window_reaches_the_scan(spark):
+    """The preprocess stage reads dates alone for the anchor, and then only row groups of the window."""
+    from tastebud.operators import clean as C
+    from tastebud.plans.frames import Frames
+    f = Frames(spark, SF)
+    _, anchor = C.split_anchor(f.raw_transactions)
+    rows = C.kept_interactions(C.windowed_interactions(f.raw_transactions, f.items, anchor))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan, plan[:3000]

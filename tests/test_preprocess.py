@@ -82,3 +82,94 @@ def test_sample_users_stable_under_repartition(spark):
     a = sorted(r[0] for r in sample_users(truth, 25, 42).collect())
     b = sorted(r[0] for r in sample_users(truth.repartition(11), 25, 42).collect())
     assert a == b and len(a) == 25
+
+
+def _raw(spark, day):
+    tx = spark.createDataFrame([(f"u{i}", f"a{i % 4}", datetime(2024, 6, 1 + i % day), float(i), 1) for i in range(60)],
+                               "customer_id string, article_id string, t_dat timestamp, price double, sales_channel_id int")
+    from tastebud.sources.tables import CATEGORY_COLUMNS
+    items = spark.createDataFrame([(f"a{i}", *["x"] * len(CATEGORY_COLUMNS)) for i in range(5)],
+                                  ", ".join(f"{c} string" for c in ("article_id", *CATEGORY_COLUMNS)))
+    people = spark.createDataFrame([("u1", 1.0, None, "ACTIVE", "NONE", 20.0)],
+                                   "customer_id string, FN double, Active double, club_member_status string, fashion_news_frequency string, age double")
+    return tx, items, people
+
+
+def test_a_run_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    import pytest
+    from tastebud.plans import preprocess as S
+    from tastebud.sources import versions as V
+    base = str(tmp_path / "store")
+    assert S.run_preprocess(spark, *_raw(spark, 28), base) and not S.run_preprocess(spark, *_raw(spark, 28), base)
+    first = V.current(spark, base)
+    before = sorted(map(tuple, S.read_processed(spark, base, "interactions_clean").select("customer_id", "article_id", "split").collect()))
+    tables = iter(range(100))
+    real = S.write_table
+
+    def dies(df, path, **kw):
+        if next(tables) == 4:
+            raise RuntimeError("killed")
+        real(df, path, **kw)
+
+    monkeypatch.setattr(S, "write_table", dies)
+    with pytest.raises(RuntimeError):
+        S.run_preprocess(spark, *_raw(spark, 14), base, force=True)
+    monkeypatch.setattr(S, "write_table", real)
+    assert V.current(spark, base) == first and S.is_ready(spark, base)
+    assert before == sorted(map(tuple, S.read_processed(spark, base, "interactions_clean").select("customer_id", "article_id", "split").collect()))
+    assert S.run_preprocess(spark, *_raw(spark, 14), base, force=True)
+    assert V.current(spark, base) != first and S.read_processed(spark, base, "interactions_val").count() == 0
+    summary = S.read_processed(spark, base, "preprocess_summary").first()
+    assert summary.interactions_raw_rows == 60 and summary.interactions_dropped_invalid_price == 1
+    assert summary.interactions_clean_rows == summary.interactions_train_rows == 59
+
+
+def test_versions_expire_and_need_all_tables(spark, tmp_path):
+    import pytest
+    from tastebud.sources import versions as V
+    base = str(tmp_path / "v")
+    assert V.current(spark, base) is None and V.manifest(spark, base) is None
+    names = []
+    for i in range(4):
+        names.append(V.new_version(base))
+        spark.range(i).write.parquet(f"{V.folder(base, names[-1])}/t")
+        V.publish(spark, base, names[-1], ["t"])
+    assert V.published(spark, base) == names[-2:] and V.current(spark, base) == V.folder(base, names[-1])
+    assert [tuple(r) for r in V.manifest(spark, base).collect()] == [(names[-1], "t")]
+    half = V.new_version(base)
+    spark.range(1).write.parquet(f"{V.folder(base, half)}/t")
+    with pytest.raises(ValueError):
+        V.publish(spark, base, half, ["t", "u"])
+    assert V.current(spark, base) == V.folder(base, names[-1])
+    assert V.expire(spark, base, keep=1) == [names[-2]]  # the unfinished one is recent
+
+
+def test_window_of_split_rows():
+    assert C.split_window(datetime(2024, 6, 30, 5)) == (datetime(2024, 1, 1), datetime(2024, 6, 29))
+    assert C.split_window(datetime(2023, 2, 28)) == (datetime(2022, 9, 1), datetime(2023, 3, 1))
+    assert C.split_window(datetime(2024, 12, 1)) == (datetime(2024, 7, 1), datetime(2024, 12, 29))
+
+
+def test_windowed_rows_are_the_labelled_rows_with_a_split(spark):
+    tx, items, _ = _raw(spark, 30)
+    old = tx.limit(5).withColumn("t_dat", F.lit(datetime(2023, 12, 31)))
+    for kind in ("timestamp", "timestamp_ntz", "date", "string"):
+        raw = tx.union(old).withColumn("t_dat", F.col("t_dat").cast(kind))
+        n, anchor = C.split_anchor(raw)
+        clean = C.clean_items(items)
+        got = sorted(map(str, C.windowed_interactions(raw, clean, anchor).collect()))
+        want = sorted(map(str, C.labelled_interactions(raw, clean).where("split is not null").collect()))
+        assert n == 65 and got == want and len(got) == 56
+    assert C.split_anchor(tx.limit(0)) == (0, None)
+    assert C.windowed_interactions(tx.limit(0), C.clean_items(items), None).count() == 0
+
+
+def test_no_order_row_is_left_out(spark):
+    from tastebud.sources import adapters as A
+    sf = "/root/testdata/sf0.001"
+    raw = A.order_transactions(spark, sf)
+    last = raw.agg(F.max("t_dat").alias("d"), F.last_day(F.max("t_dat")).alias("l")).first()
+    assert str(last.d)[:10] == str(last.l)[:10]
+    assert raw.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    splits = {r.split: r["count"] for r in C.label_split(C.coerce_interactions(raw)).groupBy("split").count().collect()}
+    assert splits["val"] and splits["test"] and splits["train"]

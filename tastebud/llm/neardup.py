@@ -181,8 +181,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, den
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
-def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``near`` with the set size n, the number of shingles shared with the centre of ``main``, and the others."""
+def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size: int, numerator: int = 80,
+                   denominator: int = 100) -> DataFrame:
+    """``near`` with the set size n and ``apart_by``, the items in which a set and the centre of ``main`` differ.
+
+    Items of the set itself come as their hash, items of the centre that it lacks
+    as its complement. Sets that differ from the centre in more than they hold
+    are better told apart by their own items (``side`` 1, as if the centre were
+    empty). With threshold t and r = (1 - t) / (1 + t) any partner of such a set
+    differs in over t (1 - r) - r of its size (0.6 for 0.8), and sets from there to
+    1 come on both sides. No row is longer than its set.
+    """
+    t, r = numerator / denominator, (denominator - numerator) / (denominator + numerator)
+    from_share = t * (1 - r) - r - 1e-9
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, centre, middle = WordHashes(), None, None
         for b in batches:
@@ -191,58 +203,65 @@ def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size:
                 items = shingles(text, size, hashes)
                 if bytes(at) != centre:
                     centre, middle = bytes(at), shingles(centre_text, size, hashes)
-                others = np.setdiff1d(items, middle, assume_unique=True)
-                rows.append((main, digest, comp, apart, len(items), len(items) - len(others), others.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["main", "digest", "comp", "apart", "n", "shared", "others"])
+                own = np.setdiff1d(items, middle, assume_unique=True)
+                lacks = len(middle) - (len(items) - len(own))
+                if len(own) + lacks <= len(items):
+                    differs = np.concatenate([own, ~np.setdiff1d(middle, items, assume_unique=True)])
+                    rows.append((main, 0, digest, comp, apart, len(items), differs.view(np.int64)))
+                if len(own) + lacks > from_share * len(items):
+                    rows.append((main, 1, digest, comp, apart, len(items), items.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["main", "side", "digest", "comp", "apart", "n", "apart_by"])
 
     rows = (near.join(texts, "digest").join(centres, "main")
             .join(texts.select(F.col("digest").alias("centre"), F.col("text").alias("centre_text")), "centre")
             .select("main", "digest", "comp", "apart", "text", "centre", "centre_text"))
-    return rows.mapInPandas(run, "main binary, digest binary, comp binary, apart boolean, n long, shared long, "
-                                 "others array<long>")
+    return rows.mapInPandas(run, "main binary, side int, digest binary, comp binary, apart boolean, n long, apart_by array<long>")
 
 
-def possible_pairs(beside: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (a, b) across components, at least one apart, that may reach the threshold; no others can.
+def possible_pairs(beside: DataFrame, centres: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of digests across components, at least one apart, that reach the threshold; no link is left out.
 
-    Two sets have at most min(shared) shingles of the centre in common, plus
-    those they share beside it. How many of these a node apart from the centre
-    needs at least follows from the sizes around it: with t needed, it shares one
-    of its rarest (all but t - 1) with any partner, and is joined on those alone.
-    Pairs that share none need enough of the centre, which hardly such a node has.
+    Two sets of n and m items reach it if they differ in at most
+    (n + m) * (denominator - numerator) / (denominator + numerator) items, and they
+    differ where just one of them differs from the centre. So of d and e items
+    that part them from the centre they need (d + e - allowed) / 2 in common. Sets
+    that need none are both linked with the centre itself, which is asked alone.
+    Others share an item among the rarest d - need + 1 of the one and the rarest
+    e - need + 1 of the other; need is that of the pair, so that sets at some
+    distance from the centre meet on rare items only.
     """
-    def required(n, m):
-        return F.ceil((n + m) * numerator / F.lit(numerator + denominator))
-
-    def ordered(x, y):
-        return F.least(f"{x}.digest", f"{y}.digest").alias("a"), F.greatest(f"{x}.digest", f"{y}.digest").alias("b")
-
-    across = (F.col("x.main") == F.col("y.main")) & (F.col("x.comp") != F.col("y.comp"))
-    rows = beside.select("main", "digest", "comp", "apart", "n", "shared")
-    # Per size of the other set the most that any shares with the centre: one row per size.
-    sizes = rows.groupBy("main", "n").agg(F.max("shared").alias("shared"))
-    missing = required(F.col("x.n"), F.col("y.n")) - F.least("x.shared", "y.shared")
-    least = (rows.where("apart").alias("x").join(sizes.alias("y"), "main")
-             .where(F.least("x.n", "y.n") * denominator >= F.greatest("x.n", "y.n") * numerator)
-             .groupBy("main", "x.digest").agg(F.min(missing).alias("least")))
-
-    items = beside.select("main", "digest", "comp", F.explode("others").alias("item"))
-    spread = items.groupBy("main", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    rarest = Window.partitionBy("main", "digest").orderBy(F.coalesce("n", F.lit(1)), "item")
-    some = (beside.where("apart").join(least, ["main", "digest"])
-            .withColumn("most", F.size("others") - F.greatest("least", F.lit(1)) + 1).where(F.col("most") > 0)
-            .select("main", "digest", "comp", "most", F.explode("others").alias("item"))
-            .join(spread, ["main", "item"], "left").withColumn("place", F.row_number().over(rarest))
-            .where((F.col("place") <= F.col("most")) & F.col("n").isNotNull()))
-    beyond = (some.alias("x").join(items.alias("y"), across & (F.col("x.item") == F.col("y.item")))
-              .select(F.col("x.main").alias("m"), *ordered("x", "y")).distinct())
-    sets = beside.select("main", "digest", "n", "shared", "others")
-    beyond = (beyond.join(sets.alias("x"), (F.col("m") == F.col("x.main")) & (F.col("a") == F.col("x.digest")))
-              .join(sets.alias("y"), (F.col("m") == F.col("y.main")) & (F.col("b") == F.col("y.digest")))
-              .where(missing <= F.size(F.array_intersect("x.others", "y.others"))).select("a", "b"))
-    able = rows.where("apart").join(least.where(F.col("least") <= 0), ["main", "digest"], "left_semi")
-    inside = (able.alias("x").join(rows.alias("y"), across & (missing <= 0)).select(*ordered("x", "y")))
-    return beyond.union(inside).distinct()
+    def allowed(n, m):
+        return F.floor((n + m) * (denominator - numerator) / F.lit(denominator + numerator))
+
+    group = ["main", "side"]
+    sets = beside.withColumn("d", F.size("apart_by"))
+    items = sets.select(*group, "digest", "comp", "apart", "n", "d", F.explode("apart_by").alias("item"))
+    spread = items.groupBy(*group, "item").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    rarest = Window.partitionBy(*group, "digest").orderBy(F.coalesce("held", F.lit(1)), "item")
+    # Items of one set alone hold the first places and then meet nothing.
+    placed = (items.join(spread, [*group, "item"], "left").withColumn("place", F.row_number().over(rarest))
+              .where(F.col("held").isNotNull()).select(*group, "item", "digest", "comp", "apart", "n", "d", "place"))
+    need = F.ceil((F.col("x.d") + F.col("y.d") - allowed(F.col("x.n"), F.col("y.n"))) / 2)
+    met = (placed.where("apart").alias("x").join(placed.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*group, "item")])
+           .where((F.col("x.comp") != F.col("y.comp")) & (~F.col("y.apart") | (F.col("x.digest") < F.col("y.digest")))
+                  & (F.least("x.n", "y.n") * denominator >= F.greatest("x.n", "y.n") * numerator)
+                  & (F.col("x.place") <= F.col("x.d") - need + 1) & (F.col("y.place") <= F.col("y.d") - need + 1))
+           .select(F.col("x.main").alias("m"), F.col("x.side").alias("s"), F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+           .distinct())
+    sides = sets.select(*group, "digest", "n", "d", "apart_by")
+
+    def side(name, end):
+        return sides.alias(name), (F.col("m") == F.col(f"{name}.main")) & (F.col("s") == F.col(f"{name}.side")) & (F.col(end) == F.col(f"{name}.digest"))
+
+    found = (met.join(*side("x", "a")).join(*side("y", "b"))
+             .where(need <= F.size(F.array_intersect("x.apart_by", "y.apart_by"))).select("a", "b"))
+    middle = centres.join(sets.where("side = 0").select("main", F.col("digest").alias("centre"), F.col("comp").alias("c_comp"),
+                                                        F.col("n").alias("c_n")), ["main", "centre"])
+    direct = (sets.where("side = 0").join(middle, "main")
+              .where((F.col("comp") != F.col("c_comp")) & (F.col("d") <= allowed(F.col("n"), F.col("c_n"))))
+              .select(F.col("digest").alias("a"), F.col("centre").alias("b")))
+    both = found.union(direct)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -345,8 +364,9 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     if near.limit(1).count():
         centres = (near.join(weight, "digest").groupBy("main")
                    .agg(F.max(F.struct("weight", "digest"))["digest"].alias("centre")))
-        beside = materialise(spark, against_centre(near, centres, texts, size), "beside")
-        second = (possible_pairs(beside, numerator, denominator)
+        centres = materialise(spark, centres, "centres")
+        beside = materialise(spark, against_centre(near, centres, texts, size, numerator, denominator), "beside")
+        second = (possible_pairs(beside, centres, numerator, denominator)
                   .join(first, ["a", "b"], "left_anti")
                   .join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
         found = materialise(spark, confirmed(second, texts, size, numerator, denominator), "links")
@@ -360,6 +380,8 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place"))
     names = (labelled.where("comp is not null").groupBy("comp").agg(first_row.alias("first"))
              .select("comp", F.col("first.doc_id").alias("name"), F.col("first.place").alias("first_place")))
+    # Written, so that the join reads two plain shuffles, of which AQE splits the one a large component makes uneven.
+    names = materialise(spark, names, "names")
     return (labelled.join(names, "comp", "left")
             .withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("name")))
             .select("doc_id", "place", "n_shingles", "component_id",

@@ -202,6 +202,43 @@ def test_secrets_redaction_and_odd_rows(spark, documents, odd):
     assert secretscan.fit(docs.limit(0)) == [-secretscan.SCALE] * len(secretscan.ALPHABET) ** 2
 
 
+ORDINARY = ["usr/local/lib/python/site-packages/numpy/core", "application/x-www-form-urlencoded", "src/main/java/org/apache/spark/sql/catalyst",
+            "a/b/c/d/e/f/g/h/i/j/k/l", "2024-01-05T10-22-33Z-backup", "6f1c2a9e-51c3-4b7d-9a3e-0d2f4c6b8a17", "-" * 24 + "a", "getCustomerAccountById2",
+            "x" * 200, "home/user/projects/reports/2023/annual_summary_final-v2", "org/junit/jupiter/api/AssertionsTest"]
+
+
+def test_random_strings_of_every_kind_and_no_names(spark, documents):
+    """Lengths 20 to 64 in hexadecimal with capitals, base62, base64 and base32; paths, types, dates and rulers are let be."""
+    rng = random.Random(12)
+    digits, caps = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {"HEX": digits + "ABCDEF", "62": digits + caps + caps.lower(), "64": digits + caps + caps.lower() + "+/", "32": caps + "234567"}
+    hidden = [(k, "".join(rng.choices(a, k=n))) for k, a in kinds.items() for n in (20, 24, 32, 40, 64) for _ in range(12)]
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = secretscan.fit(sf)
+    rows = [(i, f"see {s} there") for i, (_, s) in enumerate(hidden)] + [(5000 + i, f"see {s} there") for i, s in enumerate(ORDINARY)]
+    out = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secretscan.with_spans(documents(rows), model).collect()}
+    for k in kinds:
+        caught = [out[i] == [(4, 4 + len(s))] for i, (kind, s) in enumerate(hidden) if kind == k]
+        assert sum(caught) >= 0.9 * len(caught), k
+    assert [s for i, s in enumerate(ORDINARY) if out[5000 + i]] == []
+    plain = secretscan.with_spans(sf, model).where(F.size("spans") > F.size("base"))
+    assert plain.count() == 0
+
+
+def test_a_text_of_very_many_matches(spark, documents):
+    """100,000 assignments with random values in one text: spans, redaction and time in proportion."""
+    import time
+    text = "\n".join(f'é token = "v{i:06d}abcdefgh" end' for i in range(100_000))
+    docs = documents([(1, text), (2, "nothing here")]).coalesce(1)
+    began = time.time()
+    out = secretscan.with_spans(docs, [-1000] * len(secretscan.ALPHABET) ** 2)
+    got = {r["doc_id"]: r for r in out.select("doc_id", F.size("base").alias("n"), F.get("base", F.lit(99_999)).alias("last"),
+                                              secretscan.redacted(F.col("text"), F.col("spans")).alias("r")).collect()}
+    assert got[1]["n"] == 100_000 and got[1]["r"] == "\n".join(['é [SECRET]" end'] * 100_000)
+    assert text[got[1]["last"]["start"]:got[1]["last"]["end"]] == 'token = "v099999abcdefgh'
+    assert got[2]["n"] == 0 and got[2]["r"] == "nothing here" and time.time() - began < 90
+
+
 def _greedy(word, vocabulary):
     at = pieces = 0
     while at < len(word):

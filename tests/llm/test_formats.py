@@ -72,6 +72,43 @@ def test_warc_round_trip(spark):
     assert warc.read_resolved(spark, empty).count() == 0
 
 
+def test_warc_files_by_bytes(spark):
+    """Records of each size class have files of their own, none of them far over the bound."""
+    import gzip
+    import pathlib
+    pages = [(i, "u", f"{i:04d}" * (200 if i % 10 else 40_000)) for i in range(60)]
+    path = shared_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path, max_records=20,
+                       file_bytes=200_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in pathlib.Path(path.removeprefix("file:")).rglob("*.gz")]
+    assert len(sizes) >= 8 and max(sizes) < 2 * 200_000
+    assert warc.read_resolved(spark, path).where("ok").count() == 60
+
+
+def test_broken_archives_are_rows(spark, tmp_path):
+    """A cut record, a record without length, a foreign file and a cut gzip member stop their own file alone."""
+    import gzip
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: %d\r\n%sContent-Length: %s\r\n\r\n"
+    digest = b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"x").hexdigest().encode() + b"\r\n"
+    good = head % (1, digest, b"5") + b"\r\n\r\nx\r\n\r\n"
+    files = {"whole": good, "cut": good + head % (2, digest, b"500") + b"abc", "length": good + head % (3, digest, b"much") + b"abc",
+             "foreign": b"GIF89a", "nodigest": head % (4, b"", b"5") + b"\r\n\r\nx\r\n\r\n"}
+    for name, data in files.items():
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "member.gz").write_bytes(gzip.compress(good * 500)[:-20])
+    out = warc.read_records(spark, str(tmp_path)).collect()
+    assert sum(r["ok"] and r["page_id"] == 1 for r in out) >= 3 and sum(r["record_type"] == "broken" for r in out) == 4
+    assert [r["ok"] for r in out if r["page_id"] == 4] == [False]
+
+
+def test_warc_leaves_the_batch_rows_alone(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    path = shared_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), path)
+    assert warc.read_resolved(spark, path).count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+
+
 @pytest.fixture(scope="module")
 def tok():
     from tokenizers import Tokenizer

@@ -199,7 +199,7 @@ def project_rows(rows: DataFrame, vectors: DataFrame, normalize: bool = False) -
 
 
 def top_k_scores(users: DataFrame, items: DataFrame, k: int, mode: str = "profile",
-                 allowed: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 allowed: DataFrame | None = None, block_rows: int = BLOCK_ROWS, digits: int = TIE_DIGITS) -> DataFrame:
     """(customer_id, rank, item_idx, score): the best k items of every user, exact, by bounded blocks of items.
 
     ``users`` rows carry ``(customer_id, cols, vals)``: the history columns
@@ -221,5 +221,5 @@ def top_k_scores(users: DataFrame, items: DataFrame, k: int, mode: str = "profil
     candidates = items if allowed is None else items.join(allowed.select("item_idx"), "item_idx", "left_semi")
     index = build_index(candidates.withColumn("item_idx", F.col("item_idx").cast("long")), "item_idx", "vec", block_rows)
     history = known.select(F.col("customer_id").alias("query_id"), F.explode("cols").alias("id")).withColumn("id", F.col("id").cast("long"))
-    top = top_products(index, vectors.withColumnRenamed("row", "query_id"), k, history, TIE_DIGITS)
+    top = top_products(index, vectors.withColumnRenamed("row", "query_id"), k, history, digits)
     return top.select(F.col("query_id").alias("customer_id"), "rank", F.col("id").alias("item_idx"), "score")

@@ -65,3 +65,36 @@ def search_catalog(queries: DataFrame, items: DataFrame, popularity: DataFrame,
     w = Window.partitionBy("query_id").orderBy(*order)
     return (cands.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
             .select("query_id", "rank", "article_id", "score"))
+
+
+# Strategy, texts and signal of catalog answers.
+SEARCH_STRATEGY = "catalog_text_search"
+SEARCH_SIGNAL = "catalog_text_match"
+
+
+def search_responses(queries: DataFrame, ranked: DataFrame, items: DataFrame, prices: DataFrame, budget_col: str | None = None) -> DataFrame:
+    """The answer to every query with a usable token: its products with labels and reasons, or one row that says none matches.
+
+    ``ranked`` is ``search_catalog``'s (query_id, rank, article_id, score). A
+    repeated article speaks by its first name. Queries without a usable token get
+    no answer.
+    """
+    said = F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", "")
+    budget = F.col(budget_col).cast("double") if budget_col else F.lit(None).cast("double")
+    asked = (queries.select("query_id", said.alias("said"), budget.alias("budget"))
+             .join(search_tokens(queries).select("query_id").distinct(), "query_id", "left_semi"))
+    product = F.struct(F.col("prod_name").alias("product_name"), F.col("product_group_name").alias("product_group"),
+                       F.coalesce(F.nullif(F.col("item_text"), F.lit("")), F.col("detail_desc")).alias("description"), "image_path")
+    named = items.groupBy("article_id").agg(F.min(product).alias("p")).select("article_id", "p.*")
+    note = F.when(F.col("budget").isNotNull(), F.concat(F.lit(" under $"), F.col("budget").cast("long").cast("string"))).otherwise(F.lit(""))
+    quoted = F.concat(F.lit("\u201c"), F.col("said"), F.lit("\u201d"))
+    found = F.col("article_id").isNotNull()
+    out = (asked.join(ranked, "query_id", "left").join(named, "article_id", "left").join(prices.select("article_id", "price_k"), "article_id", "left"))
+    return out.select(
+        "query_id", F.lit(SEARCH_STRATEGY).alias("strategy"),
+        F.when(found, F.concat(F.lit("Popular catalog products matching "), quoted, note, F.lit(".")))
+         .otherwise(F.concat(F.lit("No catalog product type matches "), quoted, F.lit("."))).alias("explanation"),
+        "rank", "article_id", "score", "product_name", "product_group",
+        F.when(F.col("price_k").isNotNull(), F.concat(F.lit("~$"), F.col("price_k").cast("string"))).alias("price_label"),
+        "description", "image_path", F.when(found, F.concat(F.lit("Matches your request for "), quoted, F.lit("."))).alias("reason"),
+        F.when(found, F.create_map(F.lit(SEARCH_SIGNAL), F.lit(1.0))).alias("signals"))

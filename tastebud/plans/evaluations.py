@@ -66,8 +66,8 @@ def tune_hybrid_weight(cf: DataFrame, ct: DataFrame, truth: DataFrame, weights,
             .select("weight", *E.METRICS, (F.col("_b") == 1).alias("is_best")))
 
 
-def eval_cold_start(f: Frames, models, requests, k: int) -> DataFrame:
-    """Global popularity vs demographic fallback for users new in the test weeks."""
+def eval_cold_start(f: Frames, models, requests, k: int, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """Global popularity vs demographic fallback for users new in the test weeks, with bootstrap bounds."""
     dev, segs, cats, pop = models
     reqs, cold = requests
     recs = CS.rec_cold_start(reqs.drop("customer_id"), segs, cats, pop)
@@ -83,7 +83,37 @@ def eval_cold_start(f: Frames, models, requests, k: int) -> DataFrame:
         ev = E.evaluate_rankings(r, cold, k).select(F.lit(model).alias("model"), "*",
                                                     covered.alias("catalog_coverage_at_k"))
         out = ev if out is None else out.unionByName(ev)
-    return out
+    per_user = [E.per_user_metrics(recs.where(F.col("model") == m), cold, k).withColumn("model", F.lit(m))
+                for m in ("global_popularity", "demographic_fallback")]
+    means = E.resampled_means(per_user[0].unionByName(per_user[1]), ["model"], samples, seed)
+    bounds = means.groupBy("model").agg(*[x for m in E.METRICS for x in (
+        F.percentile(m, 0.025).alias(f"{m}_ci95_lower"), F.percentile(m, 0.975).alias(f"{m}_ci95_upper"))])
+    return out.join(bounds, "model", "left")
+
+
+# Cases of the cold-start report (fixed values): an age of each band.
+BAND_AGES = {"16-24": 20, "25-34": 30, "35-49": 40, "50+": 55}
+
+
+def cold_start_examples(models, content, k: int) -> DataFrame:
+    """What the cascade answers in four situations: demographics, category, session, no context.
+
+    The first segment with an age, the first category and the first content item
+    (each in order) stand for the requests, which all run through the cascade.
+    """
+    dev, segs, cats, pop = models
+    band = segs.where(F.col("age_band").isin(*BAND_AGES)).agg(F.min(F.struct("age_band", "club_member_status"))).scalar()
+    age = F.create_map(*[x for b, a in BAND_AGES.items() for x in (F.lit(b), F.lit(a))])[band["age_band"]]
+    category = cats.agg(F.min("product_group_name")).scalar()
+    none = F.lit(None).cast("string")
+    case = F.col("request_id")
+    reqs = dev.sparkSession.createDataFrame([(c,) for c in ("demographics", "category", "session", "no_context")], "request_id string").select(
+        "request_id", F.lit(k).alias("limit"), F.when(case == "demographics", age).alias("age"),
+        F.when(case == "demographics", band["club_member_status"]).alias("club_member_status"),
+        F.when(case == "category", category).otherwise(none).alias("preferred_product_group"), (case == "demographics").alias("use_demographics"))
+    first = content.cat_map.agg(F.min("article_id").alias("a"))
+    sessions = first.select(F.lit("session").alias("request_id"), F.array("a").alias("session_article_ids"))
+    return CS.rec_cold_start(reqs, segs, cats, pop, M.rec_session(content, sessions, k))
 
 
 def _metrics_row(name: str, recs: DataFrame, truth: DataFrame, k: int, users: DataFrame) -> DataFrame:

@@ -365,13 +365,13 @@ def q_stats_summary(spark, d):
 @register("budget_filter", with_ctes("""
 SELECT r.customer_id, r.article_id, coalesce(p.price_k, 0) AS price_k FROM
  (SELECT DISTINCT customer_id, article_id FROM val_b) r LEFT JOIN prices p USING (article_id)
-WHERE coalesce(p.price_k, 0) <= 20000""", "train_b", "val_b", extra="""
+WHERE coalesce(p.price_k, 0) <= 36000""", "train_b", "val_b", extra="""
 prices AS (SELECT article_id, CAST(round_even(median(price) * 1000, 0) AS BIGINT) AS price_k FROM train_b GROUP BY article_id)"""))
 def q_budget_filter(spark, d):
     from tastebud.operators.serving import budget_filter, median_price
     f = Frames(spark, d)
     recs = f.val.select("customer_id", "article_id").distinct()
-    return budget_filter(recs, median_price(f.train), 20000).select("customer_id", "article_id", "price_k")
+    return budget_filter(recs, median_price(f.train), 36000).select("customer_id", "article_id", "price_k")
 
 
 @register("median_price", with_ctes("""

@@ -148,21 +148,28 @@ def q_fresh_metrics(spark, d):
     return m.select(*[r6(c).alias(c) for c in m.columns])
 
 
-@register("bootstrap_ci", with_ctes(f"""
-SELECT metric, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (
-  SELECT 'ndcg_at_k' AS metric, quantile_cont(ndcg_at_k, 0.025) AS lower, quantile_cont(ndcg_at_k, 0.975) AS upper FROM means
-  UNION ALL SELECT 'map_at_k', quantile_cont(map_at_k, 0.025), quantile_cont(map_at_k, 0.975) FROM means
-  UNION ALL SELECT 'hit_rate_at_k', quantile_cont(hit_rate_at_k, 0.025), quantile_cont(hit_rate_at_k, 0.975) FROM means)""",
-                                    *_RECS_DEPS, extra=_RECS_EXTRA + f""",
+def bootstrap_sql(source: str, key: str | None, seed: int, samples: int) -> str:
+    """CTE ``means``: weighted metric means per sample (and ``key``) of ``source``'s users, by the same counters."""
+    keys = f"{key}, b" if key else "b"
+    cases = " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(E.POISSON))
+    return f"""
 counters AS (SELECT *, ((('0x' || substr(md5(customer_id), 1, 8))::UBIGINT * {E.USER_STEP}) % 4294967296
-    + (b::UBIGINT * {E.SAMPLE_STEP}) % 4294967296 + {42 * E.SEED_STEP % 2**32}) % 4294967296 AS x0
-  FROM per_user, (SELECT range AS b FROM range(0, 1000))),
+    + (b::UBIGINT * {E.SAMPLE_STEP}) % 4294967296 + {seed * E.SEED_STEP % 2**32}) % 4294967296 AS x0
+  FROM {source}, (SELECT range AS b FROM range(0, {samples}))),
 mixed_1 AS (SELECT *, (xor(x0, x0 >> 16) * {E.MIX_1}) % 4294967296 AS x1 FROM counters),
 mixed_2 AS (SELECT *, (xor(x1, x1 >> 15) * {E.MIX_2}) % 4294967296 AS x2 FROM mixed_1),
 draws AS (SELECT *, xor(x2, x2 >> 16) / 4294967296.0 AS u FROM mixed_2),
-weighted AS (SELECT *, CASE {' '.join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(E.POISSON))} ELSE {len(E.POISSON)} END AS w FROM draws),
-means AS (SELECT b, sum(ndcg_at_k * w) / sum(w) AS ndcg_at_k, sum(map_at_k * w) / sum(w) AS map_at_k,
-                 sum(hit_rate_at_k * w) / sum(w) AS hit_rate_at_k FROM weighted WHERE w > 0 GROUP BY b)"""))
+weighted AS (SELECT *, CASE {cases} ELSE {len(E.POISSON)} END AS w FROM draws),
+means AS (SELECT {keys}, sum(ndcg_at_k * w) / sum(w) AS ndcg_at_k, sum(map_at_k * w) / sum(w) AS map_at_k,
+                 sum(hit_rate_at_k * w) / sum(w) AS hit_rate_at_k FROM weighted WHERE w > 0 GROUP BY {keys})"""
+
+
+@register("bootstrap_ci", with_ctes("""
+SELECT metric, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (
+  SELECT 'ndcg_at_k' AS metric, quantile_cont(ndcg_at_k, 0.025) AS lower, quantile_cont(ndcg_at_k, 0.975) AS upper FROM means
+  UNION ALL SELECT 'map_at_k', quantile_cont(map_at_k, 0.025), quantile_cont(map_at_k, 0.975) FROM means
+  UNION ALL SELECT 'hit_rate_at_k', quantile_cont(hit_rate_at_k, 0.025), quantile_cont(hit_rate_at_k, 0.975) FROM means)""",
+                                    *_RECS_DEPS, extra=_RECS_EXTRA + "," + bootstrap_sql("per_user", None, 42, 1000)))
 def q_bootstrap_ci(spark, d):
     f = Frames(spark, d)
     pu = E.per_user_metrics(_pop_recs(f), f.truth("val"), K)

@@ -18,7 +18,7 @@ from tastebud.operators import popularity as P
 from tastebud.plans.frames import K, Frames
 from tastebud.plans.oracle import age_band as sql_age_band
 from tastebud.plans.oracle import with_ctes
-from tastebud.plans.queries_eval import random_policy_sql
+from tastebud.plans.queries_eval import bootstrap_sql, random_policy_sql
 from tastebud.plans.queries_rank import REC_POP_SQL, _SEG_SQL
 from tastebud.plans.registry import register
 
@@ -247,29 +247,54 @@ def q_rec_cold_start(spark, d):
     return CS.rec_cold_start(reqs.drop("customer_id"), segs, cats, pop)
 
 
-@register("eval_cold_start", with_ctes(f"""
-SELECT model, count(*) AS users_evaluated, round(avg(ndcg), 6) AS ndcg_at_k, round(avg(ap), 6) AS map_at_k,
-       round(avg(hit), 6) AS hit_rate_at_k,
-       round(any_value(covered) / (SELECT count(*) FROM dpop), 6) AS catalog_coverage_at_k
-FROM (SELECT model, count(DISTINCT article_id) AS covered FROM csu GROUP BY model) JOIN (
-  SELECT r.model, r.request_id, sz.n_truth,
+_COLD_USERS = f"""
+cpu AS (SELECT r.model, sz.customer_id,
          coalesce(sum(CASE WHEN v.article_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) END), 0)
-           / list_sum(list_transform(range(1, least(sz.n_truth, {K}) + 1), lambda q: 1.0 / log2(q + 1))) AS ndcg,
-         coalesce(sum(CASE WHEN v.article_id IS NOT NULL THEN h.hs / r.rank END), 0) / least(sz.n_truth, {K}) AS ap,
-         CASE WHEN count(v.article_id) > 0 THEN 1.0 ELSE 0.0 END AS hit
+           / list_sum(list_transform(range(1, least(sz.n_truth, {K}) + 1), lambda q: 1.0 / log2(q + 1))) AS ndcg_at_k,
+         coalesce(sum(CASE WHEN v.article_id IS NOT NULL THEN h.hs / r.rank END), 0) / least(sz.n_truth, {K}) AS map_at_k,
+         CAST(CASE WHEN count(v.article_id) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS hit_rate_at_k
   FROM csu r JOIN (SELECT customer_id, count(*) AS n_truth FROM cold GROUP BY 1) sz
        ON sz.customer_id = split_part(r.request_id, ':', 1)
   LEFT JOIN cold v ON v.customer_id = sz.customer_id AND v.article_id = r.article_id
   LEFT JOIN (SELECT r2.request_id, r2.rank, row_number() OVER (PARTITION BY r2.request_id ORDER BY r2.rank) AS hs
              FROM cs r2 JOIN cold v2 ON v2.customer_id = split_part(r2.request_id, ':', 1) AND v2.article_id = r2.article_id) h
        ON h.request_id = r.request_id AND h.rank = r.rank
-  GROUP BY 1, 2, 3) USING (model) GROUP BY model""", *COLD_DEPS, extra=COLD))
+  GROUP BY r.model, r.request_id, sz.customer_id, sz.n_truth)"""
+
+
+@register("eval_cold_start", with_ctes("""
+SELECT * FROM (SELECT model, count(*) AS users_evaluated, round(avg(ndcg_at_k), 6) AS ndcg_at_k, round(avg(map_at_k), 6) AS map_at_k,
+       round(avg(hit_rate_at_k), 6) AS hit_rate_at_k FROM cpu GROUP BY model)
+JOIN (SELECT model, round(count(DISTINCT article_id) / (SELECT count(*) FROM dpop), 6) AS catalog_coverage_at_k FROM csu GROUP BY model) USING (model)
+JOIN (SELECT model, """ + ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_ci95_{side}" for m in E.METRICS
+                                    for side, q in (("lower", 0.025), ("upper", 0.975))) + """
+      FROM means GROUP BY model) USING (model)""", *COLD_DEPS, extra=COLD + "," + _COLD_USERS + "," + bootstrap_sql("cpu", "model", 42, 1000)))
 def q_eval_cold_start(spark, d):
     from tastebud.plans.evaluations import eval_cold_start
     f = Frames(spark, d, adapter="orders")
     reqs, cold = _cold_requests(f, _dev(f))
     out = eval_cold_start(f, _cold_models(f), (reqs.where(~F.col("request_id").endswith(":category")), cold), K)
-    return out.select("model", "users_evaluated", *[r6(m).alias(m) for m in (*E.METRICS, "catalog_coverage_at_k")])
+    bounds = [f"{m}_ci95_{side}" for m in E.METRICS for side in ("lower", "upper")]
+    return out.select("model", "users_evaluated", *[r6(m).alias(m) for m in (*E.METRICS, "catalog_coverage_at_k", *bounds)])
+
+
+@register("cold_start_examples", with_ctes(f"""
+SELECT 'demographics' AS "case", 'demographic_popularity' AS strategy,
+       'Popular with shoppers in age band ' || age_band || ' and membership ' || club_member_status || '.' AS explanation, rank, article_id
+FROM segs WHERE rank <= {K} AND (age_band, club_member_status) = (
+  SELECT (age_band, club_member_status) FROM segs WHERE age_band IN ('16-24', '25-34', '35-49', '50+') ORDER BY 1 LIMIT 1)
+UNION ALL SELECT 'category', 'category_popularity', 'Popular products in ' || product_group_name || '.', rank, article_id
+FROM cats WHERE rank <= {K} AND product_group_name = (SELECT min(product_group_name) FROM cats)
+UNION ALL SELECT 'session', 'session_content', 'Based on products viewed this session.', range, NULL FROM range(1, {K + 1})
+UNION ALL SELECT 'no_context', 'global_popularity', 'Popular products across all shoppers.', pop_rank, article_id FROM dpop WHERE pop_rank <= {K}""",
+                                           *COLD_DEPS, extra=COLD))
+def q_cold_start_examples(spark, d):
+    """The report's four example requests; the items of the session, which factors rank, are left to pytest."""
+    from tastebud.plans.evaluations import cold_start_examples, content_model
+    f = Frames(spark, d, adapter="orders")
+    out = cold_start_examples(_cold_models(f), content_model(f), K)
+    return out.select(F.col("request_id").alias("case"), "strategy", "explanation", "rank",
+                      F.when(F.col("strategy") != "session_content", F.col("article_id")).alias("article_id"))
 
 
 # --- factor models (numpy-checked in tests; rows-only here) --------------------
@@ -315,13 +340,40 @@ def q_rec_cf(spark, d):
     return M.rec_cf(cf_model(f), f.clean.select("customer_id").distinct(), K)
 
 
-@register("cross_score")
+# Given item vectors: ``embeddings``, whose vec_id is the article key.
+GIVEN = """
+gvec AS (SELECT article_id, pos, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY article_id)), 0) AS x FROM (
+  SELECT CAST(vec_id AS VARCHAR) AS article_id, unnest(range(1, len(embedding) + 1)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)),
+gtaste AS (SELECT customer_id, pos, sum(n * x) AS x FROM (
+  SELECT customer_id, article_id, ln(1 + count(*)) AS n FROM train_b GROUP BY 1, 2) JOIN gvec USING (article_id) GROUP BY 1, 2),
+gpairs AS (SELECT t.customer_id, v.article_id, sum(t.x * v.x) AS score FROM gtaste t JOIN gvec v USING (pos) GROUP BY 1, 2)"""
+
+
+def _given_vectors(f: Frames):
+    """(item_idx, article_id, vec): the given vectors at unit length, numbered in id order."""
+    from tastebud.functions.index import dense_index
+    from tastebud.operators.similar import normalize_vectors
+    from tastebud.sources.tables import load_table
+    e = normalize_vectors(load_table(f.spark, f.sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = e.select(F.col("vec_id").cast("string").alias("article_id"), F.col("embedding").alias("vec"))
+    return dense_index(rows, [F.col("article_id")], "item_idx")
+
+
+@register("cross_score", with_ctes(f"""
+SELECT customer_id, rank, article_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 9) DESC, article_id) AS rank FROM gpairs p
+  WHERE NOT EXISTS (SELECT 1 FROM seen_b s WHERE s.customer_id = p.customer_id AND s.article_id = p.article_id)) WHERE rank <= {K}""",
+                                   "train_b", "seen_b", extra=GIVEN))
 def q_cross_score(spark, d):
-    """Every training user against every item by blocked matmul; only the top 12 leave a task."""
-    from tastebud.plans.evaluations import cf_model
+    """Every training user against every given item vector: taste = weighted sum of the history's vectors, unseen top 12."""
+    from tastebud.operators.confidence import interaction_confidence
+    from tastebud.operators.factors import csr_rows, top_k_scores
     f = Frames(spark, d)
-    m = cf_model(f)
-    return M.rec_cf(m, m.rows.select("customer_id"), K)
+    vectors = _given_vectors(f).persist()
+    known = interaction_confidence(f.train).join(vectors.select("article_id", "item_idx"), "article_id")
+    rows = csr_rows(known, "customer_id", "item_idx", "weight").withColumnRenamed("row", "customer_id")
+    top = top_k_scores(rows, vectors.select("item_idx", "vec"), K, mode="raw", digits=9)
+    return top.join(vectors.select("item_idx", "article_id"), "item_idx").select("customer_id", "rank", "article_id", r6("score").alias("score"))
 
 
 @register("rec_content")
@@ -358,10 +410,23 @@ def q_evidence_item(spark, d):
     return evidence_item(recs, f.seen, M.item_vectors(ct))
 
 
-@register("self_join_history")
+@register("self_join_history", with_ctes("""
+SELECT customer_id, article_id, evidence_id, round(sim, 6) AS sim FROM (
+  SELECT r.customer_id, r.article_id, h.article_id AS evidence_id, d.sim,
+         row_number() OVER (PARTITION BY r.customer_id, r.article_id ORDER BY round(d.sim, 12) DESC, h.article_id) AS n
+  FROM recs r JOIN seen_b h USING (customer_id)
+  JOIN (SELECT a.article_id, b.article_id AS other, sum(a.x * b.x) AS sim FROM gvec a JOIN gvec b USING (pos) GROUP BY 1, 2) d
+    ON d.article_id = r.article_id AND d.other = h.article_id) WHERE n = 1""",
+                                         "truth_val_b", "pop_b", "seen_b", "train_b", extra=GIVEN.split(",\ngtaste")[0] + ",\n"
+                                         + "tusers AS (SELECT DISTINCT customer_id FROM truth_val_b),\nrecs AS ("
+                                         + REC_POP_SQL.format(users="tusers", pop="pop_b", seen="seen_b", k=K) + ")"))
 def q_self_join_history(spark, d):
-    """History x recommendations per user (k bounded) with the best-matching history item."""
-    return q_evidence_item(spark, d).select("customer_id", "article_id", "evidence_id")
+    """History x popular recommendations per user (k bounded): the history item whose given vector is nearest."""
+    from tastebud.operators.serving import evidence_item
+    f = Frames(spark, d)
+    recs = P.rec_popularity(f.pop, f.seen, _users(f), K)
+    out = evidence_item(recs, f.seen, _given_vectors(f).select("article_id", "vec"))
+    return out.select("customer_id", "article_id", "evidence_id", r6("sim").alias("sim"))
 
 
 @register("route_requests")

@@ -13,6 +13,7 @@ from tastebud.operators import popularity as P
 from tastebud.operators import search as S
 from tastebud.operators.serving import budget_filter, enrich_response, median_price
 from tastebud.plans.frames import K, Frames
+from tastebud.plans.oracle import age_band as sql_age_band
 from tastebud.plans.oracle import with_ctes
 from tastebud.plans.queries_rank import _SEG_SQL, REC_POP_SQL
 from tastebud.plans.queries_text import _CTX, _GROUPS, SEARCH_SQL, _group_sql, _intent_cols_sql, _rx, _search_queries
@@ -76,16 +77,21 @@ segs AS ({_SEG_SQL.format(ev="train_b", m=50)}),
 cats AS (SELECT lower(c.product_group_name) AS product_group_name, p.article_id,
                 row_number() OVER (PARTITION BY lower(c.product_group_name) ORDER BY p.score DESC, p.article_id) AS rank
          FROM pop_b p JOIN items c USING (article_id) WHERE c.product_group_name <> ''),
-routed AS (SELECT i.msg_id, i.max_budget, lower(trim(coalesce(cur_group, any_group))) AS category,
+routed AS (SELECT i.msg_id, i.max_budget, lower(trim(coalesce(cur_group, any_group))) AS category, w.age_band, w.status,
                   CASE WHEN coalesce(cur_group, any_group) IS NULL
-                            AND EXISTS (SELECT 1 FROM segs s WHERE s.age_band = 'unknown' AND s.club_member_status = 'none')
+                            AND EXISTS (SELECT 1 FROM segs s WHERE s.age_band = w.age_band AND s.club_member_status = w.status)
                          THEN 'demographic_popularity'
                        WHEN lower(trim(coalesce(cur_group, any_group))) IN (SELECT product_group_name FROM cats) THEN 'category_popularity'
                        ELSE 'global_popularity' END AS strategy
-           FROM intents i WHERE i.msg_id NOT IN (SELECT msg_id FROM found)),
+           FROM intents i JOIN (
+             SELECT t.conv_id, coalesce(any_value(b.age_band), 'unknown') AS age_band, coalesce(any_value(b.status), 'none') AS status
+             FROM (SELECT DISTINCT conv_id FROM intents) t LEFT JOIN (
+               SELECT customer_id, {sql_age_band('age')} AS age_band, lower(coalesce(club_member_status, 'none')) AS status FROM customers) b
+             ON b.customer_id = CAST(t.conv_id AS VARCHAR) GROUP BY t.conv_id) w ON w.conv_id = i.conv_id
+           WHERE i.msg_id NOT IN (SELECT msg_id FROM found)),
 fell AS (SELECT f.msg_id, f.strategy, f.rank, f.article_id, coalesce(r.price_k, 0) AS price_k
   FROM (SELECT msg_id, max_budget, strategy, s.rank, s.article_id FROM routed JOIN segs s ON strategy = 'demographic_popularity'
-               AND s.age_band = 'unknown' AND s.club_member_status = 'none'
+               AND s.age_band = routed.age_band AND s.club_member_status = routed.status
         UNION ALL SELECT msg_id, max_budget, strategy, c.rank, c.article_id FROM routed JOIN cats c
                ON strategy = 'category_popularity' AND c.product_group_name = category
         UNION ALL SELECT msg_id, max_budget, strategy, p.pop_rank, p.article_id FROM routed JOIN pop_b p ON strategy = 'global_popularity') f
@@ -119,8 +125,10 @@ def _chat_flow(spark, d):
     hits = S.search_catalog(asked, f.items, f.pop, POOL, prices, "max_budget").select(
         F.col("query_id").alias("msg_id"), "rank", "article_id", F.lit(True).alias("catalog_search"))
     missed = intents.join(hits.select("msg_id").distinct(), "msg_id", "left_anti")
-    requests = missed.select(F.col("msg_id").alias("request_id"), F.lit(POOL).alias("limit"), F.lit(None).cast("double").alias("age"),
-                             F.lit(None).cast("string").alias("club_member_status"),
+    # The context of a conversation is the customer of its number, where there is one.
+    context = f.customers.select(F.concat(F.lit("c:"), "customer_id").alias("asker"), "age", "club_member_status")
+    missed = missed.withColumn("asker", F.substring_index("msg_id", ":", 2)).join(context, "asker", "left")
+    requests = missed.select(F.col("msg_id").alias("request_id"), F.lit(POOL).alias("limit"), "age", "club_member_status",
                              F.col("product_group").alias("preferred_product_group"),
                              F.col("product_group").isNull().alias("use_demographics"))
     recs = CS.rec_cold_start(requests, P.segment_rankings(f.train, f.customers, 50, top_n=CS.MAX_LIMIT),
@@ -179,34 +187,40 @@ SELECT request_id, CASE WHEN mode = 'Personalized' THEN nullif(trim(user_id), ''
 FROM controls""", "customers", "train_b", extra="""
 controls AS (SELECT c.customer_id AS request_id, CASE WHEN CAST(c.customer_id AS BIGINT) % 2 = 0 THEN 'Personalized' ELSE 'Explore' END AS mode,
                     c.customer_id AS user_id, 10 AS "limit", c.age, coalesce(nullif(c.club_member_status, 'none'), 'Not specified') AS membership,
-                    'All products' AS product_group, h.session_text
+                    CASE WHEN CAST(c.customer_id AS BIGINT) % 3 = 0 THEN 'Brand#' || CAST(CAST(c.customer_id AS BIGINT) % 5 + 11 AS VARCHAR)
+                         ELSE 'All products' END AS product_group, h.session_text
              FROM customers c LEFT JOIN (SELECT customer_id, string_agg(article_id, ' , ' ORDER BY event_ts, article_id) AS session_text
                                          FROM train_b GROUP BY 1) h USING (customer_id))"""))
 def q_build_request(spark, d):
-    """UI controls per customer: even ids personalised, odd ids exploring with their history as a session."""
+    """UI controls per customer: even ids personalised, odd ids exploring with their history as a session; every third with a group."""
     f = Frames(spark, d)
     hist = f.train.groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("event_ts", "article_id"))).alias("h")) \
         .select("customer_id", F.array_join(F.col("h.article_id"), " , ").alias("session_text"))
     c = f.customers.join(hist, "customer_id", "left")
+    number = F.col("customer_id").cast("long")
     controls = c.select(
         F.col("customer_id").alias("request_id"),
         F.when(F.col("customer_id").cast("long") % 2 == 0, F.lit("Personalized")).otherwise(F.lit("Explore")).alias("mode"),
         F.col("customer_id").alias("user_id"), F.lit(10).alias("limit"), "age",
         F.coalesce(F.nullif(F.col("club_member_status"), F.lit("none")), F.lit("Not specified")).alias("membership"),
-        F.lit("All products").alias("product_group"), "session_text")
+        F.when(number % 3 == 0, F.concat(F.lit("Brand#"), (number % 5 + 11).cast("string"))).otherwise(F.lit("All products")).alias("product_group"),
+        "session_text")
     out = I.build_request(controls)
     return out.select("request_id", "user_id", "limit", "age", "club_member_status", "preferred_product_group",
                       F.array_join("session_article_ids", ",").alias("session_ids"))
 
 
-@register("src_csv_required")
+@register("src_csv_required", with_ctes("""
+SELECT customer_id, CAST(FN AS VARCHAR) AS FN, CAST(Active AS VARCHAR) AS Active, nullif(club_member_status, '') AS club_member_status, fashion_news_frequency,
+       CAST(age AS VARCHAR) AS age FROM customers_raw""", "customers_raw"))
 def q_src_csv_required(spark, d):
-    """Customers written as CSV to the checkpoint folder, read back as text with the required columns."""
+    """Customers written as CSV to the checkpoint folder, read back as text with the required columns; empty text is null there."""
     from tastebud.session import checkpoint_dir
     from tastebud.sources.tables import REQUIRED_CUSTOMER_COLUMNS, read_table
     f = Frames(spark, d)
     path = f"{checkpoint_dir(spark)}/csv/customers-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
-    f.raw_customers.write.mode("overwrite").option("header", True).csv(path)
+    (f.raw_customers.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return read_table(spark, path, REQUIRED_CUSTOMER_COLUMNS, "customers")
 
 

@@ -261,11 +261,38 @@ def _search_queries(spark, d):
     return conv.unionByName(types).unionByName(names)
 
 
-@register("search_catalog", with_ctes("SELECT query_id, rank, article_id, score FROM shits", "items", "pop_b",
-                                      extra=SEARCH_SQL))
+# Queries for a product type come with a budget.
+_BUDGETS = """
+sqb AS (SELECT query_id, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS said, CASE WHEN query_id LIKE 't:%' THEN 40000.0 END AS budget FROM sq
+        WHERE query_id IN (SELECT query_id FROM stok)),
+sprices AS (SELECT article_id, CAST(round_even(median(price) * 1000, 0) AS BIGINT) AS price_k FROM train_b GROUP BY article_id),
+bhits AS (SELECT * FROM (SELECT q.query_id, x.article_id, coalesce(p.score, 0.0) AS score,
+                     row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(p.score, 0.0) DESC, x.article_id) AS rank
+              FROM qt q JOIN sqb USING (query_id) JOIN tax x USING (taxonomy) LEFT JOIN pop_b p ON p.article_id = x.article_id
+              LEFT JOIN sprices r ON r.article_id = x.article_id
+              WHERE sqb.budget IS NULL OR coalesce(r.price_k, 0) <= sqb.budget) WHERE rank <= 10),
+named AS (SELECT article_id, min(prod_name) AS product_name, min(product_group_name) AS product_group,
+                 min(coalesce(nullif(item_text, ''), detail_desc)) AS description FROM items GROUP BY article_id)"""
+
+
+@register("search_catalog", with_ctes("""
+SELECT b.query_id, h.rank, h.article_id, h.score, n.product_name, n.product_group, '~$' || CAST(r.price_k AS VARCHAR) AS price_label,
+       n.description, 'catalog_text_search' AS strategy,
+       CASE WHEN h.article_id IS NULL THEN 'No catalog product type matches \u201c' || said || '\u201d.'
+            ELSE 'Popular catalog products matching \u201c' || said || '\u201d' || CASE WHEN budget IS NOT NULL THEN ' under $40000' ELSE '' END || '.' END AS explanation,
+       CASE WHEN h.article_id IS NOT NULL THEN 'Matches your request for \u201c' || said || '\u201d.' END AS reason,
+       CASE WHEN h.article_id IS NOT NULL THEN 1.0::DOUBLE END AS catalog_text_match
+FROM sqb b LEFT JOIN bhits h USING (query_id) LEFT JOIN named n USING (article_id) LEFT JOIN sprices r USING (article_id)""",
+                                      "items", "pop_b", "train_b", extra=SEARCH_SQL + ",\n" + _BUDGETS))
 def q_search_catalog(spark, d):
+    from tastebud.operators.serving import median_price
     f = Frames(spark, d)
-    return S.search_catalog(_search_queries(spark, d), f.items, f.pop, 10)
+    asked = _search_queries(spark, d).withColumn("max_budget", F.when(F.col("query_id").startswith("t:"), F.lit(40000.0)))
+    prices = median_price(f.train)
+    ranked = S.search_catalog(asked, f.items, f.pop, 10, prices, "max_budget")
+    out = S.search_responses(asked, ranked, f.items, prices, "max_budget")
+    return out.select("query_id", "rank", "article_id", "score", "product_name", "product_group", "price_label", "description", "strategy",
+                      "explanation", "reason", F.col("signals")[S.SEARCH_SIGNAL].alias("catalog_text_match"))
 
 
 # --- intent over conversation turns -------------------------------------------

@@ -31,10 +31,14 @@ def require_columns(df: DataFrame, columns: list[str], name: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, required: list[str], name: str) -> DataFrame:
-    """Read a headered CSV as text, check *all* required columns, project to them."""
+    """Read a headered CSV as text, check *all* required columns, project to them.
+
+    The header of every file must name the columns of the first in its order;
+    a file that doesn't ends the read with an error instead of shifted values.
+    """
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    df = spark.read.option("header", True).schema(schema).csv(path)
+    df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
     require_columns(df, required, name)
     return df.select(*required)
 

@@ -13,7 +13,9 @@ with very many turns is never gathered in one task. Only the check that reads
 the output back streams over sorted turns, with constant memory.
 
 Defined results: a null text or an empty part list is an empty turn; a null role
-is the empty role; attachments without size count one token; unknown kinds raise.
+is the empty role; line feeds in a role are escaped; attachments without size
+count one token; a part of an unknown kind or of none is a placeholder ``unknown``
+of one token.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ OPEN, CLOSE = "<s>", "</s>\n"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_TURN = re.compile(r"((?:[^\\\n]|\\.)*)\n(.*)", re.DOTALL)  # the role ends at the first line feed that isn't escaped
+PLACEHOLDER = re.compile(r"<\|(image|audio|document|unknown):(\d+)\|>")
 
 PART = T.StructType([
     T.StructField("kind", T.StringType()),     # text, image, audio, document
@@ -62,6 +65,11 @@ def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
 
 
+def escape_role(role: str) -> str:
+    """A role stands on one line: its line feeds are escaped too."""
+    return escape(role).replace("\n", "\\\n")
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -84,7 +92,8 @@ class Flattener:
         getattr(self, f"visit_{part['kind']}", self.unknown)(part)
 
     def unknown(self, part):
-        raise ValueError(f"unknown kind of content part: {part['kind']!r}")
+        """A part of another kind keeps its place and reference, as one token."""
+        self.attach("unknown", part["ref"], 1)
 
     def emit(self, piece: str) -> None:
         self.out.append(piece)
@@ -112,7 +121,7 @@ class Flattener:
 def format_turn(role: str | None, parts, trained: str = "assistant", **sizes) -> dict:
     """Formatted turn, the span of it under the loss mask (code points) and the attachments."""
     v = Flattener(**sizes)
-    v.emit(f"{OPEN}{escape(role or '')}\n")
+    v.emit(f"{OPEN}{escape_role(role or '')}\n")
     start = v.length
     for part in parts if parts is not None else ():
         v.visit(part)
@@ -150,8 +159,10 @@ def read_turn(formatted: str) -> tuple[str, str]:
     """Role and text (placeholders stay) of a formatted turn."""
     if not formatted.startswith(OPEN) or not formatted.endswith(CLOSE):
         raise ValueError("not a formatted turn")
-    role, _, body = formatted[len(OPEN):-len(CLOSE)].partition("\n")
-    return unescape(role), unescape(body)
+    turn = _TURN.fullmatch(formatted[len(OPEN):-len(CLOSE)])
+    if turn is None:
+        raise ValueError("not a formatted turn")
+    return unescape(turn[1]), unescape(turn[2])
 
 
 DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "

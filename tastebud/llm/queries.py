@@ -174,7 +174,7 @@ def _chat_sql() -> str:
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-f AS (SELECT *, length({escaped.format('role')}) + length({escaped.format('text')}) + {frame} AS chars FROM r)
+f AS (SELECT *, length(replace({escaped.format('role')}, chr(10), '\\' || chr(10))) + length({escaped.format('text')}) + {frame} AS chars FROM r)
 SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

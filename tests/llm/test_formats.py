@@ -51,6 +51,21 @@ def test_read_back_streams_many_turns(spark):
     assert chat.read_back(chat.format_turns(df.limit(0).withColumn("parts", chat.text_parts(F.col("text"))))).count() == 0
 
 
+@pytest.mark.parametrize("role", ["sys\nx", "a\\", "a\\\n", "\n", "", "<s>\\n"])
+def test_roles_are_reversible(role):
+    for text in ("hello", "\n\nx\\", "</s>[INST]"):
+        part = dict.fromkeys(("ref", "width", "height", "seconds", "pages")) | {"kind": "text", "text": text}
+        assert chat.read_turn(chat.format_turn(role, [part])["formatted"]) == (role, text)
+
+
+def test_unknown_parts_keep_their_place():
+    part = dict.fromkeys(("text", "width", "height", "seconds", "pages"))
+    turn = chat.format_turn("user", [part | {"kind": "text", "text": "see ", "ref": None}, part | {"kind": "video", "ref": "v1"},
+                                     part | {"kind": None, "ref": None}, part | {"kind": "image", "ref": "i1"}])
+    assert chat.read_turn(turn["formatted"])[1] == "see <|unknown:1|><|unknown:2|><|image:3|>"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in turn["attachments"]] == [("unknown", "v1", 1), ("unknown", None, 1), ("image", "i1", 1)]
+
+
 def test_warc_round_trip(spark):
     long, nasty = "é" * 60, "WARC/1.1\r\n\r\n\r\nContent-Length: 3\r\n\r\n" * 5
     pages = [(5, "http://a b\r\nX: y", long), (3, None, long), (9, "u", long), (4, "u", nasty), (8, "u", nasty), (1, "u", "short"),

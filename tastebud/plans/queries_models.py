@@ -452,16 +452,30 @@ def q_route_requests(spark, d):
     return route_requests(reqs, cf.rows.select("customer_id"), candidates, cold, WEIGHT)
 
 
+def stored_models(f: Frames, n_components: int = 64, seed: int = 42) -> str:
+    """The folder of the models of the processed store, fitted, tuned and published as one version where there is none yet."""
+    from tastebud.plans.evaluations import cf_model, content_model, tune_hybrid_weight
+    from tastebud.sources import versions as V
+    base = f"{f.store}-models-{n_components}-{seed}"  # the store's name is a digest of its input
+    at = V.current(f.spark, base)
+    if at is not None:
+        return at
+    version, cf, ct, users = V.new_version(base), cf_model(f), content_model(f), _users(f)
+    out = V.folder(base, version)
+    M.save_model(cf, f"{out}/collaborative")
+    M.save_model(ct, f"{out}/content")
+    tuned = tune_hybrid_weight(M.rec_cf(cf, users, CAND_K), M.rec_content(ct, users, CAND_K), f.truth("val"), WEIGHTS, K)
+    best = tuned.where("is_best").first()["weight"]
+    f.spark.createDataFrame([(float(best), n_components, seed)], "best_weight double, n_components int, seed int").write.parquet(f"{out}/config")
+    return V.publish(f.spark, base, version, [*[f"collaborative/{t}" for t in (*M.CF_TABLES, "sigma")],
+                                              *[f"content/{t}" for t in M.CONTENT_TABLES], "config"])
+
+
 @register("model_tables")
 def q_model_tables(spark, d):
-    """Persist both fitted models and the blend weight, read them back and rank with what was read."""
-    from tastebud.plans.evaluations import cf_model, content_model
-    from tastebud.session import checkpoint_dir
+    """Both fitted models and the tuned weight, stored once per input and found again by any session; ranks with what was read."""
     f = Frames(spark, d)
-    out = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    M.save_model(cf_model(f), f"{out}/collaborative")
-    M.save_model(content_model(f), f"{out}/content")
-    spark.createDataFrame([(WEIGHT, 64, 42)], "best_weight double, n_components int, seed int").write.parquet(f"{out}/config")
+    out = stored_models(f)
     cf, ct = M.load_cf(spark, f"{out}/collaborative"), M.load_content(spark, f"{out}/content")
     weight = spark.read.parquet(f"{out}/config").first()["best_weight"]
     users = _users(f)

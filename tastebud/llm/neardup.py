@@ -183,14 +183,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, den
 
 def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size: int, numerator: int = 80,
                    denominator: int = 100) -> DataFrame:
-    """``near`` with the set size n and ``apart_by``, the items in which a set and the centre of ``main`` differ.
+    """``near`` with the set size n and the items by which it is apart from the centre of ``main``.
 
     Items of the set itself come as their hash, items of the centre that it lacks
     as its complement. Sets that differ from the centre in more than they hold
-    are better told apart by their own items (``side`` 1, as if the centre were
+    are better told apart by their own items (``own``, as if the centre were
     empty). With threshold t and r = (1 - t) / (1 + t) any partner of such a set
     differs in over t (1 - r) - r of its size (0.6 for 0.8), and sets from there to
-    1 come on both sides. No row is longer than its set.
+    1 have both; what a set does not need is null. No array is longer than its set.
     """
     t, r = numerator / denominator, (denominator - numerator) / (denominator + numerator)
     from_share = t * (1 - r) - r - 1e-9
@@ -205,17 +205,18 @@ def against_centre(near: DataFrame, centres: DataFrame, texts: DataFrame, size:
                     centre, middle = bytes(at), shingles(centre_text, size, hashes)
                 own = np.setdiff1d(items, middle, assume_unique=True)
                 lacks = len(middle) - (len(items) - len(own))
+                by_centre = by_itself = None
                 if len(own) + lacks <= len(items):
-                    differs = np.concatenate([own, ~np.setdiff1d(middle, items, assume_unique=True)])
-                    rows.append((main, 0, digest, comp, apart, len(items), differs.view(np.int64)))
+                    by_centre = np.concatenate([own, ~np.setdiff1d(middle, items, assume_unique=True)]).view(np.int64)
                 if len(own) + lacks > from_share * len(items):
-                    rows.append((main, 1, digest, comp, apart, len(items), items.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["main", "side", "digest", "comp", "apart", "n", "apart_by"])
+                    by_itself = items.view(np.int64)
+                rows.append((main, digest, comp, apart, len(items), by_centre, by_itself))
+            yield pd.DataFrame(rows, columns=["main", "digest", "comp", "apart", "n", "apart_by", "own"])
 
     rows = (near.join(texts, "digest").join(centres, "main")
             .join(texts.select(F.col("digest").alias("centre"), F.col("text").alias("centre_text")), "centre")
             .select("main", "digest", "comp", "apart", "text", "centre", "centre_text"))
-    return rows.mapInPandas(run, "main binary, side int, digest binary, comp binary, apart boolean, n long, apart_by array<long>")
+    return rows.mapInPandas(run, "main binary, digest binary, comp binary, apart boolean, n long, apart_by array<long>, own array<long>")
 
 
 def possible_pairs(beside: DataFrame, centres: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -234,7 +235,9 @@ def possible_pairs(beside: DataFrame, centres: DataFrame, numerator: int, denomi
         return F.floor((n + m) * (denominator - numerator) / F.lit(denominator + numerator))
 
     group = ["main", "side"]
-    sets = beside.withColumn("d", F.size("apart_by"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("apart_by")), F.struct(F.lit(1).alias("side"), F.col("own").alias("apart_by"))))
+    sets = (beside.select("main", "digest", "comp", "apart", "n", sides.alias("by")).where("by.apart_by is not null")
+            .select("main", "by.side", "digest", "comp", "apart", "n", "by.apart_by").withColumn("d", F.size("apart_by")))
     items = sets.select(*group, "digest", "comp", "apart", "n", "d", F.explode("apart_by").alias("item"))
     spread = items.groupBy(*group, "item").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
     rarest = Window.partitionBy(*group, "digest").orderBy(F.coalesce("held", F.lit(1)), "item")

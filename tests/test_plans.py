@@ -32,3 +32,14 @@ def test_the_split_window_reaches_the_scan(spark):
     rows = C.kept_interactions(C.windowed_interactions(f.raw_transactions, f.items, anchor))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan, plan[:3000]
+
+
+def test_catalog_ids_are_not_collected_for_the_reject_reasons(spark):
+    """Their files may be a few MB where the ids are a GB in memory, so no size estimate may send them to the driver."""
+    from tastebud.operators import clean as C
+    raw = spark.createDataFrame([("u", "1", "2024-01-02", "1.0", "1"), ("u", None, "2024-01-02", "1.0", "1"), ("v", "9", "2024-01-03", "1.0", "1")],
+                                "customer_id string, article_id string, t_dat string, price string, sales_channel_id string")
+    labelled = C.labelled_interactions(raw, spark.range(3).selectExpr("cast(id as string) article_id"))
+    assert "BroadcastHashJoin" not in labelled._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.article_id or "", r.reject_reason) for r in labelled.collect()) == [("", "missing"), ("1", None), ("9", "orphan")]
+    assert "BroadcastHashJoin" not in labelled._jdf.queryExecution().executedPlan().toString()

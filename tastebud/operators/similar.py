@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tastebud.functions.index import dealt
 from tastebud.operators.vectorsearch import BLOCK_ROWS, build_index, top_products
 from tastebud.session import stored
 
@@ -22,9 +23,10 @@ def _top_n(scored: DataFrame, n: int, key: str = "query_article_id", cand: str =
 
 SEED_DOCS = 50  # documents per wanted neighbour that the first terms of a query should reach
 POSTINGS = 65_536  # of one part of a term's list
+FEW_TERMS = 50_000  # query terms that go along to the lists: a few MB
 
 
-def query_terms(weights: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def query_terms(weights: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_article_id, term, qw, impact, remains, reached, parts) for the terms of every query, by falling impact.
 
     ``impact`` is the most a term can add to any score (the query's weight times
@@ -34,7 +36,7 @@ def query_terms(weights: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """
     lists = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
     q = queries.select(F.col("article_id").alias("query_article_id")).distinct()
-    rows = (weights.join(q, weights.article_id == q.query_article_id)
+    rows = (dealt(weights).join(q, weights.article_id == q.query_article_id)
             .select("query_article_id", "term", F.col("weight").alias("qw")).join(lists, "term"))
     by = Window.partitionBy("query_article_id").orderBy(F.desc("impact"), F.asc("term"))
     return rows.withColumn("impact", F.col("qw") * F.col("most")).select(
@@ -45,13 +47,25 @@ def query_terms(weights: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
 
 def partial_scores(terms: DataFrame, weights: DataFrame) -> DataFrame:
-    """(query_article_id, article_id, score) over the given query terms alone; long lists meet their queries in parts."""
+    """(query_article_id, article_id, score) over the given query terms alone; long lists meet their queries in parts.
+
+    Few query terms go along to the lists, which stay where they are.
+    """
+    pair = F.col("article_id") != F.col("query_article_id")
+    score = F.sum(F.col("qw") * F.col("weight")).alias("score")
+    if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        few = F.broadcast(terms.select("query_article_id", "term", "qw"))
+        return weights.join(few, "term").where(pair).groupBy("query_article_id", "article_id").agg(score)
     held = weights.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).cast("int").alias("parts"))
     lists = (weights.join(held, "term").select(
         "term", "article_id", "weight", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int").alias("part")))
     asked = terms.select("query_article_id", "term", "qw", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return (asked.join(lists, ["term", "part"]).where(F.col("article_id") != F.col("query_article_id"))
-            .groupBy("query_article_id", "article_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    return asked.join(dealt(lists), ["term", "part"]).where(pair).groupBy("query_article_id", "article_id").agg(score)
+
+
+def pair_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_article_id, article_id, score) of every query article and every other one that shares a term with it."""
+    return partial_scores(stored(query_terms(weights, queries), "terms"), weights)
 
 
 def survivors(weights: DataFrame, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +76,7 @@ def survivors(weights: DataFrame, queries: DataFrame, n: int) -> tuple[DataFrame
     the lists before are read, and a document they find stays only if it can
     still reach the floor.
     """
-    terms = stored(query_terms(weights, queries, n), "terms")
+    terms = stored(query_terms(weights, queries), "terms")
     first = partial_scores(terms.where(F.col("reached") < SEED_DOCS * n), weights)
     by = Window.partitionBy("query_article_id").orderBy(F.desc("score"))
     floor = (first.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).where(F.col("_r") == n)
@@ -89,12 +103,12 @@ def similar_tfidf(weights: DataFrame, catalog: DataFrame, queries: DataFrame, n:
     found = found.join(asked, "query_article_id", "left")
     own = weights.groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("own"))
     done = found.where(F.col("rest").isNull()).select("query_article_id", "article_id", "score")
-    open_ = found.where(F.col("rest").isNotNull()).join(own, "article_id")
+    open_ = found.where(F.col("rest").isNotNull()).join(dealt(own), "article_id")
     added = F.aggregate(F.transform("rest", lambda x: x["qw"] * F.coalesce(F.try_element_at("own", x["term"]), F.lit(0.0))),
                         F.lit(0.0), lambda a, x: a + x)
     pairs = done.unionByName(open_.select("query_article_id", "article_id", (F.col("score") + added).alias("score")))
     top = _top_n(pairs, n)
-    text = catalog.select("article_id", "item_text")
+    text = dealt(catalog.select("article_id", "item_text"))
     return (top.join(text, "article_id")
             .join(text.select(F.col("article_id").alias("query_article_id"), F.col("item_text").alias("query_item_text")),
                   "query_article_id")

@@ -88,3 +88,27 @@ def test_one_vector_of_a_third_of_the_rows(spark):
     got = {(r.query_id, r.rank, r.vec_id) for r in similar_embeddings(vecs, vecs, 4, block_rows=5).collect()}
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     assert got == plain(unit, unit, 4, [(i, i) for i in range(60)])
+
+
+@pytest.mark.parametrize("group_values", [64, 4_194_304])
+def test_rows_between_tasks_are_per_group_not_per_block(spark, monkeypatch, group_values):
+    """Vectors without structure: no table of a round has a row per (query, block), and results stay exact with string ids and ties."""
+    written, store = [], VS.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(VS, "stored", counted)
+    monkeypatch.setattr(VS, "GROUP_VALUES", group_values)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(400, 4))
+    m[200:] = m[:200]
+    names = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(m)], "id string, vec array<double>")
+    index = VS.build_index(names, block_rows=8, max_pivots=6)
+    without = [(int(i), int(j)) for i, j in zip(rng.integers(0, 400, 900), rng.integers(0, 400, 900))]
+    excluded = spark.createDataFrame([(f"{i:03d}", f"{j:03d}") for i, j in without], "query_id string, id string")
+    got = VS.top_products(index, names.withColumnRenamed("id", "query_id"), 3, excluded)
+    assert {(int(r.query_id), r.rank, int(r.id)) for r in got.collect()} == plain(m, m, 3, without)
+    assert len(index.block) >= 50 and max(k for name, k in written if name == "visits") <= 400

@@ -84,7 +84,7 @@ def fit_content(train: DataFrame, items: DataFrame, candidates: DataFrame | None
     n_cat = cat_map.count()
     if n_cat < 2:
         raise ValueError("At least two catalog items are required")
-    w = tfidf(cat, max_features, sublinear=True)
+    w = tfidf(cat, max_features, sublinear=True, unique=True)
     terms = dense_index(w.select("term").distinct(), [F.col("term")], "term_idx")
     n_terms = terms.count()
     docs = FX.csr_rows(w.join(terms, "term").join(dealt(cat_map, rows=n_cat), "article_id"), "item_idx", "term_idx", "weight")

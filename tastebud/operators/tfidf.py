@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastebud.functions.index import dealt
+from tastebud.functions.index import FEW_ROWS, dealt
 from tastebud.functions.text import with_bigrams, word_tokens
+from tastebud.session import stored
 
 
 def catalog_prepare(items: DataFrame, candidates: DataFrame | None = None, min_items: int = 2) -> DataFrame:
@@ -52,19 +53,44 @@ def stop_words() -> list[str]:
     return list(ENGLISH_STOP_WORDS)
 
 
-def doc_terms(catalog: DataFrame, ngrams: bool = True, stop: list[str] | None = None) -> DataFrame:
+def doc_terms(catalog: DataFrame, ngrams: bool = True, stop: list[str] | None = None, unique: bool = False) -> DataFrame:
     """(article_id, term, tf): unigrams (+ adjacent bigrams) counted per document.
 
-    Stop words are removed *before* bigrams are formed.
+    Stop words are removed *before* bigrams are formed. Terms are counted within
+    their row, so no term of a document is shuffled. Rows that share an id (or have
+    none) are one document: those alone are added up by key. ``unique`` says that
+    there are none.
     """
+    if unique:
+        return _row_terms(catalog, ngrams, stop)
+    ids = catalog.groupBy(F.col("article_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    shared = stored(ids.where(F.col("_n") > 1).select("_id"), "shared")
+    n = shared.count()
+    if not n:
+        return _row_terms(catalog, ngrams, stop)
+    shared = F.broadcast(shared) if n <= FEW_ROWS else shared.hint("shuffle_hash")
+    same = F.col("article_id").eqNullSafe(F.col("_id"))
+    summed = (_row_terms(catalog.join(shared, same, "left_semi"), ngrams, stop)
+              .groupBy("article_id", "term").agg(F.sum("tf").alias("tf")))
+    return _row_terms(catalog.join(shared, same, "left_anti"), ngrams, stop).unionByName(summed)
+
+
+def _row_terms(rows: DataFrame, ngrams: bool, stop: list[str] | None) -> DataFrame:
+    """(article_id, term, tf) of every row by itself: its terms in order, counted by the distance between first places."""
     toks = word_tokens("item_text")
     if stop:
         sw = F.array(*[F.lit(w) for w in stop])
         toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
-    tokd = catalog.select("article_id", toks.alias("_t"))  # tokenise once per document
+    tokd = rows.select("article_id", toks.alias("_t"))  # tokenise once per document
     terms = with_bigrams(F.col("_t")) if ngrams else F.col("_t")
-    return (tokd.select("article_id", F.explode(terms).alias("term"))
-            .groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    listed = tokd.select("article_id", F.sort_array(terms).alias("_s"))
+    place = F.when(F.size("_s") > 0, F.sequence(F.lit(1), F.size("_s")))
+    first = F.filter(place, lambda i: (i == 1) | (F.get(F.col("_s"), i - 1) != F.get(F.col("_s"), i - 2)))
+    firsts = listed.select("article_id", "_s", first.alias("_f"))
+    counted = F.transform("_f", lambda i, j: F.struct(
+        F.get(F.col("_s"), i - 1).alias("term"),
+        (F.coalesce(F.get(F.col("_f"), j + 1), F.size("_s") + 1) - i).cast("long").alias("tf")))
+    return firsts.select("article_id", F.inline(counted))
 
 
 def vocabulary(terms: DataFrame, max_features: int) -> DataFrame:
@@ -76,13 +102,13 @@ def vocabulary(terms: DataFrame, max_features: int) -> DataFrame:
 
 
 def tfidf(catalog: DataFrame, max_features: int = 20_000, sublinear: bool = True, ngrams: bool = True,
-          stop: list[str] | None = None) -> DataFrame:
-    """(article_id, term, weight) with L2-normalised rows.
+          stop: list[str] | None = None, unique: bool = False) -> DataFrame:
+    """(article_id, term, weight) with L2-normalised rows; ``unique`` as for ``doc_terms``.
 
     The vocabulary is at most ``max_features`` rows, so it is broadcast
     behind that fixed bound; documents stay partitioned.
     """
-    terms = doc_terms(catalog, ngrams, stop)
+    terms = doc_terms(catalog, ngrams, stop, unique)
     n_docs = catalog.select(F.count(F.lit(1))).scalar()
     vocab = vocabulary(terms, max_features)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)

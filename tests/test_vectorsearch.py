@@ -112,3 +112,16 @@ def test_rows_between_tasks_are_per_group_not_per_block(spark, monkeypatch, grou
     got = VS.top_products(index, names.withColumnRenamed("id", "query_id"), 3, excluded)
     assert {(int(r.query_id), r.rank, int(r.id)) for r in got.collect()} == plain(m, m, 3, without)
     assert len(index.block) >= 50 and max(k for name, k in written if name == "visits") <= 400
+
+
+def test_few_blocks_are_visited_in_one_round(spark):
+    """A round is several small jobs: where all blocks are few, asking for some of them first saves nothing."""
+    rng = np.random.default_rng(6)
+    m, q = np.round(rng.normal(size=(90, 4)), 1), np.round(rng.normal(size=(25, 4)), 1)
+    m[::5] = m[0]
+    index, visits = VS.build_index(table(spark, m), block_rows=9, max_pivots=3), []
+    assert 2 < len(index.block) <= VS.ONE_ROUND
+    without = [(i, j) for i in range(25) for j in range(0, 90, 7)]
+    got = VS.top_products(index, table(spark, q, "query_id"), 6, spark.createDataFrame(without, "query_id long, id long"), visits=visits)
+    assert {(r.query_id, r.rank, r.id) for r in got.collect()} == plain(q, m, 6, without)
+    assert visits == [25 * len(index.block)]

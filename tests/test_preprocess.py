@@ -173,3 +173,35 @@ def test_no_order_row_is_left_out(spark):
     assert raw.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
     splits = {r.split: r["count"] for r in C.label_split(C.coerce_interactions(raw)).groupBy("split").count().collect()}
     assert splits["val"] and splits["test"] and splits["train"]
+
+
+def test_catalog_and_customers_are_cleaned_in_tasks_by_rows(spark, tmp_path, monkeypatch):
+    """Small files of many rows: their text isn't cleaned by the one task that reads them."""
+    from tastebud.functions import index as I
+    from tastebud.plans import preprocess as S
+    tx, items, people = (df.coalesce(1) for df in _raw(spark, 28))
+    want = [sorted(map(str, c(df).collect())) for c, df in ((C.clean_items, items), (C.clean_customers, people))]
+    monkeypatch.setattr(I, "SPREAD_ROWS", 2)
+    base = str(tmp_path / "store")
+    S.run_preprocess(spark, tx, items, people, base)
+    for name, rows, files in (("items_clean", want[0], 3), ("customers_clean", want[1], 1)):
+        got = S.read_processed(spark, base, name)
+        assert sorted(map(str, got.collect())) == rows
+        assert got.select(F.input_file_name()).distinct().count() == files
+
+
+def test_order_lines_meet_orders_without_a_sort(spark, tmp_path):
+    from tastebud.sources import adapters as A
+    sf = str(tmp_path)
+    day = "TIMESTAMP'2024-03-0{} 00:00:00'"
+    orders = " union all ".join(f"select {k} o_orderkey, {c} o_custkey, {day.format(d)} o_orderdate"
+                                for k, c, d in ((1, 7, 1), (2, 8, 2), (2, 9, 3), ("cast(null as int)", 5, 4), (4, 6, 5)))
+    lines = " union all ".join(f"select {k} l_orderkey, {p} l_partkey, 6.0D l_extendedprice, 2.0D l_quantity, 'O' l_linestatus"
+                               for k, p in ((1, 1), (1, 1), (2, 3), ("cast(null as int)", 4), (5, 5)))
+    spark.sql(orders).write.parquet(f"{sf}/orders.parquet")
+    spark.sql(lines).write.parquet(f"{sf}/lineitem.parquet")
+    raw = A.order_transactions(spark, sf)
+    got = sorted((r.customer_id, r.article_id, r.price) for r in raw.collect())
+    assert got == [("7", "1", 3.0), ("7", "1", 3.0), ("8", "3", 3.0), ("9", "3", 3.0)]
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

@@ -119,7 +119,10 @@ def normalize_vectors(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     """L2-normalise array vectors (a zero vector stays zero)."""
     v = F.transform(F.col(col), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return vectors.withColumn(col, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
+    # bound once: inside the lambda over the values the norm would be formed again for each of them
+    both = F.transform(F.array(F.struct(v.alias("v"), norm.alias("norm"))), lambda s: F.when(
+        s["norm"] > 0, F.transform(s["v"], lambda x: x / s["norm"])).otherwise(s["v"]))
+    return vectors.withColumn(col, F.get(both, F.lit(0)))
 
 
 def _by_vector(rows: DataFrame, key: str, col: str) -> DataFrame:
@@ -137,8 +140,11 @@ def similar_embeddings(vectors: DataFrame, queries: DataFrame, n: int = 5, id_co
     entry with its n + 1 smallest ids, all that any list can hold. Every query
     then takes the list of its vector, without itself.
     """
-    corpus = _by_vector(normalize_vectors(vectors.select(id_col, col), col), id_col, col).where(F.col("vec").isNotNull())
-    wanted = _by_vector(normalize_vectors(queries.select(id_col, col), col), id_col, col).where(F.col("vec").isNotNull())
+    def units(rows: DataFrame) -> DataFrame:  # written once, as several steps read them
+        return stored(_by_vector(normalize_vectors(rows.select(id_col, col), col), id_col, col).where(F.col("vec").isNotNull()), "units")
+
+    corpus = units(vectors)
+    wanted = corpus if queries is vectors else units(queries)
     distinct = corpus.groupBy("same").agg(F.min("key").alias("id"), F.first("vec").alias("vec"))
     asked = wanted.groupBy("same").agg(F.min("key").alias("query_id"), F.first("vec").alias("vec"))
     top = top_products(build_index(distinct, block_rows=block_rows), asked, n + 1, digits=TIE_DIGITS).withColumnRenamed("id", "first")

@@ -1,6 +1,7 @@
 """The bounded-block index against plain products: exact results, few visits where the data has structure."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tastebud.operators import vectorsearch as VS
@@ -125,3 +126,60 @@ def test_few_blocks_are_visited_in_one_round(spark):
     got = VS.top_products(index, table(spark, q, "query_id"), 6, spark.createDataFrame(without, "query_id long, id long"), visits=visits)
     assert {(r.query_id, r.rank, r.id) for r in got.collect()} == plain(q, m, 6, without)
     assert visits == [25 * len(index.block)]
+
+
+def test_vectors_without_structure_take_two_rounds(spark):
+    """After the first round no query can leave out half of the blocks: all others are visited at once, not in a round more."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(400, 16))
+    index, visits = VS.build_index(table(spark, m), block_rows=8, max_pivots=6), []
+    assert len(index.block) > VS.ONE_ROUND
+    got = VS.top_products(index, table(spark, m, "query_id"), 3, visits=visits)
+    assert {(r.query_id, r.rank, r.id) for r in got.collect()} == plain(m, m, 3)
+    assert len(visits) == 2 and visits[0] == 2 * 400
+
+
+@pytest.mark.parametrize("names", [int, "{:04d}".format])
+def test_a_tile_streams_its_blocks_and_keeps_the_best(names):
+    """Scores that single precision can't tell apart, ties beyond what a query may hold, excluded ids, blocks not asked for."""
+    rng = np.random.default_rng(9)
+    m, n = rng.normal(size=(900, 8)), 5
+    m[100:300], m[300:500] = m[0], m[0] * (1 + 1e-8 * np.arange(200))[:, None]
+    q = np.vstack([m[0], 1e3 * m[0], -m[0], np.zeros(8), rng.normal(size=(12, 8))])
+    place = np.arange(900) // 60
+    asks = rng.random((len(q), 15)) < 0.8
+    asks[:4] = True
+    ids = [names(i) for i in rng.permutation(900)]
+    gone = {(i, int(j)) for i, j in zip(rng.integers(0, len(q), 300), rng.integers(0, 900, 300))}
+
+    def frame(tile, turn, kind, **columns):
+        base = {"tile": tile, "turn": turn, "kind": kind, "query_id": names(0), "vec": None, "nth": np.nan, "asked": None, "gone": None, "place": 0, "id": names(0)}
+        return pd.DataFrame([base | dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)])
+
+    def batches():
+        for tile in (4, 9):
+            rows = [frame(tile, -1, 0, query_id=[names(i) for i in range(len(q))], vec=list(q), asked=[np.packbits(a).tobytes() for a in asks])]
+            for p in range(15):
+                at = np.flatnonzero(place == p)
+                without = [(i, [ids[j] for j in at if (i, j) in gone]) for i in range(len(q))]
+                rows.append(frame(tile, p, 1, query_id=[names(i) for i, x in without if x], gone=[x for _, x in without if x]))
+                rows.append(frame(tile, p, 2, vec=list(m[at]), id=[ids[j] for j in at], place=[p] * len(at)))
+            yield from (x for r in np.array_split(pd.concat(rows, ignore_index=True), 7) for x in [r])
+
+    out = pd.concat(list(VS._tiles(batches(), n, 9, 1e-7)))
+    assert len(out) == 2 * n * len(q)  # each tile gives n at most
+    scores = np.round(q @ m.T, 9)
+    for i in range(len(q)):
+        fits = [j for j in range(900) if asks[i, place[j]] and (i, j) not in gone]
+        want = sorted(ids[j] for j in sorted(fits, key=lambda j: (-scores[i, j], ids[j]))[:n])
+        assert sorted(out.loc[out.query_id == names(i), "id"]) == sorted(2 * want)
+
+
+def test_tiling_gives_few_results_for_long_lists_and_fits():
+    """Runs of blocks are long where results are many, parts hold what fits, and there are tiles enough."""
+    for queries, items, n in ((900_000, 1_200_000, 200), (90_000, 1_200_000, 120), (540_000, 7_200_000, 12), (3_000, 1_200_000, 12)):
+        groups, fit = -(-items * 64 // VS.GROUP_VALUES), min(VS.GROUP_VALUES // 64, VS.STATE_CELLS // VS._cap(n))
+        runs, each = VS._tiling(queries, queries * groups, items, groups, fit, 64, n)
+        assert each <= fit and runs <= groups
+        assert runs * -(-queries // each) >= min(VS.TASKS, groups * -(-queries // VS.QUERY_ROWS))
+        assert runs * n < 1500 or queries < 10_000  # rows a query leaves to the last window

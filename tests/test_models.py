@@ -156,3 +156,17 @@ def test_models_survive_storage(spark, tmp_path):
         first = sorted((r.customer_id, r.rank, r.article_id) for r in a.collect())
         assert first and first == sorted((r.customer_id, r.rank, r.article_id) for r in b.collect())
     assert {r.article_id for r in M.rec_content_fresh(ct, users, 5).collect()} == {"i15"}
+
+
+def test_shorter_lists_come_from_longer_ones_without_a_search(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    tx = _inter(spark, sorted({(f"u{rng.integers(0, 9)}", f"i{rng.integers(0, 12):02d}") for _ in range(40)}))
+    items = spark.createDataFrame([(f"i{j:02d}", f"{w} {x} thing") for j, (w, x) in enumerate(
+        (w, x) for w in ("red", "blue", "green", "black") for x in ("shirt", "shoe", "bag"))], "article_id string, item_text string")
+    users = tx.select("customer_id").distinct().union(spark.createDataFrame([("new",)], "customer_id string"))
+    cf, ct = M.fit_cf(tx, 3), M.fit_content(tx, items, n_components=3)
+    found = [(f, m, sorted((r.customer_id, r.rank, r.article_id) for r in f(m, users, 2).collect()), f(m, users, 5).persist())
+             for f, m in ((M.rec_cf, cf), (M.rec_content, ct))]
+    monkeypatch.setattr(M.FX, "top_k_scores", None)  # a search would fail
+    for f, m, want, longer in found:
+        assert want == sorted((r.customer_id, r.rank, r.article_id) for r in f(m, users, 2, longer).collect()) and len(want) > 10
